@@ -32,6 +32,18 @@ JS_FUNCTION = rf"^(?:export{S}+)?(?:async{S}+)?function{S}+({W}+){S}*\(([^)]*)\)
 JS_ASSIGNED = rf"^(?:const|let|var){S}+({W}+){S}*={S}*(?:async{S}+)?\(([^)]*)\)"
 JS_VARIABLE = rf"^(?:const|let|var){S}+({W}+)"
 JS_LOOP_VARIABLE = rf"^for{S}*\({S}*(?:let|var|const){S}+({W}+)"
+
+# The same declarations searched in a whole text whose line breaks are "\n".
+B = r"[\t\x1f \x{a0}\x{1680}\x{2000}-\x{200a}\x{202f}\x{205f}\x{3000}]"
+JS_HEADERS = (
+    rf"(?dm)^{B}*(?:(?:export{B}+)?(?:async{B}+)?function{B}+{W}+{B}*\([^)\n]*\)"
+    rf"|(?:const|let|var){B}+{W}+{B}*={B}*(?:async{B}+)?\([^)\n]*\))"
+)
+JS_HEADER_NAME = rf"(?:function|const|let|var){B}+({W}+)"
+JS_HEADER_PARAMS = r"\(([^)]*)\)"
+JS_VARIABLES = rf"(?dm)^{B}*(?:const|let|var){B}+({W}+)"
+JS_LOOP_VARIABLES = rf"(?dm)^{B}*for{B}*\({B}*(?:let|var|const){B}+({W}+)"
+
 JS_CLASS = rf"^(?:export{S}+)?class{S}+({W}+)"
 JS_LOOP = rf"^(?:for|while){S}*\("
 JS_CONDITIONAL = rf"^if{S}*\("

@@ -19,15 +19,24 @@ def rstrip(c: Column) -> Column:
     return F.rtrim(c, F.lit(P.WHITESPACE))
 
 
+def plain_breaks(c: Column) -> Column:
+    """Every line break as a line feed. Texts without rare breaks are left as they are."""
+    return F.when(c.rlike(P.RARE_BREAK), F.regexp_replace(c, P.LINE_BREAK, "\n")).otherwise(c)
+
+
+def split_plain_lines(c: Column) -> Column:
+    """Lines of a text whose breaks are line feeds; a final break adds no line."""
+    body = F.when(F.endswith(c, F.lit("\n")), F.left(c, F.length(c) - 1)).otherwise(c)
+    return F.when(c == "", F.array().cast("array<string>")).otherwise(F.split(body, "\n"))
+
+
 def split_lines(c: Column) -> Column:
-    """Array of lines. Any Unicode line break ends a line; a final break adds none.
+    """Array of lines; any Unicode line break ends a line.
 
-    Rare breaks become line feeds first, so the split itself is on one plain
+    Breaks become line feeds first, so the split itself is on one plain
     character, which is much faster than splitting on a pattern.
     """
-    c = F.when(c.rlike(P.RARE_BREAK), F.regexp_replace(c, P.LINE_BREAK, "\n")).otherwise(c)
-    body = F.when(F.endswith(c, F.lit("\n")), F.left(c, F.length(c) - 1)).otherwise(c)
-    return F.when(c == "", F.array().cast("array<string>")).otherwise(F.split(body, "\n"))
+    return split_plain_lines(plain_breaks(c))
 
 
 def line_count(c: Column) -> Column:

@@ -16,128 +16,133 @@ from pyspark.sql import functions as F
 from gumshoe.functions import patterns as P
 from gumshoe.functions import text as T
 from gumshoe.operators.catalogue import MESSAGE, PATTERN, filled
+from gumshoe.operators.lines import drop_comment_lines, split_lines, trim_lines
 
 JS_LANGUAGES = ["javascript", "typescript"]
 
 
+def _js(files: DataFrame) -> DataFrame:
+    return files.filter(F.col("language").isin(JS_LANGUAGES))
+
+
 def _params(group: Column) -> Column:
     """Names in a parameter list; a default value is cut at its ``=``."""
     parts = F.filter(F.split(group, ","), lambda p: T.strip(p) != "")
     return F.transform(parts, lambda p: T.strip(F.split(T.strip(p), "=")[0]))
 
 
-def _function(d: Column) -> Column:
-    header = d["kind"] == "function"
-
-    def group(n: int) -> Column:
-        return F.when(header, F.regexp_extract(d["text"], P.JS_FUNCTION, n)).otherwise(
-            F.regexp_extract(d["text"], P.JS_ASSIGNED, n)
-        )
-
-    return F.struct(d["line"].alias("line"), group(1).alias("name"), _params(group(2)).alias("params"))
-
-
 def with_scope(files: DataFrame) -> DataFrame:
-    """Add the file's trimmed lines and its declarations as arrays.
+    """Add what a file declares, as small arrays beside its lines.
 
-    Adds ``lines``, ``functions`` (line, name, params), ``variables`` and
-    ``loop_variables`` (line, name), ``declared`` (distinct names) and
-    ``param_pool`` (parameters of the last definition of each function name).
+    ``declared``: distinct names of functions, parameters, variables and loop
+    variables, file-wide. ``function_names``. ``param_pool``: parameters of the
+    last definition of each function name.
     """
-    js = files.filter(F.col("language").isin(JS_LANGUAGES)).withColumn(
-        "lines", F.transform(T.split_lines(F.col("content")), T.strip)
-    )
-
-    def declaration(s: Column, i: Column) -> Column:
-        kind = (
-            F.when(s.rlike(P.JS_FUNCTION), "function")
-            .when(s.rlike(P.JS_ASSIGNED), "assigned")
-            .when(s.rlike(P.JS_VARIABLE), "variable")
-            .when(s.rlike(P.JS_LOOP_VARIABLE), "loop_variable")
-        )
-        return F.struct((i + 1).alias("line"), s.alias("text"), kind.alias("kind"))
-
-    js = js.withColumn(
-        "decls", F.filter(F.transform("lines", declaration), lambda d: d["kind"].isNotNull())
-    )
-
-    def named(kind: str, pattern: str) -> Column:
-        return F.transform(
-            F.filter("decls", lambda d: d["kind"] == kind),
-            lambda d: F.struct(d["line"].alias("line"), F.regexp_extract(d["text"], pattern, 1).alias("name")),
-        )
-
-    js = js.withColumns(
-        {
-            "functions": F.transform(
-                F.filter("decls", lambda d: d["kind"].isin("function", "assigned")), _function
-            ),
-            "variables": named("variable", P.JS_VARIABLE),
-            "loop_variables": named("loop_variable", P.JS_LOOP_VARIABLE),
-        }
-    ).drop("decls")
-    by_name = F.array_sort(
-        F.transform("functions", lambda f: F.struct(f["name"].alias("name"), f["line"].alias("line"), f["params"].alias("params")))
-    )
-    js = js.withColumns(
-        {
-            "by_name": by_name,
-            "declared": F.array_distinct(
-                F.concat(
-                    F.col("functions.name"),
-                    F.flatten(F.col("functions.params")),
-                    F.col("variables.name"),
-                    F.col("loop_variables.name"),
-                )
-            ),
-        }
+    js = _js(files).select("file_id", "language", T.plain_breaks(F.col("content")).alias("text"))
+    js = js.select(
+        "file_id",
+        "language",
+        T.split_plain_lines(F.col("text")).alias("lines"),
+        F.regexp_extract_all("text", F.lit(P.JS_HEADERS), F.lit(0)).alias("headers"),
+        F.array_distinct(
+            F.concat(
+                F.regexp_extract_all("text", F.lit(P.JS_VARIABLES), F.lit(1)),
+                F.regexp_extract_all("text", F.lit(P.JS_LOOP_VARIABLES), F.lit(1)),
+            )
+        ).alias("variables"),
+    ).withColumn(
+        "definitions",
+        F.sort_array(
+            F.transform(
+                "headers",
+                lambda h, i: F.struct(
+                    F.regexp_extract(h, P.JS_HEADER_NAME, 1).alias("name"),
+                    i.alias("at"),
+                    _params(F.regexp_extract(h, P.JS_HEADER_PARAMS, 1)).alias("params"),
+                ),
+            )
+        ),
     )
-    # Sorted by name and line, a definition is the last of its name when the next one differs.
+    # Sorted by name and place, a definition is the last of its name when the next one differs.
     last = F.filter(
-        "by_name", lambda f, i: F.coalesce(F.get("by_name", i + 1)["name"] != f["name"], F.lit(True))
+        "definitions",
+        lambda f, i: F.coalesce(F.get("definitions", i + 1)["name"] != f["name"], F.lit(True)),
+    )
+    return js.select(
+        "file_id",
+        "language",
+        "lines",
+        F.array_distinct(
+            F.concat(
+                F.col("definitions.name"), F.flatten(F.col("definitions.params")), F.col("variables")
+            )
+        ).alias("declared"),
+        F.array_distinct(F.flatten(last["params"])).alias("param_pool"),
+        F.array_distinct(F.col("definitions.name")).alias("function_names"),
     )
-    return js.withColumn("param_pool", F.array_distinct(F.flatten(last["params"]))).drop("by_name")
 
 
 def js_lines(files: DataFrame) -> DataFrame:
-    """Code lines with the file's scope beside each line.
+    """Trimmed code lines with the file's scope and the four preceding lines.
 
-    ``before`` holds the four preceding lines, comment lines included.
+    ``before1`` is the line just above; comment lines count as preceding lines.
     """
     scoped = with_scope(files)
 
-    def numbered(s: Column, i: Column) -> Column:
-        before = F.when(
-            F.contains(s, F.lit(".")),
-            F.slice("lines", F.greatest(i - 3, F.lit(1)), F.least(i, F.lit(4))),
-        )
-        return F.struct((i + 1).alias("line"), s.alias("text"), before.alias("before"))
+    def above(n: int) -> Column:
+        blanks = F.array(*[F.lit("")] * n)
+        return F.slice(F.concat(blanks, F.col("lines")), F.lit(1), F.size("lines"))
 
-    rows = F.filter(F.transform("lines", numbered), lambda r: ~T.is_js_comment(r["text"]))
-    return scoped.select(
+    stacked = F.arrays_zip(
+        F.col("lines").alias("text"), *[above(n).alias(f"before{n}") for n in range(1, 5)]
+    )
+    rows = scoped.select(
+        "file_id", "language", "declared", "param_pool", "function_names", F.posexplode(stacked)
+    )
+    return rows.select(
         "file_id",
         "language",
         "declared",
         "param_pool",
-        F.col("functions.name").alias("function_names"),
-        F.inline(rows),
-    )
+        "function_names",
+        (F.col("pos") + 1).alias("line"),
+        T.strip(F.col("col.text")).alias("text"),
+        *[F.col("col")[f"before{n}"].alias(f"before{n}") for n in range(1, 5)],
+    ).filter(~T.is_js_comment(F.col("text")))
 
 
 # ---------------------------------------------------------------- facts
 
 
+def _stripped(files: DataFrame) -> DataFrame:
+    return trim_lines(split_lines(_js(files)))
+
+
 def js_functions(files: DataFrame) -> DataFrame:
-    """Functions with their parameters, in line order."""
-    return with_scope(files).select("file_id", F.inline("functions"))
+    """Function headers with their parameters."""
+    t = F.col("text")
+
+    def group(n: int) -> Column:
+        return F.when(t.rlike(P.JS_FUNCTION), F.regexp_extract(t, P.JS_FUNCTION, n)).otherwise(
+            F.regexp_extract(t, P.JS_ASSIGNED, n)
+        )
+
+    headers = _stripped(files).select("file_id", "line", group(1).alias("name"), group(2).alias("list"))
+    return headers.filter(F.col("name") != "").select("file_id", "line", "name", _params(F.col("list")).alias("params"))
 
 
 def js_variables(files: DataFrame) -> DataFrame:
-    return with_scope(files).select("file_id", F.inline("variables"))
+    """Declared variables on lines that are no function header."""
+    t = F.col("text")
+    plain = _stripped(files).filter(~t.rlike(P.JS_ASSIGNED))
+    named = plain.select("file_id", "line", F.regexp_extract(t, P.JS_VARIABLE, 1).alias("name"))
+    return named.filter(F.col("name") != "")
 
 
 def js_loop_variables(files: DataFrame) -> DataFrame:
-    return with_scope(files).select("file_id", F.inline("loop_variables"))
+    t = F.col("text")
+    named = _stripped(files).select("file_id", "line", F.regexp_extract(t, P.JS_LOOP_VARIABLE, 1).alias("name"))
+    return named.filter(F.col("name") != "")
 
 
 def js_declared_names(files: DataFrame) -> DataFrame:
@@ -148,19 +153,10 @@ def js_declared_names(files: DataFrame) -> DataFrame:
     )
 
 
-def _code_lines(files: DataFrame) -> DataFrame:
-    js = files.filter(F.col("language").isin(JS_LANGUAGES))
-    rows = F.transform(
-        T.split_lines(F.col("content")),
-        lambda s, i: F.struct((i + 1).alias("line"), T.strip(s).alias("text")),
-    )
-    return js.select("file_id", F.inline(F.filter(rows, lambda r: ~T.is_js_comment(r["text"]))))
-
-
 def js_line_facts(files: DataFrame) -> DataFrame:
     """Classes, imports, loops, conditionals and calls as ``(file_id, line, kind, name)``."""
     t = F.col("text")
-    lines = _code_lines(files)
+    lines = drop_comment_lines(_stripped(files))
 
     def fact(cond: Column, kind: str, name: Column) -> Column:
         return F.when(cond, F.array(F.struct(F.lit(kind).alias("kind"), name.alias("name")))).otherwise(
@@ -231,9 +227,13 @@ def js_hits(files: DataFrame) -> DataFrame:
             "unknown": undeclared,
         }
     )
-    guarded = F.exists(
-        "before",
-        lambda g: F.contains(g, F.col("obj")) & T.contains_any(g, P.JS_GUARD_MARKS),
+    guarded = reduce(
+        lambda a, b: a | b,
+        [
+            F.contains(F.col(f"before{n}"), F.col("obj"))
+            & T.contains_any(F.col(f"before{n}"), P.JS_GUARD_MARKS)
+            for n in range(1, 5)
+        ],
     )
     null_reference = (
         F.array_contains("param_pool", F.col("obj")) & ~F.col("obj").isin(P.JS_SAFE_OBJECTS) & ~guarded
@@ -266,21 +266,20 @@ def js_hits(files: DataFrame) -> DataFrame:
     def pattern(cond: Column, ord_: int, kind: str) -> Column:
         return hit(cond, "pattern_detector", ord_, kind, F.lit(PATTERN[kind]["explanation"]))
 
-    hits = F.array_compact(
-        F.array(
-            rule(F.col("loop_index").isNotNull(), 1, "off_by_one", variable=F.col("loop_index"), array=F.col("loop_array")),
-            rule(
-                F.col("shifted").isNotNull(), 2, "out_of_bounds",
-                {"index": F.col("shift_index"), "step": F.col("shift_by")}, array=F.col("shifted"),
-            ),
-            rule(null_reference, 3, "null_reference", {"member": F.col("member")}, variable=F.col("obj")),
-            rule(divides, 4, "division", variable=F.col("divisor")),
-            rule(F.col("unknown").isNotNull(), 5, "undefined_variable", variable=F.col("unknown")),
-            rule(null_argument, 6, "null_argument", function=F.col("null_callee")),
-            rule(evals, 7, "security"),
-            pattern(has("==") & ~has("===") & t.rlike(P.LOOSE_EQUALITY), 11, "loose_equality"),
-            pattern(evals, 12, "eval"),
-            pattern((has(":") | has("=")) & (has("'") | has('"')) & t.rlike(P.SECRET_JS), 13, "hardcoded_secret_js"),
-        )
+    # One slot per rule, null where it did not fire: this stays in generated code.
+    hits = F.array(
+        rule(F.col("loop_index").isNotNull(), 1, "off_by_one", variable=F.col("loop_index"), array=F.col("loop_array")),
+        rule(
+            F.col("shifted").isNotNull(), 2, "out_of_bounds",
+            {"index": F.col("shift_index"), "step": F.col("shift_by")}, array=F.col("shifted"),
+        ),
+        rule(null_reference, 3, "null_reference", {"member": F.col("member")}, variable=F.col("obj")),
+        rule(divides, 4, "division", variable=F.col("divisor")),
+        rule(F.col("unknown").isNotNull(), 5, "undefined_variable", variable=F.col("unknown")),
+        rule(null_argument, 6, "null_argument", function=F.col("null_callee")),
+        rule(evals, 7, "security"),
+        pattern(has("==") & ~has("===") & t.rlike(P.LOOSE_EQUALITY), 11, "loose_equality"),
+        pattern(evals, 12, "eval"),
+        pattern((has(":") | has("=")) & (has("'") | has('"')) & t.rlike(P.SECRET_JS), 13, "hardcoded_secret_js"),
     )
-    return lines.select("file_id", "language", "line", F.inline(hits))
+    return lines.select("file_id", "language", "line", F.inline(hits)).filter(F.col("type").isNotNull())

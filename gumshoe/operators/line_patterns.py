@@ -33,17 +33,15 @@ def python_pattern_hits(files: DataFrame) -> DataFrame:
     def has(word: str) -> Column:
         return F.contains(t, F.lit(word))
 
-    hits = F.array_compact(
-        F.array(
-            hit(has("def") & has("=") & t.rlike(P.MUTABLE_DEFAULT), 11, "mutable_default"),
-            hit(
-                has("[") & t.rlike(P.INDEX_LARGE) & t.rlike(P.INDEX_ANY) & ~t.rlike(P.INDEX_GUARD),
-                12,
-                "large_index",
-            ),
-            hit(has("except") & t.rlike(P.BARE_EXCEPT) & ~t.rlike(P.TYPED_EXCEPT), 13, "bare_except"),
-            hit(has("=") & (has("'") | has('"')) & t.rlike(P.SECRET_PY), 14, "hardcoded_secret"),
-            hit(t.startswith("global "), 15, "global"),
-        )
+    hits = F.array(
+        hit(has("def") & has("=") & t.rlike(P.MUTABLE_DEFAULT), 11, "mutable_default"),
+        hit(
+            has("[") & t.rlike(P.INDEX_LARGE) & t.rlike(P.INDEX_ANY) & ~t.rlike(P.INDEX_GUARD),
+            12,
+            "large_index",
+        ),
+        hit(has("except") & t.rlike(P.BARE_EXCEPT) & ~t.rlike(P.TYPED_EXCEPT), 13, "bare_except"),
+        hit(has("=") & (has("'") | has('"')) & t.rlike(P.SECRET_PY), 14, "hardcoded_secret"),
+        hit(t.startswith("global "), 15, "global"),
     )
-    return lines.select("file_id", "language", "line", F.inline(hits))
+    return lines.select("file_id", "language", "line", F.inline(hits)).filter(F.col("type").isNotNull())
