@@ -186,8 +186,9 @@ def js_line_facts(files: DataFrame) -> DataFrame:
 def js_hits(files: DataFrame) -> DataFrame:
     """Every rule and pattern hit of the javascript files, in one scan of the lines.
 
-    ``source`` tells parser rules from text patterns; ``ord`` is the order in
-    which one line's hits are reported. A rule reports a line at most once.
+    ``source`` tells parser rules from text patterns; ``ord`` is the order of
+    the hits in the file, by line and then by rule. A rule reports a line at
+    most once.
     """
     t = F.col("text")
 
@@ -282,4 +283,5 @@ def js_hits(files: DataFrame) -> DataFrame:
         pattern(evals, 12, "eval"),
         pattern((has(":") | has("=")) & (has("'") | has('"')) & t.rlike(P.SECRET_JS), 13, "hardcoded_secret_js"),
     )
-    return lines.select("file_id", "language", "line", F.inline(hits)).filter(F.col("type").isNotNull())
+    found = lines.select("file_id", "language", "line", F.inline(hits)).filter(F.col("type").isNotNull())
+    return found.withColumn("ord", F.col("line").cast("long") * 100 + F.col("ord"))

@@ -6,18 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gumshoe.functions import patterns as P
-from gumshoe.functions import text as T
 from gumshoe.operators.catalogue import PATTERN
+from gumshoe.operators.lines import split_lines, trim_lines
 
 
 def python_pattern_hits(files: DataFrame) -> DataFrame:
     """Pattern hits of the python files as ``(file_id, language, line, source, ord, type, message)``."""
     t = F.col("text")
-    rows = F.transform(
-        T.split_lines(F.col("content")),
-        lambda s, i: F.struct((i + 1).alias("line"), T.strip(s).alias("text")),
-    )
-    lines = files.filter(F.col("language") == "python").select("file_id", "language", F.inline(rows))
+    lines = trim_lines(split_lines(files.filter(F.col("language") == "python")))
 
     def hit(cond: Column, ord_: int, kind: str) -> Column:
         return F.when(
@@ -44,4 +40,5 @@ def python_pattern_hits(files: DataFrame) -> DataFrame:
         hit(has("=") & (has("'") | has('"')) & t.rlike(P.SECRET_PY), 14, "hardcoded_secret"),
         hit(t.startswith("global "), 15, "global"),
     )
-    return lines.select("file_id", "language", "line", F.inline(hits)).filter(F.col("type").isNotNull())
+    found = lines.select("file_id", "language", "line", F.inline(hits)).filter(F.col("type").isNotNull())
+    return found.withColumn("ord", F.col("line").cast("long") * 100 + F.col("ord"))

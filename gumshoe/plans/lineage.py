@@ -1,0 +1,20 @@
+"""Keep an expensive result so that later steps do not compute it again."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """Checkpoint to the cluster's shared folder; it survives lost executors.
+
+    The folder is ``spark.checkpoint.dir`` of the session. Only where that is
+    unset, as in local tests, a temporary folder is made.
+    """
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gumshoe-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return df.checkpoint()
