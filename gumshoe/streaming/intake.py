@@ -32,7 +32,7 @@ def incremental_scan(
         history = None
         if use_history and batch_id > 0 and _exists(batch.sparkSession, f"{outbox}/history"):
             # Only earlier batches: a replay must see the history it saw the first time.
-            history = read_history(batch.sparkSession, f"{outbox}/history").filter(F.col("batch") < batch_id)
+            history = read_history(batch.sparkSession, f"{outbox}/history").filter(F.col("batch").cast("bigint") < batch_id)
         review = review_code(code, history=history)
         target = f"{outbox}/findings/batch={batch_id}"
         review.findings.write.mode("overwrite").parquet(target)
