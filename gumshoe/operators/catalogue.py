@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gumshoe.functions.constants import map_of
+
 # ---- fixed values: risk type, finding type, severity -----------------------
 RISKS = [
     ("division", "Division by Zero", "high"),
@@ -164,8 +166,7 @@ def filled(template: Column, values: dict[str, Column]) -> Column:
 
 def lookup(key: Column, table: dict[str, str], default: str) -> Column:
     """A small fixed table as a map expression; no join needed."""
-    pairs = [F.lit(x) for kv in table.items() for x in kv]
-    return F.coalesce(F.element_at(F.create_map(*pairs), key), F.lit(default))
+    return F.coalesce(F.element_at(map_of(table), key), F.lit(default))
 
 
 def pylint_severity(kind: Column) -> Column:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from gumshoe.functions import patterns as P
 from gumshoe.functions import text as T
+from gumshoe.functions.constants import array_of
 from gumshoe.operators.catalogue import MESSAGE, PATTERN, filled
 from gumshoe.operators.lines import drop_comment_lines, split_lines, trim_lines
 
@@ -147,7 +148,7 @@ def js_loop_variables(files: DataFrame) -> DataFrame:
 
 def js_declared_names(files: DataFrame) -> DataFrame:
     """Names known anywhere in the file, the language's own names included."""
-    builtins = F.array(*[F.lit(n) for n in P.JS_BUILTINS])
+    builtins = array_of(P.JS_BUILTINS)
     return with_scope(files).select(
         "file_id", F.explode(F.array_union("declared", builtins)).alias("name")
     )

@@ -64,7 +64,7 @@ def _histogram(long: DataFrame, ranges: DataFrame, bin_of: Column) -> DataFrame:
 
 def plan_size(df: DataFrame) -> int:
     """Spark's own estimate of a DataFrame's size in bytes."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def one_pass_quartiles(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gumshoe.functions.constants import array_of
+
 LANGUAGES = ["python", "javascript", "typescript", "java"]
 
 # {v} and {k} are replaced by o_custkey % 5 and o_orderkey % 9.
@@ -93,7 +95,7 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, c = F.col("o_orderkey"), F.col("o_custkey")
 
     def pick(options: list[str], index: Column) -> Column:
-        return F.get(F.array(*[F.lit(o) for o in options]), (index % len(options)).cast("int"))
+        return F.get(array_of(options), (index % len(options)).cast("int"))
 
     js = F.concat_ws(
         "\n",

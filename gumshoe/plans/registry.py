@@ -29,6 +29,7 @@ from gumshoe.operators import (
 )
 from gumshoe.plans import corpus, review, samples
 from gumshoe.plans import oracles as O
+from gumshoe.plans.lineage import keep
 from gumshoe.sources import files as files_source
 from gumshoe.sources import history, reports
 
@@ -787,7 +788,7 @@ def _(spark, sf):
 
 def _vote_inputs(spark, sf):
     runs = samples.model_runs(spark, sf)
-    return _candidates(spark, sf), runs, reports.read_model_verdicts(runs)
+    return keep(_candidates(spark, sf)), runs, reports.read_model_verdicts(runs)
 
 
 @query(

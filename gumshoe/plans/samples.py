@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gumshoe.functions.constants import array_of
 from gumshoe.plans.corpus import spread
 
 MODELS = ["model_a", "model_b", "model_c"]
@@ -30,7 +31,7 @@ LINT_MESSAGES = [
 
 
 def option(options: list[str], index: F.Column):
-    return F.get(F.array(*[F.lit(o) for o in options]), (index % len(options)).cast("int"))
+    return F.get(array_of(options), (index % len(options)).cast("int"))
 
 
 def orders(spark: SparkSession, sf_dir: str) -> DataFrame:

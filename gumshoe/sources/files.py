@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gumshoe.functions import patterns as P
+from gumshoe.functions.constants import map_of
 
 MAX_BYTES = 10 * 1024 * 1024
 
@@ -46,8 +47,7 @@ def filter_size_cap(files: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
 
 
 def language_from_extension(path: Column) -> Column:
-    pairs = [F.lit(x) for kv in P.SUFFIX_LANGUAGE.items() for x in kv]
-    return F.coalesce(F.element_at(F.create_map(*pairs), suffix(path)), F.lit("unknown"))
+    return F.coalesce(F.element_at(map_of(P.SUFFIX_LANGUAGE), suffix(path)), F.lit("unknown"))
 
 
 def route_by_kind(path: Column) -> Column:
