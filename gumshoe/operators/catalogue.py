@@ -201,46 +201,77 @@ def fix_text(kind: Column) -> Column:
     return out.otherwise(FIX_OTHER)
 
 
-def risk_struct() -> Column:
-    """A risk row as a finding: type, severity, impact and fix from the vocabulary."""
-    kind = F.col("type")
-    return F.struct(
-        F.col("file_id"),
-        lookup(kind, {r: b for r, b, _ in RISKS}, RISK_DEFAULT[0]).alias("bug_type"),
-        F.col("line").alias("line_number"),
-        F.col("message").alias("explanation"),
-        lookup(kind, IMPACT, RISK_DEFAULT[2]).alias("impact"),
-        F.lit("parser").alias("source"),
-        lookup(kind, {r: s for r, _, s in RISKS}, RISK_DEFAULT[1]).alias("severity"),
-        fix_text(kind).alias("suggested_fix"),
-        F.lit(1).alias("priority"),
-        F.col("ord").cast("long").alias("ord"),
-    )
-
-
-def pattern_struct() -> Column:
-    """A pattern hit as a finding."""
-
-    def value(field: str) -> Column:
-        return lookup(F.col("type"), {k: v[field] for k, v in PATTERN.items()}, "")
-
-    return F.struct(
-        F.col("file_id"),
-        value("bug_type").alias("bug_type"),
-        F.col("line").alias("line_number"),
-        value("explanation").alias("explanation"),
-        value("impact").alias("impact"),
-        F.lit("pattern_detector").alias("source"),
-        value("severity").alias("severity"),
-        value("fix").alias("suggested_fix"),
-        F.lit(2).alias("priority"),
-        F.col("ord").cast("long").alias("ord"),
+def _risk(table: dict[str, str], default: str) -> Column:
+    return lookup(F.col("type"), table, default)
+
+
+def _pattern(field: str) -> Column:
+    return lookup(F.col("type"), {k: v[field] for k, v in PATTERN.items()}, "")
+
+
+def risk_bug_type() -> Column:
+    return _risk({r: b for r, b, _ in RISKS}, RISK_DEFAULT[0])
+
+
+def risk_severity() -> Column:
+    return _risk({r: s for r, _, s in RISKS}, RISK_DEFAULT[1])
+
+
+def pattern_bug_type() -> Column:
+    return _pattern("bug_type")
+
+
+def describe(hits: DataFrame, has_lint: bool) -> DataFrame:
+    """Complete short hits to findings; ``priority`` tells lint, risk and pattern apart."""
+    risk = F.col("priority") == 1
+    severity = F.when(risk, risk_severity()).otherwise(_pattern("severity"))
+    source = F.when(risk, "parser").otherwise("pattern_detector")
+    impact = F.when(risk, _risk(IMPACT, RISK_DEFAULT[2])).otherwise(_pattern("impact"))
+    fix = F.when(risk, fix_text(F.col("type"))).otherwise(_pattern("fix"))
+    if has_lint:
+        lint = F.col("priority") == 0
+        severity = F.when(lint, F.col("lint_severity")).otherwise(severity)
+        source = F.when(lint, F.col("tool")).otherwise(source)
+        impact = F.when(lint, impact_of_severity(F.col("lint_severity"))).otherwise(impact)
+        fix = F.when(lint, F.lit("")).otherwise(fix)
+    return hits.select(
+        "file_id",
+        "bug_type",
+        "line_number",
+        F.coalesce("explanation", _pattern("explanation")).alias("explanation"),
+        impact.alias("impact"),
+        source.alias("source"),
+        severity.alias("severity"),
+        fix.alias("suggested_fix"),
+        "priority",
+        "ord",
     )
 
 
 def describe_risks(risks: DataFrame) -> DataFrame:
-    return risks.select(risk_struct().alias("f")).select("f.*")
+    """Risk rows to findings: type, severity, impact and fix from the vocabulary."""
+    hits = risks.withColumns(
+        {
+            "bug_type": risk_bug_type(),
+            "line_number": F.col("line"),
+            "explanation": F.col("message"),
+            "priority": F.lit(1),
+            "ord": F.col("ord").cast("long"),
+        }
+    )
+    return describe(hits, has_lint=False)
 
 
 def describe_patterns(hits: DataFrame) -> DataFrame:
-    return hits.select(pattern_struct().alias("f")).select("f.*")
+    """Pattern hits to findings."""
+    none = F.lit(None).cast("string")
+    hits = hits.withColumns(
+        {
+            "bug_type": pattern_bug_type(),
+            "line_number": F.col("line"),
+            "explanation": none,
+            "priority": F.lit(2),
+            **{c: none for c in ("variable", "array", "function", "param")},
+        }
+    )
+    return describe(hits, has_lint=False)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gumshoe.operators import catalogue, findings, js_scan, line_patterns, python_scan
 
+BOUND = ["variable", "array", "function", "param"]
 RISK_COLUMNS = ["file_id", "line", "ord", "type", "message", "variable", "array", "function", "param"]
 
 
@@ -18,55 +19,53 @@ class CodeScan:
 
     risks: DataFrame
     patterns: DataFrame
-    js_hits: DataFrame
-    python_risks: DataFrame
 
 
 def scan(files: DataFrame) -> CodeScan:
     """Route files by language and collect risks and pattern hits.
 
-    A javascript rule reports a line once at most, so only python risks need
-    de-duplication by (type, line).
+    Both scans report a type once per line, so nothing needs to be compared
+    across rows here.
     """
     js = js_scan.js_hits(files)
-    py = findings.dedupe_risks(python_scan.python_risks(python_scan.parse_python(files)))
+    py = python_scan.python_risks(python_scan.parse_python(files))
     js_risks = js.filter(F.col("source") == "parser")
     js_patterns = js.filter(F.col("source") == "pattern_detector")
     py_patterns = line_patterns.python_pattern_hits(files)
     return CodeScan(
-        risks=js_risks.withColumn("ord", F.col("ord").cast("long"))
-        .select(RISK_COLUMNS)
-        .unionByName(py.select(RISK_COLUMNS)),
+        risks=js_risks.select(RISK_COLUMNS).unionByName(py.select(RISK_COLUMNS)),
         patterns=js_patterns.select(py_patterns.columns).unionByName(py_patterns),
-        js_hits=js,
-        python_risks=py,
     )
 
 
 def candidate_findings(files: DataFrame, lint: DataFrame | None = None) -> DataFrame:
     """De-duplicated findings of all files, lint reports first.
 
-    The javascript lines are read once: parser rules and patterns come out of
-    the same pass and only part ways in the vocabulary lookups.
+    The javascript lines are read once: rules and patterns come out of the same
+    pass. De-duplication moves the short hits; the sentences that describe
+    them are added afterwards.
     """
     js = js_scan.js_hits(files)
-    py = findings.dedupe_risks(python_scan.python_risks(python_scan.parse_python(files)))
-    parts = [
-        describe_hits(js),
-        catalogue.describe_risks(py),
-        catalogue.describe_patterns(line_patterns.python_pattern_hits(files)),
-    ]
+    py = python_scan.python_risks(python_scan.parse_python(files)).withColumn("source", F.lit("parser"))
+    hits = js.unionByName(py).unionByName(
+        line_patterns.python_pattern_hits(files), allowMissingColumns=True
+    )
+    parsed = F.col("source") == "parser"
+    hits = hits.select(
+        "file_id",
+        F.col("line").alias("line_number"),
+        F.when(parsed, catalogue.risk_bug_type()).otherwise(catalogue.pattern_bug_type()).alias("bug_type"),
+        F.when(parsed, 1).otherwise(2).alias("priority"),
+        F.col("ord").cast("long").alias("ord"),
+        F.when(parsed, F.col("message")).alias("explanation"),
+        "type",
+        *[F.col(c) for c in BOUND],
+    )
     if lint is not None:
-        parts.append(findings.describe_lint(lint))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return findings.dedupe_findings(out)
-
-
-def describe_hits(hits: DataFrame) -> DataFrame:
-    """Rows that hold both parser rules and patterns, described without a second scan."""
-    both = hits.withColumn("is_risk", F.col("source") == "parser")
-    risk = catalogue.risk_struct()
-    pattern = catalogue.pattern_struct()
-    return both.select(F.when(F.col("is_risk"), risk).otherwise(pattern).alias("f")).select("f.*")
+        severe = findings.describe_lint(lint).drop("impact", "suggested_fix")
+        hits = hits.unionByName(
+            severe.withColumnRenamed("source", "tool").withColumnRenamed("severity", "lint_severity"),
+            allowMissingColumns=True,
+        )
+    first = findings.dedupe_findings(hits)
+    return catalogue.describe(first, has_lint=lint is not None)

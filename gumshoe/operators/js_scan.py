@@ -132,6 +132,13 @@ def js_functions(files: DataFrame) -> DataFrame:
     return headers.filter(F.col("name") != "").select("file_id", "line", "name", _params(F.col("list")).alias("params"))
 
 
+def js_function_counts(files: DataFrame) -> DataFrame:
+    """``(file_id, functions_found)`` for every file with a function; no shuffle."""
+    headers = F.regexp_extract_all(T.plain_breaks(F.col("content")), F.lit(P.JS_HEADERS), F.lit(0))
+    counts = _js(files).select("file_id", F.size(headers).cast("bigint").alias("functions_found"))
+    return counts.filter(F.col("functions_found") > 0)
+
+
 def js_variables(files: DataFrame) -> DataFrame:
     """Declared variables on lines that are no function header."""
     t = F.col("text")

@@ -1,6 +1,6 @@
 """Python files: syntax-tree facts, and the rules over them.
 
-Reading the tree needs the standard ``ast`` module, so one ``mapInPandas`` pass
+Reading the tree needs the standard ``ast`` module, so one ``mapInArrow`` pass
 turns each file into arrays of plain facts. What the facts mean is decided by
 Spark expressions afterwards. The grammar is that of the workers' interpreter:
 run one Python version on all executors.
@@ -13,7 +13,7 @@ import sys
 import warnings
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +35,14 @@ NODE = T.StructType(
         T.StructField("names", T.ArrayType(T.StringType())),
     ]
 )
+NODE_FIELDS = [
+    pa.field("kind", pa.string()),
+    pa.field("name", pa.string()),
+    pa.field("line", pa.int32()),
+    pa.field("ord", pa.int32()),
+    pa.field("pos", pa.int32()),
+    pa.field("names", pa.list_(pa.string())),
+]
 FILE_FACTS = T.StructType(
     [
         T.StructField("file_id", T.StringType()),
@@ -125,23 +133,27 @@ def _file_nodes(content: str) -> list[tuple]:
     return nodes
 
 
-def _parse_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     warnings.simplefilter("ignore")  # the parser warns about odd but valid literals
-    columns = [f.name for f in NODE.fields]
     for batch in batches:
-        yield pd.DataFrame(
-            {
-                "file_id": batch["file_id"],
-                "language": batch["language"],
-                "nodes": [[dict(zip(columns, n)) for n in _file_nodes(c)] for c in batch["content"]],
-            }
+        offsets, nodes = [0], []
+        for content in batch.column("content").to_pylist():
+            nodes.extend(_file_nodes(content))
+            offsets.append(len(nodes))
+        columns = list(zip(*nodes)) or [()] * len(NODE_FIELDS)
+        structs = pa.StructArray.from_arrays(
+            [pa.array(c, f.type) for c, f in zip(columns, NODE_FIELDS)], fields=NODE_FIELDS
+        )
+        lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), structs)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("file_id"), batch.column("language"), lists], ["file_id", "language", "nodes"]
         )
 
 
 def parse_python(files: DataFrame) -> DataFrame:
     """One row per python file: ``(file_id, language, nodes)``."""
     python = files.filter((F.col("language") == "python") & F.col("content").isNotNull())
-    return python.select("file_id", "language", "content").mapInPandas(_parse_batches, FILE_FACTS)
+    return python.select("file_id", "language", "content").mapInArrow(_parse_batches, FILE_FACTS)
 
 
 def python_facts(parsed: DataFrame) -> DataFrame:
@@ -149,6 +161,12 @@ def python_facts(parsed: DataFrame) -> DataFrame:
     return parsed.select("file_id", F.inline("nodes"))
 
 
+def python_function_counts(parsed: DataFrame) -> DataFrame:
+    """``(file_id, functions_found)`` for every file with a function; no shuffle."""
+    counts = parsed.select("file_id", F.size(_of("function")).cast("bigint").alias("functions_found"))
+    return counts.filter(F.col("functions_found") > 0)
+
+
 def _of(*kinds: str) -> Column:
     return F.filter("nodes", lambda n: n["kind"].isin(*kinds))
 
@@ -186,11 +204,11 @@ def python_defined_names(parsed: DataFrame) -> DataFrame:
 
 
 def python_risks(parsed: DataFrame) -> DataFrame:
-    """Risks of every python file, before de-duplication by (type, line).
+    """The first risk of each type and line of every python file.
 
     Works on one file's arrays at a time: the calls find their callee's
-    parameters, and the loads are checked against the name pool, without a
-    shuffle.
+    parameters, the loads are checked against the name pool, and repeats are
+    dropped, all without a shuffle.
     """
     named = with_names(parsed).withColumn(
         "undefined",
@@ -208,10 +226,10 @@ def python_risks(parsed: DataFrame) -> DataFrame:
 
     def risk(n: Column, kind: str, late: int = 0, message: Column | None = None, **bound: Column) -> Column:
         text = F.lit(MESSAGE["py"].get(kind, "")) if message is None else message
-        return F.struct(
+        return F.struct(  # type, line and order first: risks are sorted by them below
+            F.lit(kind).alias("type"),
             n["line"].alias("line"),
             (n["ord"].cast("long") + late * (1 << 40)).alias("ord"),
-            F.lit(kind).alias("type"),
             filled(text, bound).alias("message"),
             *[bound.get(k, none).alias(k) for k in ("variable", "array", "function", "param")],
         )
@@ -242,4 +260,10 @@ def python_risks(parsed: DataFrame) -> DataFrame:
         zero,
         undefined,
     )
-    return named.select("file_id", "language", F.inline(found))
+    ordered = named.select("file_id", "language", F.sort_array(found).alias("found"))
+
+    def is_first(r: Column, i: Column) -> Column:
+        before = F.get("found", i - 1)
+        return F.coalesce((before["type"] != r["type"]) | (before["line"] != r["line"]), F.lit(True))
+
+    return ordered.select("file_id", "language", F.inline(F.filter("found", is_first)))

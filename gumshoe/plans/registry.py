@@ -496,7 +496,7 @@ for _kind, _name in {
 
 def _py_rule_query(kind: str):
     def run(spark, sf):
-        risks = findings.dedupe_risks(python_scan.python_risks(parsed(spark, sf)))
+        risks = python_scan.python_risks(parsed(spark, sf))
         return risks.filter(F.col("type") == kind).select("file_id", "line", "message", "variable", "function", "param")
 
     return run
@@ -570,7 +570,8 @@ def _(spark, sf):
     O.CODE + "SELECT file_id, line, type, message FROM risks",
 )
 def _(spark, sf):
-    return code_scan.scan(corpus.code_files(spark, sf)).risks.select("file_id", "line", "type", "message")
+    risks = code_scan.scan(corpus.code_files(spark, sf)).risks
+    return findings.dedupe_risks(risks).select("file_id", "line", "type", "message")
 
 
 # ------------------------------------------------------------------ findings

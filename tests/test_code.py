@@ -87,7 +87,7 @@ def test_js_line_facts(files):
 
 def risks(files, text):
     parsed = python_scan.parse_python(files(("python", text)))
-    return {(r.line, r.type) for r in findings.dedupe_risks(python_scan.python_risks(parsed)).collect()}
+    return {(r.line, r.type) for r in python_scan.python_risks(parsed).collect()}
 
 
 def test_python_rules(files):
@@ -104,6 +104,13 @@ def test_python_rules(files):
     }
 
 
+def test_dedupe_keeps_the_first_risk(spark):
+    rows = [("f", "a", 1, 5, "late"), ("f", "a", 1, 2, "early"), ("f", "b", 1, 9, "other"), ("g", "a", 1, 7, "file")]
+    df = spark.createDataFrame(rows, "file_id string, type string, line int, ord long, message string")
+    df = df.selectExpr("*", "'' as variable", "'' as function", "'' as param")
+    assert {r.message for r in findings.dedupe_risks(df).collect()} == {"early", "other", "file"}
+
+
 def test_python_names_are_pooled_per_file(files):
     text = (
         "def a(p):\n    local = p\n    return other\n"
