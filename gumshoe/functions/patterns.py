@@ -58,7 +58,8 @@ MEMBER = rf"{WORD}\.({W}+)"
 DIVISION = rf"{WORD}{S}*/{S}*({W}[\w\p{{L}}\p{{N}}.]*)"
 NULL_CALL = rf"{WORD}\({S}*null{S}*\)"
 IDENTIFIER = rf"(?<!{W})[a-zA-Z_]{W}*"
-MUTABLE_DEFAULT = rf"def{S}+{W}+\(.*={S}*(?:\[\]|\{{\}}|\(\))"
+# The first "def" is as good as any later one, so it is fixed; that keeps the search linear.
+MUTABLE_DEFAULT = rf"\A(?>.*?def{S}+{W}+\().*?={S}*(?:\[\]|\{{\}}|\(\))"
 INDEX_ANY = rf"{W}\[{D}+\]"
 INDEX_LARGE = rf"{W}\[-?{D}{{2,}}\]"
 INDEX_GUARD = r"if|while|for|len"

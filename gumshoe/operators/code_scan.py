@@ -38,15 +38,20 @@ def scan(files: DataFrame) -> CodeScan:
     )
 
 
-def candidate_findings(files: DataFrame, lint: DataFrame | None = None) -> DataFrame:
+COUNT_PRIORITY = 9
+
+
+def candidate_findings(files: DataFrame, lint: DataFrame | None = None, with_counts: bool = False) -> DataFrame:
     """De-duplicated findings of all files, lint reports first.
 
     The javascript lines are read once: rules and patterns come out of the same
     pass. De-duplication moves the short hits; the sentences that describe
-    them are added afterwards.
+    them are added afterwards. ``with_counts`` adds a row of priority
+    ``COUNT_PRIORITY`` per python file, whose ``ord`` is its number of functions.
     """
     js = js_scan.js_hits(files)
-    py = python_scan.python_risks(python_scan.parse_python(files)).withColumn("source", F.lit("parser"))
+    py = python_scan.python_risks(python_scan.parse_python(files), with_counts)
+    py = py.withColumn("source", F.lit("parser"))
     hits = js.unionByName(py).unionByName(
         line_patterns.python_pattern_hits(files), allowMissingColumns=True
     )
@@ -55,7 +60,7 @@ def candidate_findings(files: DataFrame, lint: DataFrame | None = None) -> DataF
         "file_id",
         F.col("line").alias("line_number"),
         F.when(parsed, catalogue.risk_bug_type()).otherwise(catalogue.pattern_bug_type()).alias("bug_type"),
-        F.when(parsed, 1).otherwise(2).alias("priority"),
+        F.when(F.col("type") == python_scan.COUNT, COUNT_PRIORITY).when(parsed, 1).otherwise(2).alias("priority"),
         F.col("ord").cast("long").alias("ord"),
         F.when(parsed, F.col("message")).alias("explanation"),
         "type",

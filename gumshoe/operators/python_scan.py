@@ -25,6 +25,8 @@ from gumshoe.operators.catalogue import MESSAGE, filled
 # Ship this module's functions with the tasks: executors need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+COUNT = "functions_found"
+
 NODE = T.StructType(
     [
         T.StructField("kind", T.StringType()),
@@ -203,12 +205,14 @@ def python_defined_names(parsed: DataFrame) -> DataFrame:
     return with_names(parsed).select("file_id", F.explode("defined").alias("name"))
 
 
-def python_risks(parsed: DataFrame) -> DataFrame:
+def python_risks(parsed: DataFrame, with_counts: bool = False) -> DataFrame:
     """The first risk of each type and line of every python file.
 
     Works on one file's arrays at a time: the calls find their callee's
     parameters, the loads are checked against the name pool, and repeats are
-    dropped, all without a shuffle.
+    dropped, all without a shuffle. ``with_counts`` adds one row per file of
+    type ``COUNT`` whose ``ord`` is the number of functions, so that a caller
+    who needs both parses each file once.
     """
     named = with_names(parsed).withColumn(
         "undefined",
@@ -260,6 +264,14 @@ def python_risks(parsed: DataFrame) -> DataFrame:
         zero,
         undefined,
     )
+    if with_counts:
+        count = F.struct(
+            F.lit(COUNT).alias("type"),
+            F.lit(0).alias("line"),
+            F.size("functions").cast("long").alias("ord"),
+            *[none.alias(c) for c in ("message", "variable", "array", "function", "param")],
+        )
+        found = F.concat(found, F.array(count))
     ordered = named.select("file_id", "language", F.sort_array(found).alias("found"))
 
     def is_first(r: Column, i: Column) -> Column:

@@ -29,7 +29,7 @@ from gumshoe.operators import (
 )
 from gumshoe.plans import corpus, review, samples
 from gumshoe.plans import oracles as O
-from gumshoe.plans.lineage import keep
+from gumshoe.lineage import keep
 from gumshoe.sources import files as files_source
 from gumshoe.sources import history, reports
 
@@ -956,14 +956,14 @@ SELECT file_id, language AS file_type, line_count, """
 )
 def _(spark, sf):
     files = corpus.code_files(spark, sf)
-    return summaries.file_report(files, _candidates(spark, sf), review.functions_found(files))
+    return summaries.file_report(files, *review.scan_once(files))
 
 
 @query("code_review")
 def _(spark, sf):
     """All steps over all files; the history holds the vectors of every severe finding."""
     files = corpus.code_files(spark, sf)
-    store = history.history_rows(_with_language(spark, sf), "earlier")
+    store = keep(history.history_rows(_with_language(spark, sf), "earlier"))
     return review.review_code(files, runs=samples.model_runs(spark, sf), history=store).findings
 
 

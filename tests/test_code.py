@@ -154,6 +154,14 @@ def test_python_patterns(files):
     }
 
 
+def test_long_lines_are_searched_in_linear_time(files):
+    many = "def a(b) " * 40_000
+    spaces = "x" + " " * 200_000 + "y"
+    rows = [("python", many), ("python", many + "=[]"), ("javascript", spaces), ("javascript", "w" * 200_000)]
+    found = code_scan.candidate_findings(files(*rows)).filter("source = 'pattern_detector'").collect()
+    assert [(r.file_id, r.bug_type) for r in found] == [("f1", "Mutable Default Argument")]
+
+
 def test_fix_texts_fill_in_bindings(files):
     rows = code_scan.candidate_findings(files(("javascript", JS))).collect()
     by_type = {r.bug_type: r.suggested_fix for r in rows}
