@@ -27,7 +27,7 @@ NUMBER = (
     r"^\s*[+-]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?|(?i:inf|infinity))\s*$"
 )
 
-# ---- declarations in javascript / typescript ------------------------------
+# ---- fixed values: declarations in javascript / typescript ------------------------------
 JS_FUNCTION = rf"^(?:export{S}+)?(?:async{S}+)?function{S}+({W}+){S}*\(([^)]*)\)"
 JS_ASSIGNED = rf"^(?:const|let|var){S}+({W}+){S}*={S}*(?:async{S}+)?\(([^)]*)\)"
 JS_VARIABLE = rf"^(?:const|let|var){S}+({W}+)"
@@ -50,7 +50,7 @@ JS_CONDITIONAL = rf"^if{S}*\("
 JS_CALL = rf"{WORD}{S}*\("
 JS_DECLARATION_START = rf"^(?:const|let|var|function|class|import|export|return){S}"
 
-# ---- line rules ------------------------------------------------------------
+# ---- fixed values: what the line rules search for ------------------------------------------------------------
 OFF_BY_ONE = rf"{WORD}{S}*<={S}*({W}+)\.length"
 INDEX_PLUS = rf"{WORD}\[({W}+){S}*\+{S}*({D}+)\]"
 INDEX_PLUS_GUARD = r"if|while|&&|\|\||\.length"

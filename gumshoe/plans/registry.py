@@ -250,22 +250,27 @@ def _(spark, sf):
 _EXTRACTED = "'```python' || chr(10) || chr(10) || ' “q” — ‘a’ … x' || chr(160) || text || '   ' || chr(10) || '```' || chr(10) || ' ' || chr(10)"
 
 
-@query(
-    "clean_extracted_text",
-    f"""
+_CLEAN_SQL = f"""
 WITH f AS (SELECT doc_id, regexp_replace(regexp_replace({_EXTRACTED}, '(?m)^```{O.W}*\\n?', '', 'g'), '(?m)\\n?```$', '', 'g') AS t FROM documents),
 l AS (SELECT doc_id, generate_subscripts(a, 1) AS n, unnest(a) AS raw FROM (
   SELECT doc_id, CASE WHEN parts[-1] = '' THEN parts[:-2] ELSE parts END AS a FROM (SELECT doc_id, regexp_split_to_array(t, {O.q(O.BREAK)}) AS parts FROM f))),
 c AS (SELECT doc_id, n, replace(replace(replace(replace(replace(replace(replace(rtrim(raw, {O.TRIM}), '—', '--'), '“', '"'), '”', '"'), '‘', ''''), '’', ''''), '…', '...'), chr(160), ' ') AS s FROM l),
 e AS (SELECT *, min(n) FILTER (WHERE trim(s) <> '') OVER (PARTITION BY doc_id) AS a, max(n) FILTER (WHERE trim(s) <> '') OVER (PARTITION BY doc_id) AS b FROM c)
-SELECT doc_id, string_agg(s, chr(10) ORDER BY n) AS text FROM e WHERE n BETWEEN a AND b GROUP BY doc_id""",
-)
-def _(spark, sf):
+SELECT doc_id, string_agg(s, chr(10) ORDER BY n) AS text FROM e WHERE n BETWEEN a AND b GROUP BY doc_id"""
+
+
+def _extracted(spark, sf):
     raw = F.concat(
-        F.lit("```python\n\n “q” — ‘a’ … x "), F.col("text"), F.lit("   \n```\n \n")
+        F.lit("```python\n\n “q” — ‘a’ … x\u00a0"), F.col("text"), F.lit("   \n```\n \n")
     )
     docs = corpus.spread(table(spark, sf, "documents").select("doc_id", "text"))
-    return docs.select("doc_id", T.clean_extracted_text(raw).alias("text"))
+    declared = samples.option(samples.DECLARED, F.col("doc_id"))
+    return docs.select("doc_id", raw.alias("raw_text"), declared.alias("declared_language"))
+
+
+@query("clean_extracted_text", _CLEAN_SQL)
+def _(spark, sf):
+    return _extracted(spark, sf).select("doc_id", T.clean_extracted_text(F.col("raw_text")).alias("text"))
 
 
 def _score_sql(text: str) -> str:
@@ -291,6 +296,17 @@ def _(spark, sf):
     return texts.select(F.col("file_id").alias("id"), T.detect_language(F.col("content")).alias("language"))
 
 
+@query(
+    "extracted_files",
+    f"""SELECT 'x' || c.doc_id AS file_id, text AS content, CASE WHEN lower(trim(declared)) IN {O.words(P.LANGUAGES)}
+  THEN lower(trim(declared)) ELSE {_score_sql('text')} END AS language
+FROM ({_CLEAN_SQL}) c JOIN (SELECT doc_id, {_lint_option(samples.DECLARED, 'doc_id')} AS declared FROM documents) d USING (doc_id)""",
+)
+def _(spark, sf):
+    extracted = _extracted(spark, sf).withColumn("file_id", F.concat(F.lit("x"), F.col("doc_id").cast("string")))
+    return files_source.from_extracted_text(extracted)
+
+
 @query("detected_code_language", O.CODE + f"SELECT file_id, {_score_sql('content')} AS language FROM files")
 def _(spark, sf):
     return corpus.code_files(spark, sf).select("file_id", T.detect_language(F.col("content")).alias("language"))

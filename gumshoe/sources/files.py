@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gumshoe.functions import patterns as P
+from gumshoe.functions import text
 from gumshoe.functions.constants import map_of
 
 MAX_BYTES = 10 * 1024 * 1024
@@ -75,6 +76,13 @@ def manifest(raw: DataFrame) -> DataFrame:
     )
 
 
+def from_extracted_text(extracted: DataFrame) -> DataFrame:
+    """Text read from images, ``(file_id, raw_text, declared_language)``, as source files."""
+    clean = extracted.withColumn("content", text.clean_extracted_text(F.col("raw_text")))
+    language = text.resolve_language(F.col("declared_language"), F.col("content"))
+    return clean.select("file_id", language.alias("language"), "content")
+
+
 def read_source_corpus(spark: SparkSession, path: str) -> DataFrame:
     """All accepted files below a path, read by the executors."""
     return manifest(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path))
