@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontamination, mixing, token_files
+from . import decontamination, language_id, mixing, token_files, toxicity
 from .store import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +87,29 @@ placed AS (
 SELECT doc_id, size, source_size, target,
   (size * (floor(place * rate + 0.5) - floor((place - 1) * rate + 0.5)))::BIGINT AS taken FROM placed
 """
+
+
+def _crc(doc_id: str, by: int) -> Column:
+    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % by
+
+
+@query
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.train(docs.where(_crc("doc_id", 4) != 2), labels)
+    scored = toxicity.with_scores(docs.select("doc_id", "text"), model, "score")
+    return scored.select(
+        "doc_id",
+        F.coalesce(_crc("doc_id", 4) == 2, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
+@query
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    network = language_id.train(docs.where(_crc("doc_id", 3) != 1))
+    return language_id.identify(docs, network).select(
+        "doc_id", F.coalesce(_crc("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score"
+    )
