@@ -27,11 +27,13 @@ WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 16
 DIMENSIONS = 8
-SAMPLE_PER_LANGUAGE = 600
+STEPS_PER_UNIT = 1024
+"""The tables hold whole multiples of one part of so many."""
+SAMPLE_PER_LANGUAGE = 400
 """Documents that are learned from, for each language: those whose ids have the smallest MD5."""
 WINDOWS_PER_DOCUMENT = 2
 SAMPLE_CHARS = 20_000
-EPOCHS = 6
+EPOCHS = 5
 BATCH = 64
 UND = "und"
 _letter = re.compile(r"[^\W\d_]")
@@ -101,27 +103,34 @@ class Network:
                     self.p[k] -= rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)
         return self
 
-    def tables(self) -> dict[int, list[np.ndarray]]:
-        """For each width what a pair of bytes at each even tap, and a last single byte, adds to the filters."""
-        out = {}
-        for w in WIDTHS:
-            taps = [self.p["embedding"] @ f for f in self.p[f"filter{w}"].reshape(w, DIMENSIONS, FILTERS)]
-            pairs = [(taps[i][:, None] + taps[i + 1][None]).reshape(-1, FILTERS) for i in range(0, w - 1, 2)]
-            out[w] = [np.ascontiguousarray(t, dtype=np.float32) for t in pairs + ([taps[-1]] if w % 2 else [])]
+    def tables(self) -> list[np.ndarray]:
+        """What each pair of bytes adds to the filters, side by side, at taps 0 and 1 and at taps 2 and 3."""
+        out = []
+        for first in range(0, max(WIDTHS), 2):
+            parts = []
+            for w in (w for w in WIDTHS if w > first):
+                taps = [self.p["embedding"] @ f for f in self.p[f"filter{w}"].reshape(w, DIMENSIONS, FILTERS)]
+                other = taps[first + 1] if first + 1 < w else np.zeros_like(taps[0])
+                parts.append((taps[first][:, None] + other[None]).reshape(-1, FILTERS))
+            rounded = np.clip(np.rint(np.concatenate(parts, axis=1) * STEPS_PER_UNIT), -16_000, 16_000)
+            out.append(np.ascontiguousarray(rounded, dtype=np.int16))
         return out
 
-    def predict(self, x: np.ndarray, tables: dict[int, list[np.ndarray]]) -> np.ndarray:
+    def predict(self, x: np.ndarray, tables: list[np.ndarray]) -> np.ndarray:
         """Probabilities of the languages for each window."""
-        pair = x[:, :-1].astype(np.int32) << 8 | x[:, 1:]
-        pooled = []
-        for w in WIDTHS:
+        x = np.ascontiguousarray(x.T).astype(np.int32)  # places first: their maximum is then over whole rows
+        # the pair at a window's last byte counts for widths that end there
+        pair = x << 8 | np.concatenate([x[1:], np.zeros_like(x[:1])])
+        begin = tables[0].take(pair[:-1], axis=0, mode="clip")
+        rest = tables[1].take(pair[2:], axis=0, mode="clip")
+        pooled, later = [], 0
+        for k, w in enumerate(WIDTHS):
             spans = WINDOW - w + 1
-            z = None
-            for i, t in enumerate(tables[w]):
-                source = pair if len(t) > 256 else x
-                part = t.take(source[:, 2 * i : 2 * i + spans], axis=0)
-                z = part if z is None else np.add(z, part, out=z)
-            pooled.append(np.maximum(z.max(axis=1) + self.p[f"bias{w}"], 0))
+            z = begin[:spans, :, k * FILTERS : (k + 1) * FILTERS]
+            if w > 2:
+                z = z + rest[:spans, :, later : later + FILTERS]
+                later += FILTERS
+            pooled.append(np.maximum(z.max(axis=0) / np.float32(STEPS_PER_UNIT) + self.p[f"bias{w}"], 0))
         return softmax(np.concatenate(pooled, axis=1) @ self.p["out"] + self.p["out_bias"])
 
 
@@ -158,7 +167,7 @@ def identify(docs: DataFrame, network: Network | None) -> DataFrame:
     """``docs (doc_id, text)`` to doc_id, lang_pred, score."""
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = network.tables() if network else {}
+        tables = network.tables() if network else []
         for batch in batches:
             labels, scores = [], []
             for texts in (batch["text"].slice(i, 64).to_pylist() for i in range(0, batch.num_rows, 64)):
@@ -175,7 +184,7 @@ def identify(docs: DataFrame, network: Network | None) -> DataFrame:
     return rows.mapInArrow(predict, "doc_id long, lang_pred string, score double")
 
 
-def _scores(texts: list[str], network: Network, tables: dict) -> list[tuple[str, float]]:
+def _scores(texts: list[str], network: Network, tables: list) -> list[tuple[str, float]]:
     if not texts:
         return []
     data = [t.encode("utf-8", "surrogatepass") for t in texts]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, mixing, token_files, toxicity
+from . import decontamination, html_extraction, language_id, mixing, token_files, toxicity, warc
 from .store import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,3 +113,14 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, network).select(
         "doc_id", F.coalesce(_crc("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score"
     )
+
+
+@query
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def op4_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Responses are made of the pages; the date is a constant, as the table has none."""
+    return warc.derivatives(warc.responses_of(table(spark, sf_dir, "pages"), "2024-01-01T00:00:00Z"))
