@@ -7,7 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, html_extraction, language_id, mixing, token_files, toxicity, warc
+from . import (
+    decontamination,
+    embedding_neighbours,
+    html_extraction,
+    language_id,
+    mixing,
+    ngram_join,
+    token_files,
+    toxicity,
+    warc,
+)
 from .store import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -124,3 +134,13 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Responses are made of the pages; the date is a constant, as the table has none."""
     return warc.derivatives(warc.responses_of(table(spark, sf_dir, "pages"), "2024-01-01T00:00:00Z"))
+
+
+@query
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.classes_of(table(spark, sf_dir, "documents")).drop("key")
+
+
+@query
+def op8_embedding_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_neighbours.neighbours(table(spark, sf_dir, "embeddings"))
