@@ -14,6 +14,7 @@ from . import (
     language_id,
     mixing,
     ngram_join,
+    suffix_dedup,
     token_files,
     toxicity,
     warc,
@@ -144,3 +145,8 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_embedding_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_neighbours.neighbours(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicated(table(spark, sf_dir, "documents"))
