@@ -58,7 +58,7 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, total: float = 1.5, most:
 
 
 def systematic(rows: DataFrame, offset: float) -> DataFrame:
-    """Add ``copies`` to ``rows (doc_id, size, source, source_size, target)``."""
+    """Add ``copies`` to ``rows (doc_id, size, source, source_size, target, key)``."""
     digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     rows = (
         rows.withColumn("class", F.floor(F.sqrt(F.col("size"))))
@@ -71,7 +71,7 @@ def systematic(rows: DataFrame, offset: float) -> DataFrame:
     in_source = Window.partitionBy("source").orderBy("class").rowsBetween(Window.unboundedPreceding, -1)
     strips = strips.withColumn("strips_before", F.coalesce(F.sum("n").over(in_class), F.lit(0)))
     classes = classes.withColumn("classes_before", F.coalesce(F.sum("n_class").over(in_source), F.lit(0)))
-    alone = Window.partitionBy("source", "class", "strip").orderBy("digest", "doc_id", "size")
+    alone = Window.partitionBy("source", "class", "strip").orderBy("digest", "doc_id", "size", "key")
     ranked = rows.withColumn("rank", F.row_number().over(alone))
     s, c, r = strips.alias("s"), classes.alias("c"), ranked.alias("r")
     at = lambda a, b, *names: [F.col(f"{a}.{n}").eqNullSafe(F.col(f"{b}.{n}")) for n in names]
@@ -79,7 +79,7 @@ def systematic(rows: DataFrame, offset: float) -> DataFrame:
         "s.source", "s.class", "s.strip", (F.col("strips_before") + F.col("classes_before")).alias("before")
     )
     placed = r.join(both.alias("b"), at("r", "b", "source", "class", "strip")).select(
-        *[F.col(f"r.{n}") for n in ("doc_id", "size", "source", "source_size", "target")],
+        *[F.col(f"r.{n}") for n in ("doc_id", "size", "source", "source_size", "target", "key")],
         (F.col("before") + F.col("rank")).alias("place"),
     )
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
@@ -88,20 +88,33 @@ def systematic(rows: DataFrame, offset: float) -> DataFrame:
 
 
 def mix(sizes: DataFrame, weights=WEIGHTS, total: float = 1.5, most: float = 2.0, offset: float = 0.5) -> DataFrame:
-    """``sizes (doc_id, source, size)`` to doc_id, size, source, source_size, target, copies, taken.
+    """``sizes (doc_id, source, size, key)`` to these and source_size, target, copies, taken.
 
-    ``offset`` is the one random number of the sample; the caller draws it, so that a rerun agrees.
+    ``key`` tells rows of one id apart. ``offset`` is the one random number of the sample; the caller draws it, so that a
+    rerun agrees.
     """
     targets = source_targets(sizes, weights, total, most)
     rows = (
         sizes.alias("d")
         .join(targets.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source")))
-        .select("d.doc_id", "d.size", "d.source", "t.source_size", "t.target")
-    )
-    return systematic(rows, offset).select(
-        "doc_id", "size", "source", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")
+        .select("d.doc_id", "d.size", "d.source", "t.source_size", "t.target", "d.key")
     )
+    return systematic(rows, offset).withColumn("taken", F.col("copies") * F.col("size"))
 
 
 def sizes_of(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id"), F.col("source"), word_count(F.col("text")).alias("size"))
+    return docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("key"))
+
+
+def mixed(docs: DataFrame, **settings) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it."""
+    placed = mix(sizes_of(docs), **settings).groupBy("doc_id", "key").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
+    p = placed.where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "copies", "rows")
+    p = p.select("_id", "_key", F.col("copies").alias("_copies"), F.col("rows").alias("_rows"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key"))
+    found = docs.join(p, same)
+    # rows that repeat an id and a text share their copies
+    row = F.row_number().over(Window.partitionBy("_id", "_key").orderBy("_key"))
+    cut = lambda i: F.floor(F.col("_copies") * i / F.col("_rows"))
+    own = found.withColumn("_row", row).withColumn("_own", (cut(F.col("_row")) - cut(F.col("_row") - 1)).cast("int"))
+    return own.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_own")))).select(*[docs[c] for c in docs.columns])

@@ -72,7 +72,7 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(mixing.sizes_of(table(spark, sf_dir, "documents"))).drop("copies", "source")
+    return mixing.mix(mixing.sizes_of(table(spark, sf_dir, "documents"))).drop("copies", "source", "key")
 
 
 ORACLES["op10_mixing"] = r"""
@@ -104,10 +104,15 @@ def _crc(doc_id: str, by: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % by
 
 
+def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.Model:
+    """Learn from all labelled rows but those that are held out."""
+    return toxicity.train(docs.where(_crc("doc_id", 4) != 2), labels)
+
+
 @query
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    model = toxicity.train(docs.where(_crc("doc_id", 4) != 2), labels)
+    model = toxicity_model(docs, labels)
     scored = toxicity.with_scores(docs.select("doc_id", "text"), model, "score")
     return scored.select(
         "doc_id",
@@ -150,3 +155,36 @@ def op8_embedding_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.deduplicated(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op8_embedding_neighbours"] = r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+link AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+    AND list_cosine_similarity(a.e, b.e) >= 0.95),
+reach(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.a, link.b FROM reach r JOIN link ON r.b = link.a),
+least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+links AS (SELECT a, count(*) AS n FROM link GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(component_id, vec_id) AS component_id,
+  coalesce(vec_id = component_id, true) AS kept
+FROM embeddings LEFT JOIN links ON vec_id = links.a LEFT JOIN least ON vec_id = least.a
+"""
+
+ORACLES["op2_ngram_join"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') AS w FROM documents),
+gram AS (
+  SELECT DISTINCT doc_id, array_to_string(w[s:s + 4], ' ') AS g
+  FROM w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS t(s) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM gram GROUP BY doc_id),
+common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM gram a JOIN gram b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+link AS (SELECT a, b FROM common JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE c >= 0.8::DOUBLE * (x.n + y.n - c)),
+reach(a, b) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.a, link.b FROM reach r JOIN link ON r.b = link.a),
+least AS (SELECT a, min(b) AS class_id FROM reach GROUP BY a),
+links AS (SELECT a, count(*) AS n_links FROM link GROUP BY a)
+SELECT doc_id, coalesce(class_id, doc_id) AS class_id, coalesce(n_links, 0) AS n_links, coalesce(class_id = doc_id, true) AS kept
+FROM documents LEFT JOIN least ON doc_id = least.a LEFT JOIN links ON doc_id = links.a
+"""

@@ -13,6 +13,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_made: list[str] = []
+
+
+def forget(spark: SparkSession, but: str = "stage-") -> None:
+    """Delete the tables stored so far, once nothing reads them any more; names that begin with ``but`` stay."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in [p for p in _made if not p.rpartition("/")[2].startswith(but)]:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+        _made.remove(path)
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """An unused path in the folder all executors share (``spark.checkpoint.dir``).
 
@@ -24,7 +36,8 @@ def new_folder(spark: SparkSession, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         shared = tempfile.mkdtemp(prefix="gumshoe-llm-")
         spark.conf.set("spark.checkpoint.dir", shared)
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made.append(f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
