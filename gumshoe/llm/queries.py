@@ -72,7 +72,7 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(mixing.sizes_of(table(spark, sf_dir, "documents"))).drop("copies", "source", "key")
+    return mixing.mix(mixing.sizes_of(table(spark, sf_dir, "documents"))).drop("copies", "source", "key", "place")
 
 
 ORACLES["op10_mixing"] = r"""
