@@ -12,13 +12,14 @@ gives no files worth reading and an empty result. Other columns of the input are
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from functools import lru_cache
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +30,9 @@ PAGE_BYTES = 256 << 10
 ROWS_PER_FILE = 100_000
 CACHE_WORDS = 500_000
 BATCH_ROWS = 512
+_separators = regex.compile(r"[\x1c-\x1f]")
+_space = regex.compile(r"[^\S\x1c-\x1f]+")
+_word = regex.compile(r"(\p{L}+)([^\s\p{L}\p{N}'<]*)")
 SCHEMA = "doc_id long, tie long, n_tokens long, ids array<int>"
 LAYOUT = {
     "parquet.block.size": str(ROW_GROUP_BYTES),
@@ -42,60 +46,97 @@ LAYOUT = {
 
 
 class Encoder:
-    """Encode texts word by word with a bounded memory of words.
+    """Encode texts piece by piece with a bounded memory of pieces.
 
-    The vocabularies used here drop white space and never merge across it, so the ids of a text are those of its
-    pieces between ASCII white space, one after the other.
+    The vocabularies used here drop white space and never merge across it, nor from letters to signs, so the ids of a text are
+    those of its pieces. New pieces of letters are encoded in one go; the tokens that end a word tell them apart again.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, list[int]] = {}
-
-    def __call__(self, text: str) -> list[int]:
-        words = re.split(r"[ \t\r\n]+", text)
-        known = self.known
-        new = [w for w in set(words) if w not in known]
+        ends = [i for w, i in self.tokenizer.get_vocab().items() if w.endswith("</w>")]
+        self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
+        self.ends_word[ends] = True
+        self.known: dict[str, bytes] = {}
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        # Python also splits at these four signs, the tokenizer does not
+        cut = [t.split() if not _separators.search(t) else _space.split(t) for t in texts]
+        new = set().union(*cut)
+        new.difference_update(self.known)
         if new:
-            if len(known) > CACHE_WORDS:
-                known.clear()
-                new = list(set(words))
-            for word, coded in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                known[word] = coded.ids
-        return list(chain.from_iterable([known[w] for w in words]))
-
-
-def encoded(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
-    """``docs (doc_id, text)`` to the columns of the files, in no order."""
+            if len(self.known) > CACHE_WORDS:
+                self.known.clear()
+                new = set().union(*cut)
+            self._learn(new)
+        known = self.known
+        return [np.frombuffer(b"".join([known[p] for p in pieces]), dtype=np.int32) for pieces in cut]
+
+    def _learn(self, pieces: set[str]) -> None:
+        known, parts, words = self.known, [], set()
+        for piece in pieces:
+            if piece.isascii() and piece.isalpha():
+                word, signs = piece.lower(), ""
+            else:
+                m = _word.fullmatch(piece) if is_normalized("NFC", piece) else None
+                if not m or "\u03a3" in piece or "\u0130" in piece:  # their lower case depends on what surrounds them
+                    known[piece] = self._encode(piece).tobytes()
+                    continue
+                word, signs = m[1].lower(), m[2]
+                if signs and signs not in known:
+                    known[signs] = self._encode(signs).tobytes()
+            parts.append((piece, word, signs))
+            if word not in known:
+                words.add(word)
+        ordered = list(words)
+        ids = self._encode(" ".join(ordered))
+        ends = (np.flatnonzero(self.ends_word[ids]) + 1) * 4
+        if len(ends) == len(ordered):
+            data, start = ids.tobytes(), 0
+            for word, end in zip(ordered, ends.tolist(), strict=True):
+                known[word] = data[start:end]
+                start = end
+        else:
+            known.update((w, self._encode(w).tobytes()) for w in ordered)
+        for piece, word, signs in parts:
+            known[piece] = known[word] + known[signs] if signs else known[word]
+
+    def _encode(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.int32)
+
+
+@lru_cache(maxsize=2)
+def encoder_of(path: str) -> Encoder:
+    """One for each Python worker, which keeps it from task to task."""
+    return Encoder(path)
+
+
+def encoded(rows: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
+    """``rows (doc_id, tie, text)`` to the columns of the files, in the same order."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary)
+        encoder, end = encoder_of(vocabulary), np.array([end_id], dtype=np.int32)
         for batch in batches:
             for part in (batch.slice(i, BATCH_ROWS) for i in range(0, batch.num_rows, BATCH_ROWS)):
-                ids = [np.array([*encoder(text or ""), end_id], dtype=np.int32) for text in part["text"].to_pylist()]
-                n = np.array([len(x) for x in ids], dtype=np.int64)
+                ids = [x for coded in encoder([t or "" for t in part["text"].to_pylist()]) for x in (coded, end)]
+                n = np.array([len(x) + 1 for x in ids[::2]], dtype=np.int64)
                 offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))
                 yield pa.RecordBatch.from_arrays(
                     [part["doc_id"], part["tie"], pa.array(n), lists], names=["doc_id", "tie", "n_tokens", "ids"]
                 )
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), "text")
     return rows.mapInArrow(encode, SCHEMA)
 
 
 def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int) -> None:
     """Write the files below ``path``, each a range of (doc_id, tie)."""
     files = max(1, -(-docs.count() // ROWS_PER_FILE), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    (
-        encoded(docs, vocabulary, end_id)
-        .repartitionByRange(files, "doc_id", "tie")
-        .sortWithinPartitions("doc_id", "tie")
-        .write.options(**LAYOUT)
-        .parquet(path)
-    )
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), "text")
+    rows = rows.repartitionByRange(files, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+    encoded(rows, vocabulary, end_id).write.options(**LAYOUT).parquet(path)
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
