@@ -9,7 +9,7 @@ so on. Where an interval of strings of l bytes ends for the first time, the suff
 ``LENGTH`` steps the ends that are left share at least ``LENGTH`` bytes, so the suffixes between set ends are the places of one string.
 The earliest place of each string stays; every other start in a run is removed.
 
-Runs that are equal are one row before anything is gathered. A hash with very many different runs is split by the strings
+Runs that are equal are one row before anything is gathered, and a run that shares its hash with no other text needs no transform. A hash with very many different runs is split by the strings
 themselves. The hashes that repeat go to the documents as a bitmap of fixed size, which only spares work: the join behind
 it is exact.
 
@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +37,7 @@ K = 32
 SPAN = LENGTH - K + 1
 LONGEST_RUN = 4096
 CHUNK_BYTES = 2 << 20
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 HOT_TEXTS = 20_000
 SEPARATOR = 0xFF
 """A byte that UTF-8 does not use."""
@@ -103,13 +104,22 @@ class Chunk:
         self.hash = self.least[start].view(np.int64)
 
     def anchors(self) -> np.ndarray:
-        """The smallest hashes, once for each place at which they are."""
+        """The places of the smallest hashes."""
         if not len(self.start):
-            return self.hash
+            return self.start
         n = len(self.least)
-        least = np.concatenate([np.zeros(SPAN - 1, np.uint64), np.where(self.inside[:n], self.least, 0), np.zeros(SPAN - 1, np.uint64)])
-        most = sliding(np.maximum, least, SPAN)  # over the strings that hold a place
-        return self.hashes[(self.hashes == most) & (most > 0)].view(np.int64)
+        edge = np.zeros(SPAN - 1, np.uint64)
+        most = sliding(np.maximum, np.concatenate([edge, np.where(self.inside[:n], self.least, 0), edge]), SPAN)
+        return np.flatnonzero((self.hashes == most) & (most > 0))  # most: over the strings that hold a place
+
+    def repeats(self, keep: np.ndarray) -> np.ndarray:
+        """Whether a run holds its hash at two places, and so perhaps one string twice."""
+        at = self.anchors()
+        values, code = np.unique(self.hashes[at].view(np.int64), return_inverse=True)
+        key = np.sort(code << 32 | at)
+        code = np.searchsorted(values, self.hash[keep]) << 32
+        start = self.start[keep]
+        return np.searchsorted(key, code | (start + self.count[keep] + SPAN - 1)) - np.searchsorted(key, code | start) > 1
 
 
 def chunks(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple[list[list], Chunk, list[bytes]]]:
@@ -129,7 +139,7 @@ def chunks(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tu
 def repeated_hashes(rows: DataFrame) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, chunk, _ in chunks(batches, []):
-            values, n = np.unique(chunk.anchors(), return_counts=True)
+            values, n = np.unique(chunk.hashes[chunk.anchors()].view(np.int64), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(n)], names=["hash", "n"])
 
     found = rows.select("text").mapInArrow(count, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
@@ -155,21 +165,26 @@ def bit_of(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 
 def runs_of(rows: DataFrame, hashes: DataFrame) -> DataFrame:
-    """rid, start, n: the runs whose hash repeats."""
+    """hash, text_id, doc_id, rid, start, n, repeats: the runs whose hash is found at two places."""
     sent = rows.sparkSession.sparkContext.broadcast(bitmap_of(hashes))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held, chunk, _ in chunks(batches, ["rid"]):
+        for held, chunk, texts in chunks(batches, ["rid", "doc_id"]):
             keep = bit_of(sent.value, chunk.hash)
             owner = chunk.owner[keep]
+            start, count = chunk.start[keep], chunk.count[keep]
+            data = chunk.data.tobytes()
+            ids = [xxhash.xxh3_64_intdigest(data[i:j]) - (1 << 63) for i, j in zip(start.tolist(), (start + count + LENGTH - 1).tolist(), strict=True)]
             rid = np.array([r[0] for r in held], dtype=np.int64)[owner]
-            start = chunk.start[keep] - chunk.first[owner]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(chunk.hash[keep]), pa.array(rid), pa.array(start.astype(np.int32)), pa.array(chunk.count[keep].astype(np.int32))],
-                names=["hash", "rid", "start", "n"],
-            )
-
-    found = rows.select("rid", "text").mapInArrow(find, "hash long, rid long, start int, n int")
+            doc_id = pa.array([r[1] for r in held], pa.int64()).take(pa.array(owner))
+            arrays = [
+                pa.array(chunk.hash[keep]), pa.array(ids, pa.int64()), doc_id, pa.array(rid),
+                pa.array((start - chunk.first[owner]).astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(chunk.repeats(keep)),
+            ]
+            yield pa.RecordBatch.from_arrays(arrays, names=["hash", "text_id", "doc_id", "rid", "start", "n", "repeats"])
+
+    schema = "hash long, text_id long, doc_id long, rid long, start int, n int, repeats boolean"
+    found = rows.select("rid", "doc_id", "text").mapInArrow(find, schema)
     return stored(found.join(hashes, "hash", "left_semi"), "runs")
 
 
@@ -182,7 +197,7 @@ def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
         key = key << np.uint64(8) | padded[i : i + n]
     known = 8
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         rank = np.empty(n, dtype=np.uint64)
         rank[order] = np.cumsum(np.concatenate([[0], key[order][1:] != key[order][:-1]]))
         if known >= depth:
@@ -254,8 +269,19 @@ def first_places(texts: list[bytes], doc: np.ndarray, start: np.ndarray) -> tupl
     return number, place[new] - begin[number], np.diff(np.append(new, len(place)))
 
 
-def different_texts(rows: DataFrame, lists: DataFrame) -> DataFrame:
-    """hash, sub, text, first (of its places): the texts of the runs ``lists (rid, runs)``, each once."""
+def different_texts(runs: DataFrame) -> DataFrame:
+    """A row for each hash and text of ``runs``: n, its earliest place, and how many texts share the hash."""
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "rid", "start")
+    texts = runs.groupBy("hash", "text_id").agg(F.min(place).alias("first"), F.max("n").alias("n"), F.max("repeats").alias("repeats"))
+    texts = stored(texts, "texts")
+    per = texts.groupBy("hash").agg(F.count("*").alias("texts"), F.max("repeats").alias("any_repeats"))
+    texts = texts.join(per, "hash").select("hash", "first.*", "n", "texts", "any_repeats")
+    return stored(texts, "texts")
+
+
+def cut_texts(rows: DataFrame, places: DataFrame) -> DataFrame:
+    """Add ``text`` to ``places (hash, texts, unnamed, doc_id, rid, start, n)``, from the documents."""
+    lists = places.groupBy("rid").agg(F.collect_list(F.struct("hash", "texts", "start", "n")).alias("runs"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -263,33 +289,29 @@ def different_texts(rows: DataFrame, lists: DataFrame) -> DataFrame:
                 out = []
                 for rid, doc_id, text, runs in zip(*(part[c].to_pylist() for c in ("rid", "doc_id", "text", "runs")), strict=True):
                     data = text.encode("utf-8", "surrogatepass")
-                    out += [(r["hash"], data[r["start"] : r["start"] + r["n"] + LENGTH - 1], doc_id, rid, r["start"]) for r in runs]
-                columns = list(zip(*out, strict=True)) or [[]] * 5
-                types = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["hash", "text", "doc_id", "rid", "start"]
-                )
+                    out += [
+                        (r["hash"], r["texts"], data[r["start"] : r["start"] + r["n"] + LENGTH - 1], doc_id is None, doc_id, rid, r["start"])
+                        for r in runs
+                    ]
+                columns = list(zip(*out, strict=True)) or [[]] * 7
+                types = (pa.int64(), pa.int64(), pa.binary(), pa.bool_(), pa.int64(), pa.int64(), pa.int32())
+                names = ["hash", "texts", "text", "unnamed", "doc_id", "rid", "start"]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
     # a row that repeats an id and a text is cut once more, with the same places
     found = rows.join(lists, "rid").select("rid", "doc_id", "text", "runs")
-    found = found.mapInArrow(cut, "hash long, text binary, doc_id long, rid long, start int")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "rid", "start")).alias("first")
-    return stored(found.groupBy("hash", "text").agg(first), "texts")
+    return found.mapInArrow(cut, "hash long, texts long, text binary, unnamed boolean, doc_id long, rid long, start int")
 
 
 def split_hot(texts: DataFrame) -> DataFrame:
     """Add ``sub``: 0, or where a hash has very many texts, a part of its strings, which then stand alone."""
-    many = texts.groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n") > HOT_TEXTS)
-    marked = texts.join(many, "hash", "left")
-    whole = marked.where("n is null").select("hash", F.lit(0).cast("long").alias("sub"), "text", "first")
-    strings = marked.where("n is not null").select(
-        "hash", "n", "text", "first", F.explode(F.sequence(F.lit(0), F.length("text") - LENGTH)).alias("at")
-    )
-    string = F.expr(f"substring(text, at + 1, {LENGTH})")
-    place = F.struct("first.unnamed", "first.doc_id", "first.rid", (F.col("first.start") + F.col("at")).alias("start"))
-    strings = strings.select("hash", "n", string.alias("text"), place.alias("first"))
-    parts = F.pmod(F.xxhash64("text"), F.ceil(F.col("n") * SPAN / HOT_TEXTS)) + 1
-    return whole.unionByName(strings.select("hash", parts.alias("sub"), "text", "first"))
+    hot = F.col("texts") > HOT_TEXTS
+    last = F.when(hot, F.length("text") - LENGTH).otherwise(0)
+    rows = texts.select("*", F.explode(F.sequence(F.lit(0), last)).alias("at"))
+    string = F.when(hot, F.expr(f"substring(text, at + 1, {LENGTH})")).otherwise(F.col("text"))
+    rows = rows.select("hash", "texts", string.alias("text"), "unnamed", "doc_id", "rid", (F.col("start") + F.col("at")).alias("start"))
+    parts = F.pmod(F.xxhash64("text"), F.ceil(F.col("texts") * SPAN / HOT_TEXTS)) + 1
+    return rows.select("hash", F.when(hot, parts).otherwise(0).alias("sub"), "text", "unnamed", "doc_id", "rid", "start")
 
 
 def earliest(texts: DataFrame) -> DataFrame:
@@ -322,7 +344,7 @@ def earliest(texts: DataFrame) -> DataFrame:
             names=["rid", "start", "n"],
         )
 
-    rows = split_hot(texts).select("hash", "sub", "text", "first.unnamed", "first.doc_id", "first.rid", "first.start")
+    rows = split_hot(texts)
     return rows.repartition("hash", "sub").sortWithinPartitions("hash", "sub").mapInArrow(expand, "rid long, start int, n int")
 
 
@@ -341,9 +363,14 @@ def deduplicated(docs: DataFrame, with_text: bool = False) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.select(F.xxhash64("doc_id", "text").alias("rid"), "doc_id", "text")
     long = rows.where(F.octet_length("text") >= LENGTH)
-    runs = runs_of(long, repeated_hashes(long)).distinct()
-    lists = runs.groupBy("rid").agg(F.collect_list(F.struct("hash", "start", "n")).alias("runs"))
-    kept = earliest(different_texts(rows, lists)).groupBy("rid").agg(F.collect_list(F.struct("start", "n")).alias("kept"))
+    runs = runs_of(long, repeated_hashes(long))
+    texts = different_texts(runs)
+    # a text that shares its hash with no other, and is not periodic, is a collection of one string: its only place stays
+    alone = (F.col("texts") == 1) & ~F.col("any_repeats")
+    settled = texts.where(alone).select("rid", "start", "n")
+    expanded = earliest(cut_texts(rows, texts.where(~alone)))
+    kept = settled.unionByName(expanded).groupBy("rid").agg(F.collect_list(F.struct("start", "n")).alias("kept"))
+    lists = runs.groupBy("rid").agg(F.collect_set(F.struct("start", "n")).alias("runs"))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
