@@ -191,19 +191,19 @@ def runs_of(rows: DataFrame, hashes: DataFrame) -> DataFrame:
 def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
     """Positions in the order of at least their first ``depth`` bytes."""
     n = len(data)
-    padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
-    key = np.zeros(n, dtype=np.uint64)
-    for i in range(8):
-        key = key << np.uint64(8) | padded[i : i + n]
-    known = 8
+    key = np.concatenate([data, np.zeros(8, dtype=np.uint8)]).astype(np.uint64)
+    for step in (1, 2, 4):  # eight bytes in one number
+        key = key[:-step] << np.uint64(8 * step) | key[step:]
+    key, known = key[:n], 8
     while True:
         order = np.argsort(key)
-        rank = np.empty(n, dtype=np.uint64)
-        rank[order] = np.cumsum(np.concatenate([[0], key[order][1:] != key[order][:-1]]))
         if known >= depth:
             return order
-        later = np.concatenate([rank[known:] + np.uint64(1), np.zeros(min(known, n), dtype=np.uint64)])[:n]
-        key = rank << np.uint64(32) | later
+        ordered = key[order]
+        rank = np.empty(n, dtype=np.uint64)
+        rank[order] = np.cumsum(np.concatenate([[False], ordered[1:] != ordered[:-1]]))
+        key = rank << np.uint64(32)
+        key[: n - known] |= rank[known:] + np.uint64(1)
         known *= 2
 
 
@@ -218,7 +218,7 @@ def string_classes(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarra
     by_letter = np.argsort(before, kind="stable")
     back = np.empty(n, dtype=np.int64)  # an entry to that of the suffix one byte longer
     back[by_letter] = np.arange(n)
-    sorted_places = before[by_letter].astype(np.int64) * n + by_letter
+    begins_with = data[order]
     ends = np.zeros(n + 1, dtype=bool)  # where neighbours are known to share less than ``length`` bytes
     ends[[0, n]] = True
     counts = np.concatenate([[0], np.cumsum(np.bincount(data, minlength=256))])
@@ -237,11 +237,15 @@ def string_classes(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarra
         width = right - left
         which = np.repeat(np.arange(len(left)), width)
         inside = np.arange(len(which)) - np.repeat(np.cumsum(width) - width, width) + left[which]
-        pairs = np.unique(which << 8 | before[inside])
-        letter, which = pairs & 255, pairs >> 8
-        which, letter = which[letter != SEPARATOR], letter[letter != SEPARATOR]
-        left = np.concatenate([back[at], np.searchsorted(sorted_places, letter * n + left[which])])
-        right = np.concatenate([back[at] + 1, np.searchsorted(sorted_places, letter * n + right[which])])
+        inside, which = inside[before[inside] != SEPARATOR], which[before[inside] != SEPARATOR]
+        # the entries one byte longer lie side by side for each interval and byte
+        longer = np.sort(back[inside] << 32 | which)
+        place, which = longer >> 32, longer & 0xFFFFFFFF
+        letter = begins_with[place]
+        new = np.ones(len(place) + 1, dtype=bool)
+        new[1:-1] = (np.diff(place) != 1) | (np.diff(which) != 0) | (letter[1:] != letter[:-1])
+        left = np.concatenate([back[at], place[new[:-1]]])
+        right = np.concatenate([back[at], place[new[1:]]]) + 1
     return order, np.cumsum(ends[:n])
 
 
@@ -287,11 +291,12 @@ def cut_texts(rows: DataFrame, places: DataFrame) -> DataFrame:
         for batch in batches:
             for part in (batch.slice(i, 128) for i in range(0, batch.num_rows, 128)):
                 out = []
-                for rid, doc_id, text, runs in zip(*(part[c].to_pylist() for c in ("rid", "doc_id", "text", "runs")), strict=True):
+                lists = fields(part["runs"])
+                for rid, doc_id, text, run in zip(*(part[c].to_pylist() for c in ("rid", "doc_id", "text")), lists, strict=True):
                     data = text.encode("utf-8", "surrogatepass")
                     out += [
-                        (r["hash"], r["texts"], data[r["start"] : r["start"] + r["n"] + LENGTH - 1], doc_id is None, doc_id, rid, r["start"])
-                        for r in runs
+                        (hash_, texts, data[start : start + n + LENGTH - 1], doc_id is None, doc_id, rid, start)
+                        for hash_, texts, start, n in zip(*(x.tolist() for x in run), strict=True)
                     ]
                 columns = list(zip(*out, strict=True)) or [[]] * 7
                 types = (pa.int64(), pa.int64(), pa.binary(), pa.bool_(), pa.int64(), pa.int64(), pa.int32())
@@ -348,14 +353,20 @@ def earliest(texts: DataFrame) -> DataFrame:
     return rows.repartition("hash", "sub").sortWithinPartitions("hash", "sub").mapInArrow(expand, "rid long, start int, n int")
 
 
-def removed_starts(n: int, runs: list, kept: list) -> np.ndarray:
+def fields(lists: pa.Array) -> Iterator[list[np.ndarray]]:
+    """The fields of a list of structs as arrays, row by row; a null list is empty."""
+    ends = np.cumsum(lists.value_lengths().fill_null(0).to_numpy())
+    columns = [c.to_numpy() for c in lists.flatten().flatten()]
+    for begin, end in zip(np.concatenate([[0], ends[:-1]]).tolist(), ends.tolist(), strict=True):
+        yield [c[begin:end] for c in columns]
+
+
+def removed_starts(n: int, runs: list[np.ndarray], kept: list[np.ndarray]) -> np.ndarray:
     change = np.zeros(n + 1, dtype=np.int32)
-    for rows, sign in ((runs, 1), (kept, -1)):
-        at = np.array([r["start"] for r in rows], dtype=np.int64)
-        count = np.array([r["n"] for r in rows], dtype=np.int64)
+    for (at, count), sign in ((runs, 1), (kept, -1)):
         np.add.at(change, at, sign)
         np.add.at(change, at + count, -sign)
-    return np.flatnonzero(np.cumsum(change[:n]) > 0)
+    return np.cumsum(change[:n]) > 0
 
 
 def deduplicated(docs: DataFrame, with_text: bool = False) -> DataFrame:
@@ -376,20 +387,19 @@ def deduplicated(docs: DataFrame, with_text: bool = False) -> DataFrame:
         for batch in batches:
             for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
                 out = []
-                for doc_id, text, runs, kept in zip(*(part[c].to_pylist() for c in ("doc_id", "text", "runs", "kept")), strict=True):
+                both = zip(fields(part["runs"]), fields(part["kept"]), strict=True)
+                for doc_id, text, (runs, kept) in zip(part["doc_id"].to_pylist(), part["text"].to_pylist(), both, strict=True):
                     data = text.encode("utf-8", "surrogatepass")
-                    gone, spans = 0, 0
-                    if runs:
-                        change = np.zeros(len(data) + 1, dtype=np.int32)
-                        at = removed_starts(len(data), runs, kept or [])
-                        np.add.at(change, at, 1)
-                        np.add.at(change, at + LENGTH, -1)
-                        drop = np.cumsum(change[:-1]) > 0
-                        gone = int(drop.sum())
-                        spans = int(drop[0]) + int((drop[1:] & ~drop[:-1]).sum())
+                    gone, spans, left = 0, 0, data
+                    if len(runs[0]):
+                        starts = removed_starts(len(data), runs, kept)
+                        edge = np.flatnonzero(np.diff(starts, prepend=False, append=False))
+                        change = np.zeros(len(data) + LENGTH, dtype=np.int32)
+                        np.add.at(change, edge[::2], 1)
+                        np.add.at(change, edge[1::2] + LENGTH - 1, -1)
+                        drop = np.cumsum(change[: len(data)]) > 0
+                        gone, spans = int(drop.sum()), int((drop & ~np.append(False, drop[:-1])).sum())
                         left = np.frombuffer(data, dtype=np.uint8)[~drop].tobytes()
-                    else:
-                        left = data
                     out.append((doc_id, len(data), gone, spans, hashlib.sha256(left).hexdigest(), left))
                 types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
                 arrays = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)]
