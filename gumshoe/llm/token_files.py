@@ -28,7 +28,7 @@ from .store import new_folder
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 ROWS_PER_FILE = 100_000
-CACHE_WORDS = 500_000
+CACHE_WORDS = 800_000
 BATCH_ROWS = 512
 _separators = regex.compile(r"[\x1c-\x1f]")
 _space = regex.compile(r"[^\S\x1c-\x1f]+")
