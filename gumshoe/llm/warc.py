@@ -96,7 +96,7 @@ def derived(row: int | None, record_id: str, target: str, date: str, message: by
             ("Content-Type", content_type),
             ("Content-Length", str(len(data))),
         ]
-        record = gzip.compress(record_bytes(fields, data), mtime=0)
+        record = gzip.compress(record_bytes(fields, data), compresslevel=1, mtime=0)
         yield row, name, ids[name], record_id, other, target, date, content_type, len(data), digest(data), source, block, record
 
 
