@@ -123,7 +123,10 @@ def _chosen(texts: list[set[str]], y: np.ndarray) -> dict[str, int]:
     return {f: i for i, f in enumerate(sorted(f for f, keep in zip(names, (g2 >= MIN_G2) & more, strict=True) if keep))}
 
 
-def fit(texts: list[str], labels: list[int], identity=IDENTITY, swap_weight: float = SWAP_WEIGHT) -> Model:
+def fit(
+    texts: list[str], labels: list[int], identity=IDENTITY, swap_weight: float = SWAP_WEIGHT, share: float | None = None
+) -> Model:
+    """``share`` is that of toxic texts where the sample comes from; the sample's own if it is not given."""
     y = np.array(labels, dtype=np.int64)
     if not len(y) or y.min() == y.max():
         p = min(max(float(y.mean()) if len(y) else 0.0, 1e-6), 1 - 1e-6)
@@ -137,8 +140,9 @@ def fit(texts: list[str], labels: list[int], identity=IDENTITY, swap_weight: flo
     # a copy's change: its counts less those of its text
     dr, dc, dv = np.concatenate([r2, r1]), np.concatenate([c2, c1]), np.concatenate([v2, -v1])
     n, m, k = len(y), len(copies), len(columns)
-    w, bias = np.zeros(k), float(np.log(y.mean() / (1 - y.mean())))
-    balance = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum())
+    share = float(y.mean()) if share is None else share
+    w, bias = np.zeros(k), float(np.log(share / (1 - share)))
+    balance = np.where(y == 1, share / (y == 1).sum(), (1 - share) / (y == 0).sum())
     mw = vw = np.zeros(k + 1)
     for step in range(1, STEPS + 1):
         z = bias + np.bincount(rows, weights=values * w[cols], minlength=n)
@@ -159,6 +163,9 @@ def train(docs: DataFrame, labels: DataFrame, identity=IDENTITY, swap_weight: fl
     marks = labels.where("doc_id is not null and toxic is not null").select(
         F.col("doc_id").alias("labelled"), F.col("toxic").cast("int").alias("toxic")
     )
+    labelled = docs.select("doc_id").join(marks, F.col("doc_id") == F.col("labelled")).groupBy("toxic").agg(F.count("*").alias("n"))
+    counts = {r["toxic"]: r["n"] for r in labelled.where("toxic in (0, 1)").collect()}
+    share = counts.get(1, 0) / max(1, sum(counts.values()))
     rows = (
         docs.select("doc_id", "text")
         .where(F.length("text").between(1, SAMPLE_CHARS))
@@ -170,7 +177,7 @@ def train(docs: DataFrame, labels: DataFrame, identity=IDENTITY, swap_weight: fl
         for label in (0, 1)
         for r in rows.where(F.col("toxic") == label).orderBy("draw").limit(SAMPLE_PER_LABEL).select("toxic", "text").collect()
     ]
-    return fit([r["text"] for r in drawn], [r["toxic"] for r in drawn], identity, swap_weight)
+    return fit([r["text"] for r in drawn], [r["toxic"] for r in drawn], identity, swap_weight, share)
 
 
 def with_scores(docs: DataFrame, model: Model, column: str = "toxicity") -> DataFrame:

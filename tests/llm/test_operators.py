@@ -256,6 +256,8 @@ def test_toxicity_finds_words_and_forms(spark):
     assert got[1002] > 0.3 > got[1003] and got[1000] == got[1001] < 0.3
     held = [got[i] > 0.3 for i in range(400)]
     assert np.mean([h == (i % 4 == 0) for i, h in enumerate(held)]) > 0.97
+    few = toxicity.train(docs.where("doc_id < 20"), labels)  # too few to tell: nothing is rejected
+    assert max(r["toxicity"] for r in toxicity.with_scores(docs, few).collect()) < toxicity.THRESHOLD
     none = toxicity.train(docs, labels.where("toxic = 9"))
     assert toxicity.with_scores(docs, none).count() == len(rows) and none.weights == {}
 
