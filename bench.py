@@ -20,7 +20,7 @@ from gumshoe.plans.registry import QUERIES  # noqa: E402
 HEADLINE = [
     "table_quality_report",
     "table_quality_report_wide",
-    "quartiles_by_histogram",
+    "quartiles",
     "document_lines",
     "document_pattern_hits",
     "page_script_risks",
@@ -43,6 +43,8 @@ def main() -> None:
         .config("spark.driver.memory", "20g")
         .config("spark.sql.shuffle.partitions", cpus)
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.files.minPartitionNum", cpus)
+        .config("spark.sql.files.openCostInBytes", "65536")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")

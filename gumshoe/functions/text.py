@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 from gumshoe.functions import patterns as P
 
 
+def quoted(name: str) -> Column:
+    """The column of that very name, whatever signs it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def strip(c: Column) -> Column:
     """Trim Unicode white space at both ends (plain ``trim`` drops spaces only)."""
     return F.btrim(c, F.lit(P.WHITESPACE))

@@ -2,24 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 
 
 def keep(df: DataFrame) -> DataFrame:
-    """Checkpoint to the cluster's shared folder; it survives lost executors.
-
-    The folder is ``spark.checkpoint.dir`` of the session. Only a local session
-    may leave it unset, as tests do; it then gets a temporary folder.
-    """
+    """Checkpoint to ``spark.checkpoint.dir``, a folder all executors share; it survives lost executors."""
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
-            if not context.master.startswith("local"):
+            if not context.master.startswith("local["):
                 raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="gumshoe-")
+            folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints"
         context.setCheckpointDir(folder)
     return df.checkpoint()

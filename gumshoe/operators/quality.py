@@ -1,7 +1,7 @@
 """Quality report of a table: missing, duplicate, mixed, empty and far-off values.
 
-One pass profiles all columns, one shuffle of row keys counts duplicates, and
-the quartile passes read only the numeric columns.
+An aggregate profiles all columns, a shuffle of fixed-width row keys counts
+duplicates, and the quartile passes read only the numeric columns.
 """
 
 from __future__ import annotations
@@ -13,19 +13,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gumshoe.functions import text
+from gumshoe.functions.text import quoted
 from gumshoe.operators.quartiles import (
     fences,
     long_values,
     numeric_columns,
-    one_pass_quartiles,
-    plan_size,
     quartiles,
 )
 
 SOURCE = "csv_analyzer"  # fixed value: the source name of table findings
 SECTION = 1_000_000  # report order: section number, then column position
-LONG_TEXT = 64
-SMALL_BYTES = 256 << 20  # up to this input size one task can hold a column's values
 
 # The wording of table findings; {name} stands for a value.
 WORDS = {
@@ -69,7 +66,7 @@ def column_kind(data_type: T.DataType) -> str:
 
 
 def _missing(field: T.StructField) -> Column:
-    c = F.col(f"`{field.name}`")
+    c = quoted(field.name)
     if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
         return c.isNull() | F.isnan(c)
     return c.isNull()
@@ -85,7 +82,7 @@ def profile(df: DataFrame) -> DataFrame:
     for i, f in enumerate(fields):
         aggs.append(F.count_if(_missing(f)).alias(f"m{i}"))
         if column_kind(f.dataType) == "text":
-            aggs.append(F.count_if(text.is_number(F.col(f"`{f.name}`"))).alias(f"k{i}"))
+            aggs.append(F.count_if(text.is_number(quoted(f.name))).alias(f"k{i}"))
     counts = df.agg(*aggs)
     zero = F.lit(0).cast("bigint")
     rows = F.array(
@@ -124,24 +121,20 @@ def missing_values(df: DataFrame) -> DataFrame:
     )
 
 
-def _row_key(df: DataFrame) -> list[Column]:
-    """Grouping keys for whole rows. Long texts are keyed by their SHA-256 digest,
-    so a shuffle moves 64 characters instead of the text."""
-    keys = []
-    for i, f in enumerate(df.schema.fields):
-        c = F.col(f"`{f.name}`")
-        if isinstance(f.dataType, T.StringType):
-            short = F.when(F.length(c) <= LONG_TEXT, c)
-            digest = F.when(F.length(c) > LONG_TEXT, F.sha2(c, 256))
-            keys.append(F.struct(short, digest).alias(f"key{i}"))
-        else:
-            keys.append(c.alias(f"key{i}"))
-    return keys
+def _row_key(df: DataFrame) -> Column:
+    """32 bytes for a whole row: nulls are left out of the text that is hashed, so they differ from any value."""
+
+    def value(f: T.StructField) -> Column:
+        c = quoted(f.name)
+        return c + 0 if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else c  # one zero
+
+    fields = [value(f).alias(f"c{i}") for i, f in enumerate(df.schema.fields)]
+    return F.unhex(F.sha2(F.to_json(F.struct(*fields)), 256)).alias("key")
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """One row: rows in all, and rows that repeat an earlier one (nulls are equal)."""
-    groups = df.groupBy(*_row_key(df)).agg(F.count("*").alias("copies"))
+    groups = df.select(_row_key(df)).groupBy("key").agg(F.count("*").alias("copies"))
     return groups.agg(
         F.coalesce(F.sum("copies"), F.lit(0)).alias("n_rows"),
         F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).alias("n_duplicates"),
@@ -167,25 +160,16 @@ def empty_columns(df: DataFrame) -> DataFrame:
     return profile(df).filter(F.col("n_present") == 0).select("pos", "column_name")
 
 
-def column_quartiles(
-    df: DataFrame, columns: list[str] | None = None, accuracy: int | None = None, small_bytes: int = SMALL_BYTES
-) -> DataFrame:
-    """Exact ``(column_name, n, q1, q3)`` per numeric column.
-
-    Small inputs take the built-in one-pass aggregate, larger ones the
-    histogram passes; both give the same numbers. ``accuracy`` asks for
-    approximate quartiles instead.
-    """
+def column_quartiles(df: DataFrame, columns: list[str] | None = None, accuracy: int | None = None) -> DataFrame:
+    """Exact ``(column_name, n, q1, q3)`` per numeric column; with ``accuracy`` approximate, in one pass."""
     columns = numeric_columns(df) if columns is None else columns
-    if accuracy is None and plan_size(df) <= small_bytes:
-        return one_pass_quartiles(df, columns)
     return quartiles(long_values(df, columns), accuracy)
 
 
-def iqr_outliers(df: DataFrame, accuracy: int | None = None, small_bytes: int = SMALL_BYTES) -> DataFrame:
+def iqr_outliers(df: DataFrame, accuracy: int | None = None) -> DataFrame:
     """Numeric columns with values beyond the fences: ``(column_name, n_outliers, lower, upper)``."""
     long = long_values(df)
-    bounds = fences(column_quartiles(df, None, accuracy, small_bytes))
+    bounds = fences(column_quartiles(df, None, accuracy))
     far = long.join(F.broadcast(bounds), "column_name").filter(  # one row per numeric column
         (F.col("x") < F.col("lower")) | (F.col("x") > F.col("upper"))
     )
@@ -197,7 +181,7 @@ def iqr_outliers(df: DataFrame, accuracy: int | None = None, small_bytes: int =
 def outlier_rows(df: DataFrame, column: str, accuracy: int | None = None) -> DataFrame:
     """The rows whose value lies above the upper fence."""
     upper = fences(column_quartiles(df, [column], accuracy)).select("upper")
-    return df.filter(F.col(f"`{column}`") > upper.scalar())
+    return df.filter(quoted(column) > upper.scalar())
 
 
 # ---------------------------------------------------------------- report

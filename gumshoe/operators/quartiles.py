@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gumshoe.functions.text import quoted
+
 PER_OCTAVE = 1024
 FINE_BINS = 1 << 20
 RANKS = ["r0", "r1", "r2", "r3"]  # ranks around the first and the third quartile
@@ -28,8 +30,8 @@ def numeric_columns(df: DataFrame) -> list[str]:
 def long_values(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """``(column_name, x)`` for every present number of the chosen columns."""
     columns = numeric_columns(df) if columns is None else columns
-    values = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in columns])
-    long = values.unpivot([], [F.col(f"`{c}`") for c in columns], "column_name", "x")
+    values = df.select(*[quoted(c).cast("double").alias(c) for c in columns])
+    long = values.unpivot([], [quoted(c) for c in columns], "column_name", "x")
     return long.filter(F.col("x").isNotNull() & ~F.isnan("x"))
 
 
@@ -62,32 +64,6 @@ def _histogram(long: DataFrame, ranges: DataFrame, bin_of: Column) -> DataFrame:
     )
 
 
-def plan_size(df: DataFrame) -> int:
-    """Spark's own estimate of a DataFrame's size in bytes."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def one_pass_quartiles(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Quartiles by the built-in ``percentile``, for inputs whose values fit one task."""
-    aggs = []
-    for i, c in enumerate(columns):
-        x = F.col(f"`{c}`").cast("double")
-        x = F.when(~F.isnan(x), x)
-        aggs += [F.count(x).alias(f"n{i}"), F.percentile(x, [0.25, 0.75]).alias(f"q{i}")]
-    rows = F.array(
-        *[
-            F.struct(
-                F.lit(c).alias("column_name"),
-                F.col(f"n{i}").alias("n"),
-                F.col(f"q{i}")[0].alias("q1"),
-                F.col(f"q{i}")[1].alias("q3"),
-            )
-            for i, c in enumerate(columns)
-        ]
-    )
-    return df.agg(*aggs).select(F.inline(rows)).filter(F.col("n") > 0)
-
-
 def quartiles(long: DataFrame, accuracy: int | None = None) -> DataFrame:
     """``(column_name, n, q1, q3)`` by linear interpolation between neighbours.
 

@@ -75,22 +75,10 @@ PY_PICKS = 5
 PY_BROKEN = "def broken{v}(:\n    pass"
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give every core a share of a small input.
-
-    A table of one file scans as one task. Large inputs already have more
-    splits than cores and are left alone, so nothing is shuffled at scale.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(file_id, language, content)``, one row per order; a narrow projection."""
-    orders = spread(
-        spark.read.parquet(f"{sf_dir}/orders.parquet").select(
-            "o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus"
-        )
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
+        "o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus"
     )
     k, c = F.col("o_orderkey"), F.col("o_custkey")
 
@@ -121,7 +109,7 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole web pages read as script text."""
-    pages = spread(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html"))
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html")
     return pages.select(
         F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("file_id"),
         F.lit("javascript").alias("language"),
@@ -131,7 +119,7 @@ def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole documents read as python text (only the line patterns apply to prose)."""
-    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return docs.select(
         F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("file_id"),
         F.lit("python").alias("language"),

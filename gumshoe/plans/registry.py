@@ -92,7 +92,7 @@ SELECT substring(sha256(path), 1, 32) AS file_id, regexp_extract(path, '([^/]+)$
 FROM s WHERE x IN ('.py', '.js', '.ts', '.csv', '.png', '.jpg', '.jpeg') AND size <= 10485760""",
 )
 def _(spark, sf):
-    return files_source.manifest(samples.paths(spark, sf))
+    return files_source.manifest(samples.paths(spark, sf), max_bytes=10 << 20)
 
 
 @query("decode_bytes", "SELECT doc_id, text FROM documents")
@@ -199,7 +199,7 @@ def _(spark, sf):
 FROM findings JOIN files USING (file_id) WHERE severity IN ('high', 'critical')""",
 )
 def _(spark, sf):
-    rows = history.history_rows(_with_language(spark, sf), "b1")
+    rows = history.history_rows(_with_language(spark, sf), "b1", max_chars=500)
     return rows.select("bug_type", "language", "explanation", "fix", "severity", "impact", F.size("vector").alias("dimensions"), "vec_id")
 
 
@@ -263,7 +263,7 @@ def _extracted(spark, sf):
     raw = F.concat(
         F.lit("```python\n\n “q” — ‘a’ … x\u00a0"), F.col("text"), F.lit("   \n```\n \n")
     )
-    docs = corpus.spread(table(spark, sf, "documents").select("doc_id", "text"))
+    docs = table(spark, sf, "documents").select("doc_id", "text")
     declared = samples.option(samples.DECLARED, F.col("doc_id"))
     return docs.select("doc_id", raw.alias("raw_text"), declared.alias("declared_language"))
 
@@ -753,7 +753,7 @@ def _(spark, sf):
 
 @query("quartiles_by_histogram", _QUARTILES)
 def _(spark, sf):
-    return _rounded(quality.column_quartiles(table(spark, sf, "lineitem"), small_bytes=0))
+    return _rounded(quality.column_quartiles(table(spark, sf, "lineitem")))
 
 
 @query(
@@ -909,7 +909,7 @@ def _(spark, sf):
 
 @query("hash_embedding")
 def _(spark, sf):
-    docs = corpus.spread(table(spark, sf, "documents").select("doc_id", "text"))
+    docs = table(spark, sf, "documents").select("doc_id", "text")
     return docs.select("doc_id", T.hash_embedding(F.col("text")).alias("vector"))
 
 

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gumshoe.functions.constants import array_of
-from gumshoe.plans.corpus import spread
 
 MODELS = ["model_a", "model_b", "model_c"]
 # {m} is the model, {n} is o_orderkey % 15 + 1.
@@ -35,7 +34,7 @@ def option(options: list[str], index: F.Column):
 
 
 def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir}/orders.parquet"))
+    return spark.read.parquet(f"{sf_dir}/orders.parquet")
 
 
 def model_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,7 +128,7 @@ def gappy_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
 
 
 def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:

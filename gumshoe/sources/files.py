@@ -10,8 +10,6 @@ from gumshoe.functions import patterns as P
 from gumshoe.functions import text
 from gumshoe.functions.constants import map_of
 
-MAX_BYTES = 10 * 1024 * 1024
-
 BINARY_FILE = T.StructType(
     [
         T.StructField("path", T.StringType()),
@@ -42,7 +40,7 @@ def filter_allowed_types(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return files.filter(ok), files.filter(~ok)
 
 
-def filter_size_cap(files: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
+def filter_size_cap(files: DataFrame, max_bytes: int) -> DataFrame:
     """Files up to the size limit. On ``binaryFile`` input the filter reaches the scan."""
     return files.filter(F.col("length") <= max_bytes)
 
@@ -57,13 +55,23 @@ def route_by_kind(path: Column) -> Column:
     return F.when(s.isin(P.IMAGE_SUFFIXES), "image").when(s.isin(P.TABLE_SUFFIXES), "csv").otherwise("code")
 
 
-def manifest(raw: DataFrame) -> DataFrame:
-    """Raw files (path, length, content) to one record per accepted file.
+def rejects(raw: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """``(path, length, reason)`` of the raw files that :func:`manifest` leaves out."""
+    reason = F.when(~allowed(F.col("path")), "type")
+    if max_bytes is not None:
+        reason = reason.when(F.col("length") > max_bytes, "size")
+    return raw.select("path", "length", reason.alias("reason")).filter(F.col("reason").isNotNull())
+
+
+def manifest(raw: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """Raw files (path, length, content) to one record per accepted file, of any size unless ``max_bytes`` is given.
 
     The id comes from the path, so a replay gives the same id; 128 bits keep
     it unique over any number of files. Images carry no text.
     """
-    ok = filter_size_cap(filter_allowed_types(raw)[0])
+    ok = filter_allowed_types(raw)[0]
+    if max_bytes is not None:
+        ok = filter_size_cap(ok, max_bytes)
     path = F.col("path")
     return ok.select(
         F.substring(F.sha2(path, 256), 1, 32).alias("file_id"),

@@ -8,23 +8,30 @@ from pyspark.sql import types as T
 
 from gumshoe.functions import patterns as P
 from gumshoe.functions import text
+from gumshoe.functions.text import quoted
 from gumshoe.operators.quality import SOURCE
 
 EXTRA = "_extra_field"
+BROKEN = "_not_as_wide"
 
 
-def read_raw_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """Every field as text, null tokens as null, plus one column for a field too many.
+def read_raw_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """Every field as text, null tokens as null, plus ``EXTRA``, which is set where a row has fields too many.
 
-    ``multi_line`` allows line breaks inside quotes, at the price of one task
-    per file; turn it off for large files that have none.
+    A quote inside quotes is doubled. ``multi_line`` allows line breaks inside
+    quotes, at the price of one task per file.
     """
-    reader = spark.read.option("header", True).option("multiLine", multi_line)
+    reader = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
     names = reader.csv(path).columns
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, EXTRA]])
-    raw = reader.schema(schema).option("enforceSchema", True).csv(path)
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, EXTRA, BROKEN]])
+    reader = reader.schema(schema).option("columnNameOfCorruptRecord", BROKEN)
+    raw = reader.option("enforceSchema", True).option("columnPruning", False).csv(path)
+    # read with one column more than the header has, a row is as wide as the schema only if it is too long
+    separators = F.regexp_count(F.regexp_replace(BROKEN, r'"(?:[^"]|"")*"', ""), F.lit(","))
+    too_long = F.col(EXTRA).isNotNull() | F.col(BROKEN).isNull() | (separators >= len(names))
     return raw.select(
-        *[F.when(~F.col(f"`{n}`").isin(P.NULL_TOKENS), F.col(f"`{n}`")).alias(n) for n in names], EXTRA
+        *[F.when(~quoted(n).isin(P.NULL_TOKENS), quoted(n)).alias(n) for n in names],
+        F.when(too_long, F.coalesce(EXTRA, F.lit(""))).alias(EXTRA),
     )
 
 
@@ -50,7 +57,7 @@ def infer_column_kinds(df: DataFrame) -> dict[str, str]:
     A column without values counts as a number column.
     """
     names = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-    aggs = [F.count_if(F.col(f"`{n}`").isNotNull() & ~text.is_number(F.col(f"`{n}`"))).alias(str(i)) for i, n in enumerate(names)]
+    aggs = [F.count_if(quoted(n).isNotNull() & ~text.is_number(quoted(n))).alias(str(i)) for i, n in enumerate(names)]
     row = df.agg(*aggs).first() if names else []
     return {n: "text" if row[i] else "number" for i, n in enumerate(names)}
 
@@ -58,17 +65,17 @@ def infer_column_kinds(df: DataFrame) -> dict[str, str]:
 def typed(df: DataFrame, kinds: dict[str, str]) -> DataFrame:
     """Number columns as doubles."""
     return df.withColumns(
-        {n: F.col(f"`{n}`").try_cast("double") for n, kind in kinds.items() if kind == "number"}
+        {n: quoted(n).try_cast("double") for n, kind in kinds.items() if kind == "number"}
     )
 
 
-def read_csv_table(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+def read_csv_table(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """A CSV table with column types found from its values."""
     raw = read_raw_csv(spark, path, multi_line).drop(EXTRA)
     return typed(raw, infer_column_kinds(raw))
 
 
-def csv_report(spark: SparkSession, path: str, table_name: str, multi_line: bool = True) -> DataFrame:
+def csv_report(spark: SparkSession, path: str, table_name: str, multi_line: bool = False) -> DataFrame:
     """The quality report of a CSV file, or its parse error alone."""
     from gumshoe.operators.quality import table_quality_report
 
