@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE_PER_LABEL = 4000
+SAMPLE_PER_LABEL = 1500
 """Labelled texts that are learned from, for each label: those whose ids have the smallest MD5."""
 SAMPLE_CHARS = 20_000
 THRESHOLD = 0.3
