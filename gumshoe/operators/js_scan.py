@@ -1,9 +1,9 @@
 """Javascript / typescript: declarations, line facts and rules.
 
-A file is one row, and everything a rule needs to know about the rest of the
-file is a small array on that row: the declared names, the parameter pool and
-the function names. The lines are exploded with those arrays beside them, so
-the whole scan is one narrow pass: no shuffle, no join, no skew by file.
+A file is one row. Names that a rule must look up in the rest of the file are
+sorted together with the file's declarations (see ``lookups``), which takes time
+and memory in proportion to the file, up to the sort's logarithm. What was found
+is exploded beside the lines: one narrow pass, without a shuffle or a join.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from gumshoe.functions import patterns as P
 from gumshoe.functions import text as T
 from gumshoe.functions.constants import array_of
+from gumshoe.operators import lookups
 from gumshoe.operators.catalogue import MESSAGE, PATTERN, filled
 from gumshoe.operators.lines import drop_comment_lines, split_lines, trim_lines
 
@@ -83,33 +84,73 @@ def with_scope(files: DataFrame) -> DataFrame:
     )
 
 
-def js_lines(files: DataFrame) -> DataFrame:
-    """Trimmed code lines with the file's scope and the four preceding lines.
+def _guarded(e: Column) -> Column:
+    """One of the four lines above names the object and looks like a check; comment lines count."""
+    above = [F.get("lines", e["line"] - 1 - n) for n in range(1, 5)]
+    return reduce(
+        lambda a, b: a | b,
+        [F.coalesce(F.contains(t, e["name"]) & T.contains_any(t, P.JS_GUARD_MARKS), F.lit(False)) for t in above],
+    )
+
+
+def js_rows(files: DataFrame) -> DataFrame:
+    """Trimmed code lines (``text``), and the names whose rule depends on the rest of the file.
 
-    ``before1`` is the line just above; comment lines count as preceding lines.
+    A row of the second kind has no text but a ``scope``: an object among the
+    parameters (``param``), a called function of the file (``function``) or the
+    first name of a line that is declared nowhere (``any``).
     """
-    scoped = with_scope(files)
+    scoped = with_scope(files).withColumn(
+        "code",
+        F.filter(
+            F.transform("lines", lambda s, i: F.struct((i + 1).alias("line"), T.strip(s).alias("text"))),
+            lambda r: ~T.is_js_comment(r["text"]),
+        ),
+    )
+
+    def with_words(*words: str) -> Column:
+        return F.filter("code", lambda r: reduce(lambda a, b: a & b, [F.contains(r["text"], F.lit(w)) for w in words]))
 
-    def above(n: int) -> Column:
-        blanks = F.array(*[F.lit("")] * n)
-        return F.slice(F.concat(blanks, F.col("lines")), F.lit(1), F.size("lines"))
+    def names_of(r: Column) -> Column:
+        words = T.identifiers(T.strip_comments_and_strings(r["text"]))
+        return F.array_distinct(F.filter(words, lambda w: ~w.isin(P.JS_BUILTINS + P.JS_KEYWORDS)))
 
-    stacked = F.arrays_zip(
-        F.col("lines").alias("text"), *[above(n).alias(f"before{n}") for n in range(1, 5)]
+    names = F.flatten(
+        F.transform(
+            F.filter("code", lambda r: ~r["text"].rlike(P.JS_DECLARATION_START)),
+            lambda r: F.transform(names_of(r), lambda w, at: lookups.use("any", w, r["line"], at)),
+        )
     )
-    rows = scoped.select(
-        "file_id", "language", "declared", "param_pool", "function_names", F.posexplode(stacked)
+    members = F.transform(
+        with_words("."),
+        lambda r: lookups.use(
+            "param", F.regexp_extract(r["text"], P.MEMBER, 1), r["line"], detail=F.regexp_extract(r["text"], P.MEMBER, 2)
+        ),
     )
-    return rows.select(
-        "file_id",
-        "language",
-        "declared",
-        "param_pool",
-        "function_names",
-        (F.col("pos") + 1).alias("line"),
-        T.strip(F.col("col.text")).alias("text"),
-        *[F.col("col")[f"before{n}"].alias(f"before{n}") for n in range(1, 5)],
-    ).filter(~T.is_js_comment(F.col("text")))
+    callees = F.transform(
+        with_words("null", "("), lambda r: lookups.use("function", F.regexp_extract(r["text"], P.NULL_CALL, 1), r["line"])
+    )
+    entries = F.concat(
+        lookups.definitions("any", F.col("declared")),
+        lookups.definitions("param", F.col("param_pool")),
+        lookups.definitions("function", F.col("function_names")),
+        names,
+        F.filter(members, lambda e: (e["name"] != "") & ~e["name"].isin(P.JS_SAFE_OBJECTS) & ~_guarded(e)),
+        F.filter(callees, lambda e: (e["name"] != "") & ~e["name"].isin("console", "Math")),
+    )
+    looked_up = lookups.resolved(scoped.select("file_id", "language", "code", entries.alias("entries")), "entries", ["any"])
+    none = F.lit(None).cast("string")
+
+    def row(r: Column, text: Column, scope: Column, name: Column, detail: Column) -> Column:
+        return F.struct(
+            r["line"].alias("line"), text.alias("text"), scope.alias("scope"), name.alias("name"), detail.alias("detail")
+        )
+
+    rows = F.concat(
+        F.transform("code", lambda r: row(r, r["text"], none, none, none)),
+        F.transform("entries", lambda e: row(e, none, e["scope"], e["name"], e["detail"])),
+    )
+    return looked_up.select("file_id", "language", F.inline(rows))
 
 
 # ---------------------------------------------------------------- facts
@@ -208,51 +249,21 @@ def js_hits(files: DataFrame) -> DataFrame:
         found = F.when(guard, F.regexp_extract(t, pattern, n))
         return F.when(found != "", found)
 
-    undeclared = F.when(
-        ~t.rlike(P.JS_DECLARATION_START),
-        F.get(
-            F.array_except(
-                F.filter(
-                    T.identifiers(T.strip_comments_and_strings(t)),
-                    lambda w: ~w.isin(P.JS_BUILTINS + P.JS_KEYWORDS),
-                ),
-                F.col("declared"),
-            ),
-            F.lit(0),
-        ),
-    )
-    lines = js_lines(files).withColumns(
+    lines = js_rows(files).withColumns(
         {
             "loop_index": group(has("<=", ".length"), P.OFF_BY_ONE, 1),
             "loop_array": group(has("<=", ".length"), P.OFF_BY_ONE, 2),
             "shifted": group(has("[", "+") & ~t.rlike(P.INDEX_PLUS_GUARD), P.INDEX_PLUS, 1),
             "shift_index": group(has("[", "+") & ~t.rlike(P.INDEX_PLUS_GUARD), P.INDEX_PLUS, 2),
             "shift_by": group(has("[", "+") & ~t.rlike(P.INDEX_PLUS_GUARD), P.INDEX_PLUS, 3),
-            "obj": group(has("."), P.MEMBER, 1),
-            "member": group(has("."), P.MEMBER, 2),
             "ratio": group(has("/"), P.DIVISION, 0),
             "divisor": group(has("/"), P.DIVISION, 2),
-            "null_callee": group(has("null", "("), P.NULL_CALL, 1),
-            "unknown": undeclared,
         }
     )
-    guarded = reduce(
-        lambda a, b: a | b,
-        [
-            F.contains(F.col(f"before{n}"), F.col("obj"))
-            & T.contains_any(F.col(f"before{n}"), P.JS_GUARD_MARKS)
-            for n in range(1, 5)
-        ],
-    )
-    null_reference = (
-        F.array_contains("param_pool", F.col("obj")) & ~F.col("obj").isin(P.JS_SAFE_OBJECTS) & ~guarded
-    )
     divides = F.col("ratio").isNotNull() & ~F.contains(
         F.call_function("substring_index", t, F.col("ratio"), F.lit(1)), F.lit("//")
     )
-    null_argument = F.array_contains("function_names", F.col("null_callee")) & ~F.col(
-        "null_callee"
-    ).isin("console", "Math")
+    scope, name = F.col("scope"), F.col("name")
     evals = has("eval(")
     none = F.lit(None).cast("string")
 
@@ -282,10 +293,10 @@ def js_hits(files: DataFrame) -> DataFrame:
             F.col("shifted").isNotNull(), 2, "out_of_bounds",
             {"index": F.col("shift_index"), "step": F.col("shift_by")}, array=F.col("shifted"),
         ),
-        rule(null_reference, 3, "null_reference", {"member": F.col("member")}, variable=F.col("obj")),
+        rule(scope == "param", 3, "null_reference", {"member": F.col("detail")}, variable=name),
         rule(divides, 4, "division", variable=F.col("divisor")),
-        rule(F.col("unknown").isNotNull(), 5, "undefined_variable", variable=F.col("unknown")),
-        rule(null_argument, 6, "null_argument", function=F.col("null_callee")),
+        rule(scope == "any", 5, "undefined_variable", variable=name),
+        rule(scope == "function", 6, "null_argument", function=name),
         rule(evals, 7, "security"),
         pattern(has("==") & ~has("===") & t.rlike(P.LOOSE_EQUALITY), 11, "loose_equality"),
         pattern(evals, 12, "eval"),

@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from gumshoe.operators import code_scan, findings, js_scan, lines, python_scan
@@ -202,3 +204,15 @@ def test_lint_order_and_severity(spark, files):
         (2, "Unused Code", "pylint"), (3, "Undefined Variable", "pylint")
     ]
     assert rows[1].explanation == "undefined type"
+
+
+def test_time_grows_with_the_declarations_of_a_file(files):
+    def seconds(n):
+        text = "\n".join(f"var name{i} = 1;\nname{i} = other + name{i * 7 % n};" for i in range(n))
+        start = time.monotonic()
+        assert js_scan.js_hits(files(("javascript", text))).filter("type = 'undefined_variable'").count() == n
+        return time.monotonic() - start
+
+    seconds(500)
+    few, many = seconds(4_000), seconds(32_000)
+    assert many < 16 * max(few, 1)
