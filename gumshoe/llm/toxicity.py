@@ -9,7 +9,7 @@ Only features that go with the label more than chance explains are used; what a
 the executors look words up in. The score of a text is the logistic function of the bias and the sum over its words.
 
 Nulls and ties: a null or empty text has no words and the score of the bias alone; labels without id or value are left out;
-a document with several labels counts once for each; rows that repeat are scored alike. Without labels of both kinds every
+a document with several labels counts once for each; rows that repeat are scored alike, and learned from once. Without labels of both kinds every
 score is the share of toxic labels, or 0. Other columns of the input are passed on by :func:`with_scores` only.
 """
 
@@ -18,15 +18,19 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .store import stored
+
 SAMPLE_PER_LABEL = 1500
 """Labelled texts that are learned from, for each label: those whose ids have the smallest MD5."""
 SAMPLE_CHARS = 20_000
+"""Longer texts are not learned from; all are scored whole."""
 THRESHOLD = 0.3
 MIN_G2 = 16.0
 SWAP_WEIGHT = 1.0
@@ -158,26 +162,54 @@ def fit(
     return Model(float(bias), {f: float(w[i]) for f, i in columns.items() if w[i]})
 
 
-def train(docs: DataFrame, labels: DataFrame, identity=IDENTITY, swap_weight: float = SWAP_WEIGHT) -> Model:
-    """Learn from ``labels (doc_id, toxic)`` of ``docs (doc_id, text)``."""
-    marks = labels.where("doc_id is not null and toxic is not null").select(
-        F.col("doc_id").alias("labelled"), F.col("toxic").cast("int").alias("toxic")
+def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``(toxic, doc_id, draw, short, n)``: the labelled documents without their texts, rows that repeat counted in ``n``."""
+    marks = (
+        labels.where("doc_id is not null and toxic is not null")
+        .groupBy(F.col("doc_id").alias("labelled"), F.col("toxic").cast("int").alias("toxic"))
+        .agg(F.count("*").alias("marks"))
+        .where("toxic in (0, 1)")
     )
-    labelled = docs.select("doc_id").join(marks, F.col("doc_id") == F.col("labelled")).groupBy("toxic").agg(F.count("*").alias("n"))
-    counts = {r["toxic"]: r["n"] for r in labelled.where("toxic in (0, 1)").collect()}
+    short = F.coalesce(F.length("text").between(1, SAMPLE_CHARS), F.lit(False))
+    rows = docs.where("doc_id is not null").select("doc_id", _draw().alias("draw"), short.alias("short"))
+    rows = rows.groupBy("doc_id", "draw", "short").agg(F.count("*").alias("rows"))
+    found = rows.join(marks, F.col("doc_id") == F.col("labelled"))
+    return found.select("toxic", "doc_id", "draw", "short", (F.col("rows") * F.col("marks")).alias("n"))
+
+
+def _draw() -> Column:
+    return F.md5(F.concat(F.col("doc_id").cast("string"), F.lit(" "), F.md5(F.coalesce("text", F.lit("")))))
+
+
+def _under(eligible: int, wanted: int) -> str:
+    """A digest that, with a wide margin, more than ``wanted`` of ``eligible`` digests are smaller than."""
+    share = (1.5 * wanted + 200) / max(1, eligible)
+    return f"{int(share * (1 << 52)):013x}" if share < 1 else "g"
+
+
+def train(docs: DataFrame, labels: DataFrame, identity=IDENTITY, swap_weight: float = SWAP_WEIGHT) -> Model:
+    """Learn from ``labels (doc_id, toxic)`` of ``docs (doc_id, text)``.
+
+    The sample is drawn from digests: only the texts drawn are shuffled and reach the driver, whatever the table's size.
+    """
+    labelled = stored(_labelled(docs, labels), "labelled")
+    per_label = labelled.groupBy("toxic").agg(F.sum("n").alias("n"), F.count_if("short").alias("eligible")).collect()
+    counts = {r["toxic"]: r["n"] for r in per_label}
     share = counts.get(1, 0) / max(1, sum(counts.values()))
-    rows = (
-        docs.select("doc_id", "text")
-        .where(F.length("text").between(1, SAMPLE_CHARS))
-        .join(marks, F.col("doc_id") == F.col("labelled"))
-        .select("toxic", "text", F.md5(F.concat(F.col("doc_id").cast("string"), F.lit(" "), F.md5("text"))).alias("draw"))
-    )
     drawn = [
-        r
-        for label in (0, 1)
-        for r in rows.where(F.col("toxic") == label).orderBy("draw").limit(SAMPLE_PER_LABEL).select("toxic", "text").collect()
+        labelled.where((F.col("toxic") == r["toxic"]) & F.col("short") & (F.col("draw") < _under(r["eligible"], SAMPLE_PER_LABEL)))
+        .orderBy("draw")
+        .limit(SAMPLE_PER_LABEL)
+        .select("toxic", "doc_id", "draw")
+        for r in per_label
     ]
-    return fit([r["text"] for r in drawn], [r["toxic"] for r in drawn], identity, swap_weight, share)
+    if not drawn:
+        return fit([], [], identity, swap_weight, share)
+    chosen = reduce(DataFrame.unionByName, drawn).withColumnRenamed("doc_id", "labelled").withColumnRenamed("draw", "drawn")
+    same = (F.col("doc_id") == F.col("labelled")) & (_draw() == F.col("drawn"))
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), same)
+    sample = texts.groupBy("toxic", "drawn").agg(F.min("text").alias("text")).orderBy("toxic", "drawn").collect()
+    return fit([r["text"] for r in sample], [r["toxic"] for r in sample], identity, swap_weight, share)
 
 
 def with_scores(docs: DataFrame, model: Model, column: str = "toxicity") -> DataFrame:
