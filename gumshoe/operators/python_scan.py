@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gumshoe.functions import patterns as P
+from gumshoe.operators import lookups
 from gumshoe.operators.catalogue import MESSAGE, filled
 
 # Ship this module's functions with the tasks: executors need no copy of the package.
@@ -131,6 +132,11 @@ def _file_nodes(content: str) -> list[tuple]:
                 loads.setdefault((name, extra), order)
             else:
                 nodes.append((kind, name, node.lineno, order, extra, names))
+    # The last definition of a name decides which parameter an argument fills.
+    params = {name: names for kind, name, _, _, _, names in nodes if kind == "function"}
+    for i, (kind, name, line, o, pos, _) in enumerate(nodes):
+        if kind == "zero_argument":
+            nodes[i] = (kind, name, line, o, pos, params.get(name, [])[pos : pos + 1])
     nodes.extend(("load", name, line, o, None, None) for (name, line), o in loads.items())
     return nodes
 
@@ -208,24 +214,18 @@ def python_defined_names(parsed: DataFrame) -> DataFrame:
 def python_risks(parsed: DataFrame, with_counts: bool = False) -> DataFrame:
     """The first risk of each type and line of every python file.
 
-    Works on one file's arrays at a time: the calls find their callee's
-    parameters, the loads are checked against the name pool, and repeats are
-    dropped, all without a shuffle. ``with_counts`` adds one row per file of
-    type ``COUNT`` whose ``ord`` is the number of functions, so that a caller
-    who needs both parses each file once.
+    Works on one file's arrays at a time: the loads are sorted together with the
+    name pool (see ``lookups``) and repeats are dropped, all without a shuffle.
+    ``with_counts`` adds one row per file of type ``COUNT`` whose ``ord`` is the
+    number of functions, so that a caller who needs both parses each file once.
     """
-    named = with_names(parsed).withColumn(
-        "undefined",
-        F.array_except(
-            F.array_distinct(
-                F.transform(
-                    F.filter("nodes", lambda n: (n["kind"] == "load") & ~n["name"].isin(P.PY_BUILTINS)),
-                    lambda n: n["name"],
-                )
-            ),
-            F.col("defined"),
-        ),
+    named = with_names(parsed)
+    loads = F.filter("nodes", lambda n: (n["kind"] == "load") & ~n["name"].isin(P.PY_BUILTINS))
+    entries = F.concat(
+        lookups.definitions("any", F.col("defined")),
+        F.transform(loads, lambda n: lookups.use("any", n["name"], n["line"], n["ord"])),
     )
+    named = lookups.resolved(named.withColumn("entries", entries), "entries", ["any"])
     none = F.lit(None).cast("string")
 
     def risk(n: Column, kind: str, late: int = 0, message: Column | None = None, **bound: Column) -> Column:
@@ -242,18 +242,17 @@ def python_risks(parsed: DataFrame, with_counts: bool = False) -> DataFrame:
         text = F.replace(F.lit(MESSAGE["py"]["out_of_bounds"]), F.lit("{step}"), n["names"][0])
         return risk(n, "out_of_bounds", message=text, variable=n["name"])
 
-    # The last definition of a name decides which parameter an argument fills.
-    def parameter(n: Column) -> Column:
-        same = F.filter("functions", lambda f: f["name"] == n["name"])
-        return F.get(F.get(same, F.size(same) - 1)["names"], n["pos"])
-
     zero = F.filter(
-        F.transform(_of("zero_argument"), lambda n: risk(n, "zero_argument", function=n["name"], param=parameter(n))),
+        F.transform(
+            _of("zero_argument"), lambda n: risk(n, "zero_argument", function=n["name"], param=F.get(n["names"], F.lit(0)))
+        ),
         lambda r: r["param"].isNotNull(),
     )
     undefined = F.transform(
-        F.filter("nodes", lambda n: (n["kind"] == "load") & F.array_contains("undefined", n["name"])),
-        lambda n: risk(n, "undefined_variable", late=1, variable=n["name"]),
+        "entries",
+        lambda e: risk(
+            F.struct(e["line"].alias("line"), e["at"].alias("ord")), "undefined_variable", late=1, variable=e["name"]
+        ),
     )
     found = F.concat(
         F.transform(_of("syntax_error"), lambda n: risk(n, "syntax_error", message=n["name"])),

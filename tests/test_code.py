@@ -216,3 +216,18 @@ def test_time_grows_with_the_declarations_of_a_file(files):
     seconds(500)
     few, many = seconds(4_000), seconds(32_000)
     assert many < 16 * max(few, 1)
+
+
+def test_time_grows_with_the_uses_of_a_python_file(files):
+    def seconds(n):
+        text = "\n".join(f"def f{i}(a, b):\n    return a + y{i} + f{i - 1}(0, 0)" for i in range(1, n + 1))
+        start = time.monotonic()
+        found = python_scan.python_risks(python_scan.parse_python(files(("python", text))))
+        # the first call goes to f0, which the file does not define; of two zero arguments on a line one is reported
+        kinds = {r["type"]: r["count"] for r in found.groupBy("type").count().collect()}
+        assert kinds == {"zero_argument": n - 1, "undefined_variable": n}
+        return time.monotonic() - start
+
+    seconds(500)
+    few, many = seconds(2_000), seconds(16_000)
+    assert many < 16 * max(few, 1)
