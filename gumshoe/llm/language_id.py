@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .drawing import under
+
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 16
@@ -144,10 +146,12 @@ def train(labelled: DataFrame) -> Network | None:
     rows = labelled.where(
         F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.length("text").between(1, SAMPLE_CHARS))
     ).select("lang", "text", F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5("text"))).alias("draw"))
-    languages = sorted(r["lang"] for r in rows.select("lang").distinct().collect())
+    eligible = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    languages = sorted(eligible)
     x, y = [], []
     for k, language in enumerate(languages):
-        drawn = rows.where(F.col("lang") == language).orderBy("draw").limit(SAMPLE_PER_LANGUAGE).select("text").collect()
+        few = rows.where((F.col("lang") == language) & (F.col("draw") < under(eligible[language], SAMPLE_PER_LANGUAGE)))
+        drawn = few.orderBy("draw").limit(SAMPLE_PER_LANGUAGE).select("text").collect()
         for r in drawn:
             if _letter.search(r["text"]):
                 w = windows_of(r["text"].encode())

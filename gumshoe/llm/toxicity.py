@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .drawing import under
 from .store import stored
 
 SAMPLE_PER_LABEL = 1500
@@ -181,12 +182,6 @@ def _draw() -> Column:
     return F.md5(F.concat(F.col("doc_id").cast("string"), F.lit(" "), F.md5(F.coalesce("text", F.lit("")))))
 
 
-def _under(eligible: int, wanted: int) -> str:
-    """A digest that, with a wide margin, more than ``wanted`` of ``eligible`` digests are smaller than."""
-    share = (1.5 * wanted + 200) / max(1, eligible)
-    return f"{int(share * (1 << 52)):013x}" if share < 1 else "g"
-
-
 def train(docs: DataFrame, labels: DataFrame, identity=IDENTITY, swap_weight: float = SWAP_WEIGHT) -> Model:
     """Learn from ``labels (doc_id, toxic)`` of ``docs (doc_id, text)``.
 
@@ -197,7 +192,7 @@ def train(docs: DataFrame, labels: DataFrame, identity=IDENTITY, swap_weight: fl
     counts = {r["toxic"]: r["n"] for r in per_label}
     share = counts.get(1, 0) / max(1, sum(counts.values()))
     drawn = [
-        labelled.where((F.col("toxic") == r["toxic"]) & F.col("short") & (F.col("draw") < _under(r["eligible"], SAMPLE_PER_LABEL)))
+        labelled.where((F.col("toxic") == r["toxic"]) & F.col("short") & (F.col("draw") < under(r["eligible"], SAMPLE_PER_LABEL)))
         .orderBy("draw")
         .limit(SAMPLE_PER_LABEL)
         .select("toxic", "doc_id", "draw")
