@@ -2,8 +2,9 @@
 
 A page is reduced to the tree of its block elements, in which a run of like siblings is one node. The most frequent tree of
 a host becomes its wrapper. Every page is aligned with the wrapper by simple tree matching (the greatest number of pairs of
-nodes that keeps labels, order and ancestry). Over all pages of the host, a wrapper node whose text never changes is template,
-one whose text varies is a content slot.
+nodes that keeps labels, order and ancestry). Over the different pages of the host, a wrapper node that at least two of them
+carry and whose text never changes is template, any other is a content slot. Copies of a page (like tree, like texts) count
+once, for the choice of the wrapper too: what only copies share is not template.
 
 A page's text is made of its content slots without what is marked as something else (menus, footers, notices, adverts,
 forms, comments). Where a page marks its article, the article is taken whole, template or not.
@@ -198,7 +199,7 @@ def induced(pages: DataFrame) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            shapes, texts = [], []
+            shapes, texts, digests = [], [], []
             for html in batch["html"].to_pylist():
                 page = Page(html or "")
                 shape, slots = slots_of(page)
@@ -206,12 +207,14 @@ def induced(pages: DataFrame) -> DataFrame:
                 texts.append(
                     [xxhash.xxh64_intdigest("\n".join(page.blocks[i][1] for i in b)) >> 1 if b else None for b in slots]
                 )
+                digests.append(xxhash.xxh3_128_digest(f"{shape}\n{texts[-1]}"))
             yield pa.RecordBatch.from_arrays(
-                [batch["host"], pa.array(shapes, pa.string()), pa.array(texts, pa.list_(pa.int64()))],
-                names=["host", "shape", "texts"],
+                [batch["host"], pa.array(digests, pa.binary()), pa.array(shapes, pa.string()), pa.array(texts, pa.list_(pa.int64()))],
+                names=["host", "page", "shape", "texts"],
             )
 
-    trees = stored(pages.mapInArrow(read, "host string, shape string, texts array<long>"), "trees")
+    read_pages = pages.mapInArrow(read, "host string, page binary, shape string, texts array<long>")
+    trees = stored(read_pages.dropDuplicates(["host", "page"]), "trees")
     counts = trees.groupBy("host", "shape").agg(F.count("*").alias("n"))
     best = F.max_by("shape", F.struct("n", F.length("shape"), "shape"))
     wrappers = stored(counts.groupBy("host").agg(best.alias("wrapper")), "wrappers")

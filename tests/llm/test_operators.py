@@ -143,6 +143,22 @@ def test_html_template(spark):
     assert {r["page_id"]: r["text"] for r in got} == {i: f"text{i} first\n\ntext{i} second" for i in range(4)}
 
 
+def extracted(spark, bodies):
+    rows = [(i, f"http://h/{i}", PAGE.format(body=body)) for i, body in enumerate(bodies)]
+    got = html_extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    return [r["text"] for r in sorted(got, key=lambda r: r["page_id"])]
+
+
+def test_copies_are_no_template(spark):
+    assert extracted(spark, ["<div><p>Only text</p></div>"] * 2) == ["Only text"] * 2
+    body = "<div><p>Welcome</p><div><h2>T{0}</h2></div>{1}</div>"
+    rare = [body.format("copy", "<div><pre>Only here</pre></div>")] * 3
+    got = extracted(spark, [body.format(i, "") for i in range(6)] + rare)
+    assert got == [f"T{i}" for i in range(6)] + ["Tcopy\n\nOnly here"] * 3
+    shared = [body.format(i, "<div><pre>On two pages</pre></div>") for i in range(2)]
+    assert extracted(spark, shared + [body.format(7, "")]) == ["T0", "T1", "T7"]
+
+
 def test_tree_matching_is_best():
     """Against trying all order-keeping pairings of children."""
     from itertools import combinations
