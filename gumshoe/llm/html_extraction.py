@@ -10,20 +10,22 @@ A page's text is made of its content slots without what is marked as something e
 forms, comments). Where a page marks its article, the article is taken whole, template or not.
 
 Only counts leave the pages: trees and node statistics are pre-aggregated, so that a host with a third of all pages is not
-gathered anywhere. Wrappers are sent to the pages; beyond a checked size they are joined.
+gathered anywhere. Pages of any length and depth are aligned. Wrappers are sent to the pages; beyond a checked size they are joined.
 
 Nulls and ties: a null html is empty and gives an empty text; pages without a host form one group; of equally frequent trees
-the longest and then the smallest is taken; a host with one page has no template; pages that share no node with the wrapper, or have
-too many nodes to align, are read alone. Repeated ids are separate pages. An empty table gives an empty result. Other columns
+the longest and then the smallest is taken; a host with one page has no template; pages that share no node with the wrapper
+are read alone. Repeated ids are separate pages. An empty table gives an empty result. Other columns
 are ignored.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 from functools import lru_cache
+from math import isqrt
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -39,42 +41,32 @@ ASIDE_HINT = re.compile(
     r"newsletter|notice|pagination|popup|promo|related|share|sharing|sidebar|social|sponsor\w*|subscribe|widget)(?:$|[\s_-])"
 )
 ARTICLE_HINT = re.compile(r"(?:^|\s)(main|articlebody|article-body|post-content|entry-content|article-content)(?:$|\s)")
-MAX_CELLS = 400_000
 MAX_LINKED = 0.5
 
+# What is kept in memory to save time; results do not depend on it.
+REMEMBERED = 200_000
+SHORT = 10_000
+
 
 def host_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.-]*://([^/?#]*)", 1), F.lit(""))
 
 
 class Shape:
-    """A tree in which runs of like siblings are one node; ``members`` are the elements it stands for."""
-
-    __slots__ = ("label", "children", "members", "text", "number")
+    """A tree in which runs of like siblings are one node; equal trees have equal keys."""
 
-    def __init__(self, label: str, children: list, members: list) -> None:
-        self.label, self.children, self.members, self.number = label, children, members, -1
-        self.text = f"{label}({','.join(c.text for c in children)})" if children else label
+    __slots__ = ("label", "children", "key", "size", "number")
 
-
-def shape_of(node: Node) -> Shape:
-    children: list[Shape] = []
-    for child in node.children:
-        s = shape_of(child)
-        if children and children[-1].text == s.text:
-            _absorb(children[-1], s)
-        else:
-            children.append(s)
-    return Shape(node.label, children, [node])
+    def __init__(self, label: str, children: list) -> None:
+        self.label, self.children, self.number = label, children, -1
+        self.key = key_of(label, [c.key for c in children])
+        self.size = 1 + sum(c.size for c in children)
 
 
-def _absorb(a: Shape, b: Shape) -> None:
-    a.members += b.members
-    for x, y in zip(a.children, b.children, strict=True):
-        _absorb(x, y)
+def key_of(label: str, children: list[bytes]) -> bytes:
+    return xxhash.xxh3_128_digest(label.encode() + b"(" + b"".join(children))
 
 
-@lru_cache(maxsize=1024)
 def wrapper_of(text: str) -> tuple[Shape, int]:
     """Read a shape's text back; nodes are numbered in order."""
     stack: list[tuple[str, list]] = [("", [])]
@@ -83,105 +75,216 @@ def wrapper_of(text: str) -> tuple[Shape, int]:
             stack.append((label, []))
             continue
         if label:
-            stack[-1][1].append(Shape(label, [], []))
+            stack[-1][1].append(Shape(label, []))
         if mark == ")":
             name, children = stack.pop()
-            stack[-1][1].append(Shape(name, children, []))
+            stack[-1][1].append(Shape(name, children))
     root = stack[0][1][0]
-    n = 0
+    for n, s in enumerate(preorder(root)):
+        s.number = n
+    return root, root.size
+
+
+def preorder(root: Node | Shape) -> Iterator:
     todo = [root]
     while todo:
         s = todo.pop()
-        s.number = n
-        n += 1
+        yield s
         todo.extend(reversed(s.children))
-    return root, n
 
 
-def matched(a: Shape, b: Shape, known: dict) -> int:
-    """Simple tree matching: pairs in the best alignment of two trees with like roots, 0 otherwise."""
+def _at_once(a: Shape, b: Shape, known: dict) -> int | None:
+    """What :func:`matched` gives, if that takes no comparison of children."""
     if a.label != b.label:
         return 0
-    key = (a.text, b.text)
-    if key not in known:
-        known[key] = 1 + _rows(a, b, known)[-1][-1]
-    return known[key]
+    if a.key == b.key:
+        return a.size
+    return known.get((a.key, b.key)) if a.children and b.children else 1
 
 
-def _rows(a: Shape, b: Shape, known: dict) -> list[list[int]]:
-    rows = [[0] * (len(b.children) + 1)]
-    for x in a.children:
-        above, row = rows[-1], [0]
-        for j, y in enumerate(b.children):
-            row.append(max(row[-1], above[j + 1], above[j] + matched(x, y, known)))
-        rows.append(row)
-    return rows
+def matched(a: Shape, b: Shape, known: dict) -> int:
+    """Simple tree matching: pairs in the best alignment of two trees with like roots, 0 otherwise."""
+    found = _at_once(a, b, known)
+    return _run(_best(a, b, known), known) if found is None else found
+
+
+def _run(work: Generator, known: dict):
+    """Run ``work``, which asks for pairs of nodes to be matched, on a stack of its own: trees may be deep."""
+    stack, answer = [(None, work)], None
+    while True:
+        pair, work = stack[-1]
+        try:
+            a, b = work.send(answer)
+        except StopIteration as end:
+            stack.pop()
+            answer = end.value
+            if not stack:
+                return answer
+            if len(known) >= REMEMBERED:
+                known.clear()  # costs time only
+            known[pair] = answer
+        else:
+            stack.append(((a.key, b.key), _best(a, b, known)))
+            answer = None
+
+
+def _ends(a: Shape, b: Shape) -> tuple[int, int]:
+    """How many children are equal at the end and then at the beginning: pairing them is always best."""
+    x, y = a.children, b.children
+    least, last, first = min(len(x), len(y)), 0, 0
+    while last < least and x[-1 - last].key == y[-1 - last].key:
+        last += 1
+    while first < least - last and x[first].key == y[first].key:
+        first += 1
+    return first, last
+
+
+def _columns(ys: list[Shape]) -> dict[str, tuple[list[int], dict]]:
+    """For each label its places, and the places of each different tree with children."""
+    found: dict[str, tuple[list[int], dict]] = {}
+    for j, y in enumerate(ys):
+        places, trees = found.setdefault(y.label, ([], {}))
+        places.append(j)
+        if y.children:
+            trees.setdefault(y.key, (y, []))[1].append(j)
+    return found
+
+
+def _row(above: np.ndarray, x: Shape, columns: dict, known: dict) -> Generator:
+    """The next row of the matching table, and the pairs that ``x`` gives with each column."""
+    gives = np.zeros(len(above) - 1, np.int64)
+    if x.label not in columns:
+        return above, gives
+    places, trees = columns[x.label]
+    gives[places] = 1
+    if x.children:
+        for y, at in trees.values():
+            found = _at_once(x, y, known)
+            gives[at] = (yield x, y) if found is None else found
+    row = np.zeros_like(above)
+    row[1:] = np.maximum.accumulate(np.maximum(above[1:], above[:-1] + gives))
+    return row, gives
+
+
+def _best(a: Shape, b: Shape, known: dict) -> Generator:
+    first, last = _ends(a, b)
+    xs, ys = a.children[first : len(a.children) - last], b.children[first : len(b.children) - last]
+    equal = sum(c.size for c in a.children[:first]) + sum(c.size for c in a.children[len(a.children) - last :])
+    if not xs or not ys:
+        return 1 + equal
+    columns, row = _columns(ys), np.zeros(len(ys) + 1, np.int64)
+    for x in xs:
+        row, _ = yield from _row(row, x, columns, known)
+    return 1 + equal + int(row[-1])
+
+
+def _traced(a: Shape, b: Shape, known: dict) -> Iterator[tuple[Shape, Shape]]:
+    """The pairs of children in the best alignment. Only every so-manieth row is kept, the others are made again."""
+    first, last = _ends(a, b)
+    n, m = len(a.children) - last, len(b.children) - last
+    yield from zip(a.children[:first] + a.children[n:], b.children[:first] + b.children[m:], strict=True)
+    xs, ys = a.children[first:n], b.children[first:m]
+    if not xs or not ys:
+        return
+    columns, row, step, kept = _columns(ys), np.zeros(len(ys) + 1, np.int64), isqrt(len(xs)) + 1, []
+    for k, x in enumerate(xs):
+        if k % step == 0:
+            kept.append(row)
+        row, _ = _run(_row(row, x, columns, known), known)
+    i, j = len(xs), len(ys)
+    while i and j:
+        start = (i - 1) // step * step
+        rows, gives = [kept[start // step]], []
+        for x in xs[start:i]:
+            row, w = _run(_row(rows[-1], x, columns, known), known)
+            rows.append(row)
+            gives.append(w)
+        while i > start and j:
+            above, row, w = rows[i - 1 - start], rows[i - start], gives[i - 1 - start][j - 1]
+            if w and row[j] == above[j - 1] + w:
+                i, j = i - 1, j - 1
+                yield xs[i], ys[j]
+            elif row[j] == above[j]:
+                i -= 1
+            else:
+                j -= 1
 
 
 def align(a: Shape, b: Shape, known: dict) -> Iterator[tuple[Shape, Shape]]:
     """The pairs of the best alignment."""
-    if not matched(a, b, known):
-        return
-    yield a, b
-    rows = _rows(a, b, known)
-    i, j = len(a.children), len(b.children)
-    while i and j:
-        x, y = a.children[i - 1], b.children[j - 1]
-        w = matched(x, y, known)
-        if w and rows[i][j] == rows[i - 1][j - 1] + w:
-            yield from align(x, y, known)
-            i, j = i - 1, j - 1
-        elif rows[i][j] == rows[i - 1][j]:
-            i -= 1
-        else:
-            j -= 1
+    todo = [(a, b)] if a.label == b.label else []
+    while todo:
+        a, b = todo.pop()
+        yield a, b
+        todo.extend(zip(a.children, b.children, strict=True) if a.key == b.key else _traced(a, b, known))
 
 
-def numbered(shape: Shape) -> Iterator[Shape]:
-    """Nodes in the order in which :func:`wrapper_of` numbers them."""
-    todo = [shape]
-    while todo:
-        s = todo.pop()
-        yield s
-        todo.extend(reversed(s.children))
+_short_wrapper = lru_cache(maxsize=512)(wrapper_of)
 
 
-@lru_cache(maxsize=4096)
-def pairs_of(wrapper: str, shape: str) -> dict[int, int]:
-    """Node of a page's shape to the wrapper's node it is aligned with; empty if the trees are too large together."""
-    (a, n), (b, m) = wrapper_of(wrapper), wrapper_of(shape)
-    return {y.number: x.number for x, y in align(a, b, {})} if n * m <= MAX_CELLS else {}
+def _pairs(wrapper: str, shape: str) -> dict[int, int]:
+    (a, _), (b, _) = ((_short_wrapper if len(t) <= SHORT else wrapper_of)(t) for t in (wrapper, shape))
+    return {y.number: x.number for x, y in align(a, b, {})}
 
 
-def slots_of(page: Page) -> tuple[str, list[list[int]]]:
-    """The page's shape and the numbers of the text blocks in each of its nodes."""
-    shape = shape_of(page.root)
-    return shape.text, [sorted(t for m in s.members for t in m.texts) for s in numbered(shape)]
+_short_pairs = lru_cache(maxsize=1024)(_pairs)
 
 
-def is_aside(node: Node | None, inside_article: bool) -> bool:
-    while node is not None:
-        if node.tag in ASIDE_TAGS or (node.hint and ASIDE_HINT.search(node.hint) and node.tag not in ("body", "html", "article", "main")):
-            return True
-        if node.tag == "header" and not inside_article:
-            return True
-        node = node.parent
-    return False
+def pairs_of(wrapper: str, shape: str) -> dict[int, int]:
+    """Node of a page's shape to the wrapper's node it is aligned with."""
+    return (_short_pairs if len(wrapper) + len(shape) <= SHORT else _pairs)(wrapper, shape)
 
 
-def article_of(node: Node | None) -> bool:
-    while node is not None:
-        if node.tag in ("article", "main") or (node.hint and ARTICLE_HINT.search(node.hint)):
-            return True
-        node = node.parent
-    return False
+def slots_of(page: Page) -> tuple[str, list[list[int]]]:
+    """The page's shape and the numbers of the text blocks in each of its nodes, in the order of :func:`wrapper_of`."""
+    keys: dict[int, bytes] = {}
+    runs: dict[int, list[list[Node]]] = {}
+    for node in reversed(list(preorder(page.root))):
+        found: list[list[Node]] = []
+        for child in node.children:
+            if found and keys[id(found[-1][0])] == keys[id(child)]:
+                found[-1].append(child)
+            else:
+                found.append([child])
+        runs[id(node)] = found
+        keys[id(node)] = key_of(node.label, [keys[id(run[0])] for run in found])
+    text: list[str] = []
+    slots: list[list[int]] = []
+    todo: list[str | list[Node]] = [[page.root]]
+    while todo:
+        members = todo.pop()
+        if isinstance(members, str):
+            text.append(members)
+            continue
+        text.append(members[0].label)
+        slots.append(sorted(t for m in members for t in m.texts))
+        below = [[n for run in column for n in run] for column in zip(*(runs[id(m)] for m in members), strict=True)]
+        if below:
+            text.append("(")
+            todo.append(")")
+            for k in range(len(below) - 1, -1, -1):
+                todo.append(below[k])
+                if k:
+                    todo.append(",")
+    return "".join(text), slots
+
+
+def marks_of(page: Page) -> tuple[dict[int, bool], dict[int, bool]]:
+    """For each element (by its id()) whether it is in an article and whether it is in something else."""
+    article, named, header = {}, {}, {}
+    for node in preorder(page.root):
+        k, up = id(node), id(node.parent)
+        article[k] = article.get(up, False) or node.tag in ("article", "main") or bool(node.hint and ARTICLE_HINT.search(node.hint))
+        named[k] = named.get(up, False) or node.tag in ASIDE_TAGS or bool(
+            node.hint and ASIDE_HINT.search(node.hint) and node.tag not in ("body", "html", "article", "main")
+        )
+        header[k] = header.get(up, False) or node.tag == "header"
+    return article, {k: named[k] or header[k] and not article[k] for k in article}
 
 
 def main_text(html: str | None, wrapper: str | None = None, template: list[int] | None = None) -> str:
     page = Page(html or "")
-    parts = {id(n): n for n, _, _ in page.blocks}
-    article = {k: article_of(n) for k, n in parts.items()}
-    aside = {k: is_aside(n, article[k]) for k, n in parts.items()}
+    article, aside = marks_of(page)
     if any(article[id(n)] and not aside[id(n)] for n, _, _ in page.blocks):
         return "\n\n".join(t for n, t, _ in page.blocks if article[id(n)] and not aside[id(n)])
     constant: set[int] = set()

@@ -18,7 +18,6 @@ ENDS_P = set(
 )
 SAME_ENDS = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}
 SCOPE = {"li": "ul ol menu", "dt": "dl", "dd": "dl", "tr": "table", "td": "tr table", "th": "tr table", "option": "select"}
-MAX_DEPTH = 60
 
 _token = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)|</?[a-zA-Z][^>]*(?:>|\Z)",
@@ -30,11 +29,10 @@ _plain = re.compile(r"[^a-z0-9 _-]+")
 
 
 class Node:
-    __slots__ = ("tag", "hint", "parent", "children", "depth", "texts")
+    __slots__ = ("tag", "hint", "parent", "children", "texts")
 
     def __init__(self, tag: str, hint: str, parent: Node | None) -> None:
         self.tag, self.hint, self.parent, self.children, self.texts = tag, hint, parent, [], []
-        self.depth = parent.depth + 1 if parent else 0
 
     @property
     def label(self) -> str:
@@ -52,6 +50,7 @@ class Page:
         self._held: list[str] = []
         self._linked = 0
         self._in_link = False
+        self._tags: dict[str, int] = {}  # open elements of each tag: what is not open is not looked for
         self._read(html)
 
     def _flush(self, node: Node) -> None:
@@ -68,7 +67,7 @@ class Page:
             self._linked += len(text)
 
     def _read(self, html: str) -> None:
-        open_: list[Node] = [self.root]  # deeper elements than MAX_DEPTH stand for their ancestor at that depth
+        open_: list[Node] = [self.root]
         at, n = 0, len(html)
         while at < n:
             m = _token.search(html, at)
@@ -109,32 +108,35 @@ class Page:
         self._flush(open_[-1])
         self._in_link = False
         if open_[-1].tag == "p" and tag in ENDS_P:
-            open_.pop()  # a paragraph has no element inside that is on this list
+            self._cut(open_, -1)  # a paragraph has no element inside that is on this list
         if tag in SAME_ENDS:
             ends, scope = SAME_ENDS[tag].split(), SCOPE[tag].split()
-            for i in range(len(open_) - 1, 0, -1):
+            for i in range(len(open_) - 1, 0, -1) if any(map(self._tags.get, ends)) else ():
                 if open_[i].tag in scope:
                     break
                 if open_[i].tag in ends and (tag != "tr" or open_[i].tag == "tr"):
-                    del open_[i:]
+                    self._cut(open_, i)
                     break
         if tag in VOID:
             return
-        if len(open_) > MAX_DEPTH:
-            open_.append(open_[-1])
-            return
         hint = ""
         if attributes:
             hint = " ".join(_plain.sub(" ", (a or b or c).lower()) for a, b, c in _hint.findall(attributes))
         node = Node(tag, " ".join(hint.split()), open_[-1])
         open_[-1].children.append(node)
         open_.append(node)
+        self._tags[tag] = self._tags.get(tag, 0) + 1
+
+    def _cut(self, open_: list[Node], i: int) -> None:
+        for node in open_[i:]:
+            self._tags[node.tag] -= 1
+        del open_[i:]
 
     def _close(self, open_: list[Node], tag: str) -> None:
-        for i in range(len(open_) - 1, 0, -1):
+        for i in range(len(open_) - 1, 0, -1) if self._tags.get(tag) else ():
             if open_[i].tag == tag:
                 self._flush(open_[-1])
-                del open_[i:]
+                self._cut(open_, i)
                 return
         if tag == "p":
             self._flush(open_[-1])

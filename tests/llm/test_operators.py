@@ -187,6 +187,19 @@ def test_deep_page():
     assert html_extraction.main_text("<div>" * 5000 + "deep") == "deep"
 
 
+def test_long_and_deep_pages(spark):
+    long = "<div><p>Welcome</p>" + "<h4>{0} h</h4><p>{0} p</p><pre>{0} c</pre>" * 300 + "</div>"
+    ends = ["<ul><li>{0} x</li></ul>", "<dl><dd>{0} x</dd></dl>", "<ol><li>{0} x</li></ol>"]  # no page is equal to the wrapper
+    texts = extracted(spark, [(long + e).format(i) for i, e in enumerate(ends)])
+    assert texts == ["\n\n".join([f"{i} h", f"{i} p", f"{i} c"] * 300 + [f"{i} x"]) for i in range(3)]
+    deep = "<section>" * 80
+    page = deep + "<nav>menu</nav><div class=ad>buy</div><div><article><p>text</p></article></div>" + "</section>" * 80 + "<p>after"
+    assert html_extraction.main_text(page) == "text"
+    assert html_extraction.main_text(deep + "<div><table><tr><td>a</table></div><nav>x</nav>" + "</section>" * 80 + "<p>b") == "a\n\nb"
+    chain = "<div>" * 3000 + "<p>Welcome</p>{1}<h2>{0}</h2>" + "</div>" * 3000
+    assert extracted(spark, [chain.format(i, "<ul><li>more</ul>" * (i > 1)) for i in range(4)]) == ["0", "1", "2", "3"]
+
+
 def test_warc_round_trip(spark):
     import gzip
 
