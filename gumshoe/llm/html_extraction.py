@@ -7,7 +7,8 @@ carry and whose text never changes is template, any other is a content slot. Cop
 once, for the choice of the wrapper too: what only copies share is not template.
 
 A page's text is made of its content slots without what is marked as something else (menus, footers, notices, adverts,
-forms, comments). Where a page marks its article, the article is taken whole, template or not.
+forms, comments). Where a page marks its article, only slots inside are taken; an article in which nothing varies over the
+host is taken whole.
 
 Only counts leave the pages: trees and node statistics are pre-aggregated, so that a host with a third of all pages is not
 gathered anywhere. Pages of any length and depth are aligned. Wrappers are sent to the pages; beyond a checked size they are joined.
@@ -285,13 +286,14 @@ def marks_of(page: Page) -> tuple[dict[int, bool], dict[int, bool]]:
 def main_text(html: str | None, wrapper: str | None = None, template: list[int] | None = None) -> str:
     page = Page(html or "")
     article, aside = marks_of(page)
-    if any(article[id(n)] and not aside[id(n)] for n, _, _ in page.blocks):
-        return "\n\n".join(t for n, t, _ in page.blocks if article[id(n)] and not aside[id(n)])
+    marked = {i for i, (n, _, _) in enumerate(page.blocks) if article[id(n)] and not aside[id(n)]}
     constant: set[int] = set()
     if template:
         shape, slots = slots_of(page)
         pairs, fixed = pairs_of(wrapper, shape), set(template)
         constant = {b for number, blocks in enumerate(slots) if pairs.get(number) in fixed for b in blocks}
+    if marked:
+        return "\n\n".join(page.blocks[i][1] for i in sorted(marked - constant or marked))
     return "\n\n".join(
         t for i, (n, t, linked) in enumerate(page.blocks) if i not in constant and not aside[id(n)] and linked <= MAX_LINKED * len(t)
     )

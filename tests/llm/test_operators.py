@@ -159,6 +159,13 @@ def test_copies_are_no_template(spark):
     assert extracted(spark, shared + [body.format(7, "")]) == ["T0", "T1", "T7"]
 
 
+def test_template_inside_marked_article(spark):
+    body = "<p>Outside {0}</p><article><h1>T{0}</h1><p>{0} text</p><div><p>By the staff</p></div><ul><li>Get our letter</ul></article>"
+    assert extracted(spark, [body.format(i) for i in range(3)]) == [f"T{i}\n\n{i} text" for i in range(3)]
+    body = "<p>Outside {0}</p><article><p>The same article</p></article>"  # nothing in it varies
+    assert extracted(spark, [body.format(i) for i in range(3)]) == ["The same article"] * 3
+
+
 def test_tree_matching_is_best():
     """Against trying all order-keeping pairings of children."""
     from itertools import combinations
