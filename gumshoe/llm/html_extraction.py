@@ -32,17 +32,19 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .html_tree import Node, Page
+from .html_tree import Node, Page, names_of
 from .store import broadcast_if_small, stored
 
 # Names by which pages mark parts that are not their article.
-ASIDE_TAGS = {"nav", "footer", "aside", "form", "button", "menu", "dialog", "head", "fieldset"}
-ASIDE_HINT = re.compile(
-    r"(?:^|[\s_-])(ads?|advert\w*|adsense|banner|breadcrumbs?|comments?|cookies?|consent|disqus|footer|gdpr|menu|nav|navbar|navigation|"
-    r"newsletter|notice|pagination|popup|promo|related|share|sharing|sidebar|social|sponsor\w*|subscribe|widget)(?:$|[\s_-])"
+ASIDE_TAGS = {"nav", "footer", "aside", "form", "button", "menu", "dialog", "head", "fieldset", "select", "textarea"}
+ASIDE_NAME = (
+    r"(?:ads?|advert\w*|adsense|banner|breadcrumbs?|comments?|cookies?|consent|disqus|footer|gdpr|menu|nav|navbar|navigation|"
+    r"newsletter|notice|pagination|popup|promo|related|share|sharing|sidebar|social|sponsor\w*|subscribe|widget)"
 )
+ASIDE_HINT = re.compile(rf"(?:^|[\s_-]){ASIDE_NAME}(?:$|[\s_-])")
+ASIDE_WHOLE = re.compile(rf"{ASIDE_NAME}(?:[_-]+{ASIDE_NAME})*")
+CONTAINERS = set("div section ul ol dl table header details center".split())
 ARTICLE_HINT = re.compile(r"(?:^|\s)(main|articlebody|article-body|post-content|entry-content|article-content)(?:$|\s)")
-MAX_LINKED = 0.5
 
 # What is kept in memory to save time; results do not depend on it.
 REMEMBERED = 200_000
@@ -270,17 +272,38 @@ def slots_of(page: Page) -> tuple[str, list[list[int]]]:
     return "".join(text), slots
 
 
+def named_aside(node: Node, inside: bool) -> bool:
+    """Whether a container's names say that it is something else.
+
+    Outside the article (or without one) any word of its class, role or itemprop tells. Ids are often made from the words of a
+    heading: they tell there only if all their words do. In an article only such a class, role or itemprop tells, never an id.
+    """
+    if not node.hint or not (node.tag in CONTAINERS or "-" in node.tag) or not ASIDE_HINT.search(node.hint):
+        return False
+    for name, value in names_of(node.attributes):
+        whole = any(ASIDE_WHOLE.fullmatch(v) for v in value.split())
+        if name == "id":
+            if whole and not inside:
+                return True
+        elif whole or not inside and ASIDE_HINT.search(value):
+            return True
+    return False
+
+
 def marks_of(page: Page) -> tuple[dict[int, bool], dict[int, bool]]:
     """For each element (by its id()) whether it is in an article and whether it is in something else."""
-    article, named, header = {}, {}, {}
+    article, core, aside, header = {}, {}, {}, {}
     for node in preorder(page.root):
         k, up = id(node), id(node.parent)
-        article[k] = article.get(up, False) or node.tag in ("article", "main") or bool(node.hint and ARTICLE_HINT.search(node.hint))
-        named[k] = named.get(up, False) or node.tag in ASIDE_TAGS or bool(
-            node.hint and ASIDE_HINT.search(node.hint) and node.tag not in ("body", "html", "article", "main")
-        )
+        hint = ARTICLE_HINT.search(node.hint) if node.hint else None
+        core[k] = core.get(up, False) or node.tag == "article" or bool(hint and hint[1] != "main")
+        article[k] = article.get(up, False) or core[k] or node.tag == "main" or bool(hint)
+    inside = core if any(core.values()) else article  # beside an article, main is only its surroundings
+    for node in preorder(page.root):
+        k, up = id(node), id(node.parent)
+        aside[k] = aside.get(up, False) or node.tag in ASIDE_TAGS or named_aside(node, inside[k])
         header[k] = header.get(up, False) or node.tag == "header"
-    return article, {k: named[k] or header[k] and not article[k] for k in article}
+    return article, {k: aside[k] or header[k] and not article[k] for k in article}
 
 
 def main_text(html: str | None, wrapper: str | None = None, template: list[int] | None = None) -> str:
@@ -294,9 +317,7 @@ def main_text(html: str | None, wrapper: str | None = None, template: list[int]
         constant = {b for number, blocks in enumerate(slots) if pairs.get(number) in fixed for b in blocks}
     if marked:
         return "\n\n".join(page.blocks[i][1] for i in sorted(marked - constant or marked))
-    return "\n\n".join(
-        t for i, (n, t, linked) in enumerate(page.blocks) if i not in constant and not aside[id(n)] and linked <= MAX_LINKED * len(t)
-    )
+    return "\n\n".join(t for i, (n, t, _) in enumerate(page.blocks) if i not in constant and not aside[id(n)])
 
 
 def induced(pages: DataFrame) -> DataFrame:

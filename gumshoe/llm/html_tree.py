@@ -7,10 +7,12 @@ from html import unescape
 
 # Element names of the HTML standard.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style template noscript iframe textarea title svg math object select".split())
+RAW = set("script style template iframe textarea title".split())
+FOREIGN = {"svg", "math", "foreignobject"}
+FOREIGN_RAW = set("script style title desc metadata annotation annotation-xml".split())
 INLINE = set(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span "
-    "strike strong sub sup time tt u var wbr".split()
+    "strike strong sub sup time tt u var wbr object noscript svg math foreignobject".split()
 )
 ENDS_P = set(
     "address article aside blockquote body center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 "
@@ -24,21 +26,28 @@ _token = re.compile(
     re.S,
 )
 _hint = re.compile(r"""(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_name = re.compile(r"""(?<![\w-])(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _href = re.compile(r"""href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _plain = re.compile(r"[^a-z0-9 _-]+")
 
 
 class Node:
-    __slots__ = ("tag", "hint", "parent", "children", "texts")
+    __slots__ = ("tag", "hint", "parent", "children", "texts", "attributes")
 
-    def __init__(self, tag: str, hint: str, parent: Node | None) -> None:
+    def __init__(self, tag: str, hint: str, parent: Node | None, attributes: str = "") -> None:
         self.tag, self.hint, self.parent, self.children, self.texts = tag, hint, parent, [], []
+        self.attributes = attributes
 
     @property
     def label(self) -> str:
         return f"{self.tag}.{self.hint}" if self.hint else self.tag
 
 
+def names_of(attributes: str) -> list[tuple[str, str]]:
+    """Name and value of class, id, role and itemprop."""
+    return [(name.lower(), (a or b or c).lower()) for name, a, b, c in _name.findall(attributes)]
+
+
 class Page:
     """``blocks``: (node, text, letters in links) in page order; ``links``: targets; ``title``."""
 
@@ -68,6 +77,7 @@ class Page:
 
     def _read(self, html: str) -> None:
         open_: list[Node] = [self.root]
+        foreign: list[str] = []  # open svg and math elements, whose own elements are inline, and HTML within them
         at, n = 0, len(html)
         while at < n:
             m = _token.search(html, at)
@@ -80,6 +90,28 @@ class Page:
             if m[2] is None:
                 continue
             tag = m[2].lower()
+            if tag in FOREIGN:
+                if m[1]:
+                    if tag in foreign:
+                        while foreign.pop() != tag:
+                            pass
+                elif (foreign or tag != "foreignobject") and not m[3].endswith("/"):
+                    foreign.append(tag)
+                if tag != "math":
+                    self._held.append(" ")
+                continue
+            if foreign and foreign[-1] != "foreignobject":
+                if tag in ENDS_P and (not m[1] or self._tags.get(tag)):
+                    while foreign and foreign[-1] != "foreignobject":
+                        foreign.pop()  # as in browsers, HTML ends what was left open
+                elif tag in FOREIGN_RAW:
+                    if not m[1] and not m[3].endswith("/") and (end := re.compile(rf"</{tag}\b[^>]*>", re.I).search(html, at)):
+                        at = end.end()
+                    continue
+                elif tag not in INLINE:
+                    if tag == "text":
+                        self._held.append(" ")
+                    continue
             if m[1]:
                 if tag == "a":
                     self._in_link = False
@@ -91,6 +123,10 @@ class Page:
                 end = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(html, at)
                 if tag == "title" and not self.title:
                     self.title = " ".join(unescape(html[at : end.start() if end else n]).split())
+                if tag == "textarea":
+                    self._open(open_, tag, m[3])
+                    self._text(html[at : end.start() if end else n])
+                    self._close(open_, tag)
                 at = end.end() if end else n
                 continue
             if tag == "a":
@@ -122,7 +158,7 @@ class Page:
         hint = ""
         if attributes:
             hint = " ".join(_plain.sub(" ", (a or b or c).lower()) for a, b, c in _hint.findall(attributes))
-        node = Node(tag, " ".join(hint.split()), open_[-1])
+        node = Node(tag, " ".join(hint.split()), open_[-1], attributes)
         open_[-1].children.append(node)
         open_.append(node)
         self._tags[tag] = self._tags.get(tag, 0) + 1

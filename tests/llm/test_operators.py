@@ -166,6 +166,29 @@ def test_template_inside_marked_article(spark):
     assert extracted(spark, [body.format(i) for i in range(3)]) == ["The same article"] * 3
 
 
+def test_names_and_links_keep_article_text():
+    parts = "<section id='social-impact'><h2 id='cookies'>A</h2><p>b</p></section><div id='menu-costs'>c</div><p class=notice>d</p>"
+    for page in (f"<article>{parts}</article>", f"<main>{parts}</main>", parts):
+        assert html_extraction.main_text(page) == "A\n\nb\n\nc\n\nd"
+    assert html_extraction.main_text("<article><section id=cookies>a</section><div class='x related'>b</div></article>") == "a"
+    assert html_extraction.main_text("<main><article>a</article><div id=comments>b</div></main>") == "a"
+    assert html_extraction.main_text("<div><p>a</p><p><a href=/s>Source one</a></p></div><div class=top-menu>m</div>") == "a\n\nSource one"
+
+
+def test_formulas_and_fields_are_text():
+    def blocks(html):
+        return [t for _, t, _ in html_tree.Page(html).blocks]
+
+    assert blocks("<p>If <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></math> then</p>") == ["If x=1 then"]
+    page = html_tree.Page("<p>See <svg><title>icon</title><style>p{}</style><text>Fig</text><text>2</text></svg>.</p><p>b")
+    assert [t for _, t, _ in page.blocks] == ["See Fig 2 .", "b"] and page.title == ""
+    assert blocks("<object data=x><p>instead</p></object><noscript>plain</noscript><p>b") == ["instead", "plain", "b"]
+    assert blocks("<svg><g><p>a</p><nav>n</nav><svg/><p>b") == ["a", "n", "b"]  # svg left open
+    assert blocks("<select><option>i<option>ii</select><textarea><b>t &amp; u</textarea>v") == ["i", "ii", "<b>t & u", "v"]
+    form = "<article>a <math><mi>y</mi></math><select><option>i</select><textarea>t</textarea></article>"
+    assert html_extraction.main_text(form) == "a y"
+
+
 def test_tree_matching_is_best():
     """Against trying all order-keeping pairings of children."""
     from itertools import combinations
