@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .drawing import under
+from .drawing import under, window
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -31,11 +31,12 @@ FILTERS = 16
 DIMENSIONS = 8
 STEPS_PER_UNIT = 1024
 """The tables hold whole multiples of one part of so many."""
-SAMPLE_PER_LANGUAGE = 400
+SAMPLE_PER_LANGUAGE = 600
 """Documents that are learned from, for each language: those whose ids have the smallest MD5."""
 WINDOWS_PER_DOCUMENT = 2
 SAMPLE_CHARS = 20_000
-EPOCHS = 5
+"""Of a longer text a window of this length is learned from, at a place drawn by its digest."""
+EPOCHS = 6
 BATCH = 64
 UND = "und"
 _letter = re.compile(r"[^\W\d_]")
@@ -143,16 +144,14 @@ def softmax(z: np.ndarray) -> np.ndarray:
 
 def train(labelled: DataFrame) -> Network | None:
     """Learn from ``labelled (doc_id, text, lang)``; None without rows."""
-    rows = labelled.where(
-        F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.length("text").between(1, SAMPLE_CHARS))
-    ).select("lang", "text", F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5("text"))).alias("draw"))
+    rows = labelled.where(F.col("lang").isNotNull() & (F.length("text") > 0)).select("lang", "text", F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5("text"))).alias("draw"))
     eligible = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(eligible)
     x, y = [], []
     for k, language in enumerate(languages):
         few = rows.where((F.col("lang") == language) & (F.col("draw") < under(eligible[language], SAMPLE_PER_LANGUAGE)))
-        drawn = few.orderBy("draw").limit(SAMPLE_PER_LANGUAGE).select("text").collect()
-        for r in drawn:
+        drawn = few.orderBy("draw").limit(SAMPLE_PER_LANGUAGE)
+        for r in drawn.select(window(F.col("text"), F.col("draw"), SAMPLE_CHARS).alias("text")).collect():
             if _letter.search(r["text"]):
                 w = windows_of(r["text"].encode())
                 w = w[:: max(1, len(w) // WINDOWS_PER_DOCUMENT)][:WINDOWS_PER_DOCUMENT]

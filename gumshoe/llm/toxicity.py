@@ -25,13 +25,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .drawing import under
+from .drawing import under, window
 from .store import stored
 
-SAMPLE_PER_LABEL = 1500
+SAMPLE_PER_LABEL = 4000
 """Labelled texts that are learned from, for each label: those whose ids have the smallest MD5."""
 SAMPLE_CHARS = 20_000
-"""Longer texts are not learned from; all are scored whole."""
+"""Of a longer text a window of this length is learned from, at a place drawn by its digest; all are scored whole."""
 THRESHOLD = 0.3
 MIN_G2 = 16.0
 SWAP_WEIGHT = 1.0
@@ -164,18 +164,18 @@ def fit(
 
 
 def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``(toxic, doc_id, draw, short, n)``: the labelled documents without their texts, rows that repeat counted in ``n``."""
+    """``(toxic, doc_id, draw, filled, n)``: the labelled documents without their texts, rows that repeat counted in ``n``."""
     marks = (
         labels.where("doc_id is not null and toxic is not null")
         .groupBy(F.col("doc_id").alias("labelled"), F.col("toxic").cast("int").alias("toxic"))
         .agg(F.count("*").alias("marks"))
         .where("toxic in (0, 1)")
     )
-    short = F.coalesce(F.length("text").between(1, SAMPLE_CHARS), F.lit(False))
-    rows = docs.where("doc_id is not null").select("doc_id", _draw().alias("draw"), short.alias("short"))
-    rows = rows.groupBy("doc_id", "draw", "short").agg(F.count("*").alias("rows"))
+    filled = F.coalesce(F.length("text") > 0, F.lit(False))
+    rows = docs.where("doc_id is not null").select("doc_id", _draw().alias("draw"), filled.alias("filled"))
+    rows = rows.groupBy("doc_id", "draw", "filled").agg(F.count("*").alias("rows"))
     found = rows.join(marks, F.col("doc_id") == F.col("labelled"))
-    return found.select("toxic", "doc_id", "draw", "short", (F.col("rows") * F.col("marks")).alias("n"))
+    return found.select("toxic", "doc_id", "draw", "filled", (F.col("rows") * F.col("marks")).alias("n"))
 
 
 def _draw() -> Column:
@@ -188,11 +188,11 @@ def train(docs: DataFrame, labels: DataFrame, identity=IDENTITY, swap_weight: fl
     The sample is drawn from digests: only the texts drawn are shuffled and reach the driver, whatever the table's size.
     """
     labelled = stored(_labelled(docs, labels), "labelled")
-    per_label = labelled.groupBy("toxic").agg(F.sum("n").alias("n"), F.count_if("short").alias("eligible")).collect()
+    per_label = labelled.groupBy("toxic").agg(F.sum("n").alias("n"), F.count_if("filled").alias("eligible")).collect()
     counts = {r["toxic"]: r["n"] for r in per_label}
     share = counts.get(1, 0) / max(1, sum(counts.values()))
     drawn = [
-        labelled.where((F.col("toxic") == r["toxic"]) & F.col("short") & (F.col("draw") < under(r["eligible"], SAMPLE_PER_LABEL)))
+        labelled.where((F.col("toxic") == r["toxic"]) & F.col("filled") & (F.col("draw") < under(r["eligible"], SAMPLE_PER_LABEL)))
         .orderBy("draw")
         .limit(SAMPLE_PER_LABEL)
         .select("toxic", "doc_id", "draw")
@@ -203,6 +203,7 @@ def train(docs: DataFrame, labels: DataFrame, identity=IDENTITY, swap_weight: fl
     chosen = reduce(DataFrame.unionByName, drawn).withColumnRenamed("doc_id", "labelled").withColumnRenamed("draw", "drawn")
     same = (F.col("doc_id") == F.col("labelled")) & (_draw() == F.col("drawn"))
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), same)
+    texts = texts.select("toxic", "drawn", window(F.col("text"), F.col("drawn"), SAMPLE_CHARS).alias("text"))
     sample = texts.groupBy("toxic", "drawn").agg(F.min("text").alias("text")).orderBy("toxic", "drawn").collect()
     return fit([r["text"] for r in sample], [r["toxic"] for r in sample], identity, swap_weight, share)
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from gumshoe.llm import (
     components,
     decontamination,
+    drawing,
     embedding_neighbours,
     html_extraction,
     html_tree,
@@ -321,6 +322,18 @@ def test_toxicity_finds_words_and_forms(spark):
     assert toxicity.with_scores(docs, none).count() == len(rows) and none.weights == {}
 
 
+def test_long_texts_are_learned_from(spark):
+    long = 3 * toxicity.SAMPLE_CHARS
+    rows = [(i, ("bad " if i % 2 else "fine ") * (long // 4), f"l{i % 2}") for i in range(40)]
+    docs = spark.createDataFrame([(i, t, "aa" if i % 2 else "bb") for i, t, _ in rows], "doc_id long, text string, lang string")
+    model = toxicity.train(docs, docs.select("doc_id", (F.col("doc_id") % 2).alias("toxic")))
+    assert {r["doc_id"] for r in toxicity.with_scores(docs, model).where("toxicity > 0.5").collect()} == set(range(1, 40, 2))
+    assert language_id.train(docs).languages == ["aa", "bb"]
+    at = drawing.window(F.lit("abcdef"), F.md5(F.col("id").cast("string")), 4)
+    assert {r[0] for r in spark.range(60).select(at).collect()} == {"abcd", "bcde", "cdef"}
+    assert spark.range(1).select(drawing.window(F.lit("abc"), F.md5(F.lit("x")), 4)).first()[0] == "abc"
+
+
 def test_swapped_names_do_not_count():
     """A group that is named mostly in toxic sentences: without the penalty its name alone raises the score."""
     bad = [f"women {('awful', 'vile', 'nasty')[i % 3]}" for i in range(60)] + [f"men {('awful', 'vile', 'nasty')[i % 3]}" for i in range(6)]
