@@ -15,6 +15,8 @@ from gumshoe.llm.queries import toxicity_model, vocabulary  # noqa: E402
 from gumshoe.llm.store import forget, stored, table  # noqa: E402
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+MIX_SEED = 20240601
+"""The mix of a run: another seed draws other offsets, so that no document is left out of every mix."""
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +36,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     forget(spark)
-    return mixing.mixed(docs)
+    return mixing.mixed(docs, seed=MIX_SEED)
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -57,7 +57,12 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, total: float = 1.5, most:
     )
 
 
-def systematic(rows: DataFrame, offset: float) -> DataFrame:
+def drawn_offset(seed: int, source: Column) -> Column:
+    """A number in [0, 1) for each source, from a hash of the seed and the source."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed).cast("long"), source.isNull(), source), 11) / F.lit(float(1 << 53))
+
+
+def systematic(rows: DataFrame, offset: float | Column) -> DataFrame:
     """Add ``copies`` to ``rows (doc_id, size, source, source_size, target, key)``."""
     digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     rows = (
@@ -83,15 +88,17 @@ def systematic(rows: DataFrame, offset: float) -> DataFrame:
         (F.col("before") + F.col("rank")).alias("place"),
     )
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    cross = lambda place: F.floor(place * rate + F.lit(offset))
+    cross = lambda place: F.floor(place * rate + (offset if isinstance(offset, Column) else F.lit(offset)))
     return placed.withColumn("copies", cross(F.col("place")) - cross(F.col("place") - 1))
 
 
-def mix(sizes: DataFrame, weights=WEIGHTS, total: float = 1.5, most: float = 2.0, offset: float = 0.5) -> DataFrame:
+def mix(
+    sizes: DataFrame, weights=WEIGHTS, total: float = 1.5, most: float = 2.0, offset: float = 0.5, seed: int | None = None
+) -> DataFrame:
     """``sizes (doc_id, source, size, key)`` to these and source_size, target, copies, taken.
 
-    ``key`` tells rows of one id apart. ``offset`` is the one random number of the sample; the caller draws it, so that a
-    rerun agrees.
+    ``key`` tells rows of one id apart. The offset is the one random number of a source's sample: with a ``seed`` it is drawn
+    from it for each source, so that a rerun agrees and other seeds take other documents; without one it is ``offset``.
     """
     targets = source_targets(sizes, weights, total, most)
     rows = (
@@ -99,7 +106,8 @@ def mix(sizes: DataFrame, weights=WEIGHTS, total: float = 1.5, most: float = 2.0
         .join(targets.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source")))
         .select("d.doc_id", "d.size", "d.source", "t.source_size", "t.target", "d.key")
     )
-    return systematic(rows, offset).withColumn("taken", F.col("copies") * F.col("size"))
+    drawn = offset if seed is None else drawn_offset(seed, F.col("source"))
+    return systematic(rows, drawn).withColumn("taken", F.col("copies") * F.col("size"))
 
 
 def sizes_of(docs: DataFrame) -> DataFrame:

@@ -497,3 +497,16 @@ def test_mixing(docs):
     assert mixing.mix(mixing.sizes_of(empty(docs))).count() == 0
     copies = mixing.mixed(docs)
     assert copies.columns == docs.columns and copies.count() == sum(r["copies"] for r in got)
+
+
+def test_mixing_draws_offsets(spark):
+    docs = spark.range(200).select(F.col("id").alias("doc_id"), F.lit("one").alias("text"), F.when(F.col("id") % 4 == 0, "a").alias("source"))
+    settings = {"total": 0.25, "weights": (1, 1)}
+
+    def taken(seed):
+        return {(r["source"], r["doc_id"]) for r in mixing.mix(mixing.sizes_of(docs), seed=seed, **settings).where("copies > 0").collect()}
+
+    assert taken(3) == taken(3)
+    mixes = [taken(seed) for seed in range(20)]
+    assert all(abs(len(m) - 50) <= 2 for m in mixes)
+    assert len(set().union(*mixes)) == 200  # no document is left out of every mix
