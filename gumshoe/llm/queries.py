@@ -11,6 +11,7 @@ from . import (
     decontamination,
     embedding_neighbours,
     html_extraction,
+    importance,
     language_id,
     mixing,
     ngram_join,
@@ -188,3 +189,43 @@ links AS (SELECT a, count(*) AS n_links FROM link GROUP BY a)
 SELECT doc_id, coalesce(class_id, doc_id) AS class_id, coalesce(n_links, 0) AS n_links, coalesce(class_id = doc_id, true) AS kept
 FROM documents LEFT JOIN least ON doc_id = least.a LEFT JOIN links ON doc_id = links.a
 """
+
+
+@query
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_words")
+
+
+ORACLES["op11_importance"] = r"""
+WITH crc AS (
+  SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[],
+    lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384::UBIGINT) ELSE c // 2 END) ORDER BY i) AS step FROM range(256) r(i)),
+text AS (
+  SELECT 0 AS side, row_number() OVER () AS r, doc_id, text FROM documents
+  UNION ALL SELECT 1, row_number() OVER (), NULL, text FROM benchmark),
+worded AS (
+  SELECT side, r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM text),
+used AS (SELECT side, r, unnest(w) AS f FROM worded),
+bytes AS (
+  SELECT f, list_transform(range(1, 2 * octet_length(encode(f)), 2), lambda k: ('0x' || substr(hex(encode(f)), k, 2))::UBIGINT) AS b
+  FROM (SELECT DISTINCT f FROM used)),
+hashed AS (
+  SELECT f, xor(list_reduce(list_prepend(4294967295::UBIGINT, b), lambda c, x: xor(step[(xor(c, x) % 256 + 1)::BIGINT], c // 256)),
+    4294967295::UBIGINT) % 10000 AS bucket FROM bytes, crc),
+per AS (
+  SELECT bucket, count(*) FILTER (side = 0) AS s, count(*) FILTER (side = 1) AS t FROM used JOIN hashed USING (f) GROUP BY bucket),
+gain AS (
+  SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * (sum(s) OVER () + 10000)::DOUBLE
+    / ((s + 1)::DOUBLE * (sum(t) OVER () + 10000)::DOUBLE))) AS gain FROM per),
+mean AS (
+  SELECT r, floor(sum(gain) / count(*))::BIGINT AS weight FROM used JOIN hashed USING (f) JOIN gain USING (bucket) WHERE side = 0 GROUP BY r),
+scored AS (
+  SELECT doc_id, len(w) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + floor(-1000 * ln(-ln((
+    ('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::UBIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM worded LEFT JOIN mean USING (r) WHERE side = 0),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS LAST, n_features, weight) AS place,
+    10 * (count(*) FILTER (n_features >= 20) OVER ()) // 100 AS wanted FROM scored)
+SELECT doc_id, n_features::BIGINT AS n_features, weight, score, CASE WHEN n_features >= 20 AND place <= wanted THEN place END AS rank FROM placed
+"""
