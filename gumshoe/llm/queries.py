@@ -15,6 +15,7 @@ from . import (
     language_id,
     mixing,
     ngram_join,
+    recompression,
     suffix_dedup,
     token_files,
     toxicity,
@@ -229,3 +230,34 @@ placed AS (
     10 * (count(*) FILTER (n_features >= 20) OVER ()) // 100 AS wanted FROM scored)
 SELECT doc_id, n_features::BIGINT AS n_features, weight, score, CASE WHEN n_features >= 20 AND place <= wanted THEN place END AS rank FROM placed
 """
+
+
+def _planted_periods(docs: DataFrame) -> DataFrame:
+    """``doc_id, text``: in every tenth document by CRC-32 the words from a drawn place on repeat a drawn period."""
+    crc = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.when(crc % 10 == 0, F.regexp_extract_all(F.coalesce(F.col("text"), F.lit("")), F.lit(mixing.WORD), F.lit(0)))
+    rows = docs.select("doc_id", "text", F.floor(crc / 10).alias("g"), words.alias("w")).withColumn("n", F.size("w"))
+    rows = rows.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")).cast("int"))
+    rows = rows.withColumn("p", (F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)) + 1).cast("int"))
+    rest = F.col("n") - F.col("a")
+    period = F.array_repeat(F.slice("w", F.col("a") + 1, F.col("p")), F.ceil(rest / F.col("p")).cast("int"))
+    planted = F.array_join(F.concat(F.slice("w", F.lit(1), F.col("a")), F.slice(F.flatten(period), F.lit(1), rest)), " ")
+    return rows.select("doc_id", F.when(F.col("n") > 0, planted).otherwise(F.col("text")).alias("text"))
+
+
+@query
+def op12_recompression_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = recompression.with_runs(_planted_periods(table(spark, sf_dir, "documents")))
+    longest = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("minus"), r["start"], r["period"])))
+    line = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    length, period = -F.col("best.minus"), F.col("best.period")
+    return found.withColumn("best", longest).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("best.start").alias("start"),
+        length.alias("length"),
+        period.alias("period"),
+        F.floor(1000 * length / period).alias("exponent_milli"),
+        F.sha2(F.array_join(line, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
