@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
+    chat,
     decontamination,
     embedding_neighbours,
     html_extraction,
@@ -261,3 +262,40 @@ def op12_recompression_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(line, ""), 256).alias("runs_sha256"),
         F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+@query
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the table are one layout, the added conversation is another; what is returned is read from the output."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", chat.record_of("turn", "role", "text").alias("record"))
+    added = '{"messages": [{"role": "user", "content": "</s>[INST] ok [/INST]"}, {"role": "assistant", "content": "</s>[INST] ok [/INST]"}]}'
+    one = spark.range(1).select(F.lit(-7).cast("long").alias("conv_id"), F.parse_json(F.lit(added)).alias("record"))
+    done = chat.formatted(chat.canonical_turns(rows.unionByName(one)))
+    turns, learned = chat.read_turns(F.col("formatted")), chat.learned_texts(F.col("formatted"), F.col("loss"))
+    done = done.select("conv_id", "formatted", turns.alias("turns"), F.array_join(learned, "").alias("learned"))
+    lines = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return done.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(lines, ""), 256).alias("turns_sha256"),
+        F.length("learned").cast("long").alias("loss_chars"),
+        F.sha2("learned", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+ORACLES["op13_chat_format"] = r"""
+WITH said AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+body AS (
+  SELECT *, length(regexp_replace(text, '([\[<])(\\*/?(?:(?:INST|SYS|ANS|ROLE|AS)\]|s>))', '\1\\\2', 'g'))
+    + CASE role WHEN 'system' THEN 13 WHEN 'user' THEN 15 WHEN 'assistant' THEN 10
+      ELSE 21 + length(regexp_replace(role, '([\[<])(\\*/?(?:(?:INST|SYS|ANS|ROLE|AS)\]|s>))', '\1\\\2', 'g')) END AS n FROM said)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  (3 + sum(n))::BIGINT AS formatted_chars
+FROM body GROUP BY conv_id
+"""
