@@ -24,7 +24,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEPTH = 3
+DEPTH = 5
+"""Lists and fields inside one another that paths are followed through."""
 TURNS = "array<struct<turn: bigint, role: string, text: string>>"
 
 
