@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import decontamination, ngram_join, toxicity
-from .store import broadcast_if_small, stored
+from .store import broadcast_if_small, stored, unused
 
 
 def without(docs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -19,7 +19,7 @@ def _same(docs: DataFrame, rows: DataFrame):
 
 
 def not_toxic(docs: DataFrame, model: toxicity.Model, threshold: float = toxicity.THRESHOLD) -> DataFrame:
-    score = "_score"
+    score = unused(docs, "score")
     return toxicity.with_scores(docs, model, score).where(F.col(score) < threshold).select(*docs.columns)
 
 
@@ -32,7 +32,8 @@ def one_of_each_class(docs: DataFrame) -> DataFrame:
     )
     left = without(docs, gone)
     repeated = left.join(broadcast_if_small(again), _same(docs, again), "left_semi")
-    repeated = repeated.withColumn("_key", F.xxhash64("text")).dropDuplicates(["doc_id", "_key"]).select(*docs.columns)
+    key = unused(docs, "key")
+    repeated = repeated.withColumn(key, F.xxhash64("text")).dropDuplicates(["doc_id", key]).select(*docs.columns)
     return without(left, again).unionByName(repeated)
 
 

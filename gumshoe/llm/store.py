@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,22 +16,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_made: list[str] = []
+class Owner:
+    """Tables that go together, once nothing reads them any more."""
 
+    def __init__(self) -> None:
+        self.paths: list[str] = []
 
-def forget(spark: SparkSession, but: str = "stage-") -> None:
-    """Delete the tables stored so far, once nothing reads them any more; names that begin with ``but`` stay."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for path in [p for p in _made if not p.rpartition("/")[2].startswith(but)]:
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(conf).delete(at, True)
-        _made.remove(path)
+    @contextmanager
+    def holding(self) -> Iterator[Owner]:
+        """What this thread stores inside the block belongs to this owner."""
+        token = _owner.set(self)
+        try:
+            yield self
+        finally:
+            _owner.reset(token)
+
+    def delete(self, spark: SparkSession) -> None:
+        for path in self.paths:
+            at, files = _file_system(spark, path)
+            files.delete(at, True)
+        self.paths.clear()
+
+
+_owner: ContextVar[Owner | None] = ContextVar("owner", default=None)
+
+
+def _file_system(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
     """An unused path in the folder all executors share (``spark.checkpoint.dir``).
 
-    Only a local session may leave the setting out, as tests do.
+    It belongs to the :class:`Owner` that holds the thread; without one it stays as long as the session's process, as a frame
+    that reads it may be used at any time. Only a local session may leave the setting out, as tests do.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
@@ -36,8 +58,16 @@ def new_folder(spark: SparkSession, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         shared = tempfile.mkdtemp(prefix="gumshoe-llm-")
         spark.conf.set("spark.checkpoint.dir", shared)
-    _made.append(f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}")
-    return _made[-1]
+    path = f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    owner = _owner.get()
+    if owner is not None:
+        owner.paths.append(path)
+    else:
+        at, files = _file_system(spark, path)
+        files.mkdirs(at)  # what does not exist cannot be marked
+        files.deleteOnExit(at)
+        files.delete(at, True)
+    return path
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -51,3 +81,11 @@ def broadcast_if_small(df: DataFrame, most_bytes: int = 16 << 20) -> DataFrame:
     """Mark a stored table for broadcast if its measured size allows it; a larger one is left to a shuffled join."""
     found = df.agg(F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*df.columns)))), F.lit(0))).first()[0]
     return F.broadcast(df) if found <= most_bytes else df
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

@@ -1,21 +1,26 @@
 """Toxicity scores from a linear model that is trained to ignore which group a sentence names.
 
 A text's features are those of its distinct words: the word itself and its beginnings of 4 to 6 letters, so that
-inflected forms count. Logistic regression is trained on a bounded sample of labelled texts. For every sampled text that
-names a group, copies are made in which the name is swapped for the other names of its set, and the squared change of the
-model's log odds from text to copy is added to the loss: a name alone then cannot make a neutral sentence toxic.
+inflected forms count. Logistic regression is trained on a bounded sample of labelled texts, each of them whole. For every
+sampled text that names a group, copies are made in which the name is swapped for the other names of its set, and the squared
+change of the model's log odds from text to copy is added to the loss: a name alone then cannot make a neutral sentence toxic.
 
-Only features that go with the label more than chance explains are used; what a word adds is kept in one table, which
-the executors look words up in. The score of a text is the logistic function of the bias and the sum over its words.
+A copy differs from its text by one word, so what it changes depends on the two names alone: the copies of a pair of names are
+counted and their change is weighed by that count. Only features that go with the label more than chance explains are used, and
+the names themselves, whatever they go with. Features are counted where the texts lie; the driver gets the chosen features, arrays of
+their numbers for each sampled text, and the counts of pairs, but no texts. What a word adds is kept in one table, which the
+executors look words up in. The score of a text is the logistic function of the bias and the sum over its words.
 
 Nulls and ties: a null or empty text has no words and the score of the bias alone; labels without id or value are left out;
 a document with several labels counts once for each; rows that repeat are scored alike, and learned from once. Without labels of both kinds every
-score is the share of toxic labels, or 0. Other columns of the input are passed on by :func:`with_scores` only.
+score is the share of toxic labels, or 0. Texts may be of any length. Other columns of the input are passed on by
+:func:`with_scores` only; one of the name of the score is replaced.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -25,19 +30,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .drawing import under, window
+from .drawing import under
 from .store import stored
 
 SAMPLE_PER_LABEL = 4000
 """Labelled texts that are learned from, for each label: those whose ids have the smallest MD5."""
-SAMPLE_CHARS = 20_000
-"""Of a longer text a window of this length is learned from, at a place drawn by its digest; all are scored whole."""
 THRESHOLD = 0.3
+MIN_TEXTS = 4
 MIN_G2 = 16.0
 SWAP_WEIGHT = 1.0
 RIDGE = 1e-4
 STEPS = 150
 CACHE_WORDS = 500_000
+MOST_NAMES = 10_000
+# fixed values: names of groups that may stand for one another, in English, French, German and Spanish
 IDENTITY = (
     ("women", "men"),
     ("woman", "man"),
@@ -48,11 +54,50 @@ IDENTITY = (
     ("gay", "straight", "lesbian", "bisexual", "transgender"),
     ("immigrants", "refugees", "locals"),
     ("disabled", "blind", "deaf"),
+    ("femmes", "hommes"),
+    ("femme", "homme"),
+    ("filles", "garçons"),
+    ("musulmans", "chrétiens", "juifs", "hindous", "athées"),
+    ("musulmane", "chrétienne", "juive", "hindoue", "athée"),
+    ("noirs", "blancs", "asiatiques", "arabes"),
+    ("homosexuels", "hétérosexuels", "lesbiennes", "bisexuels", "transgenres"),
+    ("immigrés", "réfugiés", "étrangers"),
+    ("handicapés", "aveugles", "sourds"),
+    ("frauen", "männer"),
+    ("frau", "mann"),
+    ("mädchen", "jungen"),
+    ("muslime", "christen", "juden", "hindus", "atheisten"),
+    ("muslimisch", "christlich", "jüdisch", "hinduistisch", "atheistisch"),
+    ("schwarze", "weiße", "asiaten", "araber"),
+    ("schwule", "heterosexuelle", "lesben", "bisexuelle", "transgender"),
+    ("einwanderer", "flüchtlinge", "einheimische"),
+    ("behinderte", "blinde", "gehörlose"),
+    ("mujeres", "hombres"),
+    ("mujer", "hombre"),
+    ("niñas", "niños"),
+    ("musulmanes", "cristianos", "judíos", "hindúes", "ateos"),
+    ("musulmana", "cristiana", "judía", "hindú", "atea"),
+    ("negros", "blancos", "asiáticos", "latinos"),
+    ("homosexuales", "heterosexuales", "lesbianas", "bisexuales", "transgénero"),
+    ("inmigrantes", "refugiados", "locales"),
+    ("discapacitados", "ciegos", "sordos"),
 )
 
+Sets = tuple[tuple[str, ...], ...]
 _words = re.compile(r"[^\W\d_]+").findall
 
 
+def identity_sets(rows: DataFrame) -> Sets:
+    """The sets of a table ``(set, name)`` of at most ``MOST_NAMES`` names."""
+    names = rows.where("name is not null").select(F.col("set").cast("string"), F.lower("name").alias("name")).distinct()
+    found: dict[str | None, list[str]] = {}
+    for r in names.orderBy("set", "name").limit(MOST_NAMES + 1).collect():
+        found.setdefault(r["set"], []).append(r["name"])
+    if sum(map(len, found.values())) > MOST_NAMES:
+        raise ValueError(f"more than {MOST_NAMES} names")
+    return tuple(map(tuple, found.values()))
+
+
 def words_of(text: str | None) -> set[str]:
     return set(_words((text or "").lower()))
 
@@ -61,20 +106,22 @@ def features_of(word: str) -> list[str]:
     return [word, *(f"{word[:n]}*" for n in (4, 5, 6) if len(word) > n)]
 
 
-def swapped(words: set[str], identity=IDENTITY) -> Iterator[set[str]]:
-    """The words of the copies in which one group's name is another's."""
+def swaps_of(words: set[str], identity: Sets = IDENTITY) -> Iterator[tuple[str, str]]:
+    """Name and other name of each copy of a text."""
     for names in identity:
         for name in names:
             if name in words:
                 for other in names:
                     if other not in words:
-                        yield (words - {name}) | {other}
+                        yield name, other
 
 
 @dataclass
 class Model:
     bias: float
     weights: dict[str, float]
+    copies: int = 0
+    """How many swapped copies it was trained with."""
 
     def scorer(self):
         known: dict[str, float] = {}
@@ -94,57 +141,86 @@ class Model:
         return score
 
 
-def _counts(texts: list[set[str]], columns: dict[str, int]):
-    """Sparse counts of features: row, column, value."""
-    rows, cols, values = [], [], []
-    for i, words in enumerate(texts):
-        found: dict[int, int] = {}
-        for word in words:
-            for f in features_of(word):
-                c = columns.get(f)
-                if c is not None:
-                    found[c] = found.get(c, 0) + 1
-        rows.extend([i] * len(found))
-        cols.extend(found)
-        values.extend(found.values())
-    return np.array(rows, dtype=np.int64), np.array(cols, dtype=np.int64), np.array(values, dtype=float)
-
-
-def _chosen(texts: list[set[str]], y: np.ndarray) -> dict[str, int]:
-    """Features whose number of toxic texts differs from chance, by the likelihood ratio G2."""
-    seen: dict[str, list[int]] = {}
-    for words, label in zip(texts, y.tolist(), strict=True):
-        for f in {f for w in words for f in features_of(w)}:
-            seen.setdefault(f, [0, 0])[label] += 1
-    total = np.array([(y == 0).sum(), (y == 1).sum()], dtype=float)
-    names = [f for f, n in seen.items() if n[0] + n[1] >= 4]
-    if not names:
-        return {}
-    n = np.array([seen[f] for f in names], dtype=float)
-    expected = n.sum(axis=1, keepdims=True) * total / total.sum()
-    g2 = 2 * (n * np.log(np.maximum(n, 1e-9) / expected)).sum(axis=1)
-    more = n[:, 1] * total[0] > n[:, 0] * total[1]
+@dataclass
+class Sample:
+    """What is learned from: ``rows``, ``columns`` and ``values`` are the sparse counts of chosen features in the texts."""
+
+    names: list[str]
+    labels: np.ndarray
+    rows: np.ndarray
+    columns: np.ndarray
+    values: np.ndarray
+    swaps: dict[tuple[str, str], int]
+
+
+def chosen(counts: DataFrame, toxic: int, neutral: int, identity: Sets = IDENTITY) -> list[str]:
+    """Features of ``counts (feature, n0, n1)`` whose number of toxic texts is above chance by the likelihood ratio G2, or of names."""
+    n = F.col("n0") + F.col("n1")
+    part = lambda k, total: F.when(F.col(k) > 0, F.col(k) * F.log(F.col(k) * (toxic + neutral) / (n * total))).otherwise(0.0)
+    g2 = 2 * (part("n0", neutral) + part("n1", toxic))
     # what makes a text look harmless is a matter of its length and language here, not of its meaning
-    return {f: i for i, f in enumerate(sorted(f for f, keep in zip(names, (g2 >= MIN_G2) & more, strict=True) if keep))}
-
-
-def fit(
-    texts: list[str], labels: list[int], identity=IDENTITY, swap_weight: float = SWAP_WEIGHT, share: float | None = None
-) -> Model:
+    telling = (n >= MIN_TEXTS) & (g2 >= MIN_G2) & (F.col("n1") * neutral > F.col("n0") * toxic)
+    names = sorted({name for names in identity for name in names})
+    rows = counts.where(telling | F.col("feature").isin(*names) if names else telling).select("feature")
+    return sorted(r["feature"] for r in rows.collect())
+
+
+def gather(texts: DataFrame, identity: Sets = IDENTITY) -> Sample:
+    """Read ``texts (toxic, draw, text)``, distinct in the first two; toxic is 0 or 1."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: list[Counter] = [Counter(), Counter()]
+        for batch in batches:
+            for label, text in zip(batch["toxic"].to_pylist(), batch["text"].to_pylist(), strict=True):
+                seen[label].update({f for w in words_of(text) for f in features_of(w)})
+        features = sorted(seen[0].keys() | seen[1].keys())
+        arrays = [pa.array(features, pa.string()), *(pa.array([s[f] for f in features], pa.int64()) for s in seen)]
+        yield pa.RecordBatch.from_arrays(arrays, names=["feature", "n0", "n1"])
+
+    texts = stored(texts.select("toxic", "draw", "text"), "sample")
+    totals = {r["toxic"]: r["n"] for r in texts.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    counts = texts.select("toxic", "text").mapInArrow(count, "feature string, n0 long, n1 long")
+    counts = counts.groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    names = chosen(counts, totals.get(1, 0), totals.get(0, 0), identity)
+    sent = texts.sparkSession.sparkContext.broadcast({f: i for i, f in enumerate(names)})
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns = sent.value
+        for batch in batches:
+            held, swaps = [], []
+            for text in batch["text"].to_pylist():
+                words = words_of(text)
+                found = Counter(columns[f] for w in words for f in features_of(w) if f in columns)
+                held.append([x for pair in sorted(found.items()) for x in pair])
+                swaps.append(["\t".join(s) for s in swaps_of(words, identity)])
+            arrays = [batch["toxic"], batch["draw"], pa.array(held, pa.list_(pa.int32())), pa.array(swaps, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["toxic", "draw", "held", "swaps"])
+
+    found = stored(texts.mapInArrow(look_up, "toxic int, draw string, held array<int>, swaps array<string>"), "features")
+    held = found.orderBy("toxic", "draw").select("toxic", "held").toArrow()
+    pairs = found.select(F.explode("swaps").alias("swap")).groupBy("swap").agg(F.count("*").alias("n")).collect()
+    lists = held["held"].combine_chunks()
+    flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
+    lengths = lists.value_lengths().to_numpy(zero_copy_only=False) // 2 if held.num_rows else np.zeros(0, dtype=np.int32)
+    rows = np.repeat(np.arange(held.num_rows, dtype=np.int32), lengths)
+    labels = held["toxic"].to_numpy().astype(np.int64)
+    return Sample(names, labels, rows, flat[::2], flat[1::2].astype(float), {tuple(r["swap"].split("\t")): r["n"] for r in pairs})
+
+
+def fit(sample: Sample, swap_weight: float = SWAP_WEIGHT, share: float | None = None) -> Model:
     """``share`` is that of toxic texts where the sample comes from; the sample's own if it is not given."""
-    y = np.array(labels, dtype=np.int64)
+    y = sample.labels
     if not len(y) or y.min() == y.max():
         p = min(max(float(y.mean()) if len(y) else 0.0, 1e-6), 1 - 1e-6)
         return Model(float(np.log(p / (1 - p))), {})
-    words = [words_of(t) for t in texts]
-    columns = _chosen(words, y)
-    copies = [(i, s) for i, w in enumerate(words) for s in swapped(w, identity)]
-    rows, cols, values = _counts(words, columns)
-    r2, c2, v2 = _counts([s for _, s in copies], columns)
-    r1, c1, v1 = _counts([words[i] for i, _ in copies], columns)
-    # a copy's change: its counts less those of its text
-    dr, dc, dv = np.concatenate([r2, r1]), np.concatenate([c2, c1]), np.concatenate([v2, -v1])
-    n, m, k = len(y), len(copies), len(columns)
+    rows, cols, values = sample.rows, sample.columns, sample.values
+    column = {f: i for i, f in enumerate(sample.names)}
+    swaps = sorted(sample.swaps.items())
+    # a copy's change: the counts of its name less those of the text's
+    change = [(i, column[f], sign) for i, (pair, _) in enumerate(swaps) for sign, w in zip((-1, 1), pair, strict=True) for f in features_of(w) if f in column]
+    dr, dc, dv = (np.array(x, dtype=float if k == 2 else np.int64) for k, x in enumerate(zip(*change, strict=True))) if change else (np.zeros(0, dtype=np.int64),) * 3
+    copies = np.array([n for _, n in swaps], dtype=float)
+    n, m, k = len(y), len(swaps), len(sample.names)
     share = float(y.mean()) if share is None else share
     w, bias = np.zeros(k), float(np.log(share / (1 - share)))
     balance = np.where(y == 1, share / (y == 1).sum(), (1 - share) / (y == 0).sum())
@@ -153,14 +229,14 @@ def fit(
         z = bias + np.bincount(rows, weights=values * w[cols], minlength=n)
         d = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y) * balance
         g = np.bincount(cols, weights=values * d[rows], minlength=k) + RIDGE * w
-        if m:
-            change = np.bincount(dr, weights=dv * w[dc], minlength=m)
-            g += swap_weight * 2 / m * np.bincount(dc, weights=dv * change[dr], minlength=k)
+        if len(dr):
+            moved = np.bincount(dr, weights=dv * w[dc], minlength=m) * copies
+            g += swap_weight * 2 / copies.sum() * np.bincount(dc, weights=dv * moved[dr], minlength=k)
         g = np.append(g, d.sum())
         mw, vw = 0.9 * mw + 0.1 * g, 0.99 * vw + 0.01 * g * g
         move = 0.15 * (mw / (1 - 0.9**step)) / (np.sqrt(vw / (1 - 0.99**step)) + 1e-10)
         w, bias = w - move[:-1], bias - move[-1]
-    return Model(float(bias), {f: float(w[i]) for f, i in columns.items() if w[i]})
+    return Model(float(bias), {f: float(w[i]) for f, i in column.items() if w[i]}, int(copies.sum()))
 
 
 def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -182,10 +258,10 @@ def _draw() -> Column:
     return F.md5(F.concat(F.col("doc_id").cast("string"), F.lit(" "), F.md5(F.coalesce("text", F.lit("")))))
 
 
-def train(docs: DataFrame, labels: DataFrame, identity=IDENTITY, swap_weight: float = SWAP_WEIGHT) -> Model:
+def train(docs: DataFrame, labels: DataFrame, identity: Sets = IDENTITY, swap_weight: float = SWAP_WEIGHT) -> Model:
     """Learn from ``labels (doc_id, toxic)`` of ``docs (doc_id, text)``.
 
-    The sample is drawn from digests: only the texts drawn are shuffled and reach the driver, whatever the table's size.
+    The sample is drawn from digests: only the texts drawn are shuffled, whatever the table's size.
     """
     labelled = stored(_labelled(docs, labels), "labelled")
     per_label = labelled.groupBy("toxic").agg(F.sum("n").alias("n"), F.count_if("filled").alias("eligible")).collect()
@@ -195,17 +271,16 @@ def train(docs: DataFrame, labels: DataFrame, identity=IDENTITY, swap_weight: fl
         labelled.where((F.col("toxic") == r["toxic"]) & F.col("filled") & (F.col("draw") < under(r["eligible"], SAMPLE_PER_LABEL)))
         .orderBy("draw")
         .limit(SAMPLE_PER_LABEL)
-        .select("toxic", "doc_id", "draw")
+        .select("toxic", F.col("doc_id").alias("labelled"), F.col("draw").alias("drawn"))
         for r in per_label
     ]
     if not drawn:
-        return fit([], [], identity, swap_weight, share)
-    chosen = reduce(DataFrame.unionByName, drawn).withColumnRenamed("doc_id", "labelled").withColumnRenamed("draw", "drawn")
+        return Model(float(np.log(1e-6)), {})
+    chosen_rows = reduce(DataFrame.unionByName, drawn)
     same = (F.col("doc_id") == F.col("labelled")) & (_draw() == F.col("drawn"))
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), same)
-    texts = texts.select("toxic", "drawn", window(F.col("text"), F.col("drawn"), SAMPLE_CHARS).alias("text"))
-    sample = texts.groupBy("toxic", "drawn").agg(F.min("text").alias("text")).orderBy("toxic", "drawn").collect()
-    return fit([r["text"] for r in sample], [r["toxic"] for r in sample], identity, swap_weight, share)
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen_rows), same)  # two times SAMPLE_PER_LABEL rows
+    texts = texts.groupBy("toxic", F.col("drawn").alias("draw")).agg(F.min("text").alias("text"))
+    return fit(gather(texts, identity), swap_weight, share)
 
 
 def with_scores(docs: DataFrame, model: Model, column: str = "toxicity") -> DataFrame:

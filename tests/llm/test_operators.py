@@ -322,29 +322,79 @@ def test_toxicity_finds_words_and_forms(spark):
     assert toxicity.with_scores(docs, none).count() == len(rows) and none.weights == {}
 
 
-def test_long_texts_are_learned_from(spark):
-    long = 3 * toxicity.SAMPLE_CHARS
-    rows = [(i, ("bad " if i % 2 else "fine ") * (long // 4), f"l{i % 2}") for i in range(40)]
-    docs = spark.createDataFrame([(i, t, "aa" if i % 2 else "bb") for i, t, _ in rows], "doc_id long, text string, lang string")
+def test_long_texts_are_learned_from_whole(spark):
+    """What tells the labels apart is the last word of a long text."""
+    rows = [(i, "plain words " * 20_000 + ("vile" if i % 2 else "fine")) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
     model = toxicity.train(docs, docs.select("doc_id", (F.col("doc_id") % 2).alias("toxic")))
     assert {r["doc_id"] for r in toxicity.with_scores(docs, model).where("toxicity > 0.5").collect()} == set(range(1, 40, 2))
-    assert language_id.train(docs).languages == ["aa", "bb"]
-    at = drawing.window(F.lit("abcdef"), F.md5(F.col("id").cast("string")), 4)
-    assert {r[0] for r in spark.range(60).select(at).collect()} == {"abcd", "bcde", "cdef"}
-    assert spark.range(1).select(drawing.window(F.lit("abc"), F.md5(F.lit("x")), 4)).first()[0] == "abc"
-
-
-def test_swapped_names_do_not_count():
-    """A group that is named mostly in toxic sentences: without the penalty its name alone raises the score."""
-    bad = [f"women {('awful', 'vile', 'nasty')[i % 3]}" for i in range(60)] + [f"men {('awful', 'vile', 'nasty')[i % 3]}" for i in range(6)]
-    good = [f"men walk home {i}" for i in range(80)] + ["women walk home"] * 4
-    labels = [1] * len(bad) + [0] * len(good)
-    plain = toxicity.fit(bad + good, labels, swap_weight=0.0)
-    fair = toxicity.fit(bad + good, labels, swap_weight=20.0)
-    weight = lambda model, word: sum(model.weights.get(f, 0.0) for f in toxicity.features_of(word))
-    gap = lambda model: abs(weight(model, "women") - weight(model, "men"))
-    assert gap(fair) < 0.2 * gap(plain) and gap(plain) > 0.5
-    assert fair.scorer()("women awful") > 0.5 > fair.scorer()("women walk home")
+
+
+def sample_of(spark, bad, good, identity=toxicity.IDENTITY):
+    rows = [(1, str(i), t) for i, t in enumerate(bad)] + [(0, str(i), t) for i, t in enumerate(good)]
+    return toxicity.gather(spark.createDataFrame(rows, "toxic int, draw string, text string"), identity)
+
+
+def test_swapped_names_do_not_count(spark):
+    """A group that is named mostly in toxic sentences: without the penalty its name alone raises the score, in each language."""
+    for a, b in (("women", "men"), ("femmes", "hommes"), ("frauen", "männer"), ("mujeres", "hombres")):
+        bad = [f"{a} {('awful', 'vile', 'nasty')[i % 3]}" for i in range(60)] + [f"{b} {('awful', 'vile', 'nasty')[i % 3]}" for i in range(6)]
+        good = [f"{b} walk home {i}" for i in range(80)] + [f"{a} walk home"] * 4
+        sample = sample_of(spark, bad, good)
+        plain, fair = toxicity.fit(sample, swap_weight=0.0), toxicity.fit(sample, swap_weight=20.0)
+        weight = lambda model, word: sum(model.weights.get(f, 0.0) for f in toxicity.features_of(word))
+        gap = lambda model: abs(weight(model, a) - weight(model, b))  # noqa: E731, B023
+        assert gap(fair) < 0.2 * gap(plain) and gap(plain) > 0.5
+        assert fair.scorer()(f"{a} awful") > 0.5 > fair.scorer()(f"{a} walk home")
+        assert fair.copies == plain.copies == len(bad) + len(good)
+
+
+def test_penalty_lowers_false_alarms_on_neutral_mentions(spark):
+    """Neutral sentences that the model has not seen, about the group that is mostly named in toxic ones."""
+    random = np.random.default_rng(1)
+    bad = [f"muslims {random.choice(['awful', 'vile', 'nasty'])} {words(random, 5)}" if i % 3 else f"vile {words(random, 5)}" for i in range(200)]
+    good = [f"{words(random, 6)} {'christians' if i % 5 == 0 else ''}" for i in range(600)]
+    sample = sample_of(spark, bad, good)
+    neutral = [f"muslims {words(random, 6)}" for _ in range(100)]
+    alarms = [sum(toxicity.fit(sample, w).scorer()(t) >= toxicity.THRESHOLD for t in neutral) for w in (0.0, 20.0)]
+    assert alarms[1] < alarms[0]
+    found = [f"christians {w} {words(random, 5)}" for w in ("awful", "vile", "nasty")]
+    assert all(toxicity.fit(sample, 20.0).scorer()(t) >= toxicity.THRESHOLD for t in found)
+
+
+def test_sample_is_counted_as_a_plain_version_counts(spark):
+    random = np.random.default_rng(4)
+    texts = [(int(i % 3 == 0), str(i), words(random, 12, 30) + (" women bad" if i % 4 == 0 else " men") + (" Frau" if i == 9 else "")) for i in range(90)]
+    texts += [(1, "x", None), (0, "y", "")]
+    sample = toxicity.gather(spark.createDataFrame([(*t, 1) for t in texts], "toxic int, draw string, text string, held int"))
+    texts.sort(key=lambda t: t[:2])
+    assert sample.labels.tolist() == [t[0] for t in texts]
+    seen, swaps = {}, {}
+    for toxic, _, text in texts:
+        found = toxicity.words_of(text)
+        for f in {f for w in found for f in toxicity.features_of(w)}:
+            seen.setdefault(f, [0, 0])[toxic] += 1
+        for pair in toxicity.swaps_of(found):
+            swaps[pair] = swaps.get(pair, 0) + 1
+    assert sample.swaps == swaps and ("frau", "mann") in swaps
+    total = [sum(t[0] == k for t in texts) for k in (0, 1)]
+
+    def kept(f, n):
+        g2 = 2 * sum(x * np.log(x * sum(total) / (sum(n) * t)) for x, t in zip(n, total, strict=True) if x)
+        return f in {x for s in toxicity.IDENTITY for x in s} or (sum(n) >= 4 and g2 >= 16 and n[1] * total[0] > n[0] * total[1])
+
+    assert sample.names == sorted(f for f, n in seen.items() if kept(f, n))
+    dense = np.zeros((len(texts), len(sample.names)))
+    np.add.at(dense, (sample.rows, sample.columns), sample.values)
+    want = [[sum(f in toxicity.features_of(w) for w in toxicity.words_of(t)) for f in sample.names] for *_, t in texts]
+    assert dense.tolist() == want
+
+
+def test_identity_table(spark):
+    rows = spark.createDataFrame([("a", "Women"), ("a", "men"), ("b", "x"), ("b", "x"), ("c", None), (None, "y")], "set string, name string")
+    assert toxicity.identity_sets(rows) == (("y",), ("men", "women"), ("x",))
+    with pytest.raises(ValueError):
+        toxicity.identity_sets(spark.range(toxicity.MOST_NAMES + 1).select(F.lit("s").alias("set"), F.col("id").cast("string").alias("name")))
 
 
 def test_language(spark):
