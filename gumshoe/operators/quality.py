@@ -1,11 +1,12 @@
 """Quality report of a table: missing, duplicate, mixed, empty and far-off values.
 
-An aggregate profiles all columns, a shuffle of fixed-width row keys counts
-duplicates, and the quartile passes read only the numeric columns.
+A report reads the table three times: one aggregate profiles all columns and sketches the numeric ones, one read of the numeric
+columns counts what lies beside and inside the sketches' brackets, and a shuffle of fixed-width row keys counts duplicates.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -18,7 +19,9 @@ from gumshoe.operators.quartiles import (
     fences,
     long_values,
     numeric_columns,
+    outliers,
     quartiles,
+    sketch_of,
 )
 
 SOURCE = "csv_analyzer"  # fixed value: the source name of table findings
@@ -72,34 +75,47 @@ def _missing(field: T.StructField) -> Column:
     return c.isNull()
 
 
-def profile(df: DataFrame) -> DataFrame:
-    """One row per column: position, name, kind, rows, missing, present and numeric counts.
+def profile_row(df: DataFrame, with_sketches: bool = False) -> DataFrame:
+    """One row: ``n_rows`` and ``columns``, an array of what :func:`profile` returns and, if asked for, of ``sketch``, null but for numbers.
 
     All columns are counted in a single aggregation without grouping.
     """
     fields = df.schema.fields
-    aggs = [F.count("*").alias("rows")]
+    aggs = [F.count("*").alias("n_rows")]
     for i, f in enumerate(fields):
         aggs.append(F.count_if(_missing(f)).alias(f"m{i}"))
         if column_kind(f.dataType) == "text":
             aggs.append(F.count_if(text.is_number(quoted(f.name))).alias(f"k{i}"))
+        if with_sketches and column_kind(f.dataType) == "number":
+            aggs.append(sketch_of(quoted(f.name)).alias(f"s{i}"))
     counts = df.agg(*aggs)
-    zero = F.lit(0).cast("bigint")
-    rows = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("pos"),
-                F.lit(f.name).alias("column_name"),
-                F.lit(column_kind(f.dataType)).alias("kind"),
-                F.col("rows").alias("n_rows"),
-                F.col(f"m{i}").alias("n_missing"),
-                (F.col("rows") - F.col(f"m{i}")).alias("n_present"),
-                (F.col(f"k{i}") if column_kind(f.dataType) == "text" else zero).alias("n_numeric"),
-            )
-            for i, f in enumerate(fields)
+
+    def column(i: int, f: T.StructField) -> Column:
+        kind = column_kind(f.dataType)
+        parts = [
+            F.lit(i).alias("pos"),
+            F.lit(f.name).alias("column_name"),
+            F.lit(kind).alias("kind"),
+            "n_rows",
+            F.col(f"m{i}").alias("n_missing"),
+            (F.col("n_rows") - F.col(f"m{i}")).alias("n_present"),
+            (F.col(f"k{i}") if kind == "text" else F.lit(0).cast("bigint")).alias("n_numeric"),
         ]
-    )
-    return counts.select(F.inline(rows))
+        if with_sketches:
+            parts.append((F.col(f"s{i}") if kind == "number" else F.lit(None).cast("binary")).alias("sketch"))
+        return F.struct(*parts)
+
+    return counts.select("n_rows", F.array(*[column(i, f) for i, f in enumerate(fields)]).alias("columns"))
+
+
+def sketches_of(profiled: DataFrame) -> DataFrame:
+    """``(column_name, sketch)`` of the numeric columns, from a profile made with sketches."""
+    return profiled.select(F.inline("columns")).filter("sketch is not null").select("column_name", "sketch")
+
+
+def profile(df: DataFrame) -> DataFrame:
+    """One row per column: position, name, kind, rows, missing, present and numeric counts."""
+    return profile_row(df).select(F.inline("columns"))
 
 
 def row_and_column_count(df: DataFrame) -> DataFrame:
@@ -121,20 +137,43 @@ def missing_values(df: DataFrame) -> DataFrame:
     )
 
 
-def _row_key(df: DataFrame) -> Column:
-    """32 bytes for a whole row: nulls are left out of the text that is hashed, so they differ from any value."""
-
-    def value(f: T.StructField) -> Column:
-        c = quoted(f.name)
-        return c + 0 if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else c  # one zero
-
-    fields = [value(f).alias(f"c{i}") for i, f in enumerate(df.schema.fields)]
-    return F.unhex(F.sha2(F.to_json(F.struct(*fields)), 256)).alias("key")
+def _framed(value: Column) -> Column:
+    """A text that tells where it ends, so that texts behind one another cannot be mistaken for others; null is a sign of its own."""
+    return F.coalesce(F.concat(F.length(value).cast("string"), F.lit(":"), value), F.lit("~"))
+
+
+def exact_text(value: Column, kind: T.DataType) -> Column:
+    """A text that two values share only if they are equal; null for null. Zeros are one, so are NaNs and maps in any order."""
+    if isinstance(kind, T.StringType):
+        return value
+    if isinstance(kind, T.BinaryType):
+        return F.hex(value)
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return (value + F.lit(0).cast(kind)).cast("string")
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(value).cast("string")
+    if isinstance(kind, T.ArrayType):
+        return F.array_join(F.transform(value, lambda x: _framed(exact_text(x, kind.elementType))), "")
+    if isinstance(kind, T.StructType):
+        inside = F.concat(F.lit(""), *[_framed(exact_text(value[f.name], f.dataType)) for f in kind.fields])
+        return F.when(value.isNotNull(), inside)
+    if isinstance(kind, T.MapType):
+        pair = lambda e: F.concat(_framed(exact_text(e["key"], kind.keyType)), _framed(exact_text(e["value"], kind.valueType)))
+        return F.array_join(F.sort_array(F.transform(F.map_entries(value), lambda e: _framed(pair(e)))), "")
+    if isinstance(kind, T.VariantType):
+        return F.to_json(value)
+    return value.cast("string")  # whole numbers, decimals of one scale, dates, times and intervals
+
+
+def row_key(df: DataFrame) -> Column:
+    """32 bytes for a whole row: equal for rows with equal values, of whatever types."""
+    values = [_framed(exact_text(quoted(f.name), f.dataType)) for f in df.schema.fields]
+    return F.unhex(F.sha2(F.concat(F.lit(""), *values), 256)).alias("key")
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """One row: rows in all, and rows that repeat an earlier one (nulls are equal)."""
-    groups = df.select(_row_key(df)).groupBy("key").agg(F.count("*").alias("copies"))
+    groups = df.select(row_key(df)).groupBy("key").agg(F.count("*").alias("copies"))
     return groups.agg(
         F.coalesce(F.sum("copies"), F.lit(0)).alias("n_rows"),
         F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).alias("n_duplicates"),
@@ -143,16 +182,12 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
 
 def mixed_type_columns(df: DataFrame) -> DataFrame:
     """Text columns where more than half, but not all, of the values are numbers."""
-    return profile(df).filter(_is_mixed()).select("pos", "column_name", "n_numeric", "n_present")
+    return profile(df).filter(_is_mixed(F.col)).select("pos", "column_name", "n_numeric", "n_present")
 
 
-def _is_mixed() -> Column:
-    return (
-        (F.col("kind") == "text")
-        & (F.col("n_numeric") > 0)
-        & (F.col("n_numeric") < F.col("n_present"))
-        & (F.col("n_numeric") > F.col("n_present") * 0.5)
-    )
+def _is_mixed(field: Callable[[str], Column]) -> Column:
+    numeric, present = field("n_numeric"), field("n_present")
+    return (field("kind") == "text") & (numeric > 0) & (numeric < present) & (numeric > present * 0.5)
 
 
 def empty_columns(df: DataFrame) -> DataFrame:
@@ -168,14 +203,7 @@ def column_quartiles(df: DataFrame, columns: list[str] | None = None, accuracy:
 
 def iqr_outliers(df: DataFrame, accuracy: int | None = None) -> DataFrame:
     """Numeric columns with values beyond the fences: ``(column_name, n_outliers, lower, upper)``."""
-    long = long_values(df)
-    bounds = fences(column_quartiles(df, None, accuracy))
-    far = long.join(F.broadcast(bounds), "column_name").filter(  # one row per numeric column
-        (F.col("x") < F.col("lower")) | (F.col("x") > F.col("upper"))
-    )
-    return far.groupBy("column_name").agg(
-        F.count("*").alias("n_outliers"), F.first("lower").alias("lower"), F.first("upper").alias("upper")
-    )
+    return outliers(long_values(df), accuracy)
 
 
 def outlier_rows(df: DataFrame, column: str, accuracy: int | None = None) -> DataFrame:
@@ -208,74 +236,60 @@ def _finding(kind: str, ord_: Column, severity: Column, column: Column, values:
     )
 
 
-def _profile_findings(df: DataFrame) -> DataFrame:
-    """Missing, mixed and empty findings and the clean row, all from one profile."""
-    p = profile(df)
-    name, pos = F.col("column_name"), F.col("pos")
-    pct = percent(F.col("n_missing"), F.col("n_rows"))
-    missing = F.when(
-        F.col("n_missing") > 0,
-        _finding(
-            "Missing Values", SECTION + pos, F.when(pct > 30, "high").otherwise("medium"), name,
-            {"column": name, "n": F.col("n_missing"), "pct": pct},
-        ),
-    )
-    mixed = F.when(
-        _is_mixed(),
-        _finding(
-            "Type Mismatch", 3 * SECTION + pos, F.lit("high"), name,
-            {"column": name, "n": F.col("n_numeric"), "present": F.col("n_present")},
-        ),
-    )
-    per_column = p.select(F.inline(F.array(missing, mixed))).filter(F.col("bug_type").isNotNull())
-    # The profile has one row per column, so this list is as long as the schema.
-    summary = p.agg(
-        F.max("n_rows").alias("n_rows"),
-        F.count("*").alias("n_columns"),
-        F.array_join(
-            F.transform(
-                F.sort_array(F.collect_list(F.when(F.col("n_present") == 0, F.struct("pos", "column_name")))),
-                lambda s: s["column_name"],
-            ),
-            ", ",
-        ).alias("empty"),
-    )
+def _profile_findings(profiled: DataFrame) -> DataFrame:
+    """Missing, mixed and empty findings and the clean row, all from the one row of a profile."""
     none = F.lit(None).cast("string")
+
+    def of_column(c: Column) -> Column:
+        name, n, pct = c["column_name"], c["n_missing"], percent(c["n_missing"], c["n_rows"])
+        missing = _finding(
+            "Missing Values", SECTION + c["pos"], F.when(pct > 30, "high").otherwise("medium"), name, {"column": name, "n": n, "pct": pct}
+        )
+        mixed = _finding(
+            "Type Mismatch", 3 * SECTION + c["pos"], F.lit("high"), name, {"column": name, "n": c["n_numeric"], "present": c["n_present"]}
+        )
+        return F.array(F.when(n > 0, missing), F.when(_is_mixed(c.getField), mixed))
+
+    columns = F.col("columns")
+    empty = F.transform(F.filter(columns, lambda c: c["n_present"] == 0), lambda c: c["column_name"])
     empty = F.when(
-        F.col("empty") != "",
-        _finding("Empty Columns", F.lit(4 * SECTION), F.lit("low"), none, {"column": F.col("empty")}),
+        F.size(empty) > 0, _finding("Empty Columns", F.lit(4 * SECTION), F.lit("low"), none, {"column": F.array_join(empty, ", ")})
     )
     clean = _finding(
-        "No Issues", F.lit(6 * SECTION), F.lit("info"), none,
-        {"rows": F.col("n_rows"), "columns": F.col("n_columns")},
+        "No Issues", F.lit(6 * SECTION), F.lit("info"), none, {"rows": F.col("n_rows"), "columns": F.size(columns)}
     )
-    per_table = summary.select(F.inline(F.array(empty, clean))).filter(F.col("bug_type").isNotNull())
-    return per_column.unionByName(per_table)
+    found = F.concat(F.flatten(F.transform(columns, of_column)), F.array(empty, clean))
+    return profiled.select(F.inline(F.array_compact(found)))
 
 
 def table_quality_report(df: DataFrame, table_name: str, accuracy: int | None = None) -> DataFrame:
     """Every finding of a table in report order, or a single clean row."""
-    out = _profile_findings(df)
-    dup = duplicate_rows(df).filter(F.col("n_duplicates") > 0)
+    numbers = bool(numeric_columns(df))
+    profiled = profile_row(df, with_sketches=numbers and accuracy is None)
+    far = None
+    if numbers:
+        known = sketches_of(profiled) if accuracy is None else None
+        far = outliers(long_values(df), accuracy, known)
+    return report_of(profiled, duplicate_rows(df), far, df.columns, table_name)
+
+
+def report_of(profiled: DataFrame, duplicates: DataFrame, far: DataFrame | None, columns: list[str], table_name: str) -> DataFrame:
+    """The report from its parts: the rows of :func:`profile_row`, :func:`duplicate_rows` and :func:`outliers`."""
     none = F.lit(None).cast("string")
-    out = out.unionByName(
-        dup.select(
-            _finding(
-                "Duplicate Rows", F.lit(2 * SECTION), F.lit("medium"), none,
-                {"n": F.col("n_duplicates"), "rows": F.col("n_rows")},
-            ).alias("f")
-        ).select("f.*")
+    parts = [_profile_findings(profiled)]
+    repeated = _finding(
+        "Duplicate Rows", F.lit(2 * SECTION), F.lit("medium"), none, {"n": F.col("n_duplicates"), "rows": F.col("n_rows")}
     )
-    if numeric_columns(df):
-        positions = F.create_map(*[F.lit(x) for i, c in enumerate(df.columns) for x in (c, i)])
-        far = iqr_outliers(df, accuracy).select(
-            _finding(
-                "Data Anomaly", 5 * SECTION + F.element_at(positions, F.col("column_name")), F.lit("medium"),
-                F.col("column_name"),
-                {"column": F.col("column_name"), "n": F.col("n_outliers"), "upper": F.format_string("%.2f", F.col("upper"))},
-            ).alias("f")
+    parts.append(duplicates.filter(F.col("n_duplicates") > 0).select(repeated.alias("f")).select("f.*"))
+    if far is not None:
+        positions = F.create_map(*[F.lit(x) for i, c in enumerate(columns) for x in (c, i)])
+        anomaly = _finding(
+            "Data Anomaly", 5 * SECTION + F.element_at(positions, F.col("column_name")), F.lit("medium"),
+            F.col("column_name"),
+            {"column": F.col("column_name"), "n": F.col("n_outliers"), "upper": F.format_string("%.2f", F.col("upper"))},
         )
-        out = out.unionByName(far.select("f.*"))
+        parts.append(far.select(anomaly.alias("f")).select("f.*"))
+    out = reduce(DataFrame.unionByName, parts)
     # The clean row stays only where it stands alone; a report has few rows.
     found = F.count_if(F.col("bug_type") != "No Issues").over(Window.partitionBy("table_name"))
     return (

@@ -1,15 +1,17 @@
-"""Exact quartiles of many columns at any size.
-
-``percentile`` keeps a column's distinct values in one task, which fails on a
-large table. Here each order statistic is located by histograms that narrow
-down: first bins on a logarithmic scale, then 2^20 equal bins inside the bin
-found, then single values. A bin list has at most a few million rows whatever
-the table holds, partial aggregation happens before every shuffle, and the last
-step sees at most the distinct doubles of a range of relative width 2^-30.
+"""Exact quartiles of many columns at any size, in two reads.
+
+``percentile`` keeps a column's distinct values in one task, which fails on a large table. Here a mergeable KLL sketch per column, made
+in one read or merged from sketches of earlier batches, gives brackets that hold the quartiles and the fences; a second read counts the
+values beside the brackets as a whole and those inside one by one. Values inside are binned, so that an order statistic is found by
+running counts over at most a few million bins and then over the values of one bin.
+
+A sketch's rank error is random with a known spread; the brackets are several times as wide. A bracket that misses its quartile
+nevertheless ends the job with a message, never in a wrong number.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -18,9 +20,13 @@ from pyspark.sql import types as T
 
 from gumshoe.functions.text import quoted
 
-PER_OCTAVE = 1024
 FINE_BINS = 1 << 20
+SKETCH_K = 8192
+"""Size of a sketch; about 5 in 1000 values lie in the brackets of the quartiles."""
 RANKS = ["r0", "r1", "r2", "r3"]  # ranks around the first and the third quartile
+REACH = 3  # interquartile ranges to a fence
+BRACKETS = 4
+_SHARES = (0.25, 0.75)
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -35,77 +41,148 @@ def long_values(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return long.filter(F.col("x").isNotNull() & ~F.isnan("x"))
 
 
-def _log_bin(x: Column) -> Column:
-    """A bin number that grows with ``x``: 1024 bins per power of two, either sign."""
-    size = F.floor((F.least(F.log2(F.abs(x)), F.lit(1100.0)) + 1100) * PER_OCTAVE) + 1
-    return F.when(x == 0, F.lit(0).cast("bigint")).when(x > 0, size).otherwise(-size)
+def sketch_of(x: Column, k: int = SKETCH_K) -> Column:
+    """An aggregate: the mergeable sketch of a column's present numbers."""
+    x = x.cast("double")
+    return F.kll_sketch_agg_double(F.when(x.isNotNull() & ~F.isnan(x), x + 0.0), F.lit(k))
+
+
+def sketches(long: DataFrame, k: int = SKETCH_K) -> DataFrame:
+    """``(column_name, sketch)`` of ``long (column_name, x)``."""
+    return long.groupBy("column_name").agg(sketch_of(F.col("x"), k).alias("sketch"))
+
+
+def merged(several: DataFrame) -> DataFrame:
+    """One sketch per column from the sketches of many batches."""
+    return several.filter(F.kll_sketch_get_n_double("sketch") > 0).groupBy("column_name").agg(
+        F.kll_merge_agg_double("sketch").alias("sketch")
+    )
+
+
+def _margin(k: int) -> float:
+    """Half a bracket's width in ranks: several times the error of a sketch of size ``k`` at 99 % confidence."""
+    return 4 * 2.296 / k**0.9021
+
+
+def _marks(known: DataFrame, k: int) -> DataFrame:
+    """One row per column: its ranks, and the brackets as ascending ends ``h0..`` with the place ``l0..`` from which values count singly."""
+    known = known.withColumn("total", F.kll_sketch_get_n_double("sketch")).filter(F.col("total") > 0)
+    last = F.col("total") - 1
+    low, high = F.floor(last * _SHARES[0]), F.floor(last * _SHARES[1])
+    ranks = [low.alias("r0"), F.least(low + 1, last).alias("r1"), high.alias("r2"), F.least(high + 1, last).alias("r3")]
+    wide = F.col("total") * _margin(k) >= 2  # else the few values are all counted one by one
+
+    def at(share: float, side: int) -> Column:
+        least = F.kll_sketch_get_quantile_double("sketch", F.lit(float(max(side, 0))))
+        return F.when(wide, F.kll_sketch_get_quantile_double("sketch", F.lit(share + side * _margin(k)))).otherwise(least)
+
+    found = [at(s, side).alias(n) for n, (s, side) in zip("abcd", ((s, side) for s in _SHARES for side in (-1, 1)), strict=True)]
+    known = known.select("column_name", "total", *ranks, *found)
+    # fences lie between those of the narrowest and of the widest interquartile range; the slack covers rounding
+    a, b, c, d = map(F.col, "abcd")
+    slack = (F.abs(a) + F.abs(d)) * 1e-9
+    bracket = lambda low, high: F.struct(F.nanvl(high, F.lit(math.inf)).alias("h"), F.nanvl(low, F.lit(-math.inf)).alias("l"))
+    ends = [
+        bracket(a - REACH * (d - a) - slack, b - REACH * (c - b) + slack),
+        bracket(a, b),
+        bracket(c, d),
+        bracket(c + REACH * (c - b) - slack, d + REACH * (d - a) + slack),
+    ]
+    known = known.select("column_name", "total", *RANKS, F.sort_array(F.array(*ends)).alias("ends"))
+    out = []
+    for i in range(BRACKETS):
+        high = F.col("ends")[i]["h"]
+        least = F.array_min(F.slice(F.col("ends")["l"], i + 1, BRACKETS))
+        out += [high.alias(f"h{i}"), (F.greatest(least, F.col("ends")[i - 1]["h"]) if i else least).alias(f"l{i}")]
+    return known.select("column_name", "total", *RANKS, *out)
+
+
+def _counted(long: DataFrame, marks: DataFrame) -> DataFrame:
+    """The second read: ``(column_name, zone, single, bin, value)`` with n, lo and hi; one row per column is broadcast."""
+    x, zones = F.col("x"), range(BRACKETS)
+    zone = reduce(lambda a, b: a + b, [(F.col(f"h{i}") < x).cast("int") for i in zones])
+    at = lambda name: reduce(lambda rest, i: F.when(F.col("zone") == i, F.col(f"{name}{i}")).otherwise(rest), zones, F.lit(None).cast("double"))
+    rows = long.join(F.broadcast(marks.drop("total", *RANKS)), "column_name").withColumn("zone", zone)
+    low, high = at("l"), at("h")
+    # the zone above its predecessor's end holds first the values counted as a whole, then those of its bracket
+    rows = rows.select("column_name", "x", "zone", F.coalesce(x >= low, F.lit(False)).alias("single"), low.alias("low"), high.alias("high"))
+    share = (x - F.col("low")) / F.when(F.col("high") > F.col("low"), F.col("high") - F.col("low"))
+    fine = F.when(x >= F.col("high"), FINE_BINS - 1).when(F.isnan(share), 0).otherwise(F.floor(share * FINE_BINS))
+    bin_ = F.when(F.col("single"), F.least(F.greatest(F.coalesce(fine, F.lit(0)), F.lit(0)), F.lit(FINE_BINS - 1)))
+    return rows.groupBy("column_name", "zone", "single", bin_.cast("int").alias("bin"), F.when(F.col("single"), x).alias("value")).agg(
+        F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")
+    )
 
 
-def _narrow(hist: DataFrame, keys: list[str]) -> DataFrame:
-    """Keep the bins that hold a wanted rank, with the ranks counted inside the bin."""
-    w = Window.partitionBy(*keys).orderBy("bin")
-    ranked = hist.withColumn("before", F.sum("n").over(w) - F.col("n"))
+def _holding(counts: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The rows in which a wanted rank lies, with the ranks counted inside the row."""
+    before = F.sum("n").over(Window.partitionBy(*keys).orderBy(*order)) - F.col("n")
+    counts = counts.withColumn("before", before)
     inside = [
         F.when((F.col(r) >= F.col("before")) & (F.col(r) < F.col("before") + F.col("n")), F.col(r) - F.col("before")).alias(r)
         for r in RANKS
     ]
-    kept = ranked.select("column_name", "total", "lo", "hi", *inside)
+    kept = counts.select(*[c for c in counts.columns if c not in ("before", *RANKS)], *inside)
     return kept.filter(reduce(lambda a, b: a | b, [F.col(r).isNotNull() for r in RANKS]))
 
 
-def _histogram(long: DataFrame, ranges: DataFrame, bin_of: Column) -> DataFrame:
-    """Count values per bin within the ranges; at most four ranges per column, so they are broadcast."""
-    keys = ["column_name", "total", *RANKS]
-    inside = long.join(F.broadcast(ranges), "column_name").filter(
-        (F.col("x") >= F.col("lo")) & (F.col("x") <= F.col("hi"))
+def _found(counted: DataFrame, marks: DataFrame) -> DataFrame:
+    """``(column_name, n, q1, q3)`` by linear interpolation between neighbours."""
+    place = ["zone", "single", "bin"]
+    bins = counted.groupBy("column_name", *place).agg(F.sum("n").alias("n"))
+    bins = bins.join(F.broadcast(marks.select("column_name", "total", *RANKS)), "column_name")
+    bins = _holding(bins, ["column_name"], place).drop("n")  # at most four rows per column
+    bins = bins.select("column_name", "total", *RANKS, *[F.col(p).alias(f"at_{p}") for p in place])
+    same = reduce(lambda a, b: a & b, [F.col(p).eqNullSafe(F.col(f"at_{p}")) for p in place])
+    values = counted.join(F.broadcast(bins.withColumnRenamed("column_name", "of")), (F.col("column_name") == F.col("of")) & same)
+    values = _holding(values, ["column_name", *place], ["value"])
+    missed = F.max((~F.col("single")).cast("int")) == 1
+    found = values.groupBy("column_name", "total").agg(
+        missed.alias("missed"), *[F.max(F.when(F.col(r).isNotNull(), F.col("value"))).alias(r) for r in RANKS]
     )
-    return inside.groupBy(*keys, bin_of.alias("bin")).agg(
-        F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")
+
+    def between(a: str, b: str, p: float) -> Column:
+        place = (F.col("total") - 1) * p
+        step = place - F.floor(place)
+        exact = F.when(step == 0, F.col(a)).otherwise(F.col(a) + (F.col(b) - F.col(a)) * step)
+        return F.when(F.col("missed"), F.raise_error(F.lit("a sketch missed its quartile: use a larger one")).cast("double")).otherwise(exact)
+
+    return found.select(
+        "column_name",
+        F.col("total").alias("n"),
+        between("r0", "r1", _SHARES[0]).alias("q1"),
+        between("r2", "r3", _SHARES[1]).alias("q3"),
     )
 
 
-def quartiles(long: DataFrame, accuracy: int | None = None) -> DataFrame:
-    """``(column_name, n, q1, q3)`` by linear interpolation between neighbours.
+def quartiles(long: DataFrame, accuracy: int | None = None, known: DataFrame | None = None, k: int = SKETCH_K) -> DataFrame:
+    """``(column_name, n, q1, q3)`` of ``long (column_name, x)``, exact, or with ``accuracy`` approximate and in one read.
 
-    With ``accuracy`` the quartiles are approximate and take one pass.
+    ``known`` are the sketches (of size ``k``) of exactly these values, as :func:`sketches` or :func:`merged` give them.
     """
     if accuracy is not None:
-        q = F.percentile_approx("x", [0.25, 0.75], accuracy)
+        q = F.percentile_approx("x", list(_SHARES), accuracy)
         return long.groupBy("column_name").agg(F.count("*").alias("n"), q.alias("q")).select(
             "column_name", "n", F.get("q", F.lit(0)).alias("q1"), F.get("q", F.lit(1)).alias("q3")
         )
-    coarse = long.groupBy("column_name", _log_bin(F.col("x")).alias("bin")).agg(
-        F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")
-    )
-    total = F.sum("n").over(Window.partitionBy("column_name"))
-    coarse = coarse.withColumn("total", total)
-    last = F.col("total") - 1
-    low, high = F.floor(last * 0.25), F.floor(last * 0.75)
-    coarse = coarse.withColumns(
-        {"r0": low, "r1": F.least(low + 1, last), "r2": high, "r3": F.least(high + 1, last)}
-    )
-    keys = ["column_name", "total", *RANKS]
-    ranges = _narrow(coarse, ["column_name"])
-    share = (F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo"))
-    fine = F.when(
-        F.col("hi") > F.col("lo"), F.least(F.floor(share * FINE_BINS), F.lit(FINE_BINS - 1))
-    ).otherwise(F.lit(0).cast("bigint"))
-    ranges = _narrow(_histogram(long, ranges, fine), keys)
-    values = _narrow(_histogram(long, ranges, F.col("x")), keys)
-    found = values.groupBy("column_name", "total").agg(
-        *[F.max(F.when(F.col(r).isNotNull(), F.col("lo"))).alias(r) for r in RANKS]
-    )
+    marks = _marks(sketches(long, k) if known is None else known, k)
+    return _found(_counted(long, marks), marks)
 
-    def between(a: str, b: str, p: float) -> Column:
-        place = (F.col("total") - 1) * p
-        step = place - F.floor(place)
-        return F.when(step == 0, F.col(a)).otherwise(F.col(a) + (F.col(b) - F.col(a)) * step)
 
-    return found.select(
-        "column_name",
-        F.col("total").alias("n"),
-        between("r0", "r1", 0.25).alias("q1"),
-        between("r2", "r3", 0.75).alias("q3"),
+def outliers(long: DataFrame, accuracy: int | None = None, known: DataFrame | None = None, k: int = SKETCH_K) -> DataFrame:
+    """``(column_name, n_outliers, lower, upper)`` of columns with values beyond the fences; the exact ones in the same two reads."""
+    if accuracy is not None:
+        counted = long.select("column_name", F.lit(1).alias("n"), F.col("x").alias("lo"), F.col("x").alias("hi"))
+        bounds = fences(quartiles(long, accuracy))
+    else:
+        marks = _marks(sketches(long, k) if known is None else known, k)
+        counted = _counted(long, marks)
+        bounds = fences(_found(counted, marks))
+    far = counted.join(F.broadcast(bounds), "column_name").filter(  # one row per numeric column
+        (F.col("hi") < F.col("lower")) | (F.col("lo") > F.col("upper"))
+    )
+    return far.groupBy("column_name").agg(
+        F.sum("n").alias("n_outliers"), F.first("lower").alias("lower"), F.first("upper").alias("upper")
     )
 
 
@@ -113,5 +190,5 @@ def fences(quarts: DataFrame) -> DataFrame:
     """``(column_name, lower, upper)`` three interquartile ranges out; flat columns have none."""
     iqr = F.col("q3") - F.col("q1")
     return quarts.filter(iqr > 0).select(
-        "column_name", (F.col("q1") - 3 * iqr).alias("lower"), (F.col("q3") + 3 * iqr).alias("upper")
+        "column_name", (F.col("q1") - REACH * iqr).alias("lower"), (F.col("q3") + REACH * iqr).alias("upper")
     )

@@ -8,6 +8,7 @@ express. All queries read their tables and texts whole.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,9 +30,10 @@ from gumshoe.operators import (
 )
 from gumshoe.plans import corpus, review, samples
 from gumshoe.plans import oracles as O
-from gumshoe.lineage import keep
+from gumshoe.lineage import keep, new_folder
+from gumshoe.operators.quartiles import long_values, merged, quartiles, sketches
+from gumshoe.sources import audits, history, reports
 from gumshoe.sources import files as files_source
-from gumshoe.sources import history, reports
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -751,9 +753,50 @@ def _(spark, sf):
     return _rounded(quality.column_quartiles(table(spark, sf, "lineitem")))
 
 
+def _batches(df, id_column):
+    return [df.filter(F.pmod(F.xxhash64(id_column), F.lit(10)) == i) for i in range(10)]
+
+
 @query("quartiles_by_histogram", _QUARTILES)
 def _(spark, sf):
-    return _rounded(quality.column_quartiles(table(spark, sf, "lineitem")))
+    """From sketches that ten batches left, merged; the second read counts the values in the bins of the brackets."""
+    rows = table(spark, sf, "lineitem")
+    several = reduce(DataFrame.unionByName, [sketches(long_values(b)) for b in _batches(rows, "l_orderkey")])
+    return _rounded(quartiles(long_values(rows), known=merged(several)))
+
+
+def _audited(spark, rows, id_column, name):
+    path = new_folder(spark, "audit")
+    for i, batch in enumerate(_batches(rows, id_column)):
+        audits.audit_batch(batch, path, str(i))
+    audits.audit_batch(_batches(rows, id_column)[3], path, "3")  # written again: replaced
+    return audits.audited_report(rows, path, name)
+
+
+@query("table_quality_report_of_batches", O.table_report("", "lineitem", "lineitem", O.LINEITEM_COLUMNS))
+def _(spark, sf):
+    """Ten batches, each audited once, and the report of them all."""
+    return _audited(spark, table(spark, sf, "lineitem"), "l_orderkey", "lineitem")
+
+
+_EVENT_ROWS = "user_id, event_type, ts, value, props"
+
+
+@query(
+    "duplicate_event_rows",
+    f"SELECT CAST(sum(c) AS BIGINT) AS n_rows, CAST(sum(c - 1) AS BIGINT) AS n_duplicates FROM (SELECT count(*) AS c FROM events GROUP BY {_EVENT_ROWS})",
+)
+def _(spark, sf):
+    """All columns of the events but their id: numbers, texts and times to the microsecond."""
+    return quality.duplicate_rows(_events(spark, sf).drop("event_id"))
+
+
+@query(
+    "duplicate_documents",
+    "SELECT CAST(sum(c) AS BIGINT) AS n_rows, CAST(sum(c - 1) AS BIGINT) AS n_duplicates FROM (SELECT count(*) AS c FROM documents GROUP BY text, lang, source, n_chars)",
+)
+def _(spark, sf):
+    return quality.duplicate_rows(table(spark, sf, "documents").drop("doc_id"))
 
 
 @query(

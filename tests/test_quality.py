@@ -1,13 +1,15 @@
 import datetime
+import json
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from gumshoe.operators import quality
 from gumshoe.operators.quartiles import long_values, quartiles
-from gumshoe.sources import tables
+from gumshoe.sources import audits, tables
 
 
 def report(df):
@@ -166,3 +168,92 @@ def test_other_types_are_left_alone(spark):
 def test_column_names_with_dots(spark):
     df = spark.createDataFrame([(1.0, "x"), (2.0, None)], "`a.b` double, `c d` string")
     assert kinds(report(df)) == [("Missing Values", "c d", "high")]
+
+
+def test_row_keys_of_all_types(spark):
+    """Rows that differ in the last digit of any type are different; equal ones are equal, however they are written."""
+    shape = (
+        "s string, i int, l long, d double, f float, n decimal(38,10), b boolean, y date, t timestamp, u timestamp_ntz, x binary, "
+        "a array<string>, k struct<p:string,q:double>, m map<string,int>, v array<struct<z:decimal(20,2)>>"
+    )
+    base = {
+        "s": "a", "i": 1, "l": 2**60, "d": 0.1, "f": 0.5, "n": "1234567890123456789.0000000001", "b": True, "y": "2024-01-01",
+        "t": "2024-01-01 00:00:00.000001", "u": "2024-01-01 00:00:00.000001", "x": "ab", "a": ["x", None], "k": {"p": "u", "q": 1.0},
+        "m": {"one": 1, "two": 2}, "v": [{"z": "1.10"}],
+    }
+    other = {
+        "s": "a ", "i": 2, "l": 2**60 + 1, "d": 0.1 + 2e-17, "f": 0.25, "n": "1234567890123456789.0000000002", "b": False, "y": "2024-01-02",
+        "t": "2024-01-01 00:00:00.000002", "u": "2024-01-01 00:00:00.000002", "x": "ac", "a": ["x", "null"], "k": {"p": "u", "q": -1.0},
+        "m": {"one": 2, "two": 1}, "v": [{"z": "1.11"}],
+    }
+
+    def frame(rows):
+        text = spark.createDataFrame([(json.dumps(r),) for r in rows], "j string")
+        parsed = text.select(F.from_json("j", shape.replace("x binary", "x string")).alias("r")).select("r.*")
+        return parsed.withColumn("x", F.encode("x", "UTF-8"))
+
+    changed = [{**base, c: other[c]} for c in base if other[c] != base[c]] + [{**base, c: None} for c in base]
+    assert len(changed) == 2 * len(base)
+    got = quality.duplicate_rows(frame([base, *changed])).first()
+    assert (got.n_rows, got.n_duplicates) == (len(changed) + 1, 0)
+    again = [{**base, "m": {"two": 2, "one": 1}}, dict(reversed(base.items()))]
+    assert quality.duplicate_rows(frame([base, *again])).first().n_duplicates == 2
+
+
+def test_row_keys_do_not_run_together(spark):
+    rows = [("a", "bc"), ("ab", "c"), ("~", None), (None, "~"), ("1:a", ""), ("", "1:a"), ("null", None), (None, None), (None, "null")]
+    assert quality.duplicate_rows(spark.createDataFrame(rows, "a string, b string")).first().n_duplicates == 0
+    nan = spark.createDataFrame([(float("nan"),), (float("nan"),), (0.0,), (-0.0,), (None,)], "d double")
+    assert quality.duplicate_rows(nan).first().n_duplicates == 2
+    assert quality.duplicate_rows(spark.createDataFrame([(1,)], "a int").select()).first().n_rows == 1
+
+
+def test_report_reads_the_table_three_times(spark, tmp_path):
+    spark.range(3000).selectExpr("id", "cast(id % 7 as double) v", "cast(id as string) s").write.parquet(str(tmp_path / "t"))
+    plan = quality.table_quality_report(spark.read.parquet(str(tmp_path / "t")), "t")
+    plan.collect()
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    final = text.split("== Initial Plan ==")[0]
+    assert final.count("FileScan") <= 3
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_two_read_quartiles_with_large_columns_and_infinities(spark, seed):
+    rnd = np.random.default_rng(seed)
+    n = 40_000
+    data = {
+        "a": rnd.normal(0, 1e6, n), "b": rnd.choice([0.0, 0.0, 7.0], n), "c": np.where(rnd.random(n) < 0.4, np.inf, rnd.normal(size=n)),
+        "d": np.where(rnd.random(n) < 0.3, -np.inf, 5.0), "e": np.sort(rnd.exponential(1, n) ** 9), "g": np.round(rnd.normal(size=n), 1),
+    }
+    df = spark.createDataFrame(pd.DataFrame(data))
+    got = {r.column_name: r for r in quality.column_quartiles(df).collect()}
+    far = {r.column_name: r.n_outliers for r in quality.iqr_outliers(df).collect()}
+    for name, values in data.items():
+        with np.errstate(invalid="ignore"):
+            q1, q3 = np.percentile(values, [25, 75])
+        assert got[name].n == n
+        if np.isfinite([q1, q3]).all():
+            assert (got[name].q1, got[name].q3) == pytest.approx((q1, q3), rel=1e-12)
+            iqr = q3 - q1
+            want = int(((values < q1 - 3 * iqr) | (values > q3 + 3 * iqr)).sum()) if iqr > 0 else 0
+            assert far.get(name, 0) == want
+
+
+def test_audited_batches_equal_one_report(spark, tmp_path):
+    rows = spark.range(2000).selectExpr(
+        "id % 500 as a", "if(id % 3 = 0, null, cast(id % 9 as string)) as b", "cast(null as string) as c", "if(id = 7, 1e9, cast(id % 50 as double)) as d",
+        "if(id % 4 = 0, 'x', cast(id % 5 as string)) as e",
+    )
+    parts = [rows.filter(f"a % 5 = {i}") for i in range(5)] + [rows.filter("a < 0")]  # the last one is empty
+    for i, part in enumerate([*parts, parts[2]]):
+        audits.audit_batch(part, str(tmp_path), str(i % 6 if i < 6 else 2))  # batch 2 is replayed
+    one = quality.table_quality_report(rows, "t").orderBy("ord").collect()
+    assert audits.audited_report(rows, str(tmp_path), "t").orderBy("ord").collect() == one
+    assert {r.bug_type for r in one} >= {"Missing Values", "Duplicate Rows", "Type Mismatch", "Empty Columns", "Data Anomaly"}
+
+
+def test_audit_without_numbers(spark, tmp_path):
+    rows = spark.createDataFrame([("a", None), ("a", None)], "s string, n string")
+    audits.audit_batch(rows, str(tmp_path), "x")
+    found = audits.audited_report(rows, str(tmp_path), "t").orderBy("ord").collect()
+    assert found == quality.table_quality_report(rows, "t").orderBy("ord").collect()
