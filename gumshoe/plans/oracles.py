@@ -330,16 +330,23 @@ payloads AS (
   FROM (SELECT *, {strip('response')} AS a FROM runs WHERE status = 'ok')
 ),
 arrays AS (SELECT * FROM payloads WHERE json_valid(payload) AND CASE WHEN json_valid(payload) THEN json_type(payload) = 'ARRAY' END),
-verdicts AS (
+verdicts AS MATERIALIZED (
   SELECT file_id, model, model_ord, ord - 1 AS ord, v->>'bug_type' AS bug_type, TRY_CAST(v->>'line_number' AS DOUBLE) AS line_number,
     v->>'explanation' AS explanation, v->>'suggested_fix' AS suggested_fix
   FROM (SELECT file_id, model, model_ord, generate_subscripts(vs, 1) AS ord, unnest(vs) AS v
         FROM (SELECT *, json_extract(payload, '$[*]') AS vs FROM arrays))
 ),
+found AS MATERIALIZED (SELECT file_id, line_number, bug_type FROM findings),
+kinds AS MATERIALIZED (
+  SELECT f.bug_type, v.v_type FROM (SELECT DISTINCT bug_type FROM found) f, (SELECT DISTINCT coalesce(bug_type, '') AS v_type FROM verdicts) v
+  WHERE contains(lower(f.bug_type), lower(v.v_type)) OR contains(lower(v.v_type), lower(f.bug_type))
+),
 matches AS (
   SELECT f.file_id, f.line_number, f.bug_type, v.model, v.model_ord, v.ord, v.explanation AS v_explanation, v.suggested_fix AS v_fix
-  FROM findings f JOIN verdicts v ON f.file_id = v.file_id AND (f.line_number = v.line_number
-    OR contains(lower(f.bug_type), lower(coalesce(v.bug_type, ''))) OR contains(lower(coalesce(v.bug_type, '')), lower(f.bug_type)))
+  FROM found f JOIN verdicts v ON f.file_id = v.file_id AND f.line_number = v.line_number
+  UNION
+  SELECT f.file_id, f.line_number, f.bug_type, v.model, v.model_ord, v.ord, v.explanation, v.suggested_fix
+  FROM found f JOIN kinds k ON f.bug_type = k.bug_type JOIN verdicts v ON f.file_id = v.file_id AND coalesce(v.bug_type, '') = k.v_type
 ),
 firsts AS (SELECT * FROM matches QUALIFY row_number() OVER (PARTITION BY file_id, line_number, bug_type, model ORDER BY ord) = 1),
 counts AS (
