@@ -232,6 +232,19 @@ def js_line_facts(files: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- rules
 
 
+def line_pattern_conditions(t: Column) -> list[tuple[Column, int, str]]:
+    """The text patterns of a trimmed javascript line that is no comment: condition, place among the rules, type."""
+
+    def has(word: str) -> Column:
+        return F.contains(t, F.lit(word))
+
+    return [
+        (has("==") & ~has("===") & t.rlike(P.LOOSE_EQUALITY), 11, "loose_equality"),
+        (has("eval("), 12, "eval"),
+        ((has(":") | has("=")) & (has("'") | has('"')) & t.rlike(P.SECRET_JS), 13, "hardcoded_secret_js"),
+    ]
+
+
 def js_hits(files: DataFrame) -> DataFrame:
     """Every rule and pattern hit of the javascript files, in one scan of the lines.
 
@@ -298,9 +311,7 @@ def js_hits(files: DataFrame) -> DataFrame:
         rule(scope == "any", 5, "undefined_variable", variable=name),
         rule(scope == "function", 6, "null_argument", function=name),
         rule(evals, 7, "security"),
-        pattern(has("==") & ~has("===") & t.rlike(P.LOOSE_EQUALITY), 11, "loose_equality"),
-        pattern(evals, 12, "eval"),
-        pattern((has(":") | has("=")) & (has("'") | has('"')) & t.rlike(P.SECRET_JS), 13, "hardcoded_secret_js"),
+        *[pattern(*p) for p in line_pattern_conditions(t)],
     )
     found = lines.select("file_id", "language", "line", F.inline(hits)).filter(F.col("type").isNotNull())
     return found.withColumn("ord", F.col("line").cast("long") * 100 + F.col("ord"))

@@ -105,7 +105,9 @@ def profile_row(df: DataFrame, with_sketches: bool = False) -> DataFrame:
             parts.append((F.col(f"s{i}") if kind == "number" else F.lit(None).cast("binary")).alias("sketch"))
         return F.struct(*parts)
 
-    return counts.select("n_rows", F.array(*[column(i, f) for i, f in enumerate(fields)]).alias("columns"))
+    shape = "array<struct<pos:int,column_name:string,kind:string,n_rows:bigint,n_missing:bigint,n_present:bigint,n_numeric:bigint"
+    shape += ",sketch:binary>>" if with_sketches else ">>"
+    return counts.select("n_rows", F.array(*[column(i, f) for i, f in enumerate(fields)]).cast(shape).alias("columns"))
 
 
 def sketches_of(profiled: DataFrame) -> DataFrame:

@@ -32,7 +32,7 @@ from gumshoe.plans import corpus, review, samples
 from gumshoe.plans import oracles as O
 from gumshoe.lineage import keep, new_folder
 from gumshoe.operators.quartiles import long_values, merged, quartiles, sketches
-from gumshoe.sources import audits, history, reports
+from gumshoe.sources import audits, blocks, history, reports, tables
 from gumshoe.sources import files as files_source
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -646,6 +646,91 @@ def _(spark, sf):
     return _candidates(spark, sf).select(_FINDING_COLUMNS)
 
 
+# ------------------------------------------------------------------ files in byte ranges
+
+_TOKENS = ", ".join(O.q(t) for t in P.NULL_TOKENS)
+
+
+def _csv_of_documents(spark, sf):
+    """The documents as CSV: texts with quotes, commas and line breaks."""
+    path = f"{new_folder(spark, 'csv')}/documents"
+    rows = table(spark, sf, "documents").select("doc_id", "text", "lang", "source")
+    writer = rows.write.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False)
+    writer.option("ignoreTrailingWhiteSpace", False).csv(path)
+    return path
+
+
+@query(
+    "csv_rows",
+    "SELECT CAST(doc_id AS DOUBLE) AS doc_id, "
+    + ", ".join(f"CASE WHEN {c} NOT IN ({_TOKENS}) THEN {c} END AS {c}" for c in ("text", "lang", "source"))
+    + " FROM documents",
+)
+def _(spark, sf):
+    return tables.read_csv_table(spark, _csv_of_documents(spark, sf))
+
+
+@query(
+    "csv_column_kinds",
+    "SELECT * FROM (VALUES ('doc_id', 'number'), ('text', 'text'), ('lang', 'text'), ('source', 'text')) t(column_name, kind)",
+)
+def _(spark, sf):
+    kinds = tables.infer_column_kinds(tables.read_raw_csv(spark, _csv_of_documents(spark, sf)).drop(tables.EXTRA))
+    return spark.createDataFrame(sorted(kinds.items()), "column_name string, kind string")
+
+
+@query(
+    "csv_parse_findings",
+    f"""SELECT CAST(0 AS BIGINT) AS ord, 'CSV Parse Error' AS bug_type, 1 AS line_number, CAST(NULL AS VARCHAR) AS column_name,
+  count(*) || ' rows {tables.TOO_LONG}' AS explanation, 'The table cannot be read' AS impact, 'critical' AS severity,
+  'Check the separator, the quoting and the encoding' AS suggested_fix, 'csv_analyzer' AS source
+FROM orders WHERE o_orderkey % 97 = 0""",
+)
+def _(spark, sf):
+    """Orders as sixteen CSV files, some rows with a field too many and all with quoted line breaks."""
+    path = f"{new_folder(spark, 'csv')}/orders"
+    k = F.col("o_orderkey")
+    line = F.concat(k.cast("string"), F.lit(',"'), F.col("o_orderpriority"), F.lit('\n,""x"" "'), F.when(k % 97 == 0, ",more").otherwise(""))
+    rows = table(spark, sf, "orders").select((k % 16).alias("part"), k.alias("place"), line.alias("value"))
+    rows = rows.unionByName(spark.range(16).select(F.col("id").alias("part"), F.lit(-1).alias("place"), F.lit("key,text").alias("value")))
+    rows = rows.repartition(16, "part").sortWithinPartitions("part", "place").select("part", "value")
+    rows.write.partitionBy("part").text(path)
+    return tables.csv_parse_findings(tables.read_raw_csv(spark, f"{path}/*"))
+
+
+_BIG_FILES = O.FILES.replace("files AS", "small AS", 1) + """,
+files AS (
+  SELECT 'b' || (c % 16) AS file_id, 'python' AS language, string_agg(content, chr(10) ORDER BY k) AS content
+  FROM small WHERE language = 'python' GROUP BY ALL
+)"""
+
+
+def _big_files(spark, sf):
+    """Sixteen text files that hold all python files, one behind the other."""
+    path = f"{new_folder(spark, 'code')}/big"
+    small = corpus.code_files(spark, sf).filter(F.col("language") == "python")
+    orders = table(spark, sf, "orders").select(F.concat(F.lit("f"), F.col("o_orderkey").cast("string")).alias("file_id"), "o_orderkey", "o_custkey")
+    rows = small.join(orders, "file_id").select((F.col("o_custkey") % 16).alias("big"), "o_orderkey", "content")
+    rows = rows.repartition(16, "big").sortWithinPartitions("big", "o_orderkey").select("big", "content")
+    rows.write.partitionBy("big").text(path)
+    lines = blocks.numbered_lines(spark, path)
+    return lines.withColumn("file_id", F.concat(F.lit("b"), F.regexp_extract("file", r"/big=(\d+)/", 1)))
+
+
+@query("lines_of_big_files", f"WITH {_BIG_FILES}, {O.LINES} SELECT file_id, line, raw AS text FROM lines")
+def _(spark, sf):
+    return _big_files(spark, sf).select("file_id", "line", "text")
+
+
+@query(
+    "patterns_of_big_files",
+    f"WITH {_BIG_FILES}, {O.LINES}, {O.PY_LINES}, {O.PY_PATTERNS} SELECT file_id, line, type FROM py_patterns",
+)
+def _(spark, sf):
+    lines = _big_files(spark, sf).withColumn("language", F.lit("python"))
+    return line_patterns.pattern_hits_of_lines(lines).select("file_id", "line", "type")
+
+
 # ------------------------------------------------------------------ quality
 
 

@@ -88,8 +88,8 @@ def test_missing_file_raises(spark, tmp_path):
 
 
 def test_quoted_line_breaks(spark, tmp_path):
-    df = tables.read_csv_table(spark, write(tmp_path, 'a,b\n1,"x\ny"\n2,z\n'), multi_line=True)
-    assert df.count() == 2
+    df = tables.read_csv_table(spark, write(tmp_path, 'a,b\n1,"x\ny"\n2,z\n'))
+    assert [tuple(r) for r in df.collect()] == [(1.0, "x\ny"), (2.0, "z")]
 
 
 def test_numbers_are_compared_as_numbers(spark, tmp_path):
