@@ -19,6 +19,7 @@ from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -28,8 +29,8 @@ from .store import new_folder
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 ROWS_PER_FILE = 100_000
-CACHE_WORDS = 800_000
-BATCH_ROWS = 512
+CACHE_WORDS = 1_200_000
+BATCH_ROWS = 2048
 _separators = regex.compile(r"[\x1c-\x1f]")
 _space = regex.compile(r"[^\S\x1c-\x1f]+")
 _word = regex.compile(r"(\p{L}+)([^\s\p{L}\p{N}'<]*)")
@@ -59,26 +60,41 @@ class Encoder:
         ends = [i for w, i in self.tokenizer.get_vocab().items() if w.endswith("</w>")]
         self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
         self.ends_word[ends] = True
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {"": b""}
 
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        # Python also splits at these four signs, the tokenizer does not
-        cut = [t.split() if not _separators.search(t) else _space.split(t) for t in texts]
-        new = set().union(*cut)
-        new.difference_update(self.known)
+    def __call__(self, texts: pa.Array) -> pa.ListArray:
+        """The ids of each text. Pieces are numbered in Arrow, looked up once a batch and put back in their places."""
+        # Arrow and Python also split at these four signs, the tokenizer does not
+        if pc.any(pc.match_substring_regex(texts, r"[\x1c-\x1f]")).as_py():
+            cut = pa.array([_space.split(t) if _separators.search(t) else t.split() for t in texts.to_pylist()], pa.list_(pa.string()))
+        else:
+            cut = pc.utf8_split_whitespace(texts)
+        coded = cut.flatten().dictionary_encode()
+        pieces = coded.dictionary.to_pylist()
+        found = list(map(self.known.get, pieces))
+        new = [i for i, f in enumerate(found) if f is None]
         if new:
             if len(self.known) > CACHE_WORDS:
-                self.known.clear()
-                new = set().union(*cut)
-            self._learn(new)
-        known = self.known
-        return [np.frombuffer(b"".join([known[p] for p in pieces]), dtype=np.int32) for pieces in cut]
-
-    def _learn(self, pieces: set[str]) -> None:
+                self.known = {"": b""}
+            self._learn([pieces[i] for i in new])
+            for i in new:
+                found[i] = self.known[pieces[i]]
+        ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) // 4)
+        ids = np.frombuffer(b"".join(found), dtype=np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(ids))
+        placed = lists.take(coded.indices)
+        before = np.append(0, np.cumsum(placed.value_lengths().to_numpy()))
+        bounds = before[np.append(0, np.cumsum(cut.value_lengths().to_numpy()))]
+        return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), placed.flatten())
+
+    def _learn(self, pieces: list[str]) -> None:
         known, parts, words = self.known, [], set()
         for piece in pieces:
             if piece.isascii() and piece.isalpha():
                 word, signs = piece.lower(), ""
+                if word == piece:
+                    words.add(word)
+                    continue
             else:
                 m = _word.fullmatch(piece) if is_normalized("NFC", piece) else None
                 if not m or "\u03a3" in piece or "\u0130" in piece:  # their lower case depends on what surrounds them
@@ -117,13 +133,15 @@ def encoded(rows: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
     """``rows (doc_id, tie, text)`` to the columns of the files, in the same order."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = encoder_of(vocabulary), np.array([end_id], dtype=np.int32)
+        encoder = encoder_of(vocabulary)
         for batch in batches:
             for part in (batch.slice(i, BATCH_ROWS) for i in range(0, batch.num_rows, BATCH_ROWS)):
-                ids = [x for coded in encoder([t or "" for t in part["text"].to_pylist()]) for x in (coded, end)]
-                n = np.array([len(x) + 1 for x in ids[::2]], dtype=np.int64)
-                offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))
+                coded = encoder(pc.fill_null(part["text"], ""))
+                n = coded.value_lengths().to_numpy().astype(np.int64)
+                ends = np.cumsum(n)
+                ids = np.insert(coded.flatten().to_numpy(), ends, end_id)
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n + 1)), pa.int32()), pa.array(ids))
+                n += 1
                 yield pa.RecordBatch.from_arrays(
                     [part["doc_id"], part["tie"], pa.array(n), lists], names=["doc_id", "tie", "n_tokens", "ids"]
                 )
