@@ -32,7 +32,7 @@ from gumshoe.plans import corpus, review, samples
 from gumshoe.plans import oracles as O
 from gumshoe.lineage import keep, new_folder
 from gumshoe.operators.quartiles import long_values, merged, quartiles, sketches
-from gumshoe.sources import audits, blocks, history, reports, tables
+from gumshoe.sources import audits, blocks, history, reports, tables, vector_index
 from gumshoe.sources import files as files_source
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -987,6 +987,63 @@ def _(spark, sf):
     return similarity.top_k(*_vectors(spark, sf), digits=6)
 
 
+def _index(spark, store):
+    """An index trained on the vectors and filled in three batches."""
+    path = new_folder(spark, "index")
+    vector_index.train_index(store, path)
+    for i in range(3):
+        vector_index.append_index(store.filter(F.col("vec_id") % 3 == i), path, str(i))
+    vector_index.append_index(store.filter(F.col("vec_id") % 3 == 1), path, "1")  # written again: replaced
+    return path
+
+
+@query("similar_by_index", O.SCORED + "SELECT query_id, vec_id, score, rank FROM best WHERE score > 0.3")
+def _(spark, sf):
+    """The exact result by way of the stored index."""
+    queries, store = _vectors(spark, sf)
+    return similarity.top_k(queries, None, digits=6, index=_index(spark, store))
+
+
+@query("similar_history_by_index", O.SCORED + "SELECT * FROM kept")
+def _(spark, sf):
+    queries, store = _vectors(spark, sf)
+    return similarity.similar_history(queries, store, digits=6, index=_index(spark, store))
+
+
+_BROKEN = """
+WITH e AS (
+  SELECT vec_id, CAST(label AS VARCHAR) AS language, CASE vec_id % 50 WHEN 0 THEN NULL
+    WHEN 1 THEN list_append(CAST(embedding AS DOUBLE[])[2:], NULL) WHEN 2 THEN CAST(embedding AS DOUBLE[])[:5]
+    WHEN 3 THEN list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * 0)
+    WHEN 4 THEN list_prepend('nan'::DOUBLE, CAST(embedding AS DOUBLE[])[2:]) ELSE CAST(embedding AS DOUBLE[]) END AS v FROM embeddings
+)"""
+
+
+@query(
+    "unusable_vectors",
+    _BROKEN
+    + """SELECT vec_id, language, len(v) AS size,
+  ['no vector', 'holds null', 'other size', 'zero', 'holds a number that is not finite'][vec_id % 50 + 1] AS reason FROM e WHERE vec_id % 50 < 5""",
+)
+def _(spark, sf):
+    return similarity.unusable_vectors(samples.broken_vectors(spark, sf), "vec_id")
+
+
+@query(
+    "similar_among_broken",
+    _BROKEN
+    + """, scored AS (
+  SELECT a.vec_id AS query_id, b.vec_id AS vec_id,
+    round(list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))), 6) AS score
+  FROM e a JOIN e b ON a.language = b.language AND len(a.v) = len(b.v)
+  WHERE a.vec_id % 50 NOT IN (0, 1, 3, 4) AND b.vec_id % 50 NOT IN (0, 1, 3, 4)
+) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored WHERE score > 0.3 QUALIFY rank <= 6""",
+)
+def _(spark, sf):
+    v = samples.broken_vectors(spark, sf)
+    return similarity.top_k(v.withColumnRenamed("vec_id", "query_id"), v, digits=6)
+
+
 @query(
     "similar_without_self",
     O.SCORED + "SELECT query_id, vec_id, score, rank FROM best WHERE score > 0.3 AND score < 0.99",

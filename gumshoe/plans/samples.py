@@ -148,3 +148,17 @@ def vector_history(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.when(v % 2 == 0, " E").otherwise("e"), (v % 40).cast("string")).alias("explanation"),
         F.concat(F.lit("fix"), v.cast("string")).alias("fix"),
     )
+
+
+def broken_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors as history, some of them null, with a null inside, too short, zero or not finite."""
+    v, e = F.col("vec_id"), F.col("embedding").cast("array<double>")
+    broken = (
+        F.when(v % 50 == 0, F.lit(None).cast("array<double>"))
+        .when(v % 50 == 1, F.concat(F.slice(e, 2, 1000), F.array(F.lit(None).cast("double"))))
+        .when(v % 50 == 2, F.slice(e, 1, 5))
+        .when(v % 50 == 3, F.transform(e, lambda x: x * 0))
+        .when(v % 50 == 4, F.concat(F.array(F.lit(float("nan"))), F.slice(e, 2, 1000)))
+        .otherwise(e)
+    )
+    return embeddings(spark, sf_dir).select(v, F.col("label").cast("string").alias("language"), broken.alias("vector"))
