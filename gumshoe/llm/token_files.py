@@ -29,7 +29,8 @@ from .store import new_folder
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 ROWS_PER_FILE = 100_000
-CACHE_WORDS = 1_200_000
+CACHE_WORDS = 400_000
+"""Pieces of one generation of an encoder's memory; it holds two, and what is used moves to the younger one."""
 BATCH_ROWS = 2048
 _separators = regex.compile(r"[\x1c-\x1f]")
 _space = regex.compile(r"[^\S\x1c-\x1f]+")
@@ -61,6 +62,7 @@ class Encoder:
         self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
         self.ends_word[ends] = True
         self.known: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
 
     def __call__(self, texts: pa.Array) -> pa.ListArray:
         """The ids of each text. Pieces are numbered in Arrow, looked up once a batch and put back in their places."""
@@ -74,11 +76,20 @@ class Encoder:
         found = list(map(self.known.get, pieces))
         new = [i for i, f in enumerate(found) if f is None]
         if new:
-            if len(self.known) > CACHE_WORDS:
-                self.known = {"": b""}
-            self._learn([pieces[i] for i in new])
+            known, older = self.known, self.older
+            unknown = []
             for i in new:
-                found[i] = self.known[pieces[i]]
+                piece = pieces[i]
+                ids = older.get(piece)
+                if ids is None:
+                    unknown.append(piece)
+                else:
+                    known[piece] = ids
+            self._learn(unknown)
+            for i in new:
+                found[i] = known[pieces[i]]
+            if len(known) > CACHE_WORDS:
+                self.known, self.older = {"": b""}, known
         ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) // 4)
         ids = np.frombuffer(b"".join(found), dtype=np.int32)
         lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(ids))
