@@ -3,19 +3,23 @@
 A page is reduced to the tree of its block elements, in which a run of like siblings is one node. The most frequent tree of
 a host becomes its wrapper. Every page is aligned with the wrapper by simple tree matching (the greatest number of pairs of
 nodes that keeps labels, order and ancestry). Over the different pages of the host, a wrapper node that at least two of them
-carry and whose text never changes is template, any other is a content slot. Copies of a page (like tree, like texts) count
+carry and whose text never changes is template, any other is a slot. Copies of a page (like tree, like texts) count
 once, for the choice of the wrapper too: what only copies share is not template.
 
-A page's text is made of its content slots without what is marked as something else (menus, footers, notices, adverts,
-forms, comments). Where a page marks its article, only slots inside are taken; an article in which nothing varies over the
-host is taken whole.
+The article of a host is the part of the wrapper that holds its varying text: from the root down, the child that has most of
+it is entered, until none has, or until that would leave a varying headline outside. Slots beside it are template too, though
+their texts vary. A page's text is made of the other slots, and of what no other page has, without what is marked as something
+else (menus, footers, adverts, forms, comments).
+A constant heading stays if what follows it up to the next one varies, a constant quote or caption if what is around it varies.
+Names only break ties: blocks named as something else have no part in the varying text, and where a page marks its article, only
+slots inside are taken, all of them if the template leaves none. A host with one page or without varying text goes by marks alone.
 
 Only counts leave the pages: trees and node statistics are pre-aggregated, so that a host with a third of all pages is not
 gathered anywhere. Pages of any length and depth are aligned. Wrappers are sent to the pages; beyond a checked size they are joined.
 
 Nulls and ties: a null html is empty and gives an empty text; pages without a host form one group; of equally frequent trees
 the longest and then the smallest is taken; a host with one page has no template; pages that share no node with the wrapper
-are read alone. Repeated ids are separate pages. An empty table gives an empty result. Other columns
+are read by their marks. Repeated ids are separate pages. An empty table gives an empty result. Other columns
 are ignored.
 """
 
@@ -41,8 +45,16 @@ ASIDE_NAME = (
     r"(?:ads?|advert\w*|adsense|banner|breadcrumbs?|comments?|cookies?|consent|disqus|footer|gdpr|menu|nav|navbar|navigation|"
     r"newsletter|notice|pagination|popup|promo|related|share|sharing|sidebar|social|sponsor\w*|subscribe|widget)"
 )
+_PLACE = r"(?:article|bar|block|box|buttons?|container|content|entry|form|inner|links?|list|main|page|panel|post|section|site|top|widget|wrap|wrapper)"
 ASIDE_HINT = re.compile(rf"(?:^|[\s_-]){ASIDE_NAME}(?:$|[\s_-])")
-ASIDE_WHOLE = re.compile(rf"{ASIDE_NAME}(?:[_-]+{ASIDE_NAME})*")
+ASIDE_WHOLE = re.compile(rf"(?:{_PLACE}[_-]+)*{ASIDE_NAME}(?:[_-]+(?:{ASIDE_NAME}|{_PLACE}))*")
+ASIDE_BLOCK = re.compile(r"(?:reader|user)?[_-]?comments?|ads?|advert\w*")
+KEPT = set("h1 h2 h3 h4 h5 h6 blockquote dt th caption figcaption".split())
+HEADLINES = {"h1", "h2"}
+SHARE = 0.5
+"""Of the varying text, what a part must hold to be entered."""
+INNER = set("p li ul ol dl dt dd table tbody thead tr td th pre blockquote figure figcaption caption h1 h2 h3 h4 h5 h6".split())
+"""Elements that hold a piece of an article, never the whole."""
 CONTAINERS = set("div section ul ol dl table header details center".split())
 ARTICLE_HINT = re.compile(r"(?:^|\s)(main|articlebody|article-body|post-content|entry-content|article-content)(?:$|\s)")
 
@@ -278,7 +290,11 @@ def named_aside(node: Node, inside: bool) -> bool:
     Outside the article (or without one) any word of its class, role or itemprop tells. Ids are often made from the words of a
     heading: they tell there only if all their words do. In an article only such a class, role or itemprop tells, never an id.
     """
-    if not node.hint or not (node.tag in CONTAINERS or "-" in node.tag) or not ASIDE_HINT.search(node.hint):
+    if not node.hint:
+        return False
+    if not (node.tag in CONTAINERS or "-" in node.tag):  # a block of text
+        return any(ASIDE_BLOCK.fullmatch(v) for name, value in names_of(node.attributes) if name == "class" for v in value.split())
+    if not ASIDE_HINT.search(node.hint):
         return False
     for name, value in names_of(node.attributes):
         whole = any(ASIDE_WHOLE.fullmatch(v) for v in value.split())
@@ -306,6 +322,49 @@ def marks_of(page: Page) -> tuple[dict[int, bool], dict[int, bool]]:
     return article, {k: aside[k] or header[k] and not article[k] for k in article}
 
 
+def judged(wrapper: str, nodes: list[tuple[int, int, bool, int]]) -> list[int]:
+    """Template nodes of a wrapper, from the number of pages, whether the text is always the same, and the letters of each node
+    that has texts."""
+    root, _ = wrapper_of(wrapper)
+    constant = {node for node, n, same, _ in nodes if n > 1 and same}
+    varying = {node: chars for node, n, same, chars in nodes if n > 1 and not same}
+    order = list(preorder(root))
+    mass, headline = {}, {}
+    for s in reversed(order):
+        mass[s.number] = varying.get(s.number, 0) + sum(mass[c.number] for c in s.children)
+        own = s.label.partition(".")[0] in HEADLINES and s.number in varying
+        headline[s.number] = own or any(headline[c.number] for c in s.children)
+    kept = {c.number for s in order for c, around in _with_surroundings(s, mass) if c.number in constant and around}
+    at = root
+    while at.label.partition(".")[0] != "article" and mass[at.number]:
+        best = max(at.children, key=lambda c: mass[c.number], default=None)
+        if best is None or mass[best.number] < SHARE * mass[at.number] or best.label.partition(".")[0] in INNER:
+            break
+        if any(headline[c.number] for c in at.children if c is not best):
+            break
+        at = best
+    beside = {node for node in varying if not at.number <= node < at.number + at.size}
+    return sorted(constant - kept | beside)
+
+
+def _with_surroundings(parent: Shape, mass: dict[int, int]) -> Iterator[tuple[Shape, bool]]:
+    """Children that a constant text may stay in, and whether what belongs to them varies."""
+    for i, child in enumerate(parent.children):
+        tag = child.label.partition(".")[0]
+        if tag not in KEPT:
+            continue
+        if tag[0] == "h" and tag[1:].isdigit():
+            after = []
+            for c in parent.children[i + 1 :]:
+                other = c.label.partition(".")[0]
+                if other[0] == "h" and other[1:].isdigit() and other <= tag:
+                    break
+                after.append(c)
+            yield child, any(mass[c.number] for c in after)
+        else:
+            yield child, mass[parent.number] > 0
+
+
 def main_text(html: str | None, wrapper: str | None = None, template: list[int] | None = None) -> str:
     page = Page(html or "")
     article, aside = marks_of(page)
@@ -321,25 +380,28 @@ def main_text(html: str | None, wrapper: str | None = None, template: list[int]
 
 
 def induced(pages: DataFrame) -> DataFrame:
-    """host, wrapper, template (array of its constant nodes) from all ``pages (host, html)``."""
+    """host, wrapper, template (array of its nodes) from all ``pages (host, html)``."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            shapes, texts, digests = [], [], []
+            shapes, texts, chars, digests = [], [], [], []
             for html in batch["html"].to_pylist():
                 page = Page(html or "")
                 shape, slots = slots_of(page)
+                _, aside = marks_of(page)
                 shapes.append(shape)
                 texts.append(
                     [xxhash.xxh64_intdigest("\n".join(page.blocks[i][1] for i in b)) >> 1 if b else None for b in slots]
                 )
+                chars.append([sum(len(page.blocks[i][1]) for i in b if not aside[id(page.blocks[i][0])]) for b in slots])
                 digests.append(xxhash.xxh3_128_digest(f"{shape}\n{texts[-1]}"))
+            lists = [pa.array(texts, pa.list_(pa.int64())), pa.array(chars, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(
-                [batch["host"], pa.array(digests, pa.binary()), pa.array(shapes, pa.string()), pa.array(texts, pa.list_(pa.int64()))],
-                names=["host", "page", "shape", "texts"],
+                [batch["host"], pa.array(digests, pa.binary()), pa.array(shapes, pa.string()), *lists],
+                names=["host", "page", "shape", "texts", "chars"],
             )
 
-    read_pages = pages.mapInArrow(read, "host string, page binary, shape string, texts array<long>")
+    read_pages = pages.mapInArrow(read, "host string, page binary, shape string, texts array<long>, chars array<long>")
     trees = stored(read_pages.dropDuplicates(["host", "page"]), "trees")
     counts = trees.groupBy("host", "shape").agg(F.count("*").alias("n"))
     best = F.max_by("shape", F.struct("n", F.length("shape"), "shape"))
@@ -347,27 +409,36 @@ def induced(pages: DataFrame) -> DataFrame:
 
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, nodes, found = [], [], []
-            for host, shape, texts, wrapper in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            hosts, nodes, found, letters = [], [], [], []
+            for host, shape, texts, chars, wrapper in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 pairs = pairs_of(wrapper, shape)
                 for number, text in enumerate(texts):
                     if text is not None and number in pairs:
                         hosts.append(host)
                         nodes.append(pairs[number])
                         found.append(text)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(hosts, pa.string()), pa.array(nodes, pa.int32()), pa.array(found, pa.int64())],
-                names=["host", "node", "text"],
-            )
+                        letters.append(chars[number])
+            arrays = [pa.array(hosts, pa.string()), pa.array(nodes, pa.int32()), pa.array(found, pa.int64()), pa.array(letters, pa.int64())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["host", "node", "text", "chars"])
 
-    aligned = trees.join(broadcast_if_small(wrappers), "host").select("host", "shape", "texts", "wrapper")
+    aligned = trees.join(broadcast_if_small(wrappers), "host").select("host", "shape", "texts", "chars", "wrapper")
     nodes = (
-        aligned.mapInArrow(slots, "host string, node int, text long")
+        aligned.mapInArrow(slots, "host string, node int, text long, chars long")
         .groupBy("host", "node")
-        .agg(F.count("*").alias("n"), F.min("text").alias("least"), F.max("text").alias("most"))
+        .agg(F.count("*").alias("n"), (F.min("text") == F.max("text")).alias("same"), F.sum("chars").alias("chars"))
     )
-    constant = nodes.where("n > 1 and least = most").groupBy("host").agg(F.sort_array(F.collect_list("node")).alias("template"))
-    return stored(wrappers.join(constant, "host", "left"), "templates")
+    per_host = nodes.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("node", "n", "same", "chars"))).alias("nodes"))
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = zip(batch["wrapper"].to_pylist(), batch["nodes"].to_pylist(), strict=True)
+            found = [judged(wrapper, [tuple(s.values()) for s in stats or ()]) for wrapper, stats in pairs]
+            arrays = [batch["host"], batch["wrapper"], pa.array(found, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["host", "wrapper", "template"])
+
+    # as many nodes as the wrapper has, for each host
+    judgements = wrappers.join(per_host, "host", "left").select("host", "wrapper", "nodes")
+    return stored(judgements.mapInArrow(judge, "host string, wrapper string, template array<int>"), "templates")
 
 
 def extract(pages: DataFrame) -> DataFrame:

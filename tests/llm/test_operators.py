@@ -168,6 +168,40 @@ def test_template_inside_marked_article(spark):
     assert extracted(spark, [body.format(i) for i in range(3)]) == ["The same article"] * 3
 
 
+def test_constant_headings_and_quotes_stay(spark):
+    article = "<article><h1>T{0}</h1><h2>Ingredients</h2><ul><li>{0} eggs</ul><h2>Method</h2><p>Take {0} and stir</p><blockquote>Enjoy!</blockquote>{1}</article>"
+    box = "<h3>Our letter</h3><div><p>Get it now</p></div>"
+    for more in ("", box):
+        got = extracted(spark, ["<p>Hello</p>" + article.format(i, more) for i in range(3)])
+        want = "T{0}\n\nIngredients\n\n{0} eggs\n\nMethod\n\nTake {0} and stir\n\nEnjoy!"
+        assert got == [want.format(i) for i in range(3)]
+
+
+def test_names_beside_an_unmarked_article():
+    page = "<main><h1>a</h1><p>b</p><div class=share-buttons>s</div><div class='post-comments'>c</div><div class=newsletter-box>n</div><p class=comment>r</p></main>"
+    assert html_extraction.main_text(page) == html_extraction.main_text(page.replace("main>", "article>")) == "a\n\nb"
+
+
+def without_names(html):
+    """The page with all its parts as plain divs: no element or class name tells what they are."""
+    html = re.sub(r"<(/?)(?:article|main|nav|aside|footer|header|section)\b[^>]*>", r"<\1div>", html)
+    return re.sub(r"\s(?:class|id|role|itemprop)\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>]+)", "", html)
+
+
+def test_wrapper_finds_the_article_of_the_given_pages(spark):
+    """On pages that no name helps with, the wrapper decides: with it nearly all texts are those of the marked article, without it none."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    busy = pages.withColumn("host", html_extraction.host_of(F.col("url"))).groupBy("host").agg(F.count("*").alias("n")).where("n >= 3")
+    rows = pages.withColumn("host", html_extraction.host_of(F.col("url"))).join(busy, "host").select("page_id", "url", "html").collect()
+    assert len(rows) > 150
+    bare = spark.createDataFrame([(r["page_id"], r["url"], without_names(r["html"])) for r in rows], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_extraction.extract(bare).collect()}
+    want = {r["page_id"]: html_extraction.main_text(r["html"]) for r in rows}
+    alone = {r["page_id"]: html_extraction.main_text(r["html"]) for r in bare.collect()}
+    right = lambda found: np.mean([found[i] == want[i] for i in want])
+    assert right(got) > 0.95 and right(alone) < 0.05
+
+
 def test_names_and_links_keep_article_text():
     parts = "<section id='social-impact'><h2 id='cookies'>A</h2><p>b</p></section><div id='menu-costs'>c</div><p class=notice>d</p>"
     for page in (f"<article>{parts}</article>", f"<main>{parts}</main>", parts):
