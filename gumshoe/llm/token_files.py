@@ -15,7 +15,6 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +28,14 @@ from .store import new_folder
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 ROWS_PER_FILE = 100_000
-CACHE_WORDS = 400_000
-"""Pieces of one generation of an encoder's memory; it holds two, and what is used moves to the younger one."""
-BATCH_ROWS = 2048
+CACHE_WORDS = 300_000
+"""Words of one generation of an encoder's memory; it holds two, and what is used moves to the younger one."""
+BATCH_ROWS = 1024
 _separators = regex.compile(r"[\x1c-\x1f]")
 _space = regex.compile(r"[^\S\x1c-\x1f]+")
-_word = regex.compile(r"(\p{L}+)([^\s\p{L}\p{N}'<]*)")
+_LETTERS = r"A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{24F}"
+PLAIN = rf"^(?P<word>[{_LETTERS}]+)(?P<signs>[!-&(-/:;=>?@\[-`{{-~]*)$"
+"""Latin letters, whose lower case is one letter whatever surrounds them, and signs behind them that go with no letter."""
 SCHEMA = "doc_id long, tie long, n_tokens long, ids array<int>"
 LAYOUT = {
     "parquet.block.size": str(ROW_GROUP_BYTES),
@@ -48,10 +49,11 @@ LAYOUT = {
 
 
 class Encoder:
-    """Encode texts piece by piece with a bounded memory of pieces.
+    """Encode texts by the words in them, with a bounded memory of words.
 
-    The vocabularies used here drop white space and never merge across it, nor from letters to signs, so the ids of a text are
-    those of its pieces. New pieces of letters are encoded in one go; the tokens that end a word tell them apart again.
+    The vocabularies used here drop white space and never merge across it, nor from letters to signs, and they read letters in
+    lower case. So the ids of a text are those of its words and signs: these are numbered in Arrow, looked up once a batch, and put
+    back in their places. New words are encoded in one go; the tokens that end a word tell them apart again.
     """
 
     def __init__(self, path: str) -> None:
@@ -61,74 +63,70 @@ class Encoder:
         ends = [i for w, i in self.tokenizer.get_vocab().items() if w.endswith("</w>")]
         self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
         self.ends_word[ends] = True
-        self.known: dict[str, bytes] = {"": b""}
+        self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
     def __call__(self, texts: pa.Array) -> pa.ListArray:
-        """The ids of each text. Pieces are numbered in Arrow, looked up once a batch and put back in their places."""
+        """The ids of each text."""
         # Arrow and Python also split at these four signs, the tokenizer does not
         if pc.any(pc.match_substring_regex(texts, r"[\x1c-\x1f]")).as_py():
             cut = pa.array([_space.split(t) if _separators.search(t) else t.split() for t in texts.to_pylist()], pa.list_(pa.string()))
         else:
             cut = pc.utf8_split_whitespace(texts)
         coded = cut.flatten().dictionary_encode()
-        pieces = coded.dictionary.to_pylist()
-        found = list(map(self.known.get, pieces))
-        new = [i for i, f in enumerate(found) if f is None]
-        if new:
-            known, older = self.known, self.older
-            unknown = []
-            for i in new:
-                piece = pieces[i]
-                ids = older.get(piece)
-                if ids is None:
-                    unknown.append(piece)
-                else:
-                    known[piece] = ids
-            self._learn(unknown)
-            for i in new:
-                found[i] = known[pieces[i]]
-            if len(known) > CACHE_WORDS:
-                self.known, self.older = {"": b""}, known
+        pieces = coded.dictionary
+        parts = pc.extract_regex(pieces, PLAIN)
+        words, signs = pc.struct_field(parts, "word"), pc.struct_field(parts, "signs")
+        plain = pc.is_valid(parts)
+        first = pc.if_else(plain, pc.utf8_lower(words), pieces)
+        keys = pa.concat_arrays([first, pc.fill_null(signs, "")]).dictionary_encode()
+        n = len(pieces)
+        found = self._found(keys.dictionary.to_pylist(), set(keys.indices[:n].filter(plain).to_pylist()))
         ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) // 4)
         ids = np.frombuffer(b"".join(found), dtype=np.int32)
         lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(ids))
-        placed = lists.take(coded.indices)
+        key, place = keys.indices.to_numpy(), coded.indices.to_numpy()
+        both = np.empty(2 * len(place), dtype=np.int32)
+        both[0::2], both[1::2] = key[:n][place], key[n:][place]
+        placed = lists.take(pa.array(both))
         before = np.append(0, np.cumsum(placed.value_lengths().to_numpy()))
-        bounds = before[np.append(0, np.cumsum(cut.value_lengths().to_numpy()))]
+        bounds = before[2 * np.append(0, np.cumsum(cut.value_lengths().to_numpy()))]
         return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), placed.flatten())
 
-    def _learn(self, pieces: list[str]) -> None:
-        known, parts, words = self.known, [], set()
-        for piece in pieces:
-            if piece.isascii() and piece.isalpha():
-                word, signs = piece.lower(), ""
-                if word == piece:
-                    words.add(word)
-                    continue
+    def _found(self, keys: list[str], words: set[int]) -> list[bytes]:
+        """The ids of each key; ``words`` are the places of those that are lower-case words."""
+        found = list(map(self.known.get, keys))
+        new = [i for i, f in enumerate(found) if f is None]
+        if not new:
+            return found
+        known, older, ordered = self.known, self.older, []
+        for i in new:
+            key = keys[i]
+            ids = older.get(key)
+            if ids is not None:
+                known[key] = ids
+            elif i in words:
+                ordered.append(key)
             else:
-                m = _word.fullmatch(piece) if is_normalized("NFC", piece) else None
-                if not m or "\u03a3" in piece or "\u0130" in piece:  # their lower case depends on what surrounds them
-                    known[piece] = self._encode(piece).tobytes()
-                    continue
-                word, signs = m[1].lower(), m[2]
-                if signs and signs not in known:
-                    known[signs] = self._encode(signs).tobytes()
-            parts.append((piece, word, signs))
-            if word not in known:
-                words.add(word)
-        ordered = list(words)
-        ids = self._encode(" ".join(ordered))
+                known[key] = self._encode(key).tobytes()
+        self._learn(ordered)
+        for i in new:
+            found[i] = known[keys[i]]
+        if len(known) > CACHE_WORDS:
+            self.known, self.older = {}, known
+        return found
+
+    def _learn(self, words: list[str]) -> None:
+        known = self.known
+        ids = self._encode(" ".join(words))
         ends = (np.flatnonzero(self.ends_word[ids]) + 1) * 4
-        if len(ends) == len(ordered):
-            data, start = ids.tobytes(), 0
-            for word, end in zip(ordered, ends.tolist(), strict=True):
-                known[word] = data[start:end]
-                start = end
-        else:
-            known.update((w, self._encode(w).tobytes()) for w in ordered)
-        for piece, word, signs in parts:
-            known[piece] = known[word] + known[signs] if signs else known[word]
+        if len(ends) != len(words):
+            known.update((w, self._encode(w).tobytes()) for w in words)
+            return
+        data, start = ids.tobytes(), 0
+        for word, end in zip(words, ends.tolist(), strict=True):
+            known[word] = data[start:end]
+            start = end
 
     def _encode(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.int32)

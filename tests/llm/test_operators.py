@@ -331,6 +331,7 @@ def test_encoder_is_exact():
     signs = "aAzZéÉñßÑ09 \n\t\x1c\x1f\x85\xa0 '.,*!&<|>_-ΣςσİIıǅ́̀ǰ中٣²​sSllreLL\x00\x7f"
     texts = ["".join(random.choice(signs) for _ in range(random.randint(0, 14))) for _ in range(3000)]
     texts += ["a<|endoftext|>b", "IT'S they'LL", "***'s", "don't!!", ""]
+    texts += [f"x{chr(c)}y{chr(c)} {chr(c)}{chr(c).upper()}, {chr(c)}" for c in range(0x20, 0x280)]
     plain = [t for t in texts if not set(t) & set("\x1c\x1f")]
     for some in (texts, plain, plain[:1], []):  # the second time from memory, and without the signs that are split apart
         for text, ids in zip(some, encoder(pa.array(some, pa.string())).to_pylist(), strict=True):
