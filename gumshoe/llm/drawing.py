@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 
 def under(eligible: int, wanted: int) -> str:
     """A hexadecimal digest that, with a wide margin, more than ``wanted`` of ``eligible`` digests are smaller than.
@@ -13,10 +10,3 @@ def under(eligible: int, wanted: int) -> str:
     """
     share = (1.5 * wanted + 200) / max(1, eligible)
     return f"{int(share * (1 << 52)):013x}" if share < 1 else "g"
-
-
-def window(text: Column, draw: Column, chars: int) -> Column:
-    """The whole text, or of a longer one ``chars`` characters from a place that the digest draws."""
-    # the last digits: the first ones are small in all that is drawn
-    drawn = F.conv(F.substring(draw, -12, 12), 16, 10).cast("long")
-    return F.substr(text, (drawn % (F.greatest(F.length(text) - chars, F.lit(0)) + 1) + 1).cast("int"), F.lit(chars))

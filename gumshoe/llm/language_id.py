@@ -1,8 +1,8 @@
 """Language identification with a byte convolutional network.
 
 Bytes are embedded, filters of several widths slide over fixed-length windows, each filter's maximum in the window is
-kept (max pooling), and a linear layer with softmax gives the languages. Trained in numpy by Adam on the driver, on a
-bounded sample of labelled documents; applied to all windows of every whole text on the executors. The score of a
+kept (max pooling), and a linear layer with softmax gives the languages. Trained in numpy by Adam on the driver, on
+windows drawn from anywhere in a bounded sample of labelled documents; applied to all windows of every whole text on the executors. The score of a
 language is its mean probability over the windows, weighted by their bytes.
 
 Applying the network needs no multiplication: embedding and filter taps are first combined into tables that hold, for
@@ -15,15 +15,15 @@ every text is ``und``. Other columns are ignored.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import regex
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .drawing import under, window
+from .drawing import under
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -34,12 +34,12 @@ STEPS_PER_UNIT = 1024
 SAMPLE_PER_LANGUAGE = 600
 """Documents that are learned from, for each language: those whose ids have the smallest MD5."""
 WINDOWS_PER_DOCUMENT = 2
-SAMPLE_CHARS = 20_000
-"""Of a longer text a window of this length is learned from, at a place drawn by its digest."""
+MOST_LANGUAGES = 200
+"""Labels that are learned, those with most documents: mistyped ones do not add up without end."""
 EPOCHS = 6
 BATCH = 64
 UND = "und"
-_letter = re.compile(r"[^\W\d_]")
+_letter = regex.compile(r"\p{L}")
 
 
 def windows_of(data: bytes) -> np.ndarray:
@@ -142,28 +142,49 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return z / z.sum(axis=1, keepdims=True)
 
 
+def _drawn_windows(data: bytes, draw: str) -> list[bytes]:
+    """Windows at places that the digest draws, and a short beginning alone, so that short texts are known too."""
+    n, number = max(1, -(-len(data) // WINDOW)), int(draw, 16)
+    found = []
+    for _ in range(min(n, WINDOWS_PER_DOCUMENT)):
+        number, at = divmod(number, n)
+        found.append(data[at * WINDOW : (at + 1) * WINDOW])
+    return [*dict.fromkeys(found), data[: 16 + number % 48]]
+
+
+def _sample(labelled: DataFrame) -> DataFrame:
+    """``(lang, draw, windows)`` of the documents that are learned from; texts stay on the executors."""
+    draw = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5("text")))
+    rows = labelled.where(F.col("lang").isNotNull() & (F.length("text") > 0)).select("lang", "text", draw.alias("draw"))
+    most = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(MOST_LANGUAGES).collect()
+    if not most:
+        return rows.select("lang", "draw", F.array(F.lit(b"")).alias("windows")).limit(0)
+    bounds = F.create_map(*[F.lit(x) for r in most for x in (r["lang"], under(r["n"], SAMPLE_PER_LANGUAGE))])
+    few = rows.where(F.col("draw") < bounds[F.col("lang")]).select("lang", "draw").distinct()
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("draw"))
+    few = few.withColumn("place", place).where(F.col("place") <= SAMPLE_PER_LANGUAGE)
+    few = few.select(F.col("lang").alias("of"), F.col("draw").alias("drawn"))  # at most MOST_LANGUAGES times SAMPLE_PER_LANGUAGE
+    texts = rows.join(F.broadcast(few), (F.col("lang") == F.col("of")) & (F.col("draw") == F.col("drawn")))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(batch["text"].to_pylist(), batch["draw"].to_pylist(), strict=True)
+            windows = [_drawn_windows(t.encode("utf-8", "surrogatepass"), d) if _letter.search(t) else [] for t, d in rows]
+            yield pa.RecordBatch.from_arrays([batch["lang"], batch["draw"], pa.array(windows, pa.list_(pa.binary()))], names=["lang", "draw", "windows"])
+
+    found = texts.select("lang", "draw", "text").mapInArrow(cut, "lang string, draw string, windows array<binary>")
+    return found.where(F.size("windows") > 0).dropDuplicates(["lang", "draw"])
+
+
 def train(labelled: DataFrame) -> Network | None:
     """Learn from ``labelled (doc_id, text, lang)``; None without rows."""
-    rows = labelled.where(F.col("lang").isNotNull() & (F.length("text") > 0)).select("lang", "text", F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5("text"))).alias("draw"))
-    eligible = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    languages = sorted(eligible)
-    x, y = [], []
-    for k, language in enumerate(languages):
-        few = rows.where((F.col("lang") == language) & (F.col("draw") < under(eligible[language], SAMPLE_PER_LANGUAGE)))
-        drawn = few.orderBy("draw").limit(SAMPLE_PER_LANGUAGE)
-        for r in drawn.select(window(F.col("text"), F.col("draw"), SAMPLE_CHARS).alias("text")).collect():
-            if _letter.search(r["text"]):
-                w = windows_of(r["text"].encode())
-                w = w[:: max(1, len(w) // WINDOWS_PER_DOCUMENT)][:WINDOWS_PER_DOCUMENT]
-                x.extend(w)
-                y.extend([k] * len(w))
-                # the start of the text alone, so that short texts are known too
-                short = np.zeros(WINDOW, dtype=np.uint8)
-                n = 16 + int(r["text"].__len__() * 2654435761 % 48)
-                short[:n] = w[0][:n]
-                x.append(short)
-                y.append(k)
-    return Network(languages).train(np.array(x), np.array(y)) if x else None
+    sample = sorted(_sample(labelled).collect(), key=lambda r: (r["lang"], r["draw"]))
+    languages = sorted({r["lang"] for r in sample})
+    if not languages:
+        return None
+    x = np.concatenate([windows_of(w)[:1] for r in sample for w in r["windows"]])
+    y = np.array([languages.index(r["lang"]) for r in sample for _ in r["windows"]])
+    return Network(languages).train(x, y)
 
 
 def identify(docs: DataFrame, network: Network | None) -> DataFrame:

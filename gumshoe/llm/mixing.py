@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .store import unused
+
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 STRIP_DIGITS = 3
@@ -57,9 +59,10 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, total: float = 1.5, most:
     )
 
 
-def drawn_offset(seed: int, source: Column) -> Column:
-    """A number in [0, 1) for each source, from a hash of the seed and the source."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed).cast("long"), source.isNull(), source), 11) / F.lit(float(1 << 53))
+def drawn_offset(seed: int | str, source: Column) -> Column:
+    """A number in [0, 1) for each source: the first 48 bits of the MD5 of the seed and the source's name; no name is empty."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(source.cast("string"), F.lit(""))))
+    return F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
 
 
 def systematic(rows: DataFrame, offset: float | Column) -> DataFrame:
@@ -93,7 +96,7 @@ def systematic(rows: DataFrame, offset: float | Column) -> DataFrame:
 
 
 def mix(
-    sizes: DataFrame, weights=WEIGHTS, total: float = 1.5, most: float = 2.0, offset: float = 0.5, seed: int | None = None
+    sizes: DataFrame, weights=WEIGHTS, total: float = 1.5, most: float = 2.0, offset: float = 0.5, seed: int | str | None = None
 ) -> DataFrame:
     """``sizes (doc_id, source, size, key)`` to these and source_size, target, copies, taken.
 
@@ -115,14 +118,17 @@ def sizes_of(docs: DataFrame) -> DataFrame:
 
 
 def mixed(docs: DataFrame, **settings) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it."""
+    """The rows of ``docs``, each as often as the mix takes it; columns of any names pass."""
     placed = mix(sizes_of(docs), **settings).groupBy("doc_id", "key").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
-    p = placed.where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "copies", "rows")
-    p = p.select("_id", "_key", F.col("copies").alias("_copies"), F.col("rows").alias("_rows"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key"))
+    id_, key, copies, rows, row, copy = (unused(docs, n) for n in ("of_id", "of_key", "of_copies", "of_rows", "of_row", "of_copy"))
+    p = placed.where("copies > 0").select(*[F.col(a).alias(b) for a, b in (("doc_id", id_), ("key", key), ("copies", copies), ("rows", rows))])
+    same = docs["doc_id"].eqNullSafe(p[id_]) & (F.xxhash64(docs["text"]) == p[key])
     found = docs.join(p, same)
-    # rows that repeat an id and a text share their copies
-    row = F.row_number().over(Window.partitionBy("_id", "_key").orderBy("_key"))
-    cut = lambda i: F.floor(F.col("_copies") * i / F.col("_rows"))
-    own = found.withColumn("_row", row).withColumn("_own", (cut(F.col("_row")) - cut(F.col("_row") - 1)).cast("int"))
-    return own.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_own")))).select(*[docs[c] for c in docs.columns])
+    # rows that repeat an id and a text share their copies; one that stands alone has them all
+    again = F.row_number().over(Window.partitionBy(id_, key).orderBy(key))
+    cut = lambda i: F.floor(F.col(copies) * i / F.col(rows))
+    alone = found.where(F.col(rows) == 1).withColumn(row, F.col(copies).cast("int"))
+    several = found.where(F.col(rows) > 1).withColumn(row, again)
+    several = several.withColumn(row, (cut(F.col(row)) - cut(F.col(row) - 1)).cast("int"))
+    own = alone.unionByName(several)
+    return own.withColumn(copy, F.explode(F.array_repeat(F.lit(1), F.col(row)))).select(*[F.col(f"`{c}`") for c in docs.columns])

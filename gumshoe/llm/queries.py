@@ -24,6 +24,7 @@ from . import (
 )
 from .store import table
 
+MIX_SEED = "mix 1"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -75,10 +76,12 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(mixing.sizes_of(table(spark, sf_dir, "documents"))).drop("copies", "source", "key", "place")
+    """The seed is that of the SQL too: both engines draw the same offset for each source."""
+    sizes = mixing.sizes_of(table(spark, sf_dir, "documents"))
+    return mixing.mix(sizes, seed=MIX_SEED).drop("copies", "source", "key", "place")
 
 
-ORACLES["op10_mixing"] = r"""
+ORACLES["op10_mixing"] = rf"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
 per AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
@@ -95,11 +98,12 @@ targets AS (
     ELSE max(CASE WHEN level * weight < lim THEN level END) OVER () * weight END AS target FROM levels),
 placed AS (
   SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
+    ('0x' || substr(md5('{MIX_SEED}:' || coalesce(d.source, '')), 1, 12))::UBIGINT::DOUBLE / 281474976710656::DOUBLE AS drawn,
     row_number() OVER (PARTITION BY d.source ORDER BY floor(sqrt(size)), md5(coalesce(doc_id::VARCHAR, '')),
       doc_id NULLS FIRST, size) AS place
   FROM d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target,
-  (size * (floor(place * rate + 0.5) - floor((place - 1) * rate + 0.5)))::BIGINT AS taken FROM placed
+  (size * (floor(place * rate + drawn) - floor((place - 1) * rate + drawn)))::BIGINT AS taken FROM placed
 """
 
 

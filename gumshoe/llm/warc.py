@@ -13,11 +13,13 @@ repeated records. An empty table gives none. Other columns than those named are
 from __future__ import annotations
 
 import base64
+import codecs
 import gzip
 import hashlib
 import json
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -34,6 +36,10 @@ SCHEMA = (
 _types = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
 COLUMNS = [tuple(c.split()) for c in SCHEMA.split(", ")]
 _charset = re.compile(r"charset\s*=\s*\"?([\w-]+)", re.I)
+_size = re.compile(rb"[0-9a-fA-F]{1,15}")
+_control = re.compile(r"[\x00-\x1f\x7f\x85\u2028\u2029]")
+# fixed values: Python's codecs for other things than pages
+NOT_FOR_PAGES = {"idna", "punycode", "undefined", "unicode_escape", "raw_unicode_escape", "mbcs", "oem"}
 
 
 def digest(data: bytes) -> str:
@@ -64,16 +70,60 @@ def parse_http(message: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
     return status, [(k.strip(), v.strip()) for k, _, v in (x.partition(":") for x in lines)], body
 
 
+def _opened(body: bytes, headers: list[tuple[str, str]]) -> bytes:
+    """The body without its transfer and content encodings; as it is where they do not hold."""
+    named = {k.lower(): v.lower() for k, v in headers}
+    if "chunked" in named.get("transfer-encoding", ""):
+        body = _unchunked(body)
+    for encoding in reversed(named.get("content-encoding", "").split(",")):
+        try:
+            if encoding.strip() in ("gzip", "x-gzip"):
+                body = gzip.decompress(body)
+            elif encoding.strip() == "deflate":
+                body = zlib.decompress(body)
+        except (OSError, EOFError, zlib.error):
+            return body
+    return body
+
+
+def _unchunked(body: bytes) -> bytes:
+    parts, at = [], 0
+    while True:
+        line = body.find(b"\r\n", at)
+        size = _size.match(body, at)
+        if line < 0 or not size:
+            return body
+        n = int(size[0], 16)
+        if not n:
+            return b"".join(parts)
+        parts.append(body[line + 2 : line + 2 + n])
+        at = line + 2 + n + 2
+
+
+def decoded(body: bytes, charset: str | None) -> str:
+    """By the declared charset, else UTF-8; without half surrogates, which no output could hold."""
+    try:
+        if not codecs.lookup(charset or "utf-8")._is_text_encoding or charset.lower().replace("-", "_") in NOT_FOR_PAGES:
+            charset = "utf-8"
+        text = body.decode(charset, "replace")
+    except (LookupError, UnicodeError, ValueError, AttributeError):
+        text = body.decode("utf-8", "replace")
+    return text.encode("utf-8", "replace").decode()
+
+
+def one_line(value: str) -> str:
+    """A header value without signs that would end it."""
+    return _control.sub(lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), value)
+
+
 def derived(row: int | None, record_id: str, target: str, date: str, message: bytes) -> Iterator[tuple]:
+    record_id, target, date = map(one_line, (record_id, target, date))
     status, headers, body = parse_http(message)
     kind = next((v for k, v in headers if k.lower() == "content-type"), "")
     charset = _charset.search(kind)
-    try:
-        text = body.decode(charset[1] if charset else "utf-8", "replace")
-    except LookupError:
-        text = body.decode("utf-8", "replace")
-    page = Page(text) if "html" in kind or not kind else None
+    text = decoded(_opened(body, headers), charset and charset[1])
     source = digest(body)
+    page = Page(text) if "html" in kind or not kind else None
     facts = {"status": status, "headers": [list(h) for h in headers], "payload_digest": source}
     if page:
         facts |= {"title": page.title, "links": page.links}

@@ -1,6 +1,8 @@
 """Each operator against a plain version, and its defined results for nulls, ties, empty tables and odd columns."""
 
+import gzip
 import hashlib
+import json
 import re
 import zlib
 
@@ -12,7 +14,6 @@ from pyspark.sql import functions as F
 from gumshoe.llm import (
     components,
     decontamination,
-    drawing,
     embedding_neighbours,
     html_extraction,
     html_tree,
@@ -266,6 +267,42 @@ def test_long_and_deep_pages(spark):
     assert extracted(spark, [chain.format(i, "<ul><li>more</ul>" * (i > 1)) for i in range(4)]) == ["0", "1", "2", "3"]
 
 
+def test_no_header_ends_the_job():
+    bad = ["idna", "undefined", "unicode_escape", "punycode", "hex", "rot13", "nosuch", "utf-7", "utf-16", "x" * 300, ""]
+    for name in bad:
+        message = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset={name}\r\n\r\n".encode() + b"<p>a \\ud800 \xff b</p>"
+        rows = list(warc.derived(1, "<urn:x>", "http://h/\r\nX-Evil: 1\n", "2024\x85", message))
+        for r in rows:
+            (headers, block), = warc.parse_records(gzip.decompress(r[-1]))
+            assert headers["WARC-Target-URI"] == "http://h/%0D%0AX-Evil: 1%0A" and "X-Evil" not in headers
+            assert block.decode() == r[-2] and headers["WARC-Block-Digest"] == warc.digest(block)
+            r[-2].encode()  # no half surrogates
+
+
+def test_encoded_bodies_are_opened():
+    html = "<title>T</title><p>caf\u00e9</p>".encode()
+    packed = gzip.compress(html)
+    chunks = b"".join(f"{len(packed[i:i + 9]):x};a=b\r\n".encode() + packed[i : i + 9] + b"\r\n" for i in range(0, len(packed), 9)) + b"0\r\n\r\n"
+    cases = [
+        ("Content-Encoding: gzip", packed), ("Content-Encoding: deflate", zlib.compress(html)), ("Content-Encoding: identity", html),
+        ("Content-Encoding: gzip\r\nTransfer-Encoding: chunked", chunks), ("Content-Encoding: gzip", html), ("Transfer-Encoding: chunked", html),
+    ]
+    for head, body in cases:
+        message = f"HTTP/1.1 200 OK\r\n{head}\r\nContent-Type: text/html\r\n\r\n".encode() + body
+        metadata, conversion = warc.derived(1, "<urn:x>", "u", "d", message)
+        assert conversion[-2] == "caf\u00e9" and json.loads(metadata[-2])["payload_digest"] == warc.digest(body)
+
+
+def test_mix_passes_columns_of_any_name(spark):
+    names = ["doc_id", "text", "source", "_id", "_key", "of_id", "of_key", "of_rows", "copies", "key"]
+    rows = [(i % 30, f"w {i % 30}", f"s{i % 3}", *range(7)) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"{n} int" for n in names[3:]))
+    got = mixing.mixed(docs, seed=3)
+    assert got.columns == names
+    taken = mixing.mix(mixing.sizes_of(docs), seed=3).agg(F.sum("copies")).first()[0]
+    assert got.count() == taken
+
+
 def test_warc_round_trip(spark):
     import gzip
 
@@ -452,6 +489,45 @@ def test_language(spark):
     assert {r["lang_pred"] for r in language_id.identify(docs, language_id.train(docs.where("doc_id = -1"))).collect()} == {"und"}
 
 
+def test_texts_without_letters_are_undetermined(spark):
+    rows = [(i, f"{'das ist gut' if i % 2 else 'this is fine'} {i} " * (1 + 40 * (i % 3)), "de" if i % 2 else "en") for i in range(60)]
+    rows += [(100, None, "en"), (101, "", "en"), (102, "1 2", "xx"), (103, "only", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    network = language_id.train(docs)
+    assert network.languages == ["de", "en"]
+    asked = spark.createDataFrame([(i, t) for i, t in enumerate(["\u00bd \u00b2 \u2460", "12 ?", None, "", "das ist", "\u4e2d"])], "doc_id long, text string")
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.identify(asked, network).collect()}
+    assert [got[i] for i in range(4)] == [("und", 0.0)] * 4 and got[4][0] == "de" and got[5][0] in ("de", "en")
+    assert language_id.train(docs.where("doc_id > 99")) is None
+
+
+def test_windows_come_from_whole_texts():
+    data = bytes(range(256)) * 8
+    seen = {w for i in range(200) for w in language_id._drawn_windows(bytes([i]) * 256 + data, hashlib.md5(bytes([i])).hexdigest())[:-1]}
+    assert len(seen) > 20
+    assert language_id._drawn_windows(b"short", "ff" * 16) == [b"short", b"short"]
+
+
+def test_language_accuracy_on_held_out_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    third = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
+    network = language_id.train(docs.where(third != 1))
+    held = docs.where((third == 1) & F.col("lang").isNotNull())
+    found = language_id.identify(held, network).join(held.select("doc_id", "lang"), "doc_id")
+    right, n = found.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int")), F.count("*")).first()
+    assert n > 200 and right > 0.97
+
+
+def test_toxicity_on_held_out_documents(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet") for n in ("documents", "labels"))
+    quarter = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
+    model = toxicity.train(docs.where(quarter != 2), labels)
+    held = toxicity.with_scores(docs.where(quarter == 2), model, "s").join(labels.where("toxic is not null"), "doc_id")
+    rows = held.select("toxic", (F.col("s") >= toxicity.THRESHOLD).cast("int").alias("said")).groupBy("toxic").agg(F.avg("said"), F.count("*")).collect()
+    share = {r[0]: r[1] for r in rows}
+    assert share[1] > 0.5 and share[0] < 0.02
+
+
 def test_network_tables_and_gradient():
     network = language_id.Network(["a", "b"])
     x = np.random.default_rng(0).integers(0, 256, (6, language_id.WINDOW)).astype(np.uint8)
