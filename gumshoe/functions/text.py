@@ -133,18 +133,17 @@ def finding_text(bug_type: Column, language: Column, explanation: Column, impact
     )
 
 
-def hash_embedding(c: Column) -> Column:
-    """48 numbers in [-1, 1) from the bytes of a text's SHA-384 digest."""
-
+def hash_embedding(c: Column, bits: int = 384) -> Column:
+    """A number in [-1, 1) for each byte of a text's SHA-2 digest of 224, 256, 384 or 512 bits."""
 
     def numbers(digest: Column) -> Column:
         return F.transform(
-            F.sequence(F.lit(0), F.lit(47)),
+            F.sequence(F.lit(0), F.lit(bits // 8 - 1)),
             lambda i: (F.conv(F.substr(digest, i * 2 + 1, F.lit(2)), 16, 10).cast("double") - 128) / 128.0,
         )
 
-    # The digest is bound as a list element, so it is computed once and not 48 times.
-    return F.transform(F.array(F.sha2(c, 384)), numbers)[0]
+    # The digest is bound as a list element, so it is computed once and not for every number.
+    return F.transform(F.array(F.sha2(c, bits)), numbers)[0]
 
 
 def cosine(a: Column, b: Column) -> Column:

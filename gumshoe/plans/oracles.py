@@ -332,9 +332,10 @@ payloads AS (
 arrays AS (SELECT * FROM payloads WHERE json_valid(payload) AND CASE WHEN json_valid(payload) THEN json_type(payload) = 'ARRAY' END),
 verdicts AS MATERIALIZED (
   SELECT file_id, model, model_ord, ord - 1 AS ord, v->>'bug_type' AS bug_type, TRY_CAST(v->>'line_number' AS DOUBLE) AS line_number,
-    v->>'explanation' AS explanation, v->>'suggested_fix' AS suggested_fix
+    v->>'explanation' AS explanation, v->>'suggested_fix' AS suggested_fix, v->>'impact' AS impact,
+    TRY_CAST(v->>'confidence' AS DOUBLE) AS confidence
   FROM (SELECT file_id, model, model_ord, generate_subscripts(vs, 1) AS ord, unnest(vs) AS v
-        FROM (SELECT *, json_extract(payload, '$[*]') AS vs FROM arrays))
+        FROM (SELECT *, list_filter(json_extract(payload, '$[*]'), lambda x: json_type(x) <> 'NULL') AS vs FROM arrays))
 ),
 found AS MATERIALIZED (SELECT file_id, line_number, bug_type FROM findings),
 kinds AS MATERIALIZED (
@@ -371,6 +372,13 @@ SELECT file_id, line_number, bug_type,
   CASE WHEN total IS NULL THEN 'no model was asked' WHEN error IS NOT NULL THEN 'validation failed: ' || error END AS validation_note
 FROM voted"""
 
+
+
+def embedding(expr: str) -> str:
+    """The numbers of a 256-bit hash embedding in 128ths, as a text."""
+    return f"array_to_string(list_transform(range(0, 32), lambda i: ('0x' || substr(sha256({expr}), i * 2 + 1, 2))::INTEGER - 128), ',')"
+
+
 # ------------------------------------------------------------ similarity
 
 SCORED = """

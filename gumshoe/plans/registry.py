@@ -178,10 +178,10 @@ def _(spark, sf):
 
 @query(
     "model_verdicts",
-    O.VOTED + " SELECT file_id, model, model_ord, ord, bug_type, line_number, explanation, suggested_fix FROM verdicts",
+    O.VOTED + " SELECT file_id, model, model_ord, ord, bug_type, line_number, explanation, suggested_fix, impact, confidence FROM verdicts",
 )
 def _(spark, sf):
-    return reports.read_model_verdicts(samples.model_runs(spark, sf)).drop("impact", "confidence")
+    return reports.read_model_verdicts(samples.model_runs(spark, sf))
 
 
 @query(
@@ -193,16 +193,52 @@ def _(spark, sf):
     return history.recent_analyses(log, "o_orderdate", "o_orderkey")
 
 
-@query(
-    "history_rows",
+_FINDING_TEXT = "'Bug Type: ' || bug_type || ' | Language: ' || language || ' | Explanation: ' || explanation || ' | Impact: ' || impact || ' | Fix: ' || suggested_fix"
+_HISTORY = (
     O.CODE
-    + """SELECT bug_type, language, substring(explanation, 1, 500) AS explanation, substring(suggested_fix, 1, 500) AS fix, severity,
-  substring(impact, 1, 500) AS impact, 48 AS dimensions, sha256(file_id || '|' || line_number || '|' || bug_type || '|b1') AS vec_id
-FROM findings JOIN files USING (file_id) WHERE severity IN ('high', 'critical')""",
+    + f"""SELECT bug_type, language, explanation, suggested_fix AS fix, severity, impact, {O.embedding(_FINDING_TEXT)} AS vector,
+  sha256(file_id || '|' || line_number || '|' || bug_type || '|b1') AS vec_id
+FROM findings JOIN files USING (file_id) WHERE severity IN ('high', 'critical')"""
 )
+
+
+def _embed(c):
+    """Both engines know the 256-bit digest."""
+    return T.hash_embedding(c, bits=256)
+
+
+def _numbers(vector):
+    return F.array_join(F.transform(vector, lambda x: (x * 128).cast("int").cast("string")), ",").alias("vector")
+
+
+def _history_columns(rows):
+    return rows.select("bug_type", "language", "explanation", "fix", "severity", "impact", _numbers("vector"), "vec_id")
+
+
+@query("history_rows", _HISTORY)
+def _(spark, sf):
+    return _history_columns(history.history_rows(_with_language(spark, sf), "b1", embed=_embed))
+
+
+@query("stored_history", _HISTORY)
 def _(spark, sf):
-    rows = history.history_rows(_with_language(spark, sf), "b1", max_chars=500)
-    return rows.select("bug_type", "language", "explanation", "fix", "severity", "impact", F.size("vector").alias("dimensions"), "vec_id")
+    """Written in two batches, one of them two times, and read again."""
+    path, found = new_folder(spark, "history"), _with_language(spark, sf)
+    for batch, part in (("b0", found.limit(5)), ("b1", found.limit(7)), ("b1", found)):
+        history.append_history(part, path, batch, embed=_embed)
+    return _history_columns(history.read_history(spark, path).filter("batch = 'b1'"))
+
+
+@query(
+    "analysis_log",
+    """SELECT o_orderkey, o_orderdate, 100 AS total FROM orders WHERE o_orderkey % 3 <> 1 ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 100""",
+)
+def _(spark, sf):
+    """Two batches of a log, one of them written two times, and the newest entries."""
+    path, log = new_folder(spark, "log"), table(spark, sf, "orders").select("o_orderkey", "o_orderdate")
+    for batch, part in (("0", "o_orderkey % 3 = 0"), ("2", "o_orderkey % 3 = 1"), ("2", "o_orderkey % 3 = 2")):
+        history.append_analysis_log(log.filter(part), path, batch)
+    return history.recent_analyses(spark.read.parquet(path).drop("batch"), "o_orderdate", "o_orderkey")
 
 
 # ------------------------------------------------------------------ text
@@ -339,12 +375,15 @@ def _(spark, sf):
     O.CODE
     + """SELECT f.file_id, 'Language: ' || language || chr(10) || chr(10) || 'Code:' || chr(10) || '```' || chr(10) || content || chr(10) || '```' ||
   chr(10) || chr(10) || 'Findings to confirm:' || chr(10) || coalesce(bullets, '') AS packet
-FROM files f LEFT JOIN (SELECT file_id, string_agg('- Line ' || line_number || ': ' || bug_type || ' — ' || explanation, chr(10) ORDER BY ord) AS bullets
-  FROM findings WHERE source = 'pattern_detector' GROUP BY file_id) b USING (file_id)""",
+FROM files f LEFT JOIN (SELECT file_id, string_agg('- Line ' || line_number || ': ' || bug_type || ' — ' || explanation, chr(10)
+    ORDER BY priority, ord, line_number, bug_type) AS bullets FROM findings GROUP BY file_id) b USING (file_id)""",
 )
 def _(spark, sf):
+    """All findings; those of python rules come in the order of their lines, which both engines know."""
     files = corpus.code_files(spark, sf)
-    found = code_scan.candidate_findings(files).filter(F.col("source") == "pattern_detector")
+    found = code_scan.candidate_findings(files).join(files.select("file_id", "language"), "file_id")
+    by_line = (F.col("language") == "python") & (F.col("source") == "parser")
+    found = found.withColumn("ord", F.when(by_line, F.col("line_number").cast("long")).otherwise(F.col("ord")))
     return summaries.review_packet(files, found, max_chars=None)
 
 
@@ -447,12 +486,18 @@ def _(spark, sf):
 @query(
     "python_facts",
     O.CODE
-    + """SELECT file_id, kind, CAST(line AS INTEGER) AS line, CASE WHEN kind IN ('division', 'bare_except', 'conditional', 'sqrt') THEN NULL ELSE name END AS name FROM nodes
-WHERE kind NOT IN ('load', 'local') UNION ALL SELECT file_id, 'syntax_error', CAST(line AS INTEGER), 'invalid syntax' FROM syntax""",
+    + """SELECT file_id, kind, CASE WHEN kind <> 'local' THEN CAST(line AS INTEGER) END AS line, CASE WHEN kind IN ('division', 'bare_except', 'conditional', 'sqrt') THEN NULL ELSE name END AS name,
+  CASE WHEN kind = 'zero_argument' THEN coalesce(string_split(f.names, ',')[pos + 1], '') ELSE n.names END AS names,
+  CASE WHEN kind = 'zero_argument' THEN pos END AS pos
+FROM nodes n LEFT JOIN py_functions f USING (file_id, name)
+UNION ALL SELECT file_id, 'syntax_error', CAST(line AS INTEGER), 'invalid syntax', '', NULL FROM syntax""",
 )
 def _(spark, sf):
     facts = python_scan.python_facts(parsed(spark, sf))
-    return facts.filter(~F.col("kind").isin("load", "local")).select("file_id", "kind", "line", "name")
+    names = F.coalesce(F.array_join("names", ","), F.lit("")).alias("names")
+    pos = F.when(F.col("kind") == "zero_argument", F.col("pos")).alias("pos")
+    line = F.when(F.col("kind") != "local", F.col("line")).alias("line")  # a local name carries its function's line
+    return facts.select("file_id", "kind", line, "name", names, pos)
 
 
 @query("python_defined_names", O.CODE + "SELECT file_id, name FROM py_defined")
@@ -478,15 +523,19 @@ def _(spark, sf):
 @query(
     "files_by_language",
     O.CODE
-    + """SELECT file_id, CASE WHEN language = 'python' THEN 'python' WHEN language IN ('javascript', 'typescript') THEN 'javascript' ELSE 'generic' END AS reader, language FROM files""",
+    + """, r AS (SELECT file_id, count(*) AS n_risks FROM risks GROUP BY file_id),
+p AS (SELECT file_id, count(*) AS n_patterns FROM (SELECT file_id FROM js_patterns UNION ALL SELECT file_id FROM py_patterns) GROUP BY file_id)
+SELECT file_id, language, coalesce(n_risks, 0) AS n_risks, coalesce(n_patterns, 0) AS n_patterns FROM files LEFT JOIN r USING (file_id) LEFT JOIN p USING (file_id)""",
 )
 def _(spark, sf):
-    reader = (
-        F.when(F.col("language") == "python", "python")
-        .when(F.col("language").isin(js_scan.JS_LANGUAGES), "javascript")
-        .otherwise("generic")
+    """What the scan of each file's language finds; other languages have none."""
+    files = corpus.code_files(spark, sf)
+    found = code_scan.scan(files)
+    both = found.risks.select("file_id", F.lit(1).alias("r"), F.lit(0).alias("p")).unionByName(
+        found.patterns.select("file_id", F.lit(0).alias("r"), F.lit(1).alias("p"))
     )
-    return corpus.code_files(spark, sf).select("file_id", reader.alias("reader"), "language")
+    counts = both.groupBy("file_id").agg(F.sum("r").alias("n_risks"), F.sum("p").alias("n_patterns"))
+    return files.select("file_id", "language").join(counts, "file_id", "left").fillna(0, ["n_risks", "n_patterns"])
 
 
 # ------------------------------------------------------------------ rules
@@ -588,8 +637,10 @@ def _(spark, sf):
     O.CODE + "SELECT file_id, line, type, message FROM risks",
 )
 def _(spark, sf):
+    """Every risk is raised two times, and later again with another message."""
     risks = code_scan.scan(corpus.code_files(spark, sf)).risks
-    return findings.dedupe_risks(risks).select("file_id", "line", "type", "message")
+    later = risks.withColumns({"ord": F.col("ord") + 10_000_000, "message": F.lit("later")})
+    return findings.dedupe_risks(risks.unionByName(risks).unionByName(later)).select("file_id", "line", "type", "message")
 
 
 # ------------------------------------------------------------------ findings
@@ -1092,10 +1143,10 @@ def _(spark, sf):
     )
 
 
-@query("hash_embedding")
+@query("hash_embedding", f"SELECT doc_id, {O.embedding('text')} AS vector FROM documents")
 def _(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    return docs.select("doc_id", T.hash_embedding(F.col("text")).alias("vector"))
+    return docs.select("doc_id", _numbers(_embed(F.col("text"))))
 
 
 # ------------------------------------------------------------------ summaries
@@ -1160,6 +1211,26 @@ def _(spark, sf):
     return summaries.file_report(files, *review.scan_once(files))
 
 
+@query(
+    "nested_report",
+    O.CODE
+    + """, per AS (SELECT file_id, string_agg(severity || '=' || n, ',' ORDER BY severity) AS severities
+  FROM (SELECT file_id, severity, count(*) AS n FROM findings GROUP BY ALL) GROUP BY file_id),
+bugs AS (SELECT file_id, count(*) AS n_bugs, string_agg(line_number || ' ' || bug_type || ' ' || severity || ' ' || explanation || ' ' || impact || ' ' || suggested_fix, chr(10)
+  ORDER BY line_number, bug_type) AS bugs FROM findings GROUP BY file_id)
+SELECT file_id, coalesce(severities, '') AS severities, coalesce(n_bugs, 0) AS total_bugs, coalesce(bugs, '') AS bugs
+FROM files LEFT JOIN per USING (file_id) LEFT JOIN bugs USING (file_id)""",
+)
+def _(spark, sf):
+    """The report with its map and its array, both written out as text."""
+    files = corpus.code_files(spark, sf)
+    report = summaries.nested_report(files, *review.scan_once(files))
+    pairs = F.array_sort(F.transform(F.map_entries("severity_breakdown"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))))
+    words = lambda b: F.concat_ws(" ", b["line_number"], b["bug_type"], b["severity"], b["explanation"], b["impact"], b["suggested_fix"])
+    rows = F.array_sort(F.transform("bugs", lambda b: F.struct(b["line_number"], b["bug_type"], words(b).alias("text"))))
+    return report.select("file_id", F.array_join(pairs, ",").alias("severities"), "total_bugs", F.array_join(F.transform(rows, lambda r: r["text"]), "\n").alias("bugs"))
+
+
 @query("code_review")
 def _(spark, sf):
     """All steps over all files; the history holds the vectors of every severe finding."""

@@ -19,6 +19,9 @@ ANSWERS = [
     '{"bug_type":"Null Reference Error","line_number":3,"explanation":"{m} second","suggested_fix":"x"}]',
     '  [{"bug_type":"odd kind","line_number":{n}.0,"explanation":"{m} by line","suggested_fix":""}]  ',
     '```\n[{"bug_type":"","line_number":null,"explanation":"{m} all"}]\n```',
+    '[{"bug_type":"Null Reference","line_number":{n},"explanation":"{m} talks"}] as asked',
+    "[{'bug_type':'Division by Zero','line_number':{n}}]",
+    '[null,{"bug_type":"Division by Zero","line_number":{n},"explanation":"{m} is sure","impact":"{m} sees a crash","confidence":0.75}]',
 ]
 SUFFIXES = [".py", ".JS", ".ts", ".csv", ".png", ".jpg", ".jpeg", ".txt", ".tar.gz", ""]
 DECLARED = [" Python ", "klingon", "SQL", "", "typescript", "html"]
