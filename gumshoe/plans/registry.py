@@ -28,7 +28,7 @@ from gumshoe.operators import (
     summaries,
     voting,
 )
-from gumshoe.plans import corpus, review, samples
+from gumshoe.plans import corpus, rescan, review, samples
 from gumshoe.plans import oracles as O
 from gumshoe.lineage import keep, new_folder
 from gumshoe.operators.quartiles import long_values, merged, quartiles, sketches
@@ -782,6 +782,41 @@ def _(spark, sf):
     return line_patterns.pattern_hits_of_lines(lines).select("file_id", "line", "type")
 
 
+# ------------------------------------------------------------------ scanning what changed
+
+
+def _before(files):
+    """The files as they were: every seventh was other code, every eleventh another language, every thirteenth was not there."""
+    k = F.substring("file_id", 2, 20).cast("long")
+    return files.filter(k % 13 != 0).withColumns(
+        {
+            "content": F.when(k % 7 == 0, "x = eval(y)").otherwise(F.col("content")),
+            "language": F.when(k % 11 == 0, "java").otherwise(F.col("language")),
+        }
+    )
+
+
+def _two_runs(spark, sf):
+    store, files = new_folder(spark, "scans"), corpus.code_files(spark, sf)
+    rescan.rescan(_before(files), store, "1")
+    return store, rescan.rescan(files, store, "2")
+
+
+@query("rescanned_findings", O.CODE + f"SELECT {_F} FROM findings")
+def _(spark, sf):
+    """The second run's findings are those of a full scan."""
+    return _two_runs(spark, sf)[1].select(_FINDING_COLUMNS)
+
+
+@query(
+    "rescanned_files",
+    O.CODE + "SELECT file_id FROM files WHERE k % 7 = 0 OR (k % 11 = 0 AND language <> 'java') OR k % 13 = 0",
+)
+def _(spark, sf):
+    """The files that the second run has parsed."""
+    return rescan.scanned_files(spark, _two_runs(spark, sf)[0], "2")
+
+
 # ------------------------------------------------------------------ quality
 
 
