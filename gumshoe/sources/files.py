@@ -55,6 +55,11 @@ def route_by_kind(path: Column) -> Column:
     return F.when(s.isin(P.IMAGE_SUFFIXES), "image").when(s.isin(P.TABLE_SUFFIXES), "csv").otherwise("code")
 
 
+def file_id(path: Column) -> Column:
+    """128 bits of the path's digest: a replay gives the same id, and it stays unique over any number of files."""
+    return F.substring(F.sha2(path, 256), 1, 32)
+
+
 def rejects(raw: DataFrame, max_bytes: int | None = None) -> DataFrame:
     """``(path, length, reason)`` of the raw files that :func:`manifest` leaves out."""
     reason = F.when(~allowed(F.col("path")), "type")
@@ -66,15 +71,14 @@ def rejects(raw: DataFrame, max_bytes: int | None = None) -> DataFrame:
 def manifest(raw: DataFrame, max_bytes: int | None = None) -> DataFrame:
     """Raw files (path, length, content) to one record per accepted file, of any size unless ``max_bytes`` is given.
 
-    The id comes from the path, so a replay gives the same id; 128 bits keep
-    it unique over any number of files. Images carry no text.
+    Images carry no text.
     """
     ok = filter_allowed_types(raw)[0]
     if max_bytes is not None:
         ok = filter_size_cap(ok, max_bytes)
     path = F.col("path")
     return ok.select(
-        F.substring(F.sha2(path, 256), 1, 32).alias("file_id"),
+        file_id(path).alias("file_id"),
         F.regexp_extract(path, r"([^/]+)$", 1).alias("file_name"),
         path,
         language_from_extension(path).alias("language"),
