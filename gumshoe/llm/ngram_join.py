@@ -2,9 +2,11 @@
 
 A document is the set of its runs of five lower-cased words (a shorter one is a single run). Documents with equal sets are one
 class from the start. Every class has, for each tree of the forest, a label of ``DEPTH`` MinHash values; the sorted labels form a
-prefix trie. Classes meet below the deepest common prefix first; the prefix is then shortened, a value at a time, until a pair at the
-threshold is found with the target probability. Meeting makes a star around the smallest class of a trie node, and
-only the centre goes on to the shorter prefix, so no node emits pairs.
+prefix trie. Each class begins with its whole labels and shortens them one value at a time until a pair at the threshold shares one
+of its nodes with the target probability. Trees in which the shorter prefix would lead into a crowded node come last, and the larger
+the node the later: a class keeps long prefixes there and makes up for it where it is nearly alone. Below ``CROWD`` members
+sizes do not count, or a class would avoid just the trees in which it meets the one text that it is like. It looks at all classes in the nodes where it stopped, however far those went. Meeting makes a star around the
+smallest class of a node, so no node emits pairs.
 
 Connected stars are candidates. They are verified exactly: the sets of a candidate group are compared in blocks of bounded
 size, each task emitting links per class and a spanning forest, so neither a large group nor its pairs are gathered.
@@ -16,6 +18,7 @@ gives an empty result. Other columns are ignored.
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Iterator
 
@@ -31,10 +34,15 @@ from .store import stored
 
 N = 5
 THRESHOLD = 0.8
-RECALL = 0.995
+RECALL = 0.999
+"""The probability with which a pair at the threshold meets, for each of its two classes; pairs above it meet more often."""
 TREES = 20
 DEPTH = 7
+LEAST = 5
+"""The shortest prefix: with all trees at it a pair at the threshold misses with probability 0.0004."""
+CROWD = 64
 BLOCK_CLASSES = 256
+REMEMBERED = 100_000
 BLOCK_GRAMS = 1_000_000
 _find = re.compile(r"\w+").findall
 _random = np.random.default_rng(20240229)
@@ -68,13 +76,31 @@ def labels_of(grams: np.ndarray) -> np.ndarray:
     return least.reshape(TREES, DEPTH)
 
 
-def shortest_prefix(threshold: float = THRESHOLD, recall: float = RECALL) -> int:
-    """The longest prefix with which a pair at the threshold shares a trie node of some tree with probability ``recall``."""
-    return next(k for k in range(DEPTH, 0, -1) if k == 1 or 1 - (1 - threshold**k) ** TREES >= recall)
+def shortened(company: dict[int, int], threshold: float = THRESHOLD, recall: float = RECALL) -> list[int]:
+    """The depth at which a class stops in each tree. ``company`` are the members of its shared nodes by :func:`place_of` them."""
+    def crowd(tree: int, depth: int) -> tuple[int, int, int]:
+        """What going on from ``depth`` costs; level by level where it costs nothing."""
+        return max(0, company.get(place_of(tree, depth - 1), 1) - CROWD), -depth, tree
 
+    depths, missed = [DEPTH] * TREES, (1 - threshold**DEPTH) ** TREES
+    cost = [crowd(t, DEPTH) for t in range(TREES)]
+    heapq.heapify(cost)
+    while missed > 1 - recall and cost:
+        _, _, tree = heapq.heappop(cost)
+        missed *= (1 - threshold ** (depths[tree] - 1)) / (1 - threshold ** depths[tree])
+        depths[tree] -= 1
+        if depths[tree] > LEAST:
+            heapq.heappush(cost, crowd(tree, depths[tree]))
+    return depths
 
-def _signed(docs: DataFrame, depths: list[int]) -> DataFrame:
-    """doc_id, key, set_id (null without words), prefixes: for each tree, a hash of its label's prefix at each depth."""
+
+def place_of(tree: int, depth: int) -> int:
+    """Of a prefix among all prefixes of a class."""
+    return tree * (DEPTH - LEAST + 1) + DEPTH - depth
+
+
+def _signed(docs: DataFrame) -> DataFrame:
+    """doc_id, key, set_id (null without words), prefixes: a hash of each prefix of its labels, at :func:`place_of` it."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -89,7 +115,7 @@ def _signed(docs: DataFrame, depths: list[int]) -> DataFrame:
                     sets.append(xxhash.xxh3_128_digest(grams.tobytes()))
                     labels = labels_of(grams)
                     prefixes.append(
-                        [xxhash.xxh3_64_intdigest(row[:k].tobytes()) - (1 << 63) for row in labels for k in depths]
+                        [xxhash.xxh3_64_intdigest(row[:k].tobytes()) - (1 << 63) for row in labels for k in range(DEPTH, LEAST - 1, -1)]
                     )
                 yield pa.RecordBatch.from_arrays(
                     [part["doc_id"], part["key"], pa.array(sets, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))],
@@ -99,22 +125,33 @@ def _signed(docs: DataFrame, depths: list[int]) -> DataFrame:
     return docs.mapInArrow(sign, "doc_id long, key long, set_id binary, prefixes array<long>")
 
 
-def _stars(classes: DataFrame, depths: list[int]) -> DataFrame:
-    """Edges between classes that share a trie node, from the deepest prefix to the shortest."""
-    n = len(depths)
-    trees = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
-    nodes = classes.select(trees, F.col("set_id").alias("node"), "prefixes").select(
-        "tree", "node", *[F.expr(f"prefixes[tree * {n} + {i}]").alias(f"p{i}") for i in range(n)]
-    )
-    edges = None
-    for i in range(n):
-        rest = [F.first(f"p{j}").alias(f"p{j}") for j in range(i + 1, n)]
-        tops = nodes.groupBy("tree", f"p{i}").agg(F.min("node").alias("top"), F.count("*").alias("members"), *rest)
-        shared = tops.where("members > 1").select("tree", f"p{i}", "top")
-        found = nodes.join(shared, ["tree", f"p{i}"]).where("node <> top").select(F.col("node").alias("a"), F.col("top").alias("b"))
-        edges = found if edges is None else edges.unionByName(found)
-        nodes = tops.select("tree", F.col("top").alias("node"), *[f"p{j}" for j in range(i + 1, n)])
-    return edges.distinct()
+def _stars(classes: DataFrame, recall: float = RECALL) -> DataFrame:
+    """Edges between the classes in the nodes where any of them stops and the smallest class there."""
+    nodes = classes.select("set_id", F.posexplode("prefixes").alias("place", "prefix"))
+    shared = nodes.groupBy("place", "prefix").agg(F.min("set_id").alias("top"), F.count("*").alias("members")).where("members > 1")
+    company = stored(nodes.join(shared, ["place", "prefix"]), "company")
+
+    def stop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[tuple, list[int]] = {}
+        for batch in batches:
+            ids, places = [], []
+            for set_id, met in zip(batch["set_id"].to_pylist(), batch["met"].to_pylist(), strict=True):
+                sizes = {m["place"]: m["members"] for m in met}
+                key = tuple(sorted(sizes.items()))
+                if key not in known:
+                    if len(known) > REMEMBERED:
+                        known.clear()
+                    known[key] = [p for t, d in enumerate(shortened(sizes, recall=recall)) if (p := place_of(t, d)) in sizes]
+                ids.extend([set_id] * len(known[key]))
+                places.extend(known[key])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(places, pa.int32())], names=["set_id", "place"])
+
+    # as many nodes as a class has prefixes, at most
+    met = company.groupBy("set_id").agg(F.collect_list(F.struct("place", "members")).alias("met"))
+    stops = met.mapInArrow(stop, "set_id binary, place int")
+    visited = company.join(stops, ["set_id", "place"]).select("place", "prefix").distinct()
+    edges = company.join(visited, ["place", "prefix"], "left_semi").where("set_id <> top")
+    return edges.select(F.col("set_id").alias("a"), F.col("top").alias("b")).distinct()
 
 
 def _verified(members: DataFrame) -> DataFrame:
@@ -187,14 +224,13 @@ def _with_grams(rows: DataFrame) -> DataFrame:
 def classes_of(docs: DataFrame, threshold_recall: float = RECALL) -> DataFrame:
     """``docs (doc_id, text)`` to doc_id, key (hash of the text), class_id, n_links, kept."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text")
-    depths = list(range(DEPTH, shortest_prefix(THRESHOLD, threshold_recall) - 1, -1))
-    signed = stored(_signed(rows, depths), "signed")
+    signed = stored(_signed(rows), "signed")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key")).alias("first")
     classes = stored(
         signed.where("set_id is not null").groupBy("set_id").agg(first, F.count("*").alias("copies"), F.first("prefixes").alias("prefixes")),
         "classes",
     )
-    candidates = connected(_stars(classes, depths))
+    candidates = connected(_stars(classes, threshold_recall))
     chosen = (
         candidates.join(classes.select("set_id", "first", "copies"), F.col("node") == F.col("set_id"))
         .select(F.col("component").alias("group"), "set_id", "copies", "first.doc_id", "first.key")

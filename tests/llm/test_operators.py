@@ -118,6 +118,37 @@ def test_ngram_blocks(spark, monkeypatch):
     assert {r[2] for r in whole} == {0} and min(r[3] for r in whole) == 39
 
 
+def test_prefixes_adapt_to_what_a_class_meets():
+    def missed(depths):
+        return np.prod([1 - ngram_join.THRESHOLD**d for d in depths])
+
+    alone = ngram_join.shortened({})
+    assert missed(alone) <= 1 - ngram_join.RECALL < missed([d + 1 for d in alone])
+    crowd = {ngram_join.place_of(t, d): 10 ** (9 - d) for t in range(8) for d in (5, 6, 7)}  # eight trees with ever larger nodes
+    kept = ngram_join.shortened(crowd)
+    assert missed(kept) <= 1 - ngram_join.RECALL
+    assert kept[:8].count(ngram_join.DEPTH) >= 4 and kept[8:] == [ngram_join.LEAST] * 12  # made up for in the other trees
+    one = {ngram_join.place_of(t, d): 2 for t in range(20) for d in (5, 6)}
+    assert ngram_join.shortened(one) == alone  # a single other text does not turn a class away
+    everywhere = ngram_join.shortened({ngram_join.place_of(t, d): 10 ** (9 - d) for t in range(20) for d in (5, 6, 7)}, recall=1.0)
+    assert set(everywhere) == {ngram_join.LEAST}
+
+
+def test_recall_at_the_threshold(spark):
+    """Pairs that share just 0.8 of their word runs, each with texts of its own."""
+    random, rows = np.random.default_rng(12), []
+    for i in range(400):
+        text = [f"p{i}w{j}" for j in range(204)]
+        cut = text[:180] + [f"p{i}x{j}" for j in range(24)]  # 176 of 200 runs stay: 176 / 224 is too little, so 178
+        cut = text[:182] + cut[182:]
+        rows += [(2 * i, " ".join(text)), (2 * i + 1, " ".join(cut))]
+    a, b = (set(map(int, ngram_join.grams_of(rows[k][1]))) for k in (0, 1))
+    assert 0.8 <= len(a & b) / len(a | b) < 0.81
+    random.shuffle(rows)
+    got = ngram_join.classes_of(spark.createDataFrame(rows, "doc_id long, text string")).where("n_links = 1").count()
+    assert got >= 0.99 * len(rows)
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (10, 11), (11, 12), (12, 13), (13, 14), (5, 5), (3, 4), (4, 1)]
     got = components.connected(spark.createDataFrame(edges, "a long, b long")).collect()
