@@ -55,49 +55,80 @@ FILE_FACTS = T.StructType(
 )
 
 
-def _facts_of(node: ast.AST) -> Iterator[tuple]:
-    """Facts one tree node states by itself: (kind, name, position, names)."""
-    match node:
-        case ast.FunctionDef():
-            yield "function", node.name, None, [a.arg for a in node.args.args]
-            inner = list(ast.walk(node))
-            for child in inner:
-                if isinstance(child, ast.Assign):
-                    for target in child.targets:
-                        if isinstance(target, ast.Name):
-                            yield "local", target.id, None, None
-            for child in inner:
-                if isinstance(child, ast.Name) and isinstance(child.ctx, ast.Load):
-                    yield "load", child.id, child.lineno, None
-        case ast.ClassDef():
-            yield "class", node.name, None, None
-        case ast.Import():
-            for alias in node.names:
-                yield "import", alias.name, None, [alias.asname or alias.name]
-        case ast.ImportFrom():
-            bound = [alias.asname or alias.name for alias in node.names]
-            if node.module:
-                yield "import", node.module, None, [node.module.split(".")[0], *bound]
-            else:
-                yield "import_local", None, None, bound
-        case ast.For():
-            target = [node.target.id] if isinstance(node.target, ast.Name) else None
-            yield "loop", "for", None, target
-        case ast.While():
-            yield "loop", "while", None, None
-        case ast.If():
-            yield "conditional", None, None, None
-        case ast.Assign():
-            for target in node.targets:
+# Fields that hold no node of interest: names, contexts, operators and the like.
+_NO_NODES = {"ctx", "op", "ops", "id", "attr", "name", "asname", "module", "level", "kind", "type_comment", "conversion", "names", "n", "s"}
+_fields_of: dict[type, tuple[str, ...]] = {ast.Constant: (), ast.Name: ()}
+
+
+def _tree(root: ast.AST) -> list[ast.AST]:
+    """The nodes that may state facts, in the order of ``ast.walk``."""
+    found = [root]
+    for node in found:
+        kind = type(node)
+        fields = _fields_of.get(kind)
+        if fields is None:
+            fields = _fields_of[kind] = tuple(f for f in kind._fields if f not in _NO_NODES)
+        for field in fields:
+            value = getattr(node, field, None)
+            if value.__class__ is list:
+                found.extend([v for v in value if isinstance(v, ast.AST)])
+            elif isinstance(value, ast.AST):
+                found.append(value)
+    return found
+
+
+# What a node of a type states by itself: (kind, name, position, names).
+
+
+def _function_facts(node: ast.FunctionDef) -> Iterator[tuple]:
+    yield "function", node.name, None, [a.arg for a in node.args.args]
+    inner = _tree(node)
+    for child in inner:
+        if type(child) is ast.Assign:
+            for target in child.targets:
                 if isinstance(target, ast.Name):
-                    yield "variable", target.id, None, None
-        case ast.BinOp(op=ast.Div() | ast.FloorDiv() | ast.Mod()):
-            yield "division", None, None, None
-        case ast.ExceptHandler(type=None):
-            yield "bare_except", None, None, None
-        case ast.Call():
-            yield from _call_facts(node)
-        case ast.Subscript(slice=ast.BinOp(op=ast.Add(), right=ast.Constant(value=int() as step))):
+                    yield "local", target.id, None, None
+    for child in inner:
+        if type(child) is ast.Name and type(child.ctx) is ast.Load:
+            yield "load", child.id, child.lineno, None
+
+
+def _import_facts(node: ast.Import) -> Iterator[tuple]:
+    for alias in node.names:
+        yield "import", alias.name, None, [alias.asname or alias.name]
+
+
+def _from_facts(node: ast.ImportFrom) -> Iterator[tuple]:
+    bound = [alias.asname or alias.name for alias in node.names]
+    if node.module:
+        yield "import", node.module, None, [node.module.split(".")[0], *bound]
+    else:
+        yield "import_local", None, None, bound
+
+
+def _for_facts(node: ast.For) -> Iterator[tuple]:
+    yield "loop", "for", None, [node.target.id] if isinstance(node.target, ast.Name) else None
+
+
+def _assign_facts(node: ast.Assign) -> Iterator[tuple]:
+    for target in node.targets:
+        if isinstance(target, ast.Name):
+            yield "variable", target.id, None, None
+
+
+def _operation_facts(node: ast.BinOp) -> Iterator[tuple]:
+    if isinstance(node.op, (ast.Div, ast.FloorDiv, ast.Mod)):
+        yield "division", None, None, None
+
+
+def _handler_facts(node: ast.ExceptHandler) -> Iterator[tuple]:
+    if node.type is None:
+        yield "bare_except", None, None, None
+
+
+def _subscript_facts(node: ast.Subscript) -> Iterator[tuple]:
+    match node.slice:
+        case ast.BinOp(op=ast.Add(), right=ast.Constant(value=int() as step)):
             name = node.value.id if isinstance(node.value, ast.Name) else ""
             yield "moved_index", name, None, [str(step) if step < 1 << 64 else hex(step)]
 
@@ -117,6 +148,22 @@ def _call_facts(node: ast.Call) -> Iterator[tuple]:
                 yield "zero_argument", name, pos, None
 
 
+_FACTS = {
+    ast.FunctionDef: _function_facts,
+    ast.ClassDef: lambda node: [("class", node.name, None, None)],
+    ast.Import: _import_facts,
+    ast.ImportFrom: _from_facts,
+    ast.For: _for_facts,
+    ast.While: lambda node: [("loop", "while", None, None)],
+    ast.If: lambda node: [("conditional", None, None, None)],
+    ast.Assign: _assign_facts,
+    ast.BinOp: _operation_facts,
+    ast.ExceptHandler: _handler_facts,
+    ast.Call: _call_facts,
+    ast.Subscript: _subscript_facts,
+}
+
+
 def _file_nodes(content: str) -> list[tuple]:
     try:
         tree = ast.parse(content)
@@ -125,8 +172,9 @@ def _file_nodes(content: str) -> list[tuple]:
         return [("syntax_error", str(getattr(error, "msg", error)), line, 0, None, None)]
     nodes, loads = [], {}
     order = 0
-    for node in ast.walk(tree):
-        for kind, name, extra, names in _facts_of(node):
+    for node in _tree(tree):
+        facts = _FACTS.get(type(node))
+        for kind, name, extra, names in facts(node) if facts else ():
             order += 1
             if kind == "load":
                 loads.setdefault((name, extra), order)
