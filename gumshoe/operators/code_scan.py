@@ -21,14 +21,14 @@ class CodeScan:
     patterns: DataFrame
 
 
-def scan(files: DataFrame) -> CodeScan:
-    """Route files by language and collect risks and pattern hits.
+def scan(files: DataFrame, parsed: DataFrame | None = None) -> CodeScan:
+    """Route files by language and collect risks and pattern hits. ``parsed`` are the python files, if they are parsed already.
 
     Both scans report a type once per line, so nothing needs to be compared
     across rows here.
     """
     js = js_scan.js_hits(files)
-    py = python_scan.python_risks(python_scan.parse_python(files))
+    py = python_scan.python_risks(python_scan.parse_python(files) if parsed is None else parsed)
     js_risks = js.filter(F.col("source") == "parser")
     js_patterns = js.filter(F.col("source") == "pattern_detector")
     py_patterns = line_patterns.python_pattern_hits(files)

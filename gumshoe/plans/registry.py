@@ -1214,16 +1214,32 @@ SELECT file_id, kind, count(*) AS n FROM facts GROUP BY ALL""",
 )
 def _(spark, sf):
     files = corpus.code_files(spark, sf)
-    py = python_scan.python_facts(python_scan.parse_python(files)).filter(F.col("kind").isin("function", "variable"))
+    trees = keep(python_scan.parse_python(files))  # parsed once for facts and risks
+    py = python_scan.python_facts(trees).filter(F.col("kind").isin("function", "variable"))
     facts = (
         js_scan.js_functions(files).select("file_id", F.lit("function").alias("kind"))
         .unionByName(js_scan.js_variables(files).select("file_id", F.lit("variable").alias("kind")))
-        .unionByName(code_scan.scan(files).risks.select("file_id", F.lit("risk").alias("kind")))
+        .unionByName(code_scan.scan(files, trees).risks.select("file_id", F.lit("risk").alias("kind")))
         .unionByName(py.select("file_id", "kind"))
     )
     return summaries.fact_counts(facts)
 
 
+@query(
+    "observed_counts",
+    O.CODE
+    + "SELECT count(*) AS total_bugs, "
+    + ", ".join(f"count(*) FILTER (WHERE severity = {O.q(s)}) AS {s}" for s in summaries.SEVERITIES)
+    + " FROM findings",
+)
+def _(spark, sf):
+    """The log row of a run: its counts come from the job that writes the findings."""
+    path = new_folder(spark, "run")
+    counts = summaries.write_counted(_candidates(spark, sf), f"{path}/findings")
+    history.append_run_log(spark, counts, f"{path}/log", "1")
+    return spark.read.parquet(f"{path}/log").drop("reviewed_at", "batch")
+
+
 @query("flagged_lines", O.CODE + "SELECT DISTINCT file_id, line_number FROM findings WHERE line_number > 0")
 def _(spark, sf):
     return summaries.flagged_lines(_candidates(spark, sf))

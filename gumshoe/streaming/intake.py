@@ -1,7 +1,7 @@
 """Continuous intake: new files are reviewed as they arrive.
 
 Each micro-batch writes what it finds below ``batch=`` folders in overwrite mode, so a replayed batch replaces its own output:
-``findings``, ``history`` and ``log`` of code files, ``tables`` with the quality reports of CSV files, and ``rejects`` with every
+``findings``, ``history``, ``log`` and ``runs`` (one row of counts) of code files, ``tables`` with the quality reports of CSV files, and ``rejects`` with every
 file or report that none of these took, and why.
 """
 
@@ -15,10 +15,11 @@ from pyspark.sql.streaming import StreamingQuery
 
 from gumshoe.functions import text
 from gumshoe.lineage import exists, keep
+from gumshoe.operators.summaries import write_counted
 from gumshoe.plans.review import review_code
 from gumshoe.sources import files as files_source
 from gumshoe.sources import reports, tables
-from gumshoe.sources.history import append_analysis_log, append_history, read_history
+from gumshoe.sources.history import append_analysis_log, append_history, append_run_log, read_history
 from gumshoe.streaming import waiting
 
 LINT = "path string, tool string, report string"
@@ -47,7 +48,8 @@ def _write_code(
         history = read_history(spark, f"{outbox}/history").filter(F.col("batch").cast("bigint") < batch_id)
     review = review_code(code, lint=lint, runs=runs, history=history)
     target = f"{outbox}/findings/batch={batch_id}"
-    review.findings.write.mode("overwrite").parquet(target)
+    counts = write_counted(review.findings, target)
+    append_run_log(spark, counts, f"{outbox}/runs", str(batch_id))
     written = spark.read.parquet(target)
     append_history(written, f"{outbox}/history", str(batch_id))
     log = review.report.withColumn("reviewed_at", F.current_timestamp())

@@ -26,6 +26,9 @@ def test_intake_reviews_each_file_once(spark, tmp_path):
     assert got == [(0, "javascript", "Division by Zero"), (0, "javascript", "Undefined Variable"), (1, "python", "Division by Zero")]
     log = spark.read.parquet(f"{outbox}/log")
     assert log.count() == 2
+    counts = spark.read.parquet(f"{outbox}/runs").orderBy("batch").collect()
+    assert [(r.batch, r.total_bugs) for r in counts] == [(0, 2), (1, 1)]
+    assert [(r.path.rpartition("/")[2], r.reason) for r in spark.read.parquet(f"{outbox}/rejects").collect()] == [("skip.txt", "type")]
 
 
 def put(folder, name, rows, minute):
