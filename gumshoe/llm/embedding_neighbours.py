@@ -8,8 +8,8 @@ A pair that meets in several tables is counted in the first only, which both vec
 links per vector and a spanning forest, never pairs. Buckets are compared in blocks, so a full bucket is not gathered.
 
 Nulls and ties: vectors that are null, empty, zero or hold null or non-finite components link with nothing, and neither do vectors of
-different lengths, or rows without id. Rows with the same vector are compared as one and counted as many. An
-empty table gives an empty result. Other columns are ignored.
+different lengths, or rows without id. Rows with the same vector are compared as one and counted as many. Rows that
+share an id and differ in their vectors are items of their own. Numbers of any size count, as vectors are scaled before they are squared. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,6 +32,12 @@ BLOCK = 1024
 SEED = 90
 
 
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length one, in double precision; scaled first, so that no square overflows or vanishes."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def rotated(x: np.ndarray, random: np.random.Generator) -> np.ndarray:
     """``x`` with a power of two columns, after three rounds of sign flips and Hadamard transform."""
     n, d = x.shape
@@ -83,13 +89,13 @@ def _hashed(vectors: DataFrame) -> DataFrame:
                 rows = batch.take(pa.array(np.flatnonzero(lengths == d)))
                 for part in (rows.slice(i, 2000) for i in range(0, rows.num_rows, 2000)):
                     x = part["vector"].flatten().to_numpy().astype(np.float64).reshape(-1, d)
-                    b = buckets_of(x / np.linalg.norm(x, axis=1, keepdims=True))
+                    b = buckets_of(unit(x))
                     own = pa.FixedSizeListArray.from_arrays(pa.array(b.reshape(-1)), TABLES * (1 + PROBES)).cast(pa.list_(pa.int64()))
                     yield pa.RecordBatch.from_arrays(
                         [part["id"], part["copies"], part["vector"], own], names=["id", "copies", "vector", "buckets"]
                     )
 
-    return vectors.mapInArrow(hash_, "id long, copies long, vector array<float>, buckets array<long>")
+    return vectors.mapInArrow(hash_, f"id long, copies long, vector {dict(vectors.dtypes)['vector']}, buckets array<long>")
 
 
 def _linked(rows: DataFrame, cosine: float) -> DataFrame:
@@ -105,8 +111,7 @@ def _linked(rows: DataFrame, cosine: float) -> DataFrame:
             if not home.any():
                 continue
             ids, copies = g["id"].to_numpy(), g["copies"].to_numpy()
-            v = np.stack(g["vector"].to_pylist()).astype(np.float64)
-            v /= np.linalg.norm(v, axis=1, keepdims=True)
+            v = unit(np.stack(g["vector"].to_pylist()).astype(np.float64))
             a, b = np.nonzero(v @ v[home].T >= cosine)
             b = np.flatnonzero(home)[b]
             both = home[a] & home[b]
@@ -149,13 +154,14 @@ def _first(buckets, ids, a, b, table: int, home) -> np.ndarray:
 
 def neighbours(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     """``vectors (vec_id, embedding)`` to vec_id, n_links, component_id, kept."""
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("vector"))
+    # as they come: only floats are kept as floats
+    kind = "array<float>" if dict(vectors.dtypes)["embedding"] == "array<float>" else "array<double>"
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("vector"))
     finite = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
     usable = F.col("vec_id").isNotNull() & F.forall("vector", finite) & F.exists("vector", lambda c: c != 0)
     rows = rows.withColumn("vector", F.when(usable, F.col("vector")))
-    distinct = stored(
-        rows.where("vector is not null").groupBy("vector").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")), "vectors"
-    )
+    distinct = rows.where("vector is not null").groupBy("vector").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies"))
+    distinct = stored(distinct.withColumn("id", F.monotonically_increasing_id()), "vectors")
     hashed = stored(_hashed(distinct.repartition("id").select("id", "copies", "vector")), "hashed")
     at = F.explode(F.sequence(F.lit(0), F.lit(TABLES * (1 + PROBES) - 1))).alias("at")
     placed = hashed.select("*", at).select(
@@ -179,12 +185,14 @@ def neighbours(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     joined = connected(found.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")))
     known = (
-        distinct.select("vector", "id", "copies")
+        distinct.select("vector", "vec_id", "id", "copies")
         .join(links, "id", "left")
         .join(joined, F.col("id") == F.col("node"), "left")
-        .select("vector", F.coalesce("component", "id").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+        .select("vector", "vec_id", F.coalesce("component", "id").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     )
+    first = known.groupBy("root").agg(F.min("vec_id").alias("first"))
+    known = known.drop("vec_id").join(first, "root")
     named = rows.join(known, "vector", "left").select(
-        "vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("root", "vec_id").alias("component_id")
+        "vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("first", "vec_id").alias("component_id")
     )
     return named.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

@@ -652,6 +652,17 @@ def test_embeddings(spark):
     assert embedding_neighbours.neighbours(df.where("vec_id = -1")).count() == 0
 
 
+def test_embeddings_in_double_precision(spark):
+    """Pairs that floats would put on the other side of the threshold, and numbers whose squares no double holds."""
+    a = np.array([1.0, 0.0, 0.0, 0.0])
+    turn = lambda c: np.array([c, np.sqrt(1 - c * c), 0.0, 0.0])
+    rows = [(1, a), (2, turn(0.95 + 1e-10)), (3, -a), (4, -turn(0.95 - 1e-10)), (5, [0, 0, 1e300, 1e300]), (6, [0, 0, 2e-300, 2e-300])]
+    rows = [(i, [float(x) for x in v]) for i, v in rows] + [(7, [0.0, 0.0, 3.0, -3.0]), (7, [0.0, 0.0, 3.0, 3.0])]
+    got = embedding_neighbours.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    found = {(r["vec_id"], r["n_links"], r["component_id"]) for r in got.collect()}
+    assert found == {(1, 1, 1), (2, 1, 1), (3, 0, 3), (4, 0, 4), (5, 2, 5), (6, 2, 5), (7, 2, 5), (7, 0, 7)}
+
+
 def test_embedding_blocks(spark, monkeypatch):
     random = np.random.default_rng(1)
     x = (random.normal(size=64) + 0.05 * random.normal(size=(60, 64))).astype(np.float32)
