@@ -1290,11 +1290,35 @@ def _(spark, sf):
     return review.review_code(files, runs=samples.model_runs(spark, sf), history=store).findings
 
 
-@query("table_review")
+def _vector_sql(expr):
+    return f"list_transform(range(0, 32), lambda i: (('0x' || substr(sha256({expr}), i * 2 + 1, 2))::INTEGER - 128)::DOUBLE / 128)"
+
+
+@query(
+    "table_review",
+    f"WITH report AS ({O.table_report(O.GAPPY, 'gappy', 'gappy', O.GAPPY_COLUMNS)}), "
+    + "q AS (SELECT *, 'csv' AS language, "
+    + _vector_sql(_FINDING_TEXT.replace("language", "'csv'"))
+    + " AS v FROM report), h AS (SELECT vec_id::VARCHAR AS vec_id, 'earlier ' || vec_id AS explanation, "
+    + _vector_sql("vec_id::VARCHAR")
+    + """ AS v FROM embeddings),
+scored AS (
+  SELECT q.ord, h.vec_id, h.explanation, list_dot_product(q.v, h.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(h.v, h.v))) AS score
+  FROM q, h),
+best AS (SELECT *, row_number() OVER (PARTITION BY ord ORDER BY score DESC, vec_id) AS rank FROM scored WHERE score > 0.3 QUALIFY rank <= 6),
+kept AS (SELECT *, row_number() OVER (PARTITION BY ord ORDER BY rank) AS place FROM best WHERE score < 0.99 QUALIFY place <= 3),
+told AS (
+  SELECT ord, string_agg('Missing Values:' || explanation || ':fill:' || round_even(score * 100, 1), ';' ORDER BY place) AS matches FROM kept GROUP BY ord)
+SELECT table_name, ord, bug_type, line_number, column_name, explanation, impact, severity, suggested_fix, source, language, coalesce(matches, '') AS matches
+FROM q LEFT JOIN told USING (ord)""",
+)
 def _(spark, sf):
+    """A table's report with similar findings of a history whose vectors are 256-bit digests."""
     store = samples.embeddings(spark, sf).select(
         F.col("vec_id").cast("string").alias("vec_id"), F.lit("csv").alias("language"),
-        T.hash_embedding(F.col("vec_id").cast("string")).alias("vector"), F.lit("Missing Values").alias("bug_type"),
+        _embed(F.col("vec_id").cast("string")).alias("vector"), F.lit("Missing Values").alias("bug_type"),
         F.concat(F.lit("earlier "), F.col("vec_id").cast("string")).alias("explanation"), F.lit("fill").alias("fix"),
     )
-    return review.review_table(_gappy(spark, sf), "gappy", store)
+    reviewed = review.review_table(_gappy(spark, sf), "gappy", store, embed=_embed)
+    told = F.transform("historical_bugs", lambda m: F.concat_ws(":", m["bug_type"], m["explanation"], m["fix"], m["similarity"].cast("string")))
+    return reviewed.select("*", F.array_join(told, ";").alias("matches")).drop("historical_bugs", "finding_id")
