@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,11 +30,37 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
+_held: ContextVar[list[str] | None] = ContextVar("held", default=None)
+
+
+@contextmanager
+def kept_until_end(spark: SparkSession) -> Iterator[None]:
+    """What is kept inside the block goes at its end: for jobs that have written all they make by then, such as a micro-batch."""
+    paths: list[str] = []
+    token = _held.set(paths)
+    try:
+        yield
+    finally:
+        _held.reset(token)
+        for path in paths:
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def keep(df: DataFrame) -> DataFrame:
-    """Checkpoint to the shared folder; it survives lost executors."""
-    context = df.sparkSession.sparkContext
+    """Store in the shared folder and read from there: it survives lost executors.
+
+    By checkpoint, or, inside :func:`kept_until_end`, as a table that is deleted when that ends.
+    """
+    spark, paths = df.sparkSession, _held.get()
+    if paths is not None:
+        path = new_folder(spark, "kept")
+        paths.append(path)
+        df.write.mode("overwrite").parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
+        context.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from gumshoe.functions import text
-from gumshoe.lineage import exists, keep
+from gumshoe.lineage import exists, keep, kept_until_end
 from gumshoe.operators.summaries import write_counted
 from gumshoe.plans.review import review_code
 from gumshoe.sources import files as files_source
@@ -78,12 +78,13 @@ def incremental_scan(
 
     def review_batch(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
-        found = keep(files_source.manifest(batch))
-        _write_code(session, found.filter("kind = 'code'"), None, None, outbox, batch_id, use_history)
-        _write_tables(session, found.filter("kind = 'csv'"), outbox, batch_id)
-        images = found.filter("kind = 'image'").select("path", "file_id", F.lit(waiting.NO_TEXT).alias("reason"))
-        others = files_source.rejects(batch).withColumn("file_id", files_source.file_id(F.col("path")))
-        _write_rejects(images.unionByName(others.select(*REJECT)), outbox, batch_id)
+        with kept_until_end(session):
+            found = keep(files_source.manifest(batch))
+            _write_code(session, found.filter("kind = 'code'"), None, None, outbox, batch_id, use_history)
+            _write_tables(session, found.filter("kind = 'csv'"), outbox, batch_id)
+            images = found.filter("kind = 'image'").select("path", "file_id", F.lit(waiting.NO_TEXT).alias("reason"))
+            others = files_source.rejects(batch).withColumn("file_id", files_source.file_id(F.col("path")))
+            _write_rejects(images.unionByName(others.select(*REJECT)), outbox, batch_id)
 
     return (
         _files(spark, inbox, max_files)
@@ -147,16 +148,17 @@ def incremental_review(
 
     def review_batch(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
-        ready = keep(batch)
-        code = ready.filter(F.col("kind").eqNullSafe("code") & (F.col("outcome") != waiting.ORPHAN))
-        each = code.select("file_id", F.inline("lint"))
-        pylint, eslint = (each.filter(F.col("tool") == t).select("file_id", "report") for t in ("pylint", "eslint"))
-        lint = reports.read_pylint_reports(pylint).unionByName(reports.read_eslint_reports(eslint))
-        runs = code.select("file_id", F.inline("runs"))
-        _write_code(session, code.select("file_id", "language", "content"), lint, runs, outbox, batch_id, use_history)
-        _write_tables(session, ready.filter("kind = 'csv'"), outbox, batch_id)
-        reason = F.when(F.col("outcome").isin(waiting.ORPHAN, waiting.NO_TEXT), F.col("outcome")).when(F.col("kind") == "type", "type")
-        _write_rejects(ready.withColumn("reason", reason).filter("reason is not null"), outbox, batch_id)
+        with kept_until_end(session):
+            ready = keep(batch)
+            code = ready.filter(F.col("kind").eqNullSafe("code") & (F.col("outcome") != waiting.ORPHAN))
+            each = code.select("file_id", F.inline("lint"))
+            pylint, eslint = (each.filter(F.col("tool") == t).select("file_id", "report") for t in ("pylint", "eslint"))
+            lint = reports.read_pylint_reports(pylint).unionByName(reports.read_eslint_reports(eslint))
+            runs = code.select("file_id", F.inline("runs"))
+            _write_code(session, code.select("file_id", "language", "content"), lint, runs, outbox, batch_id, use_history)
+            _write_tables(session, ready.filter("kind = 'csv'"), outbox, batch_id)
+            reason = F.when(F.col("outcome").isin(waiting.ORPHAN, waiting.NO_TEXT), F.col("outcome")).when(F.col("kind") == "type", "type")
+            _write_rejects(ready.withColumn("reason", reason).filter("reason is not null"), outbox, batch_id)
 
     before = spark.conf.get(waiting.PROVIDER, None)
     spark.conf.set(waiting.PROVIDER, waiting.ROCKS)  # the query takes it along when it starts

@@ -1,6 +1,7 @@
 import hashlib
 import json
 import os
+import pathlib
 
 from gumshoe.streaming import intake
 from gumshoe.streaming.intake import incremental_scan
@@ -26,6 +27,8 @@ def test_intake_reviews_each_file_once(spark, tmp_path):
     assert got == [(0, "javascript", "Division by Zero"), (0, "javascript", "Undefined Variable"), (1, "python", "Division by Zero")]
     log = spark.read.parquet(f"{outbox}/log")
     assert log.count() == 2
+    shared = pathlib.Path(spark.conf.get("spark.checkpoint.dir"))
+    assert not list(shared.glob("kept-*"))  # a batch leaves nothing but its output
     counts = spark.read.parquet(f"{outbox}/runs").orderBy("batch").collect()
     assert [(r.batch, r.total_bugs) for r in counts] == [(0, 2), (1, 1)]
     assert [(r.path.rpartition("/")[2], r.reason) for r in spark.read.parquet(f"{outbox}/rejects").collect()] == [("skip.txt", "type")]
