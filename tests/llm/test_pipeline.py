@@ -74,7 +74,9 @@ def test_stages_on_odd_rows(spark, folder):
             continue
         kept.append(r)
     wordless = [tuple(r) for r in rows if not grams[r["doc_id"], r["text"]]]
-    assert got.columns == names and listed(got) == Counter([r for r in kept if grams[r[0], r[1]]] + wordless)
+    # of rows that repeat id and text any one stays
+    want = Counter(r[:2] for r in [r for r in kept if grams[r[0], r[1]]] + wordless)
+    assert got.columns == names and listed(got.select("doc_id", "text")) == want
 
     got = steps["decontamination"](spark, docs, folder)
     passages = [decontamination.words_of(r["text"]) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
