@@ -85,8 +85,9 @@ class _Block:
                 return
 
     def pass_line(self, line: str) -> None:
-        self.opens |= ends_open(line, False)
-        self.ends = [ends_open(line, e) for e in self.ends]
+        after = ends_open(line, False), ends_open(line, True)
+        self.opens |= after[0]
+        self.ends = [after[e] for e in self.ends]
 
     def row(self) -> pa.RecordBatch:
         values = {
@@ -113,6 +114,8 @@ def _block_functions(lines: DataFrame) -> DataFrame:
                 first = starts[0] if starts else batch.num_rows
                 block.look_for_header(raw.slice(0, first), at.slice(0, first))
             quotes = np.flatnonzero(pc.fill_null(pc.match_substring(raw, '"'), False).to_numpy(zero_copy_only=False)).tolist()
+            # Looking each up in the batch costs more than the line itself; the other lines may not be text.
+            texts = dict(zip(quotes, raw.take(pa.array(quotes, pa.int64())).to_pylist(), strict=True))
             for row in sorted({*starts, *quotes}):
                 if row in ends:
                     if block is not None:
@@ -120,9 +123,8 @@ def _block_functions(lines: DataFrame) -> DataFrame:
                     block = _Block(batch["file"][row].as_py(), batch["block"][row].as_py())
                     if block.in_header:
                         block.look_for_header(raw.slice(row, ends[row] - row), at.slice(row, ends[row] - row))
-                line = raw[row].as_py()
-                if line is not None and '"' in line:
-                    block.pass_line(line)
+                if row in texts:
+                    block.pass_line(texts[row])
         if block is not None:
             yield block.row()
 
@@ -154,7 +156,7 @@ def _cut(lines: DataFrame) -> DataFrame:
                 continue
             starts = set(changed(batch["file"], batch["block"], place).tolist())
             quotes = np.flatnonzero(pc.match_substring(batch["raw"], '"').to_numpy(zero_copy_only=False)).tolist()
-            raw = batch["raw"].to_pylist()
+            raw, files, blocks, ats, opened = (batch[c].to_pylist() for c in ("raw", "file", "block", "at", "opened"))
             out: list[tuple] = []
             row, n = 0, batch.num_rows
             stops = sorted(starts.union(quotes))
@@ -163,23 +165,22 @@ def _cut(lines: DataFrame) -> DataFrame:
                     if is_open:
                         held.extend(raw[row:stop])
                     else:
-                        files, blocks, ats = (batch[c].slice(row, stop - row).to_pylist() for c in ("file", "block", "at"))
-                        out.extend((f, b, a, r, True, True) for f, b, a, r in zip(files, blocks, ats, raw[row:stop], strict=True))
+                        out.extend((files[i], blocks[i], ats[i], raw[i], True, True) for i in range(row, stop))
                     row = stop
                 if stop == n:
                     break
-                here = (batch["file"][row].as_py(), batch["block"][row].as_py())
+                here = (files[row], blocks[row])
                 if stop in starts:
                     if held:
                         out.append((*place, held_at, "\n".join(held), held_starts, False))
-                    place, is_open, held = here, batch["opened"][row].as_py(), []
-                    held_at, held_starts = batch["at"][row].as_py(), not is_open
+                    place, is_open, held = here, opened[row], []
+                    held_at, held_starts = ats[row], not is_open
                 line, was_open = raw[row], is_open
                 is_open = ends_open(line, is_open) if '"' in line else is_open
                 if was_open:
                     held.append(line)
                 else:
-                    held, held_at, held_starts = [line], batch["at"][row].as_py(), True
+                    held, held_at, held_starts = [line], ats[row], True
                 if not is_open:
                     out.append((*here, held_at, "\n".join(held), held_starts, True))
                     held = []

@@ -125,3 +125,18 @@ def test_patterns_of_one_large_file(spark, tmp_path, small_blocks):
     got = line_patterns.pattern_hits_of_lines(read)
     key = ["file_id", "line", "type", "ord", "message"]
     assert sorted(map(tuple, got.select(key).collect())) == sorted(map(tuple, want.select(key).collect()))
+
+
+def test_a_quoted_line_is_followed_once_from_either_state(monkeypatch):
+    asked, follow = [], tables.ends_open
+    monkeypatch.setattr(tables, "ends_open", lambda line, is_open: asked.append(is_open) or follow(line, is_open))
+    block = tables._Block("f", 1)
+    for line in ('1,"a', 'b"', 'c,d"e', '"'):
+        block.pass_line(line)
+    assert asked == [False, True] * 4 and (block.ends, block.opens) == ([True, True], True)
+
+
+def test_lines_that_are_not_text_beside_quoted_ones(spark, tmp_path):
+    (tmp_path / "t.csv").write_bytes('key,text\n1,"a\nb"\n2,grün\n3,"c"\n'.encode("latin-1"))
+    rows = tables.read_raw_csv(spark, str(tmp_path / "t.csv"))
+    assert sorted((r["key"], r[tables.EXTRA]) for r in rows.select("key", tables.EXTRA).collect()) == [("1", None), ("2", tables.NOT_TEXT), ("3", None)]
