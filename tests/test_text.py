@@ -33,6 +33,32 @@ def test_strip_equals_python(spark):
     assert sorted(got) == sorted(s.strip() for s in texts)
 
 
+def test_lines_are_stripped_as_python_does(spark, files):
+    white = [chr(i) for i in range(0x3001) if chr(i).isspace()]
+    edges = [*white, "", "  ", " \t", "\u3000 ", "!", "~", "\x7f", "\x00", "\u200b", "é", "\U0001d400", "~x"]
+    texts = ["", *edges, *[a + b for a in edges for b in ("x", "x \u2003y", "é")], *[b + a for a in edges for b in ("x", "é")], *[a + "x" + a for a in edges]]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate([*texts, None])], "i int, text string")
+    got = {r.i: r.text for r in lines.trim_lines(df).collect()}
+    assert got == {i: s if s is None else s.strip() for i, s in enumerate([*texts, None])}
+    assert lines.trim_lines(df).schema == df.schema
+
+
+def test_tokens_are_those_of_the_whole_expression(spark):
+    signs = ["//", '"', "'", "`", "a1 ", "_b", "é"]
+    texts = [x + y + z + "'w" + x for x in signs for y in signs for z in signs]
+    df = spark.createDataFrame([("f", i, s) for i, s in enumerate([*texts, "", None, "9z"])], "file_id string, line int, text string")
+    plain = df.select("file_id", "line", F.posexplode(T.identifiers(T.strip_comments_and_strings(F.col("text")))).alias("pos", "token"))
+    got = lines.tokenize(df)
+    assert got.schema == plain.schema and sorted(got.collect()) == sorted(plain.collect())
+
+
+def test_split_lines_keeps_the_other_columns(spark):
+    df = spark.createDataFrame([("a\r\nb", 1, "p"), (None, 2, "q"), ("", 3, "r")], "`the text` string, plain int, `a b` string")
+    got = lines.split_lines(df, "the text")
+    assert got.columns == ["plain", "a b", "line", "text"]
+    assert [tuple(r) for r in got.collect()] == [(1, "p", 1, "a"), (1, "p", 2, "b")]
+
+
 def test_strings_are_blanked_after_comments(spark):
     row = spark.createDataFrame([("a = 'x' + \"y // z\" // tail 'q'",)], "s string")
     got = row.select(T.strip_comments_and_strings(F.col("s")).alias("s")).first().s
