@@ -3,11 +3,12 @@
 The index is a stored table with one row per shard: a run of whole documents of one input task, up to a fixed number of
 words. A shard holds its terms, the ascending word places of each, and its documents, which lie one behind the other with
 a gap so that no phrase reaches into the next. Postings are made where the documents are read and searched where
-the shard is read, so nothing is shuffled, and a frequent term or passage is spread over the shards.
+the shard is read, so nothing is shuffled, and a frequent term or passage is spread over the shards. A row group holds
+few shards, as Spark decodes a whole one at a time.
 
 A phrase is searched from its rarest terms: the list of the term that is rarest in the shard, moved back by its offset in
 the phrase, is intersected with the moved list of the next rarest, and so on while anything is left. Phrases are sent to
-the shards in blocks of bounded size.
+the shards in blocks of bounded size, as arrays of term numbers: every worker holds them all.
 
 Words: A-Z is lower-cased, and words are the runs of ``WORD``. Nulls and ties: a null text has no words; items without
 words have no phrase; null document ids are kept; null item ids match but are not counted; rows that repeat an id are
@@ -24,7 +25,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +36,11 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 LENGTH = 10
 GAP = 64
 SHARD_WORDS = 1 << 18
+SHARDS_A_GROUP = 2
+"""Shards in a row group of the stored index; decoded one takes 2 to 4 MB."""
 BLOCK_PHRASES = 50_000
+PLACES = 1 << 20
+"""Places of rarest terms from which a shard is searched at a time, or those of one phrase."""
 INDEX = pa.schema(
     [
         ("shard", pa.int64()),
@@ -103,7 +108,7 @@ def build_index(docs: DataFrame) -> DataFrame:
         "shard long, terms array<string>, ends array<int>, places array<int>, "
         "doc_id array<long>, key array<long>, first array<int>, n_words array<int>"
     )
-    return stored(rows.mapInArrow(index, schema), "postings")
+    return stored(rows.mapInArrow(index, schema), "postings", SHARDS_A_GROUP)
 
 
 class Shard:
@@ -132,14 +137,24 @@ class Shard:
 
 
 class Phrases:
-    """A block of phrases as a table of term numbers, -1 behind the end of short ones."""
+    """A block of phrases as a table of term numbers, -1 behind the end of short ones, and the items of each, if they have any."""
 
-    def __init__(self, terms: list[list[str]]) -> None:
-        self.length = np.array([len(t) for t in terms], dtype=np.int64)
-        coded = pa.array([w for t in terms for w in t], pa.string()).dictionary_encode()
-        self.vocabulary = coded.dictionary
-        self.table = np.full((len(terms), int(self.length.max())), -1, dtype=np.int64)
-        self.table[np.arange(self.table.shape[1]) < self.length[:, None]] = coded.indices.to_numpy(zero_copy_only=False)
+    def __init__(self, rows: pa.Table) -> None:
+        """Of ``rows (terms, items)``; items may be left out."""
+        self.length, self.vocabulary, codes = _coded(rows["terms"])
+        self.table = np.full((len(self.length), int(self.length.max(initial=0))), -1, dtype=np.int32)
+        self.table[np.arange(self.table.shape[1]) < self.length[:, None]] = codes
+        if "items" in rows.column_names:
+            n, self.items, self.item = _coded(rows["items"])
+            self.ends = np.concatenate([[0], np.cumsum(n)])
+
+    def terms(self, i: int) -> list[str]:
+        return self.vocabulary.take(pa.array(self.table[i, : self.length[i]])).to_pylist()
+
+    def items_of(self, which: np.ndarray) -> list[str]:
+        """The items of some phrases, each once."""
+        found = np.unique(np.concatenate([self.item[self.ends[i] : self.ends[i + 1]] for i in which]))
+        return self.items.take(pa.array(found)).to_pylist()
 
     def search(self, shard: Shard) -> tuple[np.ndarray, np.ndarray]:
         """Phrase numbers and start places of all occurrences."""
@@ -150,17 +165,34 @@ class Phrases:
         codes = codes[left]
         counts = np.where(codes < 0, np.iinfo(np.int64).max, shard.counts[codes])
         rarest = np.argsort(counts, axis=1, kind="stable")
-        offset, code = rarest[:, 0], np.take_along_axis(codes, rarest[:, :1], axis=1)[:, 0]
-        n = shard.counts[code]
-        which = np.repeat(np.arange(len(left)), n)
-        inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        start = shard.places[np.repeat(shard.ends[code], n) + inside] - offset[which]
-        for step in range(1, codes.shape[1]):
-            offset = rarest[which, step]
-            code = codes[which, offset]
-            kept = (code < 0) | shard.holds(np.maximum(code, 0), start + offset)
-            which, start = which[kept], start[kept]
-        return left[which], start
+        turn = np.cumsum(np.take_along_axis(counts, rarest[:, :1], axis=1)[:, 0]) // PLACES
+        found = []
+        for part in np.split(np.arange(len(left)), np.flatnonzero(np.diff(turn)) + 1):
+            which, start = _occurrences(shard, codes[part], rarest[part])
+            found.append((left[part[which]], start))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _coded(lists: pa.ChunkedArray) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Lists of texts as their lengths, the distinct texts and the number of each text."""
+    lists = lists.combine_chunks()
+    coded = lists.flatten().cast(pa.string()).dictionary_encode()
+    return lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
+
+
+def _occurrences(shard: Shard, codes: np.ndarray, rarest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row of ``codes`` and start place of each occurrence; ``rarest`` has the offsets of each row's terms, the rarest first."""
+    offset, code = rarest[:, 0], np.take_along_axis(codes, rarest[:, :1], axis=1)[:, 0]
+    n = shard.counts[code]
+    which = np.repeat(np.arange(len(codes)), n)
+    inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    start = shard.places[np.repeat(shard.ends[code], n) + inside] - offset[which]
+    for step in range(1, codes.shape[1]):
+        offset = rarest[which, step]
+        code = codes[which, offset]
+        kept = (code < 0) | shard.holds(np.maximum(code, 0), start + offset)
+        which, start = which[kept], start[kept]
+    return which, start
 
 
 def phrases_of(items: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -173,12 +205,12 @@ def phrases_of(items: DataFrame, length: int = LENGTH) -> DataFrame:
     return windows.groupBy("terms").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
 
 
-def blocks_of(phrases: DataFrame) -> Iterator[list]:
-    """Phrases in lists of about ``BLOCK_PHRASES``, one after the other."""
+def blocks_of(phrases: DataFrame) -> list[Broadcast]:
+    """Phrases in blocks of about ``BLOCK_PHRASES``, sent one after the other."""
     phrases = stored(phrases, "phrases")
     n = -(-phrases.count() // BLOCK_PHRASES)
-    for i in range(n):
-        yield phrases.where(F.pmod(F.xxhash64("terms"), F.lit(n)) == i).collect()
+    parts = (phrases.where(F.pmod(F.xxhash64("terms"), F.lit(n)) == i).toArrow() for i in range(n))
+    return [phrases.sparkSession.sparkContext.broadcast(Phrases(rows)) for rows in parts]
 
 
 def over_shards(index: DataFrame, schema: str, report: Callable[[Shard], Iterator[pa.RecordBatch]]) -> DataFrame:
@@ -192,17 +224,17 @@ def over_shards(index: DataFrame, schema: str, report: Callable[[Shard], Iterato
 
 def phrase_matches(index: DataFrame, phrases: DataFrame) -> DataFrame:
     """doc_id, start (word number), terms: every exact occurrence of ``phrases (terms, items)``."""
-    blocks = [_sent(index, [list(r["terms"]) for r in block]) for block in blocks_of(phrases)]
+    blocks = blocks_of(phrases)
 
     def report(shard: Shard) -> Iterator[pa.RecordBatch]:
         for block in blocks:
-            which, start = Phrases(block.value).search(shard)
+            which, start = block.value.search(shard)
             at = shard.document_of(start)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([shard.ids[i] for i in at], pa.int64()),
                     pa.array(start - shard.first[at], pa.int64()),
-                    pa.array([block.value[i] for i in which], pa.list_(pa.string())),
+                    pa.array([block.value.terms(i) for i in which], pa.list_(pa.string())),
                 ],
                 names=["doc_id", "start", "terms"],
             )
@@ -217,7 +249,7 @@ def near_matches(index: DataFrame, queries: DataFrame, within: int) -> DataFrame
     """
     if within > GAP:
         raise ValueError(f"within is at most {GAP}")
-    blocks = [_sent(index, [list(r["terms"]) for r in block]) for block in blocks_of(queries)]
+    blocks = blocks_of(queries)
 
     def spans(shard: Shard, terms: list[str]) -> set[tuple[int, int]]:
         codes = shard.codes(pa.array(sorted(set(terms)), pa.string()))
@@ -237,7 +269,8 @@ def near_matches(index: DataFrame, queries: DataFrame, within: int) -> DataFrame
 
     def report(shard: Shard) -> Iterator[pa.RecordBatch]:
         for block in blocks:
-            rows = [(s, e, terms) for terms in block.value for s, e in sorted(spans(shard, terms))]
+            queried = (block.value.terms(i) for i in range(len(block.value.length)))
+            rows = [(s, e, terms) for terms in queried for s, e in sorted(spans(shard, terms))]
             at = shard.document_of(np.array([r[0] for r in rows], dtype=np.int64))
             yield pa.RecordBatch.from_arrays(
                 [
@@ -252,25 +285,23 @@ def near_matches(index: DataFrame, queries: DataFrame, within: int) -> DataFrame
     return over_shards(index, "doc_id long, start long, n_words long, terms array<string>", report)
 
 
-def _sent(index: DataFrame, rows: list):
-    return index.sparkSession.sparkContext.broadcast(rows)
-
-
 def contamination(docs: DataFrame, items: DataFrame, length: int = LENGTH) -> DataFrame:
     """Per document: doc_id, key (hash of the text), n_words, n_hit, n_items, items_sha256, contaminated."""
     index = build_index(docs)
-    blocks = [_sent(index, [(list(r["terms"]), list(r["items"])) for r in b]) for b in blocks_of(phrases_of(items, length))]
+    blocks = blocks_of(phrases_of(items, length))
 
     def report(shard: Shard) -> Iterator[pa.RecordBatch]:
         edge = np.zeros(int(shard.first[-1] + shard.n_words[-1]) + 2, dtype=np.int64)
         items_of: dict[int, set] = {}
         for block in blocks:
-            phrases = Phrases([terms for terms, _ in block.value])
+            phrases = block.value
             which, start = phrases.search(shard)
             np.add.at(edge, start, 1)
             np.add.at(edge, start + phrases.length[which], -1)
-            for document, phrase in {*zip(shard.document_of(start).tolist(), which.tolist(), strict=True)}:
-                items_of.setdefault(document, set()).update(block.value[phrase][1])
+            document = shard.document_of(start)
+            order = np.argsort(document, kind="stable")
+            for at in np.split(order, np.flatnonzero(np.diff(document[order])) + 1) if len(order) else ():
+                items_of.setdefault(int(document[at[0]]), set()).update(phrases.items_of(np.unique(which[at])))
         covered = np.concatenate([[0], np.cumsum(np.cumsum(edge) > 0)])
         n_hit = covered[shard.first + shard.n_words] - covered[shard.first]
         lists = [sorted(items_of.get(i, ())) for i in range(len(shard.ids))]

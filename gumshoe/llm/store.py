@@ -70,10 +70,16 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it: cuts the lineage, survives lost executors."""
+def stored(df: DataFrame, name: str, rows_a_group: int | None = None) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it: cuts the lineage, survives lost executors.
+
+    Readers decode a row group, or 4,096 rows of it, at a time: ``rows_a_group`` bounds that for rows of several MB.
+    """
     path = new_folder(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.write.option("compression", "zstd")
+    if rows_a_group is not None:
+        writer = writer.option("parquet.block.row.count.limit", rows_a_group)
+    writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -3,11 +3,13 @@
 import gzip
 import hashlib
 import json
+import pickle
 import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,6 +85,31 @@ def test_phrases_and_proximity(spark):
     assert sorted((r["doc_id"], r["start"], r["n_words"]) for r in near) == [(1, 0, 2), (1, 4, 3), (2, 0, 2)]
 
 
+def test_a_row_group_of_the_index_holds_few_shards(spark, monkeypatch):
+    monkeypatch.setattr(decontamination, "SHARD_WORDS", 80)
+    docs = spark.range(300, numPartitions=1).select(F.col("id").alias("doc_id"), F.concat(F.lit("word"), F.col("id").cast("string")).alias("text"))
+    index = decontamination.build_index(docs)
+    files = [pq.ParquetFile(path.removeprefix("file://")).metadata for path in index.inputFiles()]
+    groups = [meta.row_group(i).num_rows for meta in files for i in range(meta.num_row_groups)]
+    assert sum(groups) >= 150 and max(groups) <= decontamination.SHARDS_A_GROUP
+
+
+def test_a_block_of_phrases_is_small_and_searched_in_turns(spark, monkeypatch):
+    terms = [[f"word{i + j}" for j in range(10)] for i in range(5000)]
+    block = decontamination.Phrases(pa.table({"terms": terms, "items": [[str(i)] for i in range(5000)]}))
+    assert len(pickle.dumps(block)) < 5000 * 100  # as lists of texts: more than 700 bytes each in a worker
+    assert block.terms(70) == terms[70] and block.items_of(np.array([4, 3])) in (["3", "4"], ["4", "3"])
+    monkeypatch.setattr(decontamination, "PLACES", 3)
+    texts = [["b", "a", "b", "a", "b"], ["a", "c"], ["b"]]
+    shard = decontamination._shard(0, [1, 2, 3], [1, 2, 3], texts)
+    shard = decontamination.Shard({name: shard[name][0].values for name in shard.schema.names[1:]})
+    which, start = decontamination.Phrases(pa.table({"terms": [["a", "b"], ["b"], ["c", "a"], ["b", "a", "b"]]})).search(shard)
+    at = shard.document_of(start)
+    assert sorted(zip(which.tolist(), at.tolist(), (start - shard.first[at]).tolist())) == [
+        (0, 0, 1), (0, 0, 3), (1, 0, 0), (1, 0, 2), (1, 0, 4), (1, 2, 0), (3, 0, 0), (3, 0, 2)
+    ]
+
+
 def jaccard_classes(rows):
     grams = [set(map(int, ngram_join.grams_of(r["text"]))) for r in rows]
     n = len(rows)
