@@ -156,3 +156,12 @@ def test_lines_are_trimmed_and_breaks_found_once(spark, tmp_path):
         plan = registry.QUERIES[name](spark, path)._jdf.queryExecution().executedPlan().toString()
         assert plan.count("StartsWith(text#") == 3 and len(re.findall(r"(?<![a-z])trim\(text#", plan)) == 1
         assert plan.count("RLIKE(content#") == 1
+
+
+def test_risks_are_scanned_and_sorted_once_to_drop_repeats(spark, tmp_path):
+    frame = registry.QUERIES["deduped_risks"](spark, orders(spark, tmp_path, 200))
+    placed, sorts = exchanges(frame)
+    assert [p for p in placed if "file_id" in p] == ["hashpartitioning(file_id, 4"] and sorts == 1
+    assert "MapInArrow" not in frame._jdf.queryExecution().executedPlan().toString()  # what the three parts read is scanned already
+    scanned = code_scan.scan(corpus.code_files(spark, str(tmp_path))).risks.select("file_id", "line", "type", "message")
+    assert frame.exceptAll(scanned).count() == scanned.exceptAll(frame).count() == 0
